@@ -55,9 +55,8 @@ def static_lookup(keys: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def pending_keys(keys: DataFrame, known: DataFrame) -> DataFrame:
-    """Names that no earlier lookup has answered; a stored row without any content counts as unanswered."""
-    content = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in known.columns if c != "query_name"]
-    answered = known.filter(F.coalesce(*content).isNotNull()).select("query_name")
+    """Names that no earlier lookup has answered; a stored row that is null throughout counts as unanswered."""
+    answered = known.na.drop(how="all", subset=[c for c in known.columns if c != "query_name"]).select("query_name")
     return keys.join(answered, "query_name", "left_anti")
 
 

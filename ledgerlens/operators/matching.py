@@ -19,13 +19,9 @@ def listed(words: Column, allowed: Column) -> Column:
 
 
 def _grams(text: Column, lengths: tuple[int, ...]) -> Column:
-    """Distinct substrings of the given lengths (out of 1, 2, 4, 8), built by doubling, linear in the text."""
-    grams = {1: F.split(text, "")}
-    for half in (1, 2, 4):
-        if half * 2 <= max(lengths):
-            shifted = F.slice(grams[half], half + 1, F.greatest(F.size(grams[half]) - half, F.lit(0)))
-            grams[half * 2] = F.zip_with(grams[half], shifted, lambda a, b: F.concat(a, b))
-    return F.array_distinct(F.array_compact(F.concat(*[grams[n] for n in lengths])))
+    """Distinct substrings of the given lengths; a look-ahead yields one per position, linear in the text."""
+    grams = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in lengths]
+    return F.array_distinct(F.concat(*grams))
 
 
 def anchor(term: Column) -> Column:
@@ -56,7 +52,10 @@ def term_hits(
     wanted = wanted.withColumn("_anchor", anchor(F.col("_term")))
     if not lengths:
         return texts.limit(0).select(*ids, *on, F.lit("").alias(term))
-    exploded = texts.select(*ids, *on, F.col(text).alias("_text"), F.explode(_grams(F.col(text), lengths)).alias("_anchor"))
+    # Two steps, so that exploding, probing and confirming run in one generated loop that never copies the text. The
+    # outer form keeps the optimizer from adding a filter on the array, which would build every array once more.
+    grams = texts.select(*ids, *on, F.col(text).alias("_text"), _grams(F.col(text), lengths).alias("_grams"))
+    exploded = grams.select(*ids, *on, "_text", F.explode_outer("_grams").alias("_anchor"))
     if taxonomy.broadcastable:
         found = exploded.join(F.broadcast(wanted), keys).filter(F.contains("_text", "_term"))
     else:
@@ -70,6 +69,6 @@ def keyword_hits(texts: DataFrame, ids: list[str], text: str, taxonomy: Taxonomy
     """(ids, keyword) for every taxonomy keyword inside every text."""
     if taxonomy.inline:
         words = contained(text_array(taxonomy.inline_keywords), F.col(text))
-        return texts.select(*ids, F.explode(words).alias("keyword"))
+        return texts.select(*ids, F.explode_outer(words).alias("keyword")).filter("keyword IS NOT NULL")
     keywords = taxonomy.rules.select(F.explode("keywords").alias("keyword"))
     return term_hits(texts, ids, text, keywords, "keyword", taxonomy)

@@ -84,7 +84,8 @@ def page_links(pages: DataFrame) -> DataFrame:
         F.regexp_extract_all("html", F.lit(LINK_PATTERN), 1).alias("href"),
         F.regexp_extract_all("html", F.lit(LINK_PATTERN), 2).alias("anchor"),
     )
-    links = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(found).alias("link_pos", "link"))
+    links = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode_outer(found).alias("link_pos", "link"))
+    links = links.filter("link IS NOT NULL")
     href = unescape_markup(F.btrim(F.btrim("link.href", F.lit("\"'"))))
     return links.select(
         "page_id",
@@ -109,9 +110,7 @@ def module_of(*texts: Column, modules: dict[str, tuple[str, ...]] | None = None)
     def chosen(texts: Column) -> Column:
         choice = None
         for name, words in (modules or K.PAGE_MODULES).items():
-            named = reduce(
-                lambda a, b: a | b, [F.exists(texts, lambda text, w=word: F.contains(text, F.lit(w))) for word in words]
-            )
+            named = F.exists(texts, lambda text: reduce(lambda a, b: a | b, [text.contains(word) for word in words]))
             choice = F.when(named, name) if choice is None else choice.when(named, name)
         return choice
 

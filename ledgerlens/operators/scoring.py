@@ -4,93 +4,59 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlens import constants as K
 from ledgerlens.functions.text import let
 from ledgerlens.operators.matching import contained, listed, term_hits
 from ledgerlens.operators.skew import skew_safe_left_join
-from ledgerlens.operators.taxonomy import (
-    Taxonomy,
-    filed_groups,
-    group_keywords,
-    group_modules,
-    rule_groups,
-    text_array,
-)
+from ledgerlens.operators.taxonomy import Taxonomy, inline_value, text_array
 
 ENTRY_ID = ["source_id", "row_number"]
 
 
-def first_words(words: Column) -> Column:
-    return F.slice(words, 1, K.EVIDENCE_KEYWORDS)
+def first_words(words: str) -> str:
+    return f"slice({words}, 1, {K.EVIDENCE_KEYWORDS})"
 
 
-def scope_points(hits: Column) -> Column:
-    return F.least(hits * K.SCOPE_POINTS, F.lit(K.SCOPE_CAP))
+def scope_points(hits: str) -> str:
+    return f"least({hits} * {K.SCOPE_POINTS}, {K.SCOPE_CAP})"
 
 
-def stage_points(hits: Column) -> Column:
-    return F.least(hits * K.STAGE_POINTS, F.lit(K.STAGE_CAP))
+def stage_points(hits: str) -> str:
+    return f"least({hits} * {K.STAGE_POINTS}, {K.STAGE_CAP})"
 
 
-def listing(prefix: str, words: Column) -> Column:
-    """Evidence line naming the first keywords; null when there are none."""
-    return F.when(F.size(words) > 0, F.concat(F.lit(prefix), F.array_join(words, K.LIST_SEPARATOR)))
+def group_score(levels: str, category: str, subcategory: str, modules_hit: str, scope_hits: str, stage_hits: str) -> Column:
+    """Points of one group for one entry, 0 to 100. Arguments are SQL: three arrays and three columns."""
+    return F.expr(
+        f"""least({K.SCORE_CAP},
+            if({category} != '' AND array_contains({levels}, {category}), {K.CATEGORY_POINTS}, 0)
+            + if({subcategory} != '' AND array_contains({levels}, {subcategory}), {K.SUBCATEGORY_POINTS}, 0)
+            + size({modules_hit}) * {K.MODULE_POINTS}
+            + {scope_points(scope_hits)} + {stage_points(stage_hits)})"""
+    )
 
 
-def group_score(
-    levels: list[Column],
-    category: Column,
-    subcategory: Column,
-    modules_hit: Column,
-    scope_count: Column,
-    stage_count: Column,
-) -> Column:
-    """Points of one group for one entry, 0 to 100."""
-    at_level = F.array(*levels)
+def group_evidence(levels: str, category: str, subcategory: str, modules_hit: str, scope: str, stage: str) -> Column:
+    """Evidence lines of one group for one entry, in their fixed order; keyword lines name the first few words."""
 
-    def named(value: Column, points: int) -> Column:
-        return F.when((value != "") & F.array_contains(at_level, value), points).otherwise(0)
+    def named(prefix: str, value: str) -> str:
+        return f"if({value} != '' AND array_contains({levels}, {value}), concat('{prefix}', {value}), null)"
 
-    total = (
-        named(category, K.CATEGORY_POINTS)
-        + named(subcategory, K.SUBCATEGORY_POINTS)
-        + F.size(modules_hit) * K.MODULE_POINTS
-        + scope_points(scope_count)
-        + stage_points(stage_count)
-    )
-    return F.least(total, F.lit(K.SCORE_CAP)).cast("int")
-
-
-def group_evidence(
-    levels: list[Column],
-    category: Column,
-    subcategory: Column,
-    modules_hit: Column,
-    scope_words: Column,
-    stage_words: Column,
-) -> Column:
-    """Evidence lines of one group for one entry, in their fixed order."""
-    at_level = F.array(*levels)
-
-    def named(prefix: str, value: Column) -> Column:
-        return F.when((value != "") & F.array_contains(at_level, value), F.concat(F.lit(prefix), value))
-
-    return F.array_compact(
-        F.concat(
-            F.array(named(K.HIT_CATEGORY, category), named(K.HIT_SUBCATEGORY, subcategory)),
-            F.transform(modules_hit, lambda module: F.concat(F.lit(K.HIT_MODULE), module)),
-            F.array(
-                listing(K.HIT_SCOPE, first_words(scope_words)),
-                listing(K.HIT_STAGE, first_words(stage_words)),
-            ),
-        )
+    def listing(prefix: str, words: str) -> str:
+        shown = f"array_join({first_words(words)}, '{K.LIST_SEPARATOR}')"
+        return f"if(size({words}) > 0, concat('{prefix}', {shown}), null)"
+
+    return F.expr(
+        f"""array_compact(concat(
+            array({named(K.HIT_CATEGORY, category)}, {named(K.HIT_SUBCATEGORY, subcategory)}),
+            transform({modules_hit}, module -> concat('{K.HIT_MODULE}', module)),
+            array({listing(K.HIT_SCOPE, scope)}, {listing(K.HIT_STAGE, stage)})))"""
     )
 
 
 def usable_scope() -> Column:
-    return F.when(F.col("success"), F.coalesce("business_scope", F.lit(""))).otherwise(F.lit(""))
+    return F.expr("if(success, coalesce(business_scope, ''), '')")
 
 
 # -- taxonomy small enough to sit inside the expressions: no shuffle, one pass over every evidence text ---------------
@@ -103,47 +69,41 @@ BEST_TYPE = "struct<group_ord:bigint,score:int,level2:string,level3:string,words
 def _inline_company_scores(company_info: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """Evidence plus the taxonomy words in its scope (`scope_words`) and its best group (`best`).
 
-    Every text is searched once per distinct keyword; groups are then scored on the short list of words found.
+    Every text is searched once per distinct keyword; groups are then scored on the short list of words found. Structs
+    order by score, then by earliest group (`rank`); the words only ride along.
     """
-    found = company_info.withColumn("scope_words", contained(text_array(taxonomy.inline_keywords), usable_scope()))
-    if not taxonomy.inline_groups:
-        return found.withColumn("best", F.lit(None).cast(BEST_TYPE))
-    groups = F.array(
-        *[
-            F.struct(
-                F.lit(-group.group_ord).cast("bigint").alias("rank"),
-                F.lit(group.level2).alias("level2"),
-                F.lit(group.level3).alias("level3"),
-                text_array(group.keywords).alias("keywords"),
-            )
-            for group in taxonomy.inline_groups
-        ]
+    found = company_info.select("*", contained(text_array(taxonomy.inline_keywords), usable_scope()).alias("scope_words"))
+    groups = [
+        {"rank": -group.group_ord, "level2": group.level2, "level3": group.level3, "keywords": list(group.keywords)}
+        for group in taxonomy.inline_groups
+    ]
+    listed_groups = inline_value(groups, "array<struct<rank:bigint,level2:string,level3:string,keywords:array<string>>>")
+    candidates = F.transform(
+        listed_groups,
+        lambda group: let(
+            F.struct(listed(group["keywords"], F.col("scope_words")).alias("words"), group.alias("of")), _candidate
+        ),
+    )
+    scored = found.select("*", F.when(F.size("scope_words") > 0, F.array_max(candidates)).alias("top"))
+    best = f"""if(top is null, null, named_struct('group_ord', -top.rank, 'score', top.score,
+        'level2', top.level2, 'level3', top.level3, 'words', top.words)) AS best"""
+    return scored.selectExpr("*", best).drop("top")
+
+
+def _candidate(found: Column) -> Column:
+    group, words = found["of"], found["words"]
+    return F.struct(
+        F.least(F.size(words) * K.SCOPE_POINTS, F.lit(K.SCOPE_CAP)).alias("score"),
+        group["rank"].alias("rank"),
+        group["level2"].alias("level2"),
+        group["level3"].alias("level3"),
+        F.slice(words, 1, K.EVIDENCE_KEYWORDS).alias("words"),
     )
-
-    def candidate(group: Column) -> Column:
-        # Structs order by score, then by earliest group; the words only ride along.
-        return let(
-            listed(group["keywords"], F.col("scope_words")),
-            lambda words: F.struct(
-                scope_points(F.size(words)).alias("score"),
-                group["rank"].alias("rank"),
-                group["level2"].alias("level2"),
-                group["level3"].alias("level3"),
-                first_words(words).alias("words"),
-            ),
-        )
-
-    def best(top: Column) -> Column:
-        return F.struct((-top["rank"]).alias("group_ord"), *[top[c].alias(c) for c in BEST_FIELDS[1:]])
-
-    top = let(F.array_max(F.transform(groups, candidate)), best)
-    return found.withColumn("best", F.when(F.size("scope_words") > 0, top))
 
 
-_FILED_TYPE = T.StructType(
-    [T.StructField(c, T.StringType()) for c in ("category", "subcategory", "filed_level1")]
-    + [T.StructField("filed_ord", T.LongType())]
-    + [T.StructField(c, T.ArrayType(T.StringType())) for c in ("filed_modules", "filed_keywords")]
+_FILED_TYPE = (
+    "category string, subcategory string, filed_level1 string, filed_ord bigint, "
+    "filed_modules array<string>, filed_keywords array<string>"
 )
 
 
@@ -155,18 +115,17 @@ def _inline_filed_groups(taxonomy: Taxonomy) -> DataFrame:
 
 def _inline_scored(entries: DataFrame, company_info: DataFrame, taxonomy: Taxonomy, **skew) -> DataFrame:
     companies = _inline_company_scores(company_info, taxonomy).withColumnRenamed("query_name", "lookup_key")
-    joined = skew_safe_left_join(
-        entries, companies, "lookup_key", [F.col(c) for c in ENTRY_ID], **skew
-    ).join(_inline_filed_groups(taxonomy), ["category", "subcategory"], "left")
-    return joined.select(
+    joined = skew_safe_left_join(entries, companies, "lookup_key", [F.col(c) for c in ENTRY_ID], **skew)
+    placed = joined.join(_inline_filed_groups(taxonomy), ["category", "subcategory"], "left")
+    return placed.select(
         "*",
-        F.when(F.col("filed_ord").isNotNull(), contained(F.col("filed_modules"), F.col("stage"))).alias("filed_hit_modules"),
-        F.when(F.col("filed_ord").isNotNull(), listed(F.col("filed_keywords"), F.col("scope_words"))).alias("filed_scope"),
-        F.when(F.col("filed_ord").isNotNull(), contained(F.col("filed_keywords"), F.col("stage"))).alias("filed_stage"),
-    ).select(
+        contained(F.col("filed_modules"), F.col("stage")).alias("filed_hit_modules"),
+        listed(F.col("filed_keywords"), F.col("scope_words")).alias("filed_scope"),
+        contained(F.col("filed_keywords"), F.col("stage")).alias("filed_stage"),
+    ).selectExpr(
         "*",
-        F.coalesce(F.size("filed_scope"), F.lit(0)).alias("filed_scope_count"),
-        F.coalesce(F.size("filed_stage"), F.lit(0)).alias("filed_stage_count"),
+        "coalesce(size(filed_scope), 0) AS filed_scope_count",
+        "coalesce(size(filed_stage), 0) AS filed_stage_count",
     )
 
 
@@ -178,83 +137,74 @@ def company_group_hits(company_info: DataFrame, taxonomy: Taxonomy) -> DataFrame
 
     What is collected per row is bounded by the words inside one company's text.
     """
-    texts = company_info.select("query_name", usable_scope().alias("scope")).filter(F.col("scope") != "")
-    places = group_keywords(taxonomy.rules).select("group_ord", "keyword", "rule_ord", "keyword_pos")
+    texts = company_info.select("query_name", usable_scope().alias("scope")).filter("scope != ''")
+    places = taxonomy.keyword_places
     words = term_hits(texts, ["query_name"], "scope", places.select("keyword"), "keyword", taxonomy)
     return (
         words.join(taxonomy.sized(places), "keyword")
         .groupBy("query_name", "group_ord")
-        .agg(
-            F.count("*").cast("int").alias("scope_count"),
-            F.collect_list(F.struct("rule_ord", "keyword_pos", "keyword")).alias("_words"),
-        )
-        .select("query_name", "group_ord", "scope_count", _ordered_words().alias("scope_words"))
+        .agg(*_first_hits("scope_count", "scope_words"))
     )
 
 
-def _ordered_words() -> Column:
-    return first_words(F.transform(F.array_sort("_words"), lambda word: word["keyword"]))
+def _first_hits(count: str, words: str) -> list[Column]:
+    """Number of keyword hits and the first of them in taxonomy order."""
+    ordered = "array_sort(collect_list(struct(rule_ord, keyword_pos, keyword)))"
+    return [
+        F.expr(f"cast(count(*) AS int) AS {count}"),
+        F.expr(f"{first_words(f'transform({ordered}, word -> word.keyword)')} AS {words}"),
+    ]
 
 
 def _best_of(group_hits: DataFrame, taxonomy: Taxonomy) -> DataFrame:
-    score = scope_points(F.col("scope_count"))
+    score = scope_points("scope_count")
     top = group_hits.groupBy("query_name").agg(
-        F.max_by(
-            F.struct("group_ord", score.alias("score"), F.col("scope_words").alias("words")),
-            F.struct(score, -F.col("group_ord")),
-        ).alias("top")
+        F.expr(
+            f"max_by(struct(group_ord, {score} AS score, scope_words AS words), struct({score}, -group_ord)) AS top"
+        )
     )
-    named = top.select("query_name", "top.*").join(taxonomy.sized(rule_groups(taxonomy.rules)), "group_ord")
-    return named.select("query_name", F.struct(*BEST_FIELDS).alias("best"))
+    named = top.select("query_name", "top.*").join(taxonomy.sized(taxonomy.groups), "group_ord")
+    return named.selectExpr("query_name", "struct(group_ord, score, level2, level3, words) AS best")
 
 
 def _long_scored(entries: DataFrame, company_info: DataFrame, taxonomy: Taxonomy, **skew) -> DataFrame:
     row_id = [F.col(c) for c in ENTRY_ID]
     group_hits = company_group_hits(company_info, taxonomy)
     companies = company_info.join(_best_of(group_hits, taxonomy), "query_name", "left")
-    filed = filed_groups(taxonomy.rules).select(
-        F.col("level2").alias("category"),
-        F.col("level3").alias("subcategory"),
-        F.col("level1").alias("filed_level1"),
-        F.col("group_ord").alias("filed_ord"),
+    filed = taxonomy.filed.selectExpr(
+        "level2 AS category", "level3 AS subcategory", "level1 AS filed_level1", "group_ord AS filed_ord"
     )
     placed = entries.join(taxonomy.sized(filed), ["category", "subcategory"], "left")
 
-    staged = placed.filter(F.col("lookup_key").isNotNull() & F.col("filed_ord").isNotNull())
-    staged = staged.select(*ENTRY_ID, "stage", F.col("filed_ord").alias("group_ord"))
-    keywords = group_keywords(taxonomy.rules).select("group_ord", "keyword", "rule_ord", "keyword_pos")
+    scorable = "lookup_key IS NOT NULL AND filed_ord IS NOT NULL"
+    staged = placed.filter(scorable).selectExpr(*ENTRY_ID, "stage", "filed_ord AS group_ord")
+    keywords = taxonomy.keyword_places
     stage_hits = (
         term_hits(staged, ENTRY_ID, "stage", keywords, "keyword", taxonomy, on=("group_ord",))
         .join(taxonomy.sized(keywords), ["group_ord", "keyword"])
         .groupBy(*ENTRY_ID)
-        .agg(
-            F.count("*").cast("int").alias("filed_stage_count"),
-            F.collect_list(F.struct("rule_ord", "keyword_pos", "keyword")).alias("_words"),
-        )
-        .select(*ENTRY_ID, "filed_stage_count", _ordered_words().alias("filed_stage"))
+        .agg(*_first_hits("filed_stage_count", "filed_stage"))
     )
-    modules = group_modules(taxonomy.rules)
+    modules = taxonomy.modules
+    ordered = "array_sort(collect_list(struct(rule_ord, module_name)))"
     module_hits = (
         term_hits(staged, ENTRY_ID, "stage", modules, "module_name", taxonomy, on=("group_ord",))
         .join(taxonomy.sized(modules), ["group_ord", "module_name"])
         .groupBy(*ENTRY_ID)
-        .agg(F.array_sort(F.collect_list(F.struct("rule_ord", "module_name"))).alias("_modules"))
-        .select(*ENTRY_ID, F.transform("_modules", lambda m: m["module_name"]).alias("filed_hit_modules"))
-    )
-    scope_hits = group_hits.select(
-        F.struct(F.col("query_name").alias("company"), "group_ord").alias("_filing"),
-        F.col("scope_count").alias("filed_scope_count"),
-        F.col("scope_words").alias("filed_scope"),
+        .agg(F.expr(f"transform({ordered}, m -> m.module_name) AS filed_hit_modules"))
     )
-    filing = F.struct(F.col("lookup_key").alias("company"), F.col("filed_ord").alias("group_ord"))
-    with_filing = placed.withColumn(
-        "_filing", F.when(F.col("lookup_key").isNotNull() & F.col("filed_ord").isNotNull(), filing)
+    scope_hits = group_hits.selectExpr(
+        "struct(query_name AS company, group_ord) AS _filing",
+        "scope_count AS filed_scope_count",
+        "scope_words AS filed_scope",
     )
+    filing = f"if({scorable}, struct(lookup_key AS company, filed_ord AS group_ord), null) AS _filing"
+    with_filing = placed.selectExpr("*", filing)
     joined = skew_safe_left_join(with_filing, scope_hits, "_filing", row_id, **skew).drop("_filing")
     joined = joined.join(stage_hits, ENTRY_ID, "left").join(module_hits, ENTRY_ID, "left")
-    return skew_safe_left_join(
-        joined, companies.withColumnRenamed("query_name", "lookup_key"), "lookup_key", row_id, counted=entries, **skew
-    ).withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("filed_scope_count", "filed_stage_count")})
+    companies = companies.withColumnRenamed("query_name", "lookup_key")
+    scored = skew_safe_left_join(joined, companies, "lookup_key", row_id, counted=entries, **skew)
+    return scored.fillna(0, ["filed_scope_count", "filed_stage_count"])
 
 
 # -- shared ---------------------------------------------------------------------------------------------------------
@@ -268,32 +218,24 @@ def score_entries(entries: DataFrame, company_info: DataFrame, taxonomy: Taxonom
     level2, level3, words; null without any hit).
     """
     plan = _inline_scored if taxonomy.inline else _long_scored
-    scored = plan(entries, company_info, taxonomy, **skew)
-    levels = [F.col("filed_level1"), F.col("category"), F.col("subcategory")]
+    levels = "array(filed_level1, category, subcategory)"
     modules, scope, stage = (
-        F.coalesce(F.col(c), text_array([])) for c in ("filed_hit_modules", "filed_scope", "filed_stage")
+        f"coalesce({c}, cast(array() AS array<string>))" for c in ("filed_hit_modules", "filed_scope", "filed_stage")
     )
-    filed = F.struct(
-        F.col("filed_ord").alias("group_ord"),
-        group_score(
-            levels,
-            F.col("category"),
-            F.col("subcategory"),
-            modules,
-            F.col("filed_scope_count"),
-            F.col("filed_stage_count"),
-        ).alias("score"),
-        group_evidence(levels, F.col("category"), F.col("subcategory"), modules, scope, stage).alias("evidence"),
+    scored = plan(entries, company_info, taxonomy, **skew).select(
+        "*",
+        group_score(levels, "category", "subcategory", modules, "filed_scope_count", "filed_stage_count").alias("_score"),
+        group_evidence(levels, "category", "subcategory", modules, scope, stage).alias("_lines"),
     )
-    return scored.select(
-        *[F.col(c) for c in entries.columns],
+    return scored.selectExpr(
+        *[f"`{c}`" for c in entries.columns],
         "company_name",
         "business_scope",
-        F.col("status").alias("company_status"),
+        "status AS company_status",
         "source",
         "success",
         "error",
-        F.when(F.col("filed_ord").isNotNull(), filed).alias("filed"),
+        "if(filed_ord IS NULL, null, struct(filed_ord AS group_ord, _score AS score, _lines AS evidence)) AS filed",
         "best",
     )
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 LEVELS = ["level1", "level2", "level3"]
@@ -28,7 +29,7 @@ def group_keywords(rules: DataFrame) -> DataFrame:
 
     Long form on purpose: a group may hold most of the taxonomy and is never gathered into one row here.
     """
-    places = rules.select(*LEVELS, "rule_ord", F.posexplode("keywords").alias("keyword_pos", "keyword"))
+    places = rules.select(*LEVELS, "rule_ord", F.posexplode_outer("keywords").alias("keyword_pos", "keyword"))
     first = (
         places.filter(F.col("keyword") != "")
         # Two fixed-width minima instead of one struct minimum keep this a hash aggregate on both steps.
@@ -70,7 +71,7 @@ class Group:
 
 
 class Taxonomy:
-    """Rule rows (rule_ord, level1, level2, level3, module_name, keywords) plus their measured size."""
+    """Rule rows (rule_ord, level1, level2, level3, module_name, keywords) plus what their size allows."""
 
     def __init__(self, rules: DataFrame, inline_terms: int = INLINE_TERMS, broadcast_chars: int = BROADCAST_CHARS):
         # Read by the size check and by every term table after it; a lost part is computed again from its source.
@@ -78,25 +79,41 @@ class Taxonomy:
         self._inline_terms = inline_terms
         self._broadcast_chars = broadcast_chars
 
+    # Term tables, each described at the function of the same purpose above.
+
     @cached_property
-    def size(self) -> Size:
-        """One-row aggregate over the rules; every later decision about inlining and broadcasting rests on it."""
-        terms = self.rules.select(F.explode(F.concat("keywords", F.array("module_name"))).alias("term"))
-        length = F.length("term")
-        row = terms.agg(
-            F.count("*").alias("terms"),
-            F.coalesce(F.sum(length), F.lit(0)).alias("chars"),
-            F.coalesce(F.bool_or(length == 1), F.lit(False)).alias("g1"),
-            F.coalesce(F.bool_or(length.between(2, 3)), F.lit(False)).alias("g2"),
-            F.coalesce(F.bool_or(length.between(4, 7)), F.lit(False)).alias("g4"),
-            F.coalesce(F.bool_or(length >= 8), F.lit(False)).alias("g8"),
-        ).first()
-        lengths = tuple(n for n in (1, 2, 4, 8) if row[f"g{n}"])
-        return Size(row["terms"], row["chars"], lengths)
+    def groups(self) -> DataFrame:
+        return rule_groups(self.rules)
 
-    @property
-    def inline(self) -> bool:
-        return self.size.terms <= self._inline_terms and self.size.chars <= INLINE_CHARS
+    @cached_property
+    def keyword_places(self) -> DataFrame:
+        return group_keywords(self.rules).select("group_ord", "keyword", "rule_ord", "keyword_pos")
+
+    @cached_property
+    def modules(self) -> DataFrame:
+        return group_modules(self.rules)
+
+    @cached_property
+    def filed(self) -> DataFrame:
+        return filed_groups(self.rules)
+
+    @cached_property
+    def size(self) -> Size:
+        """One-row aggregate over the rules; every decision about broadcasting term tables rests on it."""
+        row = (
+            self.rules.selectExpr("explode(concat(keywords, array(module_name))) AS term")
+            .selectExpr("length(term) AS n")
+            .selectExpr(
+                "count(*) AS terms",
+                "coalesce(sum(n), 0) AS chars",
+                "coalesce(bool_or(n = 1), false) AS g1",
+                "coalesce(bool_or(n BETWEEN 2 AND 3), false) AS g2",
+                "coalesce(bool_or(n BETWEEN 4 AND 7), false) AS g4",
+                "coalesce(bool_or(n >= 8), false) AS g8",
+            )
+            .first()
+        )
+        return Size(row["terms"], row["chars"], tuple(n for n in (1, 2, 4, 8) if row[f"g{n}"]))
 
     @property
     def broadcastable(self) -> bool:
@@ -106,25 +123,43 @@ class Taxonomy:
         """Broadcast hint for a table derived from the taxonomy, only when its measured size allows it."""
         return F.broadcast(terms) if self.broadcastable else terms
 
+    @cached_property
+    def _small(self) -> list[Row] | None:
+        """The rule rows, if the whole taxonomy stays under the inline limits; None otherwise.
+
+        What reaches the driver is bounded: no more rows than the limit, and no row longer than the limit.
+        """
+        if self._inline_terms <= 0:
+            return None
+        fits = f"size(keywords) <= {self._inline_terms} AND length(array_join(keywords, '')) <= {INLINE_CHARS}"
+        rows = self.rules.selectExpr(
+            "rule_ord", *LEVELS, "module_name", f"if({fits}, keywords, null) AS keywords"
+        ).take(self._inline_terms + 1)
+        if any(row["keywords"] is None for row in rows):
+            return None
+        terms = [term for row in rows for term in (row["module_name"], *row["keywords"])]
+        if len(terms) > self._inline_terms or sum(map(len, terms)) > INLINE_CHARS:
+            return None
+        return sorted(rows, key=lambda row: row["rule_ord"])
+
+    @property
+    def inline(self) -> bool:
+        return self._small is not None
+
     @cached_property
     def inline_groups(self) -> list[Group]:
         """The groups as values in first-appearance order; only for a taxonomy that `inline` has let through."""
-        if not self.inline:
-            raise ValueError("taxonomy is too large to be inlined")
-        rows = self.rules.select("rule_ord", *LEVELS, "module_name", "keywords").orderBy("rule_ord").collect()
-        members: dict[tuple[str, str, str], list] = {}
-        for row in rows:
-            members.setdefault((row["level1"], row["level2"], row["level3"]), []).append(row)
+        members: dict[tuple[str, str, str], list[Row]] = {}
+        for row in self._small:
+            members.setdefault(tuple(row[level] for level in LEVELS), []).append(row)
         return [
             Group(
-                group_ord=group[0]["rule_ord"],
-                level1=levels[0],
-                level2=levels[1],
-                level3=levels[2],
-                modules=tuple(row["module_name"] for row in group if row["module_name"]),
-                keywords=tuple(dict.fromkeys(word for row in group for word in row["keywords"] if word)),
+                rows[0]["rule_ord"],
+                *levels,
+                modules=tuple(row["module_name"] for row in rows if row["module_name"]),
+                keywords=tuple(dict.fromkeys(word for row in rows for word in row["keywords"] if word)),
             )
-            for levels, group in members.items()
+            for levels, rows in members.items()
         ]
 
     @property
@@ -132,5 +167,10 @@ class Taxonomy:
         return list(dict.fromkeys(word for group in self.inline_groups for word in group.keywords))
 
 
+def inline_value(value: object, data_type: str) -> Column:
+    """A small nested value as one constant; the optimizer folds it into a literal."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), data_type)
+
+
 def text_array(values: list[str] | tuple[str, ...]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    return inline_value(list(values), "array<string>")

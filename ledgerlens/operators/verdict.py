@@ -11,90 +11,79 @@ from ledgerlens.functions.text import clean_company_name
 
 def missing_fields() -> Column:
     """Headers of the required fields an entry leaves empty, in header order."""
-    return F.array_compact(
-        F.array(*[F.when(F.col(name) == "", F.lit(header)) for header, name in K.ENTRY_HEADERS.items()])
-    )
+    tests = ", ".join(f"if({name} = '', '{header}', null)" for header, name in K.ENTRY_HEADERS.items())
+    return F.expr(f"array_compact(array({tests}))")
 
 
 def prepare(entries: DataFrame) -> DataFrame:
     """Adds the cleaned company, the missing fields and the lookup key (null: this entry needs no evidence)."""
-    named = entries.withColumns(
-        {"cleaned_company": clean_company_name(F.col("company_raw")), "missing": missing_fields()}
+    named = entries.select("*", clean_company_name(F.col("company_raw")).alias("cleaned_company"), missing_fields().alias("missing"))
+    return named.select("*", F.expr("if(size(missing) = 0, cleaned_company, null)").alias("lookup_key"))
+
+
+def _rung(status: str, confidence: str, error_type: str, reason: str, suggestion: str, review: bool) -> str:
+    return (
+        f"named_struct('status', '{status}', 'confidence', {confidence}, 'error_type', '{error_type}', "
+        f"'reason', {reason}, 'suggestion', {suggestion}, 'needs_review', {str(review).lower()})"
     )
-    return named.withColumn("lookup_key", F.when(F.size("missing") == 0, F.col("cleaned_company")))
 
 
 def verdict() -> Column:
     """The decision ladder as one struct; the first rung that applies decides."""
-    nothing = F.lit("")
-    filed_score = F.coalesce(F.col("filed.score"), F.lit(0))
-
-    def rung(status, confidence, error_type, reason, suggestion, review):
-        return F.struct(
-            F.lit(status).alias("status"),
-            F.lit(confidence).cast("int").alias("confidence") if isinstance(confidence, int) else confidence.alias("confidence"),
-            F.lit(error_type).alias("error_type"),
-            reason.alias("reason"),
-            suggestion.alias("suggestion"),
-            F.lit(review).alias("needs_review"),
-        )
-
-    incomplete = rung(
+    filed = "coalesce(filed.score, 0)"
+    incomplete = _rung(
         K.INCOMPLETE,
-        0,
+        "0",
         K.ERROR_INCOMPLETE,
-        F.concat(F.lit(K.REASON_MISSING), F.array_join("missing", K.LIST_SEPARATOR)),
-        nothing,
+        f"concat('{K.REASON_MISSING}', array_join(missing, '{K.LIST_SEPARATOR}'))",
+        "''",
         True,
     )
-    not_found = rung(
+    not_found = _rung(
         K.UNDECIDED,
-        0,
+        "0",
         K.ERROR_NO_COMPANY,
-        F.when(F.col("success").isNull(), F.lit(K.REASON_NO_LOOKUP)).otherwise(F.coalesce("error", nothing)),
-        nothing,
+        f"if(success is null, '{K.REASON_NO_LOOKUP}', coalesce(error, ''))",
+        "''",
         True,
     )
-    no_scope = rung(K.UNDECIDED, filed_score, K.ERROR_NO_SCOPE, F.lit(K.REASON_NO_SCOPE), nothing, True)
-    correct = rung(
-        K.CORRECT, filed_score, "", F.array_join("filed.evidence", K.EVIDENCE_SEPARATOR), nothing, False
-    )
-    wrong = rung(
+    no_scope = _rung(K.UNDECIDED, filed, K.ERROR_NO_SCOPE, f"'{K.REASON_NO_SCOPE}'", "''", True)
+    correct = _rung(K.CORRECT, filed, "", f"array_join(filed.evidence, '{K.EVIDENCE_SEPARATOR}')", "''", False)
+    wrong = _rung(
         K.WRONG,
-        F.greatest(F.col("best.score"), F.lit(K.KEEP_FROM)),
+        f"greatest(best.score, {K.KEEP_FROM})",
         K.ERROR_SUBCATEGORY,
-        F.concat(F.lit(K.REASON_BETTER + K.HIT_SCOPE), F.array_join("best.words", K.LIST_SEPARATOR)),
-        F.concat_ws(" / ", "best.level2", "best.level3"),
+        f"concat('{K.REASON_BETTER}{K.HIT_SCOPE}', array_join(best.words, '{K.LIST_SEPARATOR}'))",
+        "concat(best.level2, ' / ', best.level3)",
         False,
     )
-    doubtful = rung(K.DOUBTFUL, filed_score, K.ERROR_WEAK_EVIDENCE, F.lit(K.REASON_PARTIAL), nothing, True)
-
-    return (
-        F.when(F.size("missing") > 0, incomplete)
-        .when(~F.coalesce("success", F.lit(False)), not_found)
-        .when(F.coalesce("business_scope", nothing) == "", no_scope)
-        .when(filed_score >= K.CORRECT_FROM, correct)
-        .when((F.col("best.score") >= K.SUGGEST_FROM) & (filed_score < K.KEEP_FROM), wrong)
-        .otherwise(doubtful)
+    doubtful = _rung(K.DOUBTFUL, filed, K.ERROR_WEAK_EVIDENCE, f"'{K.REASON_PARTIAL}'", "''", True)
+    return F.expr(
+        f"""CASE
+            WHEN size(missing) > 0 THEN {incomplete}
+            WHEN NOT coalesce(success, false) THEN {not_found}
+            WHEN coalesce(business_scope, '') = '' THEN {no_scope}
+            WHEN {filed} >= {K.CORRECT_FROM} THEN {correct}
+            WHEN best.score >= {K.SUGGEST_FROM} AND {filed} < {K.KEEP_FROM} THEN {wrong}
+            ELSE {doubtful} END"""
     )
 
 
 def judge(scored: DataFrame) -> DataFrame:
     """Audit result per scored entry; company columns stay '' where the ladder stops before scoring."""
-    reached = (F.size("missing") == 0) & F.coalesce("success", F.lit(False))
 
-    def company(name: str) -> Column:
-        return F.when(reached, F.coalesce(name, F.lit(""))).otherwise(F.lit("")).alias(name)
+    def company(name: str) -> str:
+        return f"if(size(missing) = 0 AND coalesce(success, false), coalesce({name}, ''), '') AS {name}"
 
     extra = [c for c in ("website_url",) if c in scored.columns]
-    return scored.withColumn("verdict", verdict()).select(
+    return scored.select("*", verdict().alias("verdict")).selectExpr(
         "source_id",
         "row_number",
-        F.col("name").alias("employee_name"),
-        F.col("category").alias("original_category"),
-        F.col("subcategory").alias("original_subcategory"),
-        F.col("stage").alias("original_stage"),
-        F.col("company_raw").alias("original_company"),
+        "name AS employee_name",
+        "category AS original_category",
+        "subcategory AS original_subcategory",
+        "stage AS original_stage",
+        "company_raw AS original_company",
         "cleaned_company",
         "verdict.status",
         "verdict.confidence",
@@ -105,6 +94,6 @@ def judge(scored: DataFrame) -> DataFrame:
         "verdict.reason",
         "verdict.suggestion",
         "verdict.needs_review",
-        F.coalesce("source", F.lit("")).alias("data_source"),
+        "coalesce(source, '') AS data_source",
         *extra,
     )

@@ -46,7 +46,8 @@ def rules_filled(spark, sf):
 
 def rules_keywords(spark, sf):
     rules = _document_rules(spark, sf)
-    return rules.select("rule_ord", F.posexplode("keywords").alias("keyword_pos", "keyword"))
+    places = rules.select("rule_ord", F.posexplode_outer("keywords").alias("keyword_pos", "keyword"))
+    return places.filter("keyword IS NOT NULL")
 
 
 def _document_rules(spark, sf):
@@ -222,7 +223,10 @@ def _page_entries(spark, sf):
     hosted = stored.select(
         F.lit("pages").alias("source_id"),
         (F.col("page_id") + 2).alias("row_number"),
-        F.concat(F.lit("Host "), pages.url_host(F.col("url")), F.lit(" "), F.col("url")).alias("company_raw"),
+        # No dots in the name itself: "www." inside it would count as a link of its own.
+        F.concat(
+            F.lit("Host "), F.replace(pages.url_host(F.col("url")), F.lit("."), F.lit("-")), F.lit(" "), F.col("url")
+        ).alias("company_raw"),
     )
     docs = adapter.table(spark, sf, "documents").select(
         F.lit("documents").alias("source_id"),
