@@ -34,6 +34,10 @@ def static_lookup(keys: DataFrame, table: DataFrame) -> DataFrame:
     """
     record = F.struct("company_name", "business_scope", "status")
     known = table.select("query_name", record.alias("record"))
+    if "entries" in keys.columns:
+        # Always true. Keeping the count keeps this aggregate equal to the one the skew check needs, and Spark then
+        # computes the two once.
+        keys = keys.filter("entries > 0")
     found = keys.select("query_name").join(known, "query_name", "left")
     hit = F.coalesce(
         F.col("record.company_name"), F.col("record.business_scope"), F.col("record.status")

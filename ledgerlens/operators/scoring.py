@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import constants as K
 from ledgerlens.functions.text import let
+from ledgerlens.operators.lookup import lookup_keys
 from ledgerlens.operators.matching import contained, listed, term_hits
 from ledgerlens.operators.skew import skew_safe_left_join
 from ledgerlens.operators.taxonomy import Taxonomy, inline_value, text_array
@@ -101,6 +102,12 @@ def _candidate(found: Column) -> Column:
     )
 
 
+def _company_counts(entries: DataFrame) -> DataFrame:
+    """Entries per company. The same aggregate as `lookup_keys`, so that a run that has both scans the entries once for
+    them; incomplete entries are counted too, which at worst cuts a company into more pieces."""
+    return lookup_keys(entries).selectExpr("query_name AS lookup_key", "entries AS n")
+
+
 _FILED_TYPE = (
     "category string, subcategory string, filed_level1 string, filed_ord bigint, "
     "filed_modules array<string>, filed_keywords array<string>"
@@ -115,7 +122,8 @@ def _inline_filed_groups(taxonomy: Taxonomy) -> DataFrame:
 
 def _inline_scored(entries: DataFrame, company_info: DataFrame, taxonomy: Taxonomy, **skew) -> DataFrame:
     companies = _inline_company_scores(company_info, taxonomy).withColumnRenamed("query_name", "lookup_key")
-    joined = skew_safe_left_join(entries, companies, "lookup_key", [F.col(c) for c in ENTRY_ID], **skew)
+    row_id = [F.col(c) for c in ENTRY_ID]
+    joined = skew_safe_left_join(entries, companies, "lookup_key", row_id, _company_counts(entries), **skew)
     placed = joined.join(_inline_filed_groups(taxonomy), ["category", "subcategory"], "left")
     return placed.select(
         "*",
@@ -203,7 +211,7 @@ def _long_scored(entries: DataFrame, company_info: DataFrame, taxonomy: Taxonomy
     joined = skew_safe_left_join(with_filing, scope_hits, "_filing", row_id, **skew).drop("_filing")
     joined = joined.join(stage_hits, ENTRY_ID, "left").join(module_hits, ENTRY_ID, "left")
     companies = companies.withColumnRenamed("query_name", "lookup_key")
-    scored = skew_safe_left_join(joined, companies, "lookup_key", row_id, counted=entries, **skew)
+    scored = skew_safe_left_join(joined, companies, "lookup_key", row_id, _company_counts(entries), **skew)
     return scored.fillna(0, ["filed_scope_count", "filed_stage_count"])
 
 

@@ -13,14 +13,18 @@ MAX_PIECES = 10_000
 MAX_HOT_KEYS = 20_000
 
 
-def hot_keys(left: DataFrame, key: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
+def key_counts(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n) per non-null key; counted before the shuffle as well, so a hot key costs one row per task."""
+    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+
+
+def hot_keys(counts: DataFrame, key: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """(key, pieces) of the keys too large for one task: at most MAX_HOT_KEYS rows, the largest first.
 
     Keys beyond the list are joined unsplit, so the list bounds the broadcast and not the result.
     """
-    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
-    large = counts.filter(F.col("_rows") > piece_rows).orderBy(F.desc("_rows")).limit(MAX_HOT_KEYS)
-    pieces = F.least(F.ceil(F.col("_rows") / F.lit(piece_rows)), F.lit(MAX_PIECES))
+    large = counts.filter(F.col("n") > piece_rows).orderBy(F.desc("n")).limit(MAX_HOT_KEYS)
+    pieces = F.least(F.ceil(F.col("n") / F.lit(piece_rows)), F.lit(MAX_PIECES))
     return large.select(key, pieces.cast("int").alias("_pieces"))
 
 
@@ -29,7 +33,7 @@ def skew_safe_left_join(
     right: DataFrame,
     key: str,
     row_id: list[Column],
-    counted: DataFrame | None = None,
+    counts: DataFrame | None = None,
     piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """`left.join(right, key, "left")` for a right side that is unique on `key`.
@@ -38,9 +42,9 @@ def skew_safe_left_join(
     row where it was before) and only the hot right rows are copied, once per piece. Rows with a null key match nothing
     and are spread freely. A right side below the broadcast threshold is still broadcast by Spark itself.
 
-    `counted` may name a cheaper frame with the same key column to count the keys on.
+    `counts` may bring (key, n) along where they are known or cheaper to get.
     """
-    hot = F.broadcast(hot_keys(left if counted is None else counted, key, piece_rows))
+    hot = F.broadcast(hot_keys(key_counts(left, key) if counts is None else counts, key, piece_rows))
     pieces = F.when(F.col(key).isNull(), MAX_PIECES).otherwise(F.coalesce("_pieces", F.lit(1)))
     salted_left = left.join(hot, key, "left").withColumn("_piece", F.pmod(F.xxhash64(*row_id), pieces).cast("int"))
     salted_right = right.join(hot, key, "left").withColumn(
