@@ -40,29 +40,26 @@ def term_hits(
     taxonomy: Taxonomy,
     on: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(ids, on, term) for every distinct term inside every text, each once; `on` columns must agree as well.
+    """(ids, columns of terms) for every row of `terms` whose term is inside a text; `on` columns must agree as well.
 
     An equi join on each term's anchor finds the few terms that can occur, `contains` confirms them. Texts do not move
     while the measured term table fits a broadcast; beyond that only (id, gram) pairs are shuffled and the surviving
     candidates are confirmed against the text afterwards.
     """
-    lengths = taxonomy.size.gram_lengths
+    lengths = taxonomy.size.gram_lengths or (1,)
     keys = [*on, "_anchor"]
-    wanted = terms.filter(F.col(term) != "").select(*on, F.col(term).alias("_term")).distinct()
-    wanted = wanted.withColumn("_anchor", anchor(F.col("_term")))
-    if not lengths:
-        return texts.limit(0).select(*ids, *on, F.lit("").alias(term))
+    wanted = terms.filter(F.col(term) != "").withColumn("_anchor", anchor(F.col(term)))
     # Two steps, so that exploding, probing and confirming run in one generated loop that never copies the text. The
     # outer form keeps the optimizer from adding a filter on the array, which would build every array once more.
     grams = texts.select(*ids, *on, F.col(text).alias("_text"), _grams(F.col(text), lengths).alias("_grams"))
     exploded = grams.select(*ids, *on, "_text", F.explode_outer("_grams").alias("_anchor"))
     if taxonomy.broadcastable:
-        found = exploded.join(F.broadcast(wanted), keys).filter(F.contains("_text", "_term"))
+        found = exploded.join(F.broadcast(wanted), keys).filter(F.contains("_text", term))
     else:
         candidates = exploded.drop("_text").join(wanted, keys)
         confirm = texts.select(*ids, F.col(text).alias("_text"))
-        found = candidates.join(confirm, ids).filter(F.contains("_text", "_term"))
-    return found.select(*ids, *on, F.col("_term").alias(term))
+        found = candidates.join(confirm, ids).filter(F.contains("_text", term))
+    return found.select(*ids, *terms.columns)
 
 
 def keyword_hits(texts: DataFrame, ids: list[str], text: str, taxonomy: Taxonomy) -> DataFrame:
@@ -70,5 +67,4 @@ def keyword_hits(texts: DataFrame, ids: list[str], text: str, taxonomy: Taxonomy
     if taxonomy.inline:
         words = contained(text_array(taxonomy.inline_keywords), F.col(text))
         return texts.select(*ids, F.explode_outer(words).alias("keyword")).filter("keyword IS NOT NULL")
-    keywords = taxonomy.rules.select(F.explode("keywords").alias("keyword"))
-    return term_hits(texts, ids, text, keywords, "keyword", taxonomy)
+    return term_hits(texts, ids, text, taxonomy.keywords, "keyword", taxonomy)

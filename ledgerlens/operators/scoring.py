@@ -146,10 +146,10 @@ def company_group_hits(company_info: DataFrame, taxonomy: Taxonomy) -> DataFrame
     What is collected per row is bounded by the words inside one company's text.
     """
     texts = company_info.select("query_name", usable_scope().alias("scope")).filter("scope != ''")
-    places = taxonomy.keyword_places
-    words = term_hits(texts, ["query_name"], "scope", places.select("keyword"), "keyword", taxonomy)
+    # A word shared by many groups is looked for once and only then spread over its groups.
+    words = term_hits(texts, ["query_name"], "scope", taxonomy.keywords, "keyword", taxonomy)
     return (
-        words.join(taxonomy.sized(places), "keyword")
+        words.join(taxonomy.sized(taxonomy.keyword_places), "keyword")
         .groupBy("query_name", "group_ord")
         .agg(*_first_hits("scope_count", "scope_words"))
     )
@@ -186,18 +186,14 @@ def _long_scored(entries: DataFrame, company_info: DataFrame, taxonomy: Taxonomy
 
     scorable = "lookup_key IS NOT NULL AND filed_ord IS NOT NULL"
     staged = placed.filter(scorable).selectExpr(*ENTRY_ID, "stage", "filed_ord AS group_ord")
-    keywords = taxonomy.keyword_places
     stage_hits = (
-        term_hits(staged, ENTRY_ID, "stage", keywords, "keyword", taxonomy, on=("group_ord",))
-        .join(taxonomy.sized(keywords), ["group_ord", "keyword"])
+        term_hits(staged, ENTRY_ID, "stage", taxonomy.keyword_places, "keyword", taxonomy, on=("group_ord",))
         .groupBy(*ENTRY_ID)
         .agg(*_first_hits("filed_stage_count", "filed_stage"))
     )
-    modules = taxonomy.modules
     ordered = "array_sort(collect_list(struct(rule_ord, module_name)))"
     module_hits = (
-        term_hits(staged, ENTRY_ID, "stage", modules, "module_name", taxonomy, on=("group_ord",))
-        .join(taxonomy.sized(modules), ["group_ord", "module_name"])
+        term_hits(staged, ENTRY_ID, "stage", taxonomy.modules, "module_name", taxonomy, on=("group_ord",))
         .groupBy(*ENTRY_ID)
         .agg(F.expr(f"transform({ordered}, m -> m.module_name) AS filed_hit_modules"))
     )

@@ -79,23 +79,36 @@ class Taxonomy:
         self._inline_terms = inline_terms
         self._broadcast_chars = broadcast_chars
 
-    # Term tables, each described at the function of the same purpose above.
+    # Term tables, each described at the function of the same purpose above. They are no larger than the rules, serve
+    # several joins each and are therefore kept like them.
 
     @cached_property
     def groups(self) -> DataFrame:
-        return rule_groups(self.rules)
+        return rule_groups(self.rules).persist()
 
     @cached_property
     def keyword_places(self) -> DataFrame:
-        return group_keywords(self.rules).select("group_ord", "keyword", "rule_ord", "keyword_pos")
+        return group_keywords(self.rules).select("group_ord", "keyword", "rule_ord", "keyword_pos").persist()
+
+    @property
+    def keywords(self) -> DataFrame:
+        """(keyword): every distinct keyword once, however many groups share it."""
+        return self.keyword_places.select("keyword").distinct()
 
     @cached_property
     def modules(self) -> DataFrame:
-        return group_modules(self.rules)
+        return group_modules(self.rules).persist()
 
     @cached_property
     def filed(self) -> DataFrame:
-        return filed_groups(self.rules)
+        return filed_groups(self.rules).persist()
+
+    def release(self) -> None:
+        """Drop what is kept in executor storage."""
+        self.rules.unpersist()
+        for name in ("groups", "keyword_places", "modules", "filed"):
+            if name in self.__dict__:
+                self.__dict__[name].unpersist()
 
     @cached_property
     def size(self) -> Size:
