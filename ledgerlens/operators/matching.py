@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.taxonomy import Taxonomy, text_array
+from ledgerlens.operators.taxonomy import Taxonomy
 
 
 def contained(words: Column, text: Column) -> Column:
@@ -15,7 +15,16 @@ def contained(words: Column, text: Column) -> Column:
 
 def listed(words: Column, allowed: Column) -> Column:
     """Words that are also in `allowed`, in word order."""
-    return F.filter(words, lambda word: F.array_contains(allowed, word))
+    return F.array_intersect(words, allowed)
+
+
+def words_in(text: Column, taxonomy: Taxonomy) -> Column:
+    """Distinct taxonomy words (keywords and modules) inside the text, for a `searchable` taxonomy.
+
+    One pass over the text per pattern, however many words there are.
+    """
+    found = [F.regexp_extract_all(text, F.lit(pattern), 1) for pattern in taxonomy.patterns]
+    return F.array_distinct(F.concat(*found)) if found else F.expr("cast(array() AS array<string>)")
 
 
 def _grams(text: Column, lengths: tuple[int, ...]) -> Column:
@@ -64,7 +73,8 @@ def term_hits(
 
 def keyword_hits(texts: DataFrame, ids: list[str], text: str, taxonomy: Taxonomy) -> DataFrame:
     """(ids, keyword) for every taxonomy keyword inside every text."""
-    if taxonomy.inline:
-        words = contained(text_array(taxonomy.inline_keywords), F.col(text))
-        return texts.select(*ids, F.explode_outer(words).alias("keyword")).filter("keyword IS NOT NULL")
-    return term_hits(texts, ids, text, taxonomy.keywords, "keyword", taxonomy)
+    if not taxonomy.searchable:
+        return term_hits(texts, ids, text, taxonomy.keywords, "keyword", taxonomy)
+    found = texts.select(*ids, F.explode_outer(words_in(F.col(text), taxonomy)).alias("keyword"))
+    # Words that are only module names drop out here; the inner join is against distinct keywords.
+    return found.join(taxonomy.sized(taxonomy.keywords), "keyword").select(*ids, "keyword")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ledgerlens import constants as K
 from ledgerlens.functions.text import let
 from ledgerlens.operators.lookup import lookup_keys
-from ledgerlens.operators.matching import contained, listed, term_hits
+from ledgerlens.operators.matching import contained, listed, term_hits, words_in
 from ledgerlens.operators.skew import skew_safe_left_join
-from ledgerlens.operators.taxonomy import Taxonomy, inline_value, text_array
+from ledgerlens.operators.taxonomy import Taxonomy, inline_value
 
 ENTRY_ID = ["source_id", "row_number"]
 
@@ -60,34 +60,32 @@ def usable_scope() -> Column:
     return F.expr("if(success, coalesce(business_scope, ''), '')")
 
 
-# -- taxonomy small enough to sit inside the expressions: no shuffle, one pass over every evidence text ---------------
+# -- words found where the texts are: nothing moves but what the company join moves anyway ----------------------------
 
 
-BEST_FIELDS = ["group_ord", "score", "level2", "level3", "words"]
-BEST_TYPE = "struct<group_ord:bigint,score:int,level2:string,level3:string,words:array<string>>"
+def _with_scope_words(company_info: DataFrame, taxonomy: Taxonomy) -> DataFrame:
+    return company_info.select("*", words_in(usable_scope(), taxonomy).alias("scope_words"))
 
 
-def _inline_company_scores(company_info: DataFrame, taxonomy: Taxonomy) -> DataFrame:
-    """Evidence plus the taxonomy words in its scope (`scope_words`) and its best group (`best`).
+def _literal_best(found: DataFrame, taxonomy: Taxonomy) -> DataFrame:
+    """Adds `best` to evidence with `scope_words`: every group is scored inside the row.
 
-    Every text is searched once per distinct keyword; groups are then scored on the short list of words found. Structs
-    order by score, then by earliest group (`rank`); the words only ride along.
+    Structs order by score, then by earliest group (`rank`); the words only ride along.
     """
-    found = company_info.select("*", contained(text_array(taxonomy.inline_keywords), usable_scope()).alias("scope_words"))
     groups = [
         {"rank": -group.group_ord, "level2": group.level2, "level3": group.level3, "keywords": list(group.keywords)}
-        for group in taxonomy.inline_groups
+        for group in taxonomy.collected_groups
     ]
-    listed_groups = inline_value(groups, "array<struct<rank:bigint,level2:string,level3:string,keywords:array<string>>>")
+    constant = inline_value(groups, "array<struct<rank:bigint,level2:string,level3:string,keywords:array<string>>>")
     candidates = F.transform(
-        listed_groups,
+        constant,
         lambda group: let(
             F.struct(listed(group["keywords"], F.col("scope_words")).alias("words"), group.alias("of")), _candidate
         ),
     )
     scored = found.select("*", F.when(F.size("scope_words") > 0, F.array_max(candidates)).alias("top"))
-    best = f"""if(top is null, null, named_struct('group_ord', -top.rank, 'score', top.score,
-        'level2', top.level2, 'level3', top.level3, 'words', top.words)) AS best"""
+    best = """if(top.score > 0, named_struct('group_ord', -top.rank, 'score', top.score,
+        'level2', top.level2, 'level3', top.level3, 'words', top.words), null) AS best"""
     return scored.selectExpr("*", best).drop("top")
 
 
@@ -114,17 +112,24 @@ _FILED_TYPE = (
 )
 
 
-def _inline_filed_groups(taxonomy: Taxonomy) -> DataFrame:
-    last = {(g.level2, g.level3): g for g in taxonomy.inline_groups}
+def _collected_filed_groups(taxonomy: Taxonomy) -> DataFrame:
+    """Groups entries can be filed under, as a table bounded by the search limits and therefore broadcast."""
+    last = {(g.level2, g.level3): g for g in taxonomy.collected_groups}
     rows = [(*key, g.level1, g.group_ord, list(g.modules), list(g.keywords)) for key, g in last.items()]
     return F.broadcast(taxonomy.rules.sparkSession.createDataFrame(rows, _FILED_TYPE))
 
 
-def _inline_scored(entries: DataFrame, company_info: DataFrame, taxonomy: Taxonomy, **skew) -> DataFrame:
-    companies = _inline_company_scores(company_info, taxonomy).withColumnRenamed("query_name", "lookup_key")
+def _local_scored(entries: DataFrame, company_info: DataFrame, taxonomy: Taxonomy, **skew) -> DataFrame:
+    found = _with_scope_words(company_info, taxonomy)
+    if taxonomy.literal:
+        companies = [_literal_best(found, taxonomy)]
+    else:
+        # The narrow best table joins the already salted entries; evidence texts are still shuffled only once.
+        companies = [found, _best_of(_searched_group_hits(found, taxonomy), taxonomy)]
     row_id = [F.col(c) for c in ENTRY_ID]
+    companies = [company.withColumnRenamed("query_name", "lookup_key") for company in companies]
     joined = skew_safe_left_join(entries, companies, "lookup_key", row_id, _company_counts(entries), **skew)
-    placed = joined.join(_inline_filed_groups(taxonomy), ["category", "subcategory"], "left")
+    placed = joined.join(_collected_filed_groups(taxonomy), ["category", "subcategory"], "left")
     return placed.select(
         "*",
         contained(F.col("filed_modules"), F.col("stage")).alias("filed_hit_modules"),
@@ -137,6 +142,19 @@ def _inline_scored(entries: DataFrame, company_info: DataFrame, taxonomy: Taxono
     )
 
 
+def _searched_group_hits(found: DataFrame, taxonomy: Taxonomy) -> DataFrame:
+    """Like `company_group_hits`, from evidence that already carries its `scope_words`."""
+    words = found.select("query_name", F.explode_outer("scope_words").alias("keyword"))
+    return _per_group(words, taxonomy)
+
+
+def _per_group(words: DataFrame, taxonomy: Taxonomy) -> DataFrame:
+    """Company words spread over the groups that have them and counted per (company, group)."""
+    places = taxonomy.sized(taxonomy.keyword_places)
+    hits = _first_hits("scope_count", "scope_words")
+    return words.join(places, "keyword").groupBy("query_name", "group_ord").agg(*hits)
+
+
 # -- taxonomy of any size: everything is an equi join on long tables --------------------------------------------------
 
 
@@ -147,12 +165,7 @@ def company_group_hits(company_info: DataFrame, taxonomy: Taxonomy) -> DataFrame
     """
     texts = company_info.select("query_name", usable_scope().alias("scope")).filter("scope != ''")
     # A word shared by many groups is looked for once and only then spread over its groups.
-    words = term_hits(texts, ["query_name"], "scope", taxonomy.keywords, "keyword", taxonomy)
-    return (
-        words.join(taxonomy.sized(taxonomy.keyword_places), "keyword")
-        .groupBy("query_name", "group_ord")
-        .agg(*_first_hits("scope_count", "scope_words"))
-    )
+    return _per_group(term_hits(texts, ["query_name"], "scope", taxonomy.keywords, "keyword", taxonomy), taxonomy)
 
 
 def _first_hits(count: str, words: str) -> list[Column]:
@@ -178,7 +191,6 @@ def _best_of(group_hits: DataFrame, taxonomy: Taxonomy) -> DataFrame:
 def _long_scored(entries: DataFrame, company_info: DataFrame, taxonomy: Taxonomy, **skew) -> DataFrame:
     row_id = [F.col(c) for c in ENTRY_ID]
     group_hits = company_group_hits(company_info, taxonomy)
-    companies = company_info.join(_best_of(group_hits, taxonomy), "query_name", "left")
     filed = taxonomy.filed.selectExpr(
         "level2 AS category", "level3 AS subcategory", "level1 AS filed_level1", "group_ord AS filed_ord"
     )
@@ -206,7 +218,9 @@ def _long_scored(entries: DataFrame, company_info: DataFrame, taxonomy: Taxonomy
     with_filing = placed.selectExpr("*", filing)
     joined = skew_safe_left_join(with_filing, scope_hits, "_filing", row_id, **skew).drop("_filing")
     joined = joined.join(stage_hits, ENTRY_ID, "left").join(module_hits, ENTRY_ID, "left")
-    companies = companies.withColumnRenamed("query_name", "lookup_key")
+    companies = [
+        company.withColumnRenamed("query_name", "lookup_key") for company in (company_info, _best_of(group_hits, taxonomy))
+    ]
     scored = skew_safe_left_join(joined, companies, "lookup_key", row_id, _company_counts(entries), **skew)
     return scored.fillna(0, ["filed_scope_count", "filed_stage_count"])
 
@@ -221,7 +235,7 @@ def score_entries(entries: DataFrame, company_info: DataFrame, taxonomy: Taxonom
     evidence columns, `filed` (group_ord, score, evidence; null without such a group) and `best` (group_ord, score,
     level2, level3, words; null without any hit).
     """
-    plan = _inline_scored if taxonomy.inline else _long_scored
+    plan = _local_scored if taxonomy.searchable else _long_scored
     levels = "array(filed_level1, category, subcategory)"
     modules, scope, stage = (
         f"coalesce({c}, cast(array() AS array<string>))" for c in ("filed_hit_modules", "filed_scope", "filed_stage")
@@ -246,7 +260,11 @@ def score_entries(entries: DataFrame, company_info: DataFrame, taxonomy: Taxonom
 
 def best_groups(company_info: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """(query_name, best): per company the group its evidence alone supports best; null without any hit."""
-    if taxonomy.inline:
-        return _inline_company_scores(company_info, taxonomy).select("query_name", "best")
-    best = _best_of(company_group_hits(company_info, taxonomy), taxonomy)
-    return company_info.select("query_name").join(best, "query_name", "left")
+    if taxonomy.searchable:
+        found = _with_scope_words(company_info, taxonomy)
+        if taxonomy.literal:
+            return _literal_best(found, taxonomy).select("query_name", "best")
+        group_hits = _searched_group_hits(found, taxonomy)
+    else:
+        group_hits = company_group_hits(company_info, taxonomy)
+    return company_info.select("query_name").join(_best_of(group_hits, taxonomy), "query_name", "left")

@@ -30,13 +30,13 @@ def hot_keys(counts: DataFrame, key: str, piece_rows: int = PIECE_ROWS) -> DataF
 
 def skew_safe_left_join(
     left: DataFrame,
-    right: DataFrame,
+    rights: DataFrame | list[DataFrame],
     key: str,
     row_id: list[Column],
     counts: DataFrame | None = None,
     piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
-    """`left.join(right, key, "left")` for a right side that is unique on `key`.
+    """`left.join(right, key, "left")` for right sides that are unique on `key`; the left side is shuffled once for all.
 
     Left rows of a hot key are spread over its pieces by a hash of `row_id` (repeatable, so a retried task puts every
     row where it was before) and only the hot right rows are copied, once per piece. Rows with a null key match nothing
@@ -46,9 +46,11 @@ def skew_safe_left_join(
     """
     hot = F.broadcast(hot_keys(key_counts(left, key) if counts is None else counts, key, piece_rows))
     pieces = F.when(F.col(key).isNull(), MAX_PIECES).otherwise(F.coalesce("_pieces", F.lit(1)))
-    salted_left = left.join(hot, key, "left").withColumn("_piece", F.pmod(F.xxhash64(*row_id), pieces).cast("int"))
-    salted_right = right.join(hot, key, "left").withColumn(
-        "_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))
-    )
-    joined = salted_left.drop("_pieces").join(salted_right.drop("_pieces"), [key, "_piece"], "left")
-    return joined.drop("_piece")
+    salted = left.join(hot, key, "left").withColumn("_piece", F.pmod(F.xxhash64(*row_id), pieces).cast("int"))
+    salted = salted.drop("_pieces")
+    for right in [rights] if isinstance(rights, DataFrame) else rights:
+        copies = right.join(hot, key, "left").withColumn(
+            "_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))
+        )
+        salted = salted.join(copies.drop("_pieces"), [key, "_piece"], "left")
+    return salted.drop("_piece")

@@ -9,14 +9,19 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.search import search_patterns
+
 LEVELS = ["level1", "level2", "level3"]
 
-# Up to here the whole taxonomy travels inside the expressions (bounded collect, see Taxonomy.size).
-INLINE_TERMS = 256
-INLINE_CHARS = 20_000
-# Up to here term tables are broadcast; beyond, they are shuffled like any other table.
-BROADCAST_CHARS = 64_000_000
+# How far a taxonomy may grow before the next plan takes over (see Taxonomy):
+# groups written into the expressions,
+LITERAL_TERMS = 512
+# words collected for one search pattern,
+SEARCH_TERMS = 20_000
+SEARCH_CHARS = 400_000
+# term tables broadcast; beyond this they are shuffled like any other table.
 BROADCAST_TERMS = 2_000_000
+BROADCAST_CHARS = 64_000_000
 
 
 def rule_groups(rules: DataFrame) -> DataFrame:
@@ -71,12 +76,24 @@ class Group:
 
 
 class Taxonomy:
-    """Rule rows (rule_ord, level1, level2, level3, module_name, keywords) plus what their size allows."""
+    """Rule rows (rule_ord, level1, level2, level3, module_name, keywords) plus what their measured size allows.
 
-    def __init__(self, rules: DataFrame, inline_terms: int = INLINE_TERMS, broadcast_chars: int = BROADCAST_CHARS):
+    `literal`: few enough terms to score all groups inside one expression. `searchable`: the words fit a search
+    pattern, so texts are searched where they are. `broadcastable`: term tables may be broadcast. Each has a plan
+    without it.
+    """
+
+    def __init__(
+        self,
+        rules: DataFrame,
+        literal_terms: int = LITERAL_TERMS,
+        search_terms: int = SEARCH_TERMS,
+        broadcast_chars: int = BROADCAST_CHARS,
+    ):
         # Read by the size check and by every term table after it; a lost part is computed again from its source.
         self.rules = rules.persist()
-        self._inline_terms = inline_terms
+        self._literal_terms = literal_terms
+        self._search_terms = search_terms
         self._broadcast_chars = broadcast_chars
 
     # Term tables, each described at the function of the same purpose above. They are no larger than the rules, serve
@@ -112,12 +129,14 @@ class Taxonomy:
 
     @cached_property
     def size(self) -> Size:
-        """One-row aggregate over the rules; every decision about broadcasting term tables rests on it."""
+        """One-row aggregate over the rules; every decision about collecting and broadcasting rests on it."""
         row = (
-            self.rules.selectExpr("explode(concat(keywords, array(module_name))) AS term")
-            .selectExpr("length(term) AS n")
+            self.rules.selectExpr("rule_ord", "posexplode(concat(array(module_name), keywords)) AS (pos, term)")
+            .selectExpr("rule_ord", "pos", "length(term) AS n")
             .selectExpr(
                 "count(*) AS terms",
+                "count_if(pos = 0) AS rules",
+                "count(DISTINCT rule_ord) AS places",
                 "coalesce(sum(n), 0) AS chars",
                 "coalesce(bool_or(n = 1), false) AS g1",
                 "coalesce(bool_or(n BETWEEN 2 AND 3), false) AS g2",
@@ -126,6 +145,8 @@ class Taxonomy:
             )
             .first()
         )
+        if row["rules"] != row["places"]:
+            raise ValueError("rule_ord must be unique: an audit takes one taxonomy in one order")
         return Size(row["terms"], row["chars"], tuple(n for n in (1, 2, 4, 8) if row[f"g{n}"]))
 
     @property
@@ -137,33 +158,27 @@ class Taxonomy:
         return F.broadcast(terms) if self.broadcastable else terms
 
     @cached_property
-    def _small(self) -> list[Row] | None:
-        """The rule rows, if the whole taxonomy stays under the inline limits; None otherwise.
-
-        What reaches the driver is bounded: no more rows than the limit, and no row longer than the limit.
-        """
-        if self._inline_terms <= 0:
-            return None
-        fits = f"size(keywords) <= {self._inline_terms} AND length(array_join(keywords, '')) <= {INLINE_CHARS}"
-        rows = self.rules.selectExpr(
-            "rule_ord", *LEVELS, "module_name", f"if({fits}, keywords, null) AS keywords"
-        ).take(self._inline_terms + 1)
-        if any(row["keywords"] is None for row in rows):
+    def patterns(self) -> list[str] | None:
+        """Search patterns of all words, keywords and modules alike; None when the words are too many or too nested."""
+        if self.size.terms > self._search_terms or self.size.chars > SEARCH_CHARS:
             return None
-        terms = [term for row in rows for term in (row["module_name"], *row["keywords"])]
-        if len(terms) > self._inline_terms or sum(map(len, terms)) > INLINE_CHARS:
-            return None
-        return sorted(rows, key=lambda row: row["rule_ord"])
+        words = {word for group in self.collected_groups for word in (*group.modules, *group.keywords)}
+        return search_patterns(words)
+
+    @property
+    def searchable(self) -> bool:
+        return self.patterns is not None
 
     @property
-    def inline(self) -> bool:
-        return self._small is not None
+    def literal(self) -> bool:
+        return self.searchable and self.size.terms <= self._literal_terms
 
     @cached_property
-    def inline_groups(self) -> list[Group]:
-        """The groups as values in first-appearance order; only for a taxonomy that `inline` has let through."""
+    def collected_groups(self) -> list[Group]:
+        """The groups as values in first-appearance order; the caller has checked `size`, which bounds them."""
         members: dict[tuple[str, str, str], list[Row]] = {}
-        for row in self._small:
+        rows = self.rules.select("rule_ord", *LEVELS, "module_name", "keywords").collect()
+        for row in sorted(rows, key=lambda row: row["rule_ord"]):
             members.setdefault(tuple(row[level] for level in LEVELS), []).append(row)
         return [
             Group(
@@ -175,15 +190,7 @@ class Taxonomy:
             for levels, rows in members.items()
         ]
 
-    @property
-    def inline_keywords(self) -> list[str]:
-        return list(dict.fromkeys(word for group in self.inline_groups for word in group.keywords))
-
 
 def inline_value(value: object, data_type: str) -> Column:
     """A small nested value as one constant; the optimizer folds it into a literal."""
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), data_type)
-
-
-def text_array(values: list[str] | tuple[str, ...]) -> Column:
-    return inline_value(list(values), "array<string>")

@@ -155,8 +155,8 @@ def taxonomy(spark: SparkSession) -> Taxonomy:
     return Taxonomy(rules_from_cells(cells))
 
 
-def passage_taxonomy(spark: SparkSession, sf_dir: str) -> Taxonomy:
-    """Taxonomy of the benchmark passages: one group per item, its phrases are the keywords; never inlined."""
+def passage_taxonomy(spark: SparkSession, sf_dir: str, **limits) -> Taxonomy:
+    """Taxonomy of the benchmark passages: one group per item, its phrases are the keywords."""
     items = table(spark, sf_dir, "benchmark")
     cells = items.select(
         F.lit("").alias("source_id"),
@@ -167,4 +167,4 @@ def passage_taxonomy(spark: SparkSession, sf_dir: str) -> Taxonomy:
         F.lit("").alias("module_name"),
         F.replace("text", F.lit("."), F.lit(",")).alias("keyword_text"),
     )
-    return Taxonomy(rules_from_cells(cells), inline_terms=0)
+    return Taxonomy(rules_from_cells(cells), **limits)

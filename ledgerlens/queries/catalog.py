@@ -132,6 +132,12 @@ def keyword_hits_large(spark, sf):
     return matching.keyword_hits(docs, ["doc_id"], "text", adapter.passage_taxonomy(spark, sf))
 
 
+def keyword_hits_joined(spark, sf):
+    """The plan for taxonomies beyond the search limits."""
+    docs = adapter.table(spark, sf, "documents")
+    return matching.keyword_hits(docs, ["doc_id"], "text", adapter.passage_taxonomy(spark, sf, search_terms=0))
+
+
 def current_group(spark, sf):
     entries = _entries(spark, sf)
     groups = taxonomy.filed_groups(adapter.taxonomy(spark).rules)
@@ -169,7 +175,9 @@ def best_group(spark, sf):
 
 
 def best_group_large(spark, sf):
-    return _best_columns(scoring.best_groups(_evidence(spark, sf), adapter.passage_taxonomy(spark, sf)))
+    """The plan for taxonomies beyond the literal limit."""
+    passages = adapter.passage_taxonomy(spark, sf, literal_terms=0)
+    return _best_columns(scoring.best_groups(_evidence(spark, sf), passages))
 
 
 def _detail(spark, sf) -> DataFrame:
@@ -182,8 +190,16 @@ def audit_detail_query(spark, sf):
 
 
 def audit_detail_large(spark, sf):
+    """The plan for taxonomies beyond the literal limit."""
+    entries = _entries(spark, sf)
+    rules = taxonomy.Taxonomy(adapter.taxonomy(spark).rules, literal_terms=0)
+    return detail_table(audit_detail(entries, rules, _evidence(spark, sf, entries)))
+
+
+def audit_detail_joined(spark, sf):
+    """The plan for taxonomies beyond the search limits."""
     entries = _entries(spark, sf)
-    rules = taxonomy.Taxonomy(adapter.taxonomy(spark).rules, inline_terms=0)
+    rules = taxonomy.Taxonomy(adapter.taxonomy(spark).rules, search_terms=0)
     return detail_table(audit_detail(entries, rules, _evidence(spark, sf, entries)))
 
 
@@ -275,12 +291,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "missing_fields": missing_fields,
     "keyword_hits": keyword_hits,
     "keyword_hits_large": keyword_hits_large,
+    "keyword_hits_joined": keyword_hits_joined,
     "current_group": current_group,
     "score_current": score_current,
     "best_group": best_group,
     "best_group_large": best_group_large,
     "audit_detail": audit_detail_query,
     "audit_detail_large": audit_detail_large,
+    "audit_detail_joined": audit_detail_joined,
     "person_summary": person_summary,
     "audit_steps": audit_steps,
     "page_links": page_links,

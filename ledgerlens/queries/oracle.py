@@ -368,6 +368,8 @@ FROM entries""",
     + """SELECT doc_id, kw AS keyword FROM documents JOIN (SELECT DISTINCT kw FROM keywords) ON contains(text, kw)""",
     "keyword_hits_large": _with(PASSAGES)
     + """SELECT doc_id, kw AS keyword FROM documents JOIN (SELECT DISTINCT kw FROM keywords) ON contains(text, kw)""",
+    "keyword_hits_joined": _with(PASSAGES)
+    + """SELECT doc_id, kw AS keyword FROM documents JOIN (SELECT DISTINCT kw FROM keywords) ON contains(text, kw)""",
     "current_group": _with(RATED, ENTRIES, RULES, FILED)
     + """SELECT e.row_number, e.category, e.subcategory, f.l1 AS level1, f.gord::BIGINT AS group_ord
 FROM entries e LEFT JOIN filed_group f ON e.category = f.l2 AND e.subcategory = f.l3""",
@@ -381,6 +383,7 @@ FROM evidence e LEFT JOIN best b ON b.query_name = e.query_name""",
 FROM evidence e LEFT JOIN best b ON b.query_name = e.query_name""",
     "audit_detail": _AUDIT + f"SELECT {_detail_columns()} FROM detail",
     "audit_detail_large": _AUDIT + f"SELECT {_detail_columns()} FROM detail",
+    "audit_detail_joined": _AUDIT + f"SELECT {_detail_columns()} FROM detail",
     "audit_detail_sources": _AUDIT
     + f"""SELECT {_detail_columns(K.NEUTRAL_SCOPE_HEADER)}, found_in AS "数据来源",
   'https://d.example.com/' || (row_number - 2) AS "官网链接" FROM detail""",

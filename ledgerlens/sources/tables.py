@@ -114,15 +114,15 @@ def _numbered(rows: DataFrame, splits: DataFrame) -> DataFrame:
     """Rows with `_index`, their position in the file from 0, without moving them: rows of a split keep their order
     inside a task, so position = rows before the split + distance from its first row.
 
-    Both passes must see the same file splits; should they differ, the job stops instead of numbering wrongly.
+    Both passes must cut the files alike. Any shift puts at least one row outside its split's range, and the job then
+    stops instead of numbering wrongly.
     """
-    joined = rows.join(splits.select("source_id", "_start", "_first", "_before"), ["source_id", "_start"], "left")
-    distance = F.col("_place") - F.col("_first")
-    same_task = F.shiftright("_place", 33) == F.shiftright("_first", 33)
-    index = F.when(same_task, F.col("_before") + distance).otherwise(
-        F.raise_error(F.lit("file splits changed between two passes over the input")).cast("bigint")
-    )
-    return joined.withColumn("_index", index).drop("_start", "_place", "_first", "_before")
+    bounds = splits.select("source_id", "_start", "_first", "_rows", "_before")
+    joined = rows.join(bounds, ["source_id", "_start"], "left")
+    inside = "_place - _first >= 0 AND _place - _first < _rows"
+    stop = "cast(raise_error('file splits changed between two passes over the input') AS bigint)"
+    index = F.expr(f"if({inside}, _before + _place - _first, {stop})")
+    return joined.withColumn("_index", index).drop("_start", "_place", "_first", "_rows", "_before")
 
 
 def _read_typed(spark: SparkSession, paths, fmt: str, required: dict[str, str], message: str) -> DataFrame:
@@ -160,7 +160,8 @@ def _read_csv(
         "_start",
         "_place",
     )
-    splits = _splits(cells, first_row=F.col("_cells"))
+    # A few columns per split; kept, because the header check below has read all files for it.
+    splits = _splits(cells, first_row=F.col("_cells")).persist()
     headers = splits.filter(F.col("_start") == 0).select("source_id", F.col("_first_row").alias("_header"))
 
     missing = F.filter(

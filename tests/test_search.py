@@ -1,0 +1,34 @@
+from __future__ import annotations
+
+import random
+import re
+
+from ledgerlens.operators.search import MAX_PATTERNS, search_patterns
+
+
+def found(text: str, words: set[str]) -> set[str]:
+    return {m.group(1) for p in search_patterns(words) for m in re.finditer(python_syntax(p), text, re.S)}
+
+
+def python_syntax(pattern: str) -> str:
+    """The patterns are Java's; only the code point escape differs."""
+    return re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m.group(1), 16):08x}", pattern)
+
+
+def test_patterns_find_exactly_the_words():
+    rng = random.Random(5)
+    for alphabet, count in (("ab", 40), ("梨果稻a.-]^", 200), ("".join(map(chr, range(0x4E00, 0x4E80))), 400)):
+        for _ in range(10):
+            words = {"".join(rng.choice(alphabet) for _ in range(rng.randint(1, 5))) for _ in range(count)}
+            if search_patterns(words) is None:
+                continue
+            text = "".join(rng.choice(alphabet) for _ in range(300))
+            assert found(text, words) == {word for word in words if word in text}
+
+
+def test_nested_words_are_split_over_patterns_up_to_a_limit():
+    nested = {"a" * n for n in range(1, MAX_PATTERNS + 1)}
+    assert len(search_patterns(nested)) == MAX_PATTERNS
+    assert search_patterns(nested | {"a" * (MAX_PATTERNS + 1)}) is None
+    assert search_patterns({"x" * 401}) is None
+    assert search_patterns(set()) == []

@@ -73,12 +73,17 @@ def test_groups_keep_first_places(spark):
 
 def test_taxonomy_limits(spark):
     small = Taxonomy(rules_frame(spark, RULES))
-    assert small.inline and small.broadcastable and small.size.gram_lengths == (1, 2)
-    many = [("A", "b", str(i), "", [f"w{i}x{j}" for j in range(30)]) for i in range(10)]
-    assert not Taxonomy(rules_frame(spark, many)).inline
-    assert not Taxonomy(rules_frame(spark, [("A", "b", "c", "", ["x" * 30_000])])).inline
+    assert small.literal and small.searchable and small.broadcastable and small.size.gram_lengths == (1, 2)
+    many = [("A", "b", str(i), "", [f"w{i}x{j}" for j in range(60)]) for i in range(10)]
+    medium = Taxonomy(rules_frame(spark, many))
+    assert medium.searchable and not medium.literal
+    assert not Taxonomy(rules_frame(spark, many), search_terms=500).searchable
+    assert not Taxonomy(rules_frame(spark, [("A", "b", "c", "", ["x" * 500_000])])).searchable
+    assert not Taxonomy(rules_frame(spark, [("A", "b", "c", "", ["x" * n for n in range(1, 20)])])).searchable
     assert not Taxonomy(rules_frame(spark, RULES), broadcast_chars=5).broadcastable
-    assert not Taxonomy(rules_frame(spark, [])).inline_groups
+    assert not Taxonomy(rules_frame(spark, [])).collected_groups
+    with pytest.raises(ValueError, match="rule_ord must be unique"):
+        Taxonomy(rules_frame(spark, RULES).union(rules_frame(spark, RULES))).literal
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
@@ -154,7 +159,7 @@ def test_page_limit_applies_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-def test_inline_best_group_needs_no_shuffle(spark):
+def test_literal_best_group_needs_no_shuffle(spark):
     info = spark.createDataFrame([("k", "梨", True)], "query_name string, business_scope string, success boolean")
     assert "Exchange" not in plan_of(best_groups(info, Taxonomy(rules_frame(spark, RULES))))
 
