@@ -158,35 +158,35 @@ def page_title(html: Column) -> Column:
 
 
 def classify_pages(pages: DataFrame, links: DataFrame | None = None, modules=None) -> DataFrame:
-    """(page_id, host, url, module, module_rank, html) of the pages worth reading: module pages and home pages.
+    """(page_id, host, url, module, module_rank) of the pages worth reading: module pages and home pages.
 
-    A page belongs to a module through its own title or address, or through the text of a link that leads to it.
+    A page belongs to a module through its own title or address, or through the text of a link that leads to it. The
+    result is narrow: no markup travels with it.
     """
-    own = pages.select(
+    names = [*(modules or K.PAGE_MODULES), K.HOME_MODULE]
+    graded = pages.select(
         "page_id",
         url_host(F.col("url")).alias("host"),
         normalize_url(F.col("url")).alias("url"),
-        "html",
-    ).withColumn("module", module_of(page_title(F.col("html")), F.col("url"), modules=modules))
-    own = own.withColumn("own_rank", module_rank(F.col("module"), modules))
-    if links is not None:
+        module_rank(module_of(page_title(F.col("html")), F.col("url"), modules=modules), modules).alias("own_rank"),
+    )
+    if links is None:
+        graded = graded.withColumn("link_rank", F.lit(None).cast("int"))
+    else:
         linked = followable(links).select(
             "url", module_rank(module_of(F.col("anchor"), modules=modules), modules).alias("link_rank")
         )
         linked = linked.filter(F.col("link_rank").isNotNull()).groupBy("url").agg(F.min("link_rank").alias("link_rank"))
-        own = own.join(linked, "url", "left").withColumn("own_rank", F.least("own_rank", "link_rank"))
-    home = F.col("url").rlike(r"^[a-z]+://[^/?]*/?$")
-    names = [*(modules or K.PAGE_MODULES), K.HOME_MODULE]
-    ranked = own.withColumn(
-        "module_rank", F.coalesce("own_rank", F.when(home, F.lit(len(names)))).cast("int")
-    ).filter(F.col("module_rank").isNotNull())
-    return ranked.select(
+        # An address may have been stored very often.
+        graded = skew_safe_left_join(graded, linked, "url", [F.col("page_id")])
+    home = f"if(url rlike '^[a-z]+://[^/?]*/?$', {len(names)}, null)"
+    ranked = graded.withColumn("module_rank", F.expr(f"coalesce(least(own_rank, link_rank), {home})"))
+    return ranked.filter("module_rank IS NOT NULL").select(
         "page_id",
         "host",
         "url",
         F.element_at(F.array(*[F.lit(n) for n in names]), F.col("module_rank")).alias("module"),
         "module_rank",
-        "html",
     )
 
 
@@ -199,19 +199,20 @@ def host_evidence(
 ) -> DataFrame:
     """(host, stored_pages, used_pages, evidence): one row per host, best pages' text joined by a space.
 
-    An address stored more than once counts once, with its newest page (largest page_id). Text is cleaned only for the
-    pages that won a place.
+    An address stored more than once counts once, with its newest page (largest page_id). Pages compete by address
+    alone; markup is fetched and cleaned only for those that won a place.
     """
     every = pages.groupBy(url_host(F.col("url")).alias("host")).agg(F.count("*").alias("stored_pages"))
-    candidates = classify_pages(pages, links, modules).groupBy("host", "url").agg(
-        F.min("module_rank").alias("module_rank"), F.max_by("html", "page_id").alias("html")
+    addresses = classify_pages(pages, links, modules).groupBy("host", "url").agg(
+        F.min("module_rank").alias("module_rank"), F.max("page_id").alias("page_id")
     )
-    chosen = _best_per_host(candidates, max_pages)
-    texts = chosen.select("host", "place", clean_markup(F.col("html")).alias("text"))
-    joined = texts.groupBy("host").agg(
-        F.count("*").alias("used_pages"),
+    chosen = _best_per_host(addresses, max_pages).select("host", "place", "page_id")
+    texts = pages.select("page_id", "html").join(chosen, "page_id")
+    joined = (
+        texts.select("host", "place", clean_markup(F.col("html")).alias("text"))
+        .groupBy("host")
         # At most max_pages texts per host.
-        F.array_sort(F.collect_list(F.struct("place", "text"))).alias("texts"),
+        .agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("texts"))
     )
     evidence = collapse_whitespace(F.array_join(F.transform("texts", lambda t: t["text"]), " "))
     if max_chars is not None:
@@ -219,7 +220,7 @@ def host_evidence(
     return every.join(joined, "host", "left").select(
         "host",
         "stored_pages",
-        F.coalesce("used_pages", F.lit(0)).alias("used_pages"),
+        F.coalesce(F.size("texts"), F.lit(0)).cast("bigint").alias("used_pages"),
         F.coalesce(evidence, F.lit("")).alias("evidence"),
     )
 
