@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.taxonomy import Taxonomy
+from ledgerlens.operators.taxonomy import Taxonomy, inline_value
+
+# Up to this many words, testing each is faster than the pattern search.
+FEW_WORDS = 32
 
 
 def contained(words: Column, text: Column) -> Column:
@@ -19,12 +22,14 @@ def listed(words: Column, allowed: Column) -> Column:
 
 
 def words_in(text: Column, taxonomy: Taxonomy) -> Column:
-    """Distinct taxonomy words (keywords and modules) inside the text, for a `searchable` taxonomy.
+    """Distinct taxonomy keywords inside the text, for a `searchable` taxonomy.
 
-    One pass over the text per pattern, however many words there are.
+    A few words are looked for one by one; many take one pass over the text per pattern, however many they are.
     """
+    if len(taxonomy.collected_keywords) <= FEW_WORDS:
+        return contained(inline_value(taxonomy.collected_keywords, "array<string>"), text)
     found = [F.regexp_extract_all(text, F.lit(pattern), 1) for pattern in taxonomy.patterns]
-    return F.array_distinct(F.concat(*found)) if found else F.expr("cast(array() AS array<string>)")
+    return F.array_distinct(F.concat(*found))
 
 
 def _grams(text: Column, lengths: tuple[int, ...]) -> Column:
@@ -76,5 +81,4 @@ def keyword_hits(texts: DataFrame, ids: list[str], text: str, taxonomy: Taxonomy
     if not taxonomy.searchable:
         return term_hits(texts, ids, text, taxonomy.keywords, "keyword", taxonomy)
     found = texts.select(*ids, F.explode_outer(words_in(F.col(text), taxonomy)).alias("keyword"))
-    # Words that are only module names drop out here; the inner join is against distinct keywords.
-    return found.join(taxonomy.sized(taxonomy.keywords), "keyword").select(*ids, "keyword")
+    return found.filter("keyword IS NOT NULL")

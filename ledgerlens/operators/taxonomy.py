@@ -78,7 +78,7 @@ class Group:
 class Taxonomy:
     """Rule rows (rule_ord, level1, level2, level3, module_name, keywords) plus what their measured size allows.
 
-    `literal`: few enough terms to score all groups inside one expression. `searchable`: the words fit a search
+    `literal`: few enough terms to score all groups inside one expression. `searchable`: the keywords fit a search
     pattern, so texts are searched where they are. `broadcastable`: term tables may be broadcast. Each has a plan
     without it.
     """
@@ -159,11 +159,14 @@ class Taxonomy:
 
     @cached_property
     def patterns(self) -> list[str] | None:
-        """Search patterns of all words, keywords and modules alike; None when the words are too many or too nested."""
+        """Search patterns of all keywords; None when these are too many or too nested."""
         if self.size.terms > self._search_terms or self.size.chars > SEARCH_CHARS:
             return None
-        words = {word for group in self.collected_groups for word in (*group.modules, *group.keywords)}
-        return search_patterns(words)
+        return search_patterns(set(self.collected_keywords))
+
+    @cached_property
+    def collected_keywords(self) -> list[str]:
+        return list(dict.fromkeys(word for group in self.collected_groups for word in group.keywords))
 
     @property
     def searchable(self) -> bool:
