@@ -23,6 +23,8 @@ SEARCH_CHARS = 400_000
 BROADCAST_TERMS = 2_000_000
 BROADCAST_CHARS = 64_000_000
 
+REPEATED_ORDER = "rule_ord must be unique: an audit takes one taxonomy in one order"
+
 
 def rule_groups(rules: DataFrame) -> DataFrame:
     """Groups of equal levels; `group_ord` is the position of a group's first rule, so it orders the groups."""
@@ -105,6 +107,8 @@ class Taxonomy:
 
     @cached_property
     def keyword_places(self) -> DataFrame:
+        if not self.rules.groupBy("rule_ord").count().filter("count > 1").isEmpty():
+            raise ValueError(REPEATED_ORDER)
         return group_keywords(self.rules).select("group_ord", "keyword", "rule_ord", "keyword_pos").persist()
 
     @property
@@ -131,12 +135,10 @@ class Taxonomy:
     def size(self) -> Size:
         """One-row aggregate over the rules; every decision about collecting and broadcasting rests on it."""
         row = (
-            self.rules.selectExpr("rule_ord", "posexplode(concat(array(module_name), keywords)) AS (pos, term)")
-            .selectExpr("rule_ord", "pos", "length(term) AS n")
+            self.rules.selectExpr("explode(concat(array(module_name), keywords)) AS term")
+            .selectExpr("length(term) AS n")
             .selectExpr(
                 "count(*) AS terms",
-                "count_if(pos = 0) AS rules",
-                "count(DISTINCT rule_ord) AS places",
                 "coalesce(sum(n), 0) AS chars",
                 "coalesce(bool_or(n = 1), false) AS g1",
                 "coalesce(bool_or(n BETWEEN 2 AND 3), false) AS g2",
@@ -145,8 +147,6 @@ class Taxonomy:
             )
             .first()
         )
-        if row["rules"] != row["places"]:
-            raise ValueError("rule_ord must be unique: an audit takes one taxonomy in one order")
         return Size(row["terms"], row["chars"], tuple(n for n in (1, 2, 4, 8) if row[f"g{n}"]))
 
     @property
@@ -181,6 +181,8 @@ class Taxonomy:
         """The groups as values in first-appearance order; the caller has checked `size`, which bounds them."""
         members: dict[tuple[str, str, str], list[Row]] = {}
         rows = self.rules.select("rule_ord", *LEVELS, "module_name", "keywords").collect()
+        if len({row["rule_ord"] for row in rows}) < len(rows):
+            raise ValueError(REPEATED_ORDER)
         for row in sorted(rows, key=lambda row: row["rule_ord"]):
             members.setdefault(tuple(row[level] for level in LEVELS), []).append(row)
         return [

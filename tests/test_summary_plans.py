@@ -84,6 +84,8 @@ def test_taxonomy_limits(spark):
     assert not Taxonomy(rules_frame(spark, [])).collected_groups
     with pytest.raises(ValueError, match="rule_ord must be unique"):
         Taxonomy(rules_frame(spark, RULES).union(rules_frame(spark, RULES))).literal
+    with pytest.raises(ValueError, match="rule_ord must be unique"):
+        Taxonomy(rules_frame(spark, RULES).union(rules_frame(spark, RULES)), search_terms=0).keyword_places
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
