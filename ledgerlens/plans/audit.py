@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import constants as K
 from ledgerlens.operators.lookup import lookup_keys, static_lookup
-from ledgerlens.operators.pages import company_websites, from_websites, host_evidence, page_links
+from ledgerlens.operators.pages import company_websites, from_websites, host_evidence, page_links, with_website
 from ledgerlens.operators.responses import from_responses
 from ledgerlens.operators.scoring import score_entries
 from ledgerlens.operators.summary import audit_steps, person_summary
@@ -107,6 +107,8 @@ def run_audit(
     detail_path = output_path(output_dir, job_id, "detail")
     summary_path = output_path(output_dir, job_id, "person_summary")
 
+    if with_source and "website_url" not in entries.columns:
+        entries = with_website(entries)
     tables = audit(entries, rules, company_info)
     detail = tables.detail
     if fmt == "csv" if ordered is None else ordered:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,24 +145,43 @@ def _read_typed(spark: SparkSession, paths, fmt: str, required: dict[str, str],
     return numbered.withColumn("row_number", F.col("_index") + FIRST_ROW).drop("_index")
 
 
+def _csv_cells(reader: DataFrameReader, paths, width: int) -> DataFrame:
+    """Every line as an array of cell texts with its place; `_odd` holds a line that has not exactly `width` cells."""
+    names = [f"_c{i}" for i in range(width)]
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, "_odd"]])
+    return _placed(reader.schema(schema).csv(paths)).select(
+        F.transform(F.array(*names), lambda c: F.coalesce(strip_text(c), F.lit(""))).alias("_cells"),
+        "_odd",
+        "source_id",
+        "_start",
+        "_place",
+    )
+
+
 def _read_csv(
     spark: SparkSession, paths, required: dict[str, str], message: str, multi_line: bool, options: dict
 ) -> DataFrame:
     """Cells of all files under the required names, whatever the header order of each file."""
-    reader = spark.read.option("header", False).option("multiLine", multi_line).options(**options)
+    # Spreadsheets double their quotes.
+    options = {"header": False, "multiLine": multi_line, "escape": '"', **options}
+    reader = spark.read.options(**options).option("columnNameOfCorruptRecord", "_odd")
+    separator = options.get("sep", options.get("delimiter", ","))
     width = len(reader.csv(paths).columns)
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    placed = _placed(reader.schema(schema).csv(paths))
-    raw = F.array(*[F.col(f"_c{i}") for i in range(width)])
-    cells = placed.select(
-        F.transform(raw, lambda c: F.coalesce(strip_text(c), F.lit(""))).alias("_cells"),
-        "source_id",
-        "_start",
-        "_place",
-    )
-    # A few columns per split; kept, because the header check below has read all files for it.
-    splits = _splits(cells, first_row=F.col("_cells")).persist()
-    headers = splits.filter(F.col("_start") == 0).select("source_id", F.col("_first_row").alias("_header"))
+    while True:
+        cells = _csv_cells(reader, paths, width)
+        # A few columns per split; kept, because the header check below has read all files for it.
+        splits = _splits(cells, first_row=F.struct("_cells", "_odd")).persist()
+        headers = splits.filter(F.col("_start") == 0).select(
+            "source_id", F.col("_first_row._cells").alias("_header"), F.col("_first_row._odd").alias("_odd")
+        )
+        # Separators inside quotes are counted too; at worst that is one more round.
+        parts = F.size(F.split("_odd", F.lit(f"\\Q{separator}\\E")))
+        if headers.filter(F.col("_odd").isNotNull() & (parts > width)).isEmpty():
+            break
+        # Only the first file has been looked at for the number of columns; another one has more.
+        splits.unpersist()
+        width *= 2
+    headers = headers.drop("_odd")
 
     missing = F.filter(
         F.array(*[F.lit(h) for h in required]), lambda h: ~F.array_contains(F.col("_header"), h)
@@ -171,7 +190,7 @@ def _read_csv(
     if broken is not None:
         raise ValueError(message + ", ".join(broken["_missing"]))
 
-    body = _numbered(cells, splits).join(headers, "source_id", "left").filter(F.col("_index") > 0)
+    body = _numbered(cells.drop("_odd"), splits).join(headers, "source_id", "left").filter(F.col("_index") > 0)
     filled = body.filter(F.exists("_cells", lambda c: c != ""))
 
     def cell(header: str) -> Column:

@@ -47,6 +47,17 @@ def test_missing_headers_are_named_in_declared_order(spark, tmp_path):
         read_rules(spark, path)
 
 
+def test_wider_files_quotes_and_byte_order_mark(spark, tmp_path):
+    write(tmp_path / "a.csv", [HEADERS, ["d", "narrow", "c", "s", "k", "g"]])
+    extra = [f"x{i}" for i in range(20)]
+    write(tmp_path / "b.csv", [["日期", *extra, *HEADERS[1:]], ["d", *extra, "wide", "c", "s", 'k ""q"", \\', "g"]])
+    wide = tmp_path / "b.csv"
+    wide.write_bytes(b"\xef\xbb\xbf" + wide.read_bytes())
+    rows = {r["name"]: r for r in read_entries(spark, [str(tmp_path / "a.csv"), str(wide)]).collect()}
+    assert set(rows) == {"narrow", "wide"}
+    assert rows["wide"]["company_raw"] == 'k "q", \\' and rows["wide"]["date"] == "d" and rows["wide"]["stage"] == "g"
+
+
 def test_row_numbers_across_many_splits(spark, tmp_path):
     for name, count in (("a", 30_000), ("b", 20_000)):
         rows = [HEADERS] + [["d", f"{name}{i}", "c", "s", "k", "g" * 40] for i in range(2, count + 2)]

@@ -119,7 +119,9 @@ def test_job_ids(spark, tmp_path):
     entries = entries_frame(spark, ENTRIES[:1])
     result = run_audit(entries, rules_frame(spark, RULES), company_evidence(entries), str(tmp_path), with_source=True, with_file=True)
     assert result["job_id"].startswith("审计结果_") and len(result["job_id"]) == len("审计结果_") + 8
-    columns = spark.read.parquet(result["detail"]).columns
+    detail = spark.read.parquet(result["detail"])
+    columns = detail.columns
+    assert detail.first()["官网链接"] == "https://example.com" and detail.first()["数据来源"] == "mock"
     assert columns[11] == "外部证据文本" and columns[-3:] == ["数据来源", "官网链接", "来源文件"]
 
 
