@@ -126,7 +126,9 @@ def module_rank(module: Column, modules: dict[str, tuple[str, ...]] | None = Non
 def top_targets(links: DataFrame, modules=None, max_pages: int = K.MAX_PAGES) -> DataFrame:
     """(host, url, module, module_rank, place): per host the distinct module links, best first, at most `max_pages`."""
     named = followable(links).select(
-        url_host(F.col("page_url")).alias("host"), "url", module_of(F.col("anchor"), F.col("url"), modules=modules).alias("module")
+        url_host(F.col("page_url")).alias("host"),
+        "url",
+        module_of(F.col("anchor"), F.col("url"), modules=modules).alias("module"),
     )
     ranked = named.filter(F.col("module").isNotNull()).withColumn(
         "module_rank", module_rank(F.col("module"), modules)
@@ -275,5 +277,7 @@ def page_memo(pages: DataFrame, fetched_at: str, error: Column | None = None) ->
         "html",
         (F.lit("") if error is None else error).alias("error"),
     )
-    newest = fetches.groupBy("url").agg(F.max_by(F.struct("html", "error"), "fetched_at").alias("row"), F.max("fetched_at").alias("fetched_at"))
+    newest = fetches.groupBy("url").agg(
+        F.max_by(F.struct("html", "error"), "fetched_at").alias("row"), F.max("fetched_at").alias("fetched_at")
+    )
     return newest.select("url", "fetched_at", clean_markup(F.col("row.html")).alias("text"), "row.error")

@@ -17,7 +17,9 @@ def missing_fields() -> Column:
 
 def prepare(entries: DataFrame) -> DataFrame:
     """Adds the cleaned company, the missing fields and the lookup key (null: this entry needs no evidence)."""
-    named = entries.select("*", clean_company_name(F.col("company_raw")).alias("cleaned_company"), missing_fields().alias("missing"))
+    named = entries.select(
+        "*", clean_company_name(F.col("company_raw")).alias("cleaned_company"), missing_fields().alias("missing")
+    )
     return named.select("*", F.expr("if(size(missing) = 0, cleaned_company, null)").alias("lookup_key"))
 
 

@@ -109,7 +109,8 @@ def run_audit(
 
     if with_source and "website_url" not in entries.columns:
         entries = with_website(entries)
-    tables = audit(entries, rules, company_info)
+    taxonomy = rules if isinstance(rules, Taxonomy) else Taxonomy(rules)
+    tables = audit(entries, taxonomy, company_info)
     detail = tables.detail
     if fmt == "csv" if ordered is None else ordered:
         detail = detail.orderBy("source_id", "row_number")
@@ -125,6 +126,8 @@ def run_audit(
     write_table(summary_table(person_summary(written)), summary_path, fmt)
 
     steps = [row["step"] for row in tables.steps.orderBy("step_ord").collect()]
+    if taxonomy is not rules:
+        taxonomy.release()
     return {
         "job_id": job_id,
         "detail": detail_path,
