@@ -25,8 +25,8 @@ PERMUTATIONS, LOW_BITS = 128, 2
 MISS = 1e-6
 #: Standard deviations of the estimate a linked pair may lie below the threshold.
 SAFE = 5.0
-#: Pairs left for the last comparison, per class, before it runs instead of another pivot.
-LEFT_PER_CLASS = 20
+#: Pairs left for the last comparison, per class and in all, at which it runs instead of another pivot.
+LEFT_PER_CLASS, LEFT_ALWAYS = 20, 1_000_000
 MAX_PIVOTS = 12
 
 
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         parts = parts.withColumns({"all": F.sum("n").over(of_key), "rank": F.row_number().over(of_key.orderBy(F.desc("n"), "label"))})
         minor = parts.filter("rank > 1").select("key", "label", "n", "all")
         left = minor.agg(F.sum(F.col("n") * F.col("all")).alias("pairs")).first()["pairs"] or 0
-        if left <= LEFT_PER_CLASS * n_classes:
+        if left <= max(LEFT_ALWAYS, LEFT_PER_CLASS * n_classes):
             break
     if left:
         outside = labelled.join(minor.select("key", "label"), ["key", "label"]).select("key", F.col("rep").alias("x"), F.col("label").alias("x_label"))

@@ -70,22 +70,23 @@ QUERIES = {
 #: Payloads are compared as they are; SHA-1 is not in DuckDB's functions everywhere, so op3 has none.
 ORACLE = {
     "op5_line_spread": """
-        WITH lines AS (
-            SELECT doc_id, text, source, at, trim(regexp_replace(raw, '[ \\t\\r]+', ' ', 'g')) AS line, raw
-            FROM (SELECT doc_id, text, coalesce(source, '') AS source, unnest(string_split(coalesce(text, ''), chr(10))) AS raw,
-                         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at FROM documents)
+        WITH raw_lines AS (
+            SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS raw,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+            FROM documents
         ),
-        judged AS (SELECT * FROM lines WHERE len(string_split(line, ' ')) >= 5),
+        lines AS (SELECT *, trim(regexp_replace(raw, '[ \\t\\r]+', ' ', 'g')) AS line FROM raw_lines),
         spread AS (
-            SELECT line, min({'none': doc_id IS NULL, 'id': doc_id, 'at': at}) AS first
-            FROM judged GROUP BY line HAVING count(DISTINCT source) >= 3
+            SELECT line, min({'none': doc_id IS NULL, 'id': doc_id, 'pos': pos}) AS place
+            FROM lines WHERE len(string_split(line, ' ')) >= 5
+            GROUP BY line HAVING count(DISTINCT site) >= 3
         ),
         marked AS (
-            SELECT l.*, s.line IS NOT NULL AND {'none': l.doc_id IS NULL, 'id': l.doc_id, 'at': l.at} <> s.first AS cut
+            SELECT l.*, s.line IS NOT NULL AND {'none': l.doc_id IS NULL, 'id': l.doc_id, 'pos': l.pos} <> s.place AS gone
             FROM lines l LEFT JOIN spread s ON l.line = s.line
         )
-        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (cut) AS n_removed,
-               coalesce(string_agg(raw, chr(10) ORDER BY at) FILTER (NOT cut), '') AS text
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+               coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
         FROM marked GROUP BY doc_id
     """,
 }

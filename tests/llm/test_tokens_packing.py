@@ -1,0 +1,148 @@
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from ledgerlens.llm import packing, queries, token_files
+from ledgerlens.llm.tokens import WordEncoder, tokenizer_path
+from tests.llm.helpers import awkward, docs_frame
+
+SF = "/root/testdata/sf0.001"
+NAMES = ("byte_bpe_50k.json", "word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def whole():
+    from tokenizers import Tokenizer
+
+    made = {}
+    for name in NAMES:
+        made[name] = Tokenizer.from_file(tokenizer_path(name))
+        made[name].encode_special_tokens = True
+    return lambda name, text: np.array(made[name].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+ENCODERS = {name: WordEncoder(name, memo_limit=50) for name in NAMES}
+
+
+@pytest.mark.parametrize("name", NAMES)
+@settings(max_examples=300, deadline=None)
+@given(text=st.text(st.sampled_from("ab Z'sé\n\t\r\x0b\x1c\x85\xa0 　  .,!<|>12ßΣ́\U0001f600\x00"), max_size=40))
+def test_words_give_the_ids_of_the_whole_text(whole, name, text):
+    assert ENCODERS[name].encode(text) == whole(name, text)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_ids_of_real_documents(spark, whole, name):
+    for row in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect():
+        assert ENCODERS[name].encode(row["text"]) == whole(name, row["text"])
+
+
+@pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [7, 7, 9, 1 << 40], list(range(0, 5000, 3)), [0] * 700 + [10_000_000] * 3, [(1 << 63) + 1]])
+def test_elias_fano(values):
+    coded = token_files.EliasFano.encode(values)
+    again = token_files.EliasFano(coded.count, coded.width, *coded.parts())
+    assert again.values().tolist() == values
+    assert [again[k] for k in range(len(values))] == values
+
+
+def test_elias_fano_is_small():
+    rng = random.Random(1)
+    ends = np.cumsum([rng.randrange(1, 2000) for _ in range(10_000)])
+    assert sum(map(len, token_files.EliasFano.encode(ends).parts())) * 8 / len(ends) < 2.3 + np.log2(1000) + 1
+
+
+def test_token_files_round_trip(spark, whole):
+    docs = awkward(spark)
+    manifest = token_files.write_token_files(docs)
+    rows = token_files.read_token_files(manifest).collect()
+    expected, start = [], 0
+    for doc_id, text in sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = whole("byte_bpe_50k.json", text or "") + (2).to_bytes(4, "little")
+        expected.append((doc_id, start, len(ids) // 4, zlib.crc32(ids)))
+        start += len(ids) // 4
+    assert sorted(map(tuple, rows), key=lambda r: r[1]) == expected
+    seen = 0
+    for shard in manifest.collect():
+        file = token_files.TokenFile(shard["uri"])
+        for k, (doc_id, at, ids) in enumerate(file.documents()):
+            assert (file.document_id(k), file.start(k), file.ids(k).tolist()) == (doc_id, at, ids.tolist())
+            seen += 1
+        assert len(file) == shard["n_docs"]
+    assert seen == len(expected)
+
+
+def test_token_files_of_an_empty_table(spark):
+    assert token_files.read_token_files(token_files.write_token_files(docs_frame(spark, []))).count() == 0
+
+
+def test_query_of_token_files(spark, whole):
+    rows = {r["doc_id"]: r for r in queries.op4_token_files(spark, SF).collect()}
+    start = 0
+    for doc in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect():
+        ids = whole("byte_bpe_50k.json", doc["text"]) + (2).to_bytes(4, "little")
+        assert tuple(rows[doc["doc_id"]])[1:] == (start, len(ids) // 4, zlib.crc32(ids))
+        start += len(ids) // 4
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=60))
+def test_best_fit_equals_a_plain_search(sizes):
+    bins: list[list[int]] = []
+    for item in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        spaces = [64 - sum(sizes[i] for i in b) for b in bins]
+        fitting = [s for s in spaces if s >= sizes[item]]
+        if fitting:
+            bins[max(k for k, s in enumerate(spaces) if s == min(fitting))].append(item)
+        else:
+            bins.append([item])
+    found = packing.best_fit(sizes, 64)
+    assert sorted(sum(sizes[i] for i in b) for b in found) == sorted(sum(sizes[i] for i in b) for b in bins)
+    assert sorted(i for b in found for i in b) == list(range(len(sizes)))
+
+
+def check_places(rows, capacity):
+    places = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(places)
+
+
+def test_packing_of_documents(spark, whole):
+    docs = awkward(spark).unionByName(spark.read.parquet(f"{SF}/documents.parquet"), allowMissingColumns=True)
+    rows = packing.pack_documents(docs).collect()
+    pieces = []
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        ids = whole("word_bpe_49k.json", text or "") + (1).to_bytes(4, "little")
+        for number, at in enumerate(range(0, len(ids), 4 * 4096)):
+            part = ids[at : at + 4 * 4096]
+            pieces.append((doc_id or 0, number, at // 4, len(part) // 4, zlib.crc32(part)))
+    assert sorted((r["doc_id"] or 0, r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == sorted(pieces)
+    least = -(-sum(p[3] for p in pieces) // 4096)
+    assert check_places(rows, 4096) <= least * 1.02 + 1
+
+
+@pytest.mark.parametrize("group_items", [50, 200_000])
+def test_rounds_merge_underfull_bins(spark, group_items):
+    rng = random.Random(5)
+    rows = [(k, 0, 0, rng.choice((60, 45, 33, 7)), k) for k in range(800)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(16)
+    packed = packing.pack(pieces, capacity=100, near_full=99, group_items=group_items).collect()
+    assert sorted(r["doc_id"] for r in packed) == list(range(800))
+    one_group = len(packing.best_fit([r[3] for r in rows], 100))
+    assert check_places(packed, 100) <= one_group * 1.05 + 2
+
+
+def test_packing_nothing(spark):
+    assert packing.pack_documents(docs_frame(spark, [])).count() == 0
