@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import materialize, texts
-from ledgerlens.llm.tokens import WordEncoder
+from ledgerlens.llm.tokens import word_encoder
 
 MEMBERS = "doc_ids array<long>, pieces array<int>, starts array<long>, lengths array<long>, crcs array<long>, offsets array<long>"
 FIELDS = ("doc_ids", "pieces", "starts", "lengths", "crcs", "offsets")
@@ -28,7 +28,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_
     def cut(batches):
         import pyarrow as pa
 
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []

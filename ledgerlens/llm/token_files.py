@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import filesystem, materialize, new_folder, texts, write_target
-from ledgerlens.llm.tokens import WordEncoder
+from ledgerlens.llm.tokens import word_encoder
 
 MAGIC = b"LLTOK01\n"
 SAMPLE = 256
@@ -145,7 +145,7 @@ def _write_shard(rows, folder: str, tokenizer: str, end_id: int):
     first = next(rows, None)
     if first is None:
         return None
-    encoder = WordEncoder(tokenizer)
+    encoder = word_encoder(tokenizer)
     dtype = np.dtype("<u2" if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else "<u4")
     end = struct.pack("<I", end_id)
     total, bounds, names, nulls = 0, [0], [], 0

@@ -7,6 +7,7 @@ white space or a special token's name makes words depend on each other are given
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 
@@ -17,6 +18,13 @@ SPACES = (0x20, *range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 JOINED = tuple(f" {chr(code)}" for code in SPACES)
 
 
+#: ASCII marks but the apostrophe, with which contractions begin.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARACTERS = {byte: 256 + k for k, byte in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 def tokenizer_path(name: str) -> str:
     """A path as it is; a bare file name is looked up among the public tokenizers."""
     if os.sep in name:
@@ -27,22 +35,33 @@ def tokenizer_path(name: str) -> str:
 
 
 class _Memo(dict):
+    """Made values of two generations: when the young one is full it becomes the old one, from which used values come back."""
+
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value
 
 
+@functools.cache
+def word_encoder(name: str) -> WordEncoder:
+    """One per Python worker: later tasks find the words of earlier ones."""
+    return WordEncoder(name)
+
+
 class WordEncoder:
     """encode(text): ids as packed little-endian unsigned 32-bit integers. Names of special tokens are ordinary text."""
 
-    def __init__(self, name: str, memo_limit: int = 300_000):
+    def __init__(self, name: str, memo_limit: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -50,7 +69,7 @@ class WordEncoder:
         self.whole.encode_special_tokens = True
         self.model, self.normalizer, self.splitter = self.whole.model, self.whole.normalizer, self.whole.pre_tokenizer
         self.keeps_space = len(self.whole.encode(" ", add_special_tokens=False).ids) > 0
-        self.pieces = _Memo(self._piece, memo_limit)
+        self.pieces, self.plain = _Memo(self._piece, memo_limit), _Memo(self._plain, memo_limit)
         self.words = _Memo(self._word, memo_limit)
         self.vocabulary = self.whole.get_vocab_size()
 
@@ -58,9 +77,22 @@ class WordEncoder:
         ids = [token.id for token in self.model.tokenize(piece)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _plain(self, piece: str) -> bytes:
+        """A piece in its own characters: the model's alphabet has one character per byte."""
+        return self._piece(piece.encode().decode("latin-1").translate(BYTE_CHARACTERS))
+
     def _word(self, word: str) -> bytes:
         if self.normalizer is not None:
-            word = self.normalizer.normalize_str(word)
+            word = word.lower() if word.isascii() else self.normalizer.normalize_str(word)
+        core = word.rstrip(MARKS)
+        if (core[1:] if self.keeps_space and core[:1] == " " else core).isalpha():
+            # Letters, then perhaps marks: the pre-tokenizer cuts exactly there.
+            tail = word[len(core) :]
+            return self.plain[core] + self.plain[tail] if tail else self.plain[core]
+        head, feed, rest = word.partition("\n")
+        if rest and head and not head[-1].isspace() and not rest[0].isspace():
+            # A single line feed between words is a piece of its own.
+            return self.words[head] + self.plain[feed] + self.words[rest]
         return b"".join([self.pieces[piece] for piece, _ in self.splitter.pre_tokenize_str(word)])
 
     def encode(self, text: str) -> bytes:
