@@ -9,7 +9,7 @@ Text is moved once at most: lines travel as hashes, and only the numbers of the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import materialize
@@ -21,21 +21,16 @@ LG_K = 10
 NEAR = 1.5
 
 
-def _trimmed(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, "[ \\t\\r]+", " "))
-
-
 def _lines(docs: DataFrame, site: str, min_words: int) -> DataFrame:
     """doc key, line number, two line hashes and the site's hash of every line long enough to judge."""
     lines = docs.select("__doc", "doc_id", F.xxhash64(F.coalesce(F.col(site).cast("string"), F.lit(""))).alias("site"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "raw"))
-    text = _trimmed(F.col("raw"))
-    lines = lines.withColumn("line", text).filter(F.size(F.split("line", " ")) >= min_words)
-    return lines.select("__doc", "doc_id", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), F.reverse("line")).alias("h2"))
+    lines = lines.withColumn("line", F.btrim("raw", F.lit(" \t\r")))
+    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
+    return lines.filter(spaces >= min_words - 1).select("__doc", "doc_id", "site", "at", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
 
 
-def spread_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """h1, h2, first (doc_id null?, doc_id, line) of every line on min_sites sites or more; docs has the column __doc."""
-    lines = _lines(docs, site, min_words)
+def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """h1, h2, first (doc_id null?, doc_id, line) of every line on min_sites sites or more."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
     sketched = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
     # A line on k sites occurs k times at least.
@@ -51,20 +46,21 @@ def spread_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SIT
 def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with cleaned text and two more columns, n_lines and n_removed.
 
-    A line is what stands between line feeds, with runs of spaces and tabs as one and none at its ends; lines of fewer than
-    min_words words stay. Null texts stay null with no lines, empty ones have one line. Rows with the same doc_id and text are
+    A line is what stands between line feeds, without spaces, tabs and carriage returns at its ends; lines of fewer than
+    min_words words (parts between spaces) stay. Null texts stay null with no lines, empty ones have one line. Rows with the same doc_id and text are
     treated alike; a null site is a site of its own; null doc_ids come after all others when the first place is sought.
     """
     keyed = docs.withColumn("__doc", F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")))
-    spread = materialize(spread_lines(keyed, site, min_sites, min_words), "spread-lines")
+    lines = materialize(_lines(keyed, site, min_words), "lines")  # narrow: hashes, no text
+    spread = materialize(spread_lines(lines, min_sites), "spread-lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
-    cut = _lines(keyed, site, min_words).join(spread, ["h1", "h2"]).filter(place != F.col("first"))
+    cut = lines.join(spread, ["h1", "h2"]).filter(place != F.col("first"))
     cut = cut.groupBy("__doc").agg(F.collect_set("at").alias("__cut")).withColumnRenamed("__doc", "__of")
     joined = keyed.join(cut, F.col("__doc").eqNullSafe(F.col("__of")), "left")
-    lines = F.split("text", "\n")
-    stays = F.filter(lines, lambda _, at: ~F.coalesce(F.array_contains("__cut", at), F.lit(False)))
+    own = F.split("text", "\n")
+    stays = F.filter(own, lambda _, at: ~F.coalesce(F.array_contains("__cut", at), F.lit(False)))
     text = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.concat_ws("\n", stays))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(own)).cast("long")
     return joined.select(
         *(F.col(f"`{name}`") if name != "text" else text.alias("text") for name in docs.columns),
         n_lines.alias("n_lines"),

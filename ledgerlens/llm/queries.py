@@ -75,10 +75,10 @@ ORACLE = {
                    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
             FROM documents
         ),
-        lines AS (SELECT *, trim(regexp_replace(raw, '[ \\t\\r]+', ' ', 'g')) AS line FROM raw_lines),
+        lines AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM raw_lines),
         spread AS (
             SELECT line, min({'none': doc_id IS NULL, 'id': doc_id, 'pos': pos}) AS place
-            FROM lines WHERE len(string_split(line, ' ')) >= 5
+            FROM lines WHERE length(line) - length(replace(line, ' ', '')) >= 4
             GROUP BY line HAVING count(DISTINCT site) >= 3
         ),
         marked AS (
