@@ -74,6 +74,11 @@ def simhash(hashes: np.ndarray) -> int:
     return int(_pack(_signs(hashes).sum(axis=0, dtype=np.int64)[None, :])[0])
 
 
+def dense(hits: np.ndarray, need: int, reach: int) -> bool:
+    """Whether some need hits lie within reach places."""
+    return len(hits) >= need and bool((hits[need - 1 :] - hits[: len(hits) - need + 1] < reach).any())
+
+
 def _near(width: int, radius: int) -> np.ndarray:
     """All values of a block with at most radius bits set."""
     values = np.arange(1 << width, dtype=np.uint32)
@@ -87,39 +92,37 @@ class MultiIndex:
         self.prints, self.radius = prints, radius
         self.width = BITS // BLOCKS
         self.masks = _near(self.width, radius // BLOCKS)
-        self.tables: list[dict[int, list[int]]] = [{} for _ in range(BLOCKS)]
-        for item, value in enumerate(prints.tolist()):
-            for block, table in enumerate(self.tables):
-                table.setdefault((value >> (block * self.width)) & ((1 << self.width) - 1), []).append(item)
-        self.keys = [np.array(sorted(table), dtype=np.uint32) for table in self.tables]
+        self.tables = []  # per block: items by block value, distinct values, where the items of each start
+        for block in range(BLOCKS):
+            values = self._block(prints, block)
+            order = np.argsort(values, kind="stable")
+            keys, starts = np.unique(values[order], return_index=True)
+            self.tables.append((order, keys, np.append(starts, len(order))))
+
+    def _block(self, prints: np.ndarray, block: int) -> np.ndarray:
+        return ((prints >> np.uint64(block * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.uint32)
 
     def pairs(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query numbers, item numbers) of all pairs within the radius, each once.
 
-        Per block, the distinct query values are compared with the distinct item values, whichever is cheaper than probing
-        the neighbourhood of each.
+        Per block, query values meet the item values near them: by comparison where those are few, else by probing the
+        neighbourhood of each query value.
         """
-        left, right = [], []
-        for block, (table, keys) in enumerate(zip(self.tables, self.keys, strict=True)):
-            values = ((queries >> np.uint64(block * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.uint32)
-            distinct, back = np.unique(values, return_inverse=True)
-            order = np.argsort(back, kind="stable")
-            bounds = np.searchsorted(back[order], np.arange(len(distinct) + 1))
-            for number, value in enumerate(distinct.tolist()):
-                if len(self.masks) < len(keys):
-                    probes = np.uint32(value) ^ self.masks
-                    probes = probes[np.isin(probes, keys)]
-                else:
-                    probes = keys[np.bitwise_count(keys ^ np.uint32(value)) <= self.radius // BLOCKS]
-                items = np.array([item for probe in probes.tolist() for item in table[probe]], dtype=np.int64)
-                if len(items):
-                    own = order[bounds[number] : bounds[number + 1]]
-                    left.append(np.repeat(own, len(items)))
-                    right.append(np.tile(items, len(own)))
-        if not left:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        codes = np.unique(np.concatenate(left) * len(self.prints) + np.concatenate(right))
-        query, item = codes // len(self.prints), codes % len(self.prints)
+        codes = []
+        for block, (order, keys, starts) in enumerate(self.tables):
+            values = self._block(queries, block)
+            if len(keys) <= len(self.masks):
+                query, key = np.nonzero(np.bitwise_count(values[:, None] ^ keys[None, :]) <= self.radius // BLOCKS)
+            else:
+                probes = values[:, None] ^ self.masks[None, :]
+                place = np.minimum(np.searchsorted(keys, probes), len(keys) - 1)
+                query, mask = np.nonzero(keys[place] == probes)
+                key = place[query, mask]
+            n = starts[key + 1] - starts[key]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            codes.append(np.repeat(query, n) * len(self.prints) + order[np.repeat(starts[key], n) + within])
+        both = np.unique(np.concatenate(codes))
+        query, item = both // len(self.prints), both % len(self.prints)
         near = np.bitwise_count(queries[query] ^ self.prints[item]) <= self.radius
         return query[near], item[near]
 
@@ -151,7 +154,8 @@ class ItemIndex:
     def shared(self, hashes: np.ndarray) -> np.ndarray:
         """Places whose shingle some item has."""
         hits = np.flatnonzero(self.filter[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        return hits[np.isin(hashes[hits], self.shingles)]
+        place = np.minimum(np.searchsorted(self.shingles, hashes[hits]), len(self.shingles) - 1)
+        return hits[self.shingles[place] == hashes[hits]]
 
     def matches(self, words: list[str]) -> dict[int, tuple[float, int, int]]:
         """Item number to (best similarity, first word of that window, words in it)."""
@@ -162,7 +166,8 @@ class ItemIndex:
         for shingle in sorted({min(SHINGLE, size, len(words)) for size in [*self.short, SHINGLE]}):
             hashes = shingle_hashes(known, shingle)
             hits = self.shared(hashes)
-            if not len(hits):
+            sizes = [min(size, len(words)) - shingle + 1 for size in self.by_size if min(SHINGLE, size, len(words)) == shingle]
+            if not sizes or not dense(hits, self.needed(min(sizes)), max(sizes)):
                 continue
             ids = known.copy()
             others: dict[str, int] = {}
@@ -175,6 +180,10 @@ class ItemIndex:
                 self._windows(hashes, hits, min(size, len(words)), shingle, numbers, index, best)
         return best
 
+    def needed(self, count: int) -> int:
+        """So many of a window's shingles are shared at least when the similarity reaches the threshold: an exact bound."""
+        return max(1, int(np.ceil(2 * self.threshold / (1 + self.threshold) * count - 1e-9)))
+
     def _around(self, hits: np.ndarray, known: np.ndarray) -> list[int]:
         reach = max(self.by_size)
         near = np.zeros(len(known) + 1, np.int64)
@@ -186,9 +195,8 @@ class ItemIndex:
         """Fingerprints all windows of so many words that hold a shared shingle, and verifies what the index returns."""
         count = size - shingle + 1  # shingles in a window
         last = len(hashes) - count
-        # Exact bound: so many of a window's shingles are shared at least when the similarity reaches the threshold.
-        need = max(1, int(np.ceil(2 * self.threshold / (1 + self.threshold) * count - 1e-9)))
-        if len(hits) < need:
+        need = self.needed(count)
+        if not dense(hits, need, count):
             return
         starts = np.zeros(last + 2, np.int64)
         low, high = np.maximum(hits - count + 1, 0), np.minimum(hits, last) + 1
@@ -196,8 +204,8 @@ class ItemIndex:
         np.add.at(starts, low[keep], 1)
         np.add.at(starts, high[keep], -1)
         places = np.flatnonzero(np.cumsum(starts[:-1]) >= need)
-        for at in range(0, len(places), 4096):
-            part = places[at : at + 4096]
+        for at in range(0, len(places), 256):
+            part = places[at : at + 256]
             # Runs of successive places share their prefix sums.
             cuts = np.flatnonzero(np.diff(part) > 1) + 1
             for run in np.split(part, cuts):
