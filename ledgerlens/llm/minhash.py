@@ -31,10 +31,11 @@ MAX_PIVOTS = 12
 
 
 def bands_for(threshold: float) -> tuple[int, int]:
-    """(bands, rows): the most rows a band can have for linked pairs to be missed with a chance of MISS at most."""
+    """(bands, rows): the most rows a band can have, and then the fewest bands, for linked pairs to be missed with a chance of MISS at most."""
     for rows in range(PERMUTATIONS, 0, -1):
-        if (1 - threshold**rows) ** (PERMUTATIONS // rows) <= MISS:
-            return PERMUTATIONS // rows, rows
+        bands = int(np.ceil(np.log(MISS) / np.log1p(-(threshold**rows))))
+        if bands * rows <= PERMUTATIONS:
+            return bands, rows
     raise ValueError(f"threshold too low: {threshold}")
 
 
@@ -175,7 +176,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left, right = sets.toDF("a", "left"), sets.toDF("b", "right")
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("left", "right"))
-    return both.filter(100 * shared >= percent * (F.size("left") + F.size("right") - shared)).select("a", "b").distinct()
+    return both.filter(100 * shared >= percent * (F.size("left") + F.size("right") - shared)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -197,7 +198,7 @@ def components(links: DataFrame) -> DataFrame:
     before, now = None, mark(edges)
     while now != before:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = against_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u != v").distinct()
+        large = against_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
         small = against_least(large)
         small = small.select(F.explode(F.array("u", "v")).alias("u"), F.col("least").alias("v")).filter("u != v").distinct()
         edges = materialize(small, "links")
@@ -221,7 +222,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     same = usable.select("c1", "c2", "doc_id", "sig", "keys").join(classes, ["c1", "c2"]).filter(F.col("doc_id") == F.col("rep"))
     reps = materialize(same.dropDuplicates(["rep", "c1", "c2"]).select("rep", "c1", "c2", "sig", "keys"), "representatives")
     # A doc_id of rows with different texts represents several classes: such are one node.
-    sigs = reps.groupBy("rep").agg(F.min("sig").alias("sig"), F.count("*").alias("n"))
+    sigs = materialize(reps.groupBy("rep").agg(F.min("sig").alias("sig"), F.count("*").alias("n")), "packed-signatures")
     keyed = reps.select("rep", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = materialize(keyed.join(shared, "key").distinct(), "band-members")

@@ -9,6 +9,7 @@ weight, and its neutral mention is no false positive.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 
@@ -70,6 +71,7 @@ class _Memo(dict):
         return value
 
 
+@functools.lru_cache(maxsize=200_000)
 def _hash(feature: str) -> int:
     """64 bits; the list of features is chosen among these."""
     raw = feature.encode()
