@@ -1,7 +1,7 @@
-"""Audit of hand-entered classification records, written as Spark DataFrame jobs."""
+"""Review of hand-entered classification records, written as Spark DataFrame jobs."""
 
 from ledgerlens.operators.taxonomy import Taxonomy
-from ledgerlens.plans.audit import AuditTables, audit, audit_detail, run_audit
+from ledgerlens.plans.review import ReviewTables, review, review_detail, run_review
 from ledgerlens.sources.tables import (
     entries_from_frame,
     read_entries,
@@ -10,13 +10,13 @@ from ledgerlens.sources.tables import (
 )
 
 __all__ = [
-    "AuditTables",
+    "ReviewTables",
     "Taxonomy",
-    "audit",
-    "audit_detail",
+    "review",
+    "review_detail",
     "entries_from_frame",
     "read_entries",
     "read_rules",
     "rules_from_frame",
-    "run_audit",
+    "run_review",
 ]

@@ -130,7 +130,7 @@ SUMMARY_HEADERS = {
 STEP_ENTRIES = "读取员工记录 {n} 条"
 STEP_RULES = "读取分类规则 {n} 条"
 STEP_COMPANIES = "查询企业 {n} 家"
-STEP_AUDITED = "完成审计 {n} 条"
+STEP_REVIEWED = "完成审计 {n} 条"
 STEP_SUMMARY = "生成质量汇总"
 STEP_EXPORT = "导出审计结果 Excel"
 JOB_PREFIX = "审计结果_"

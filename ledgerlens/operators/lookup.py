@@ -60,7 +60,7 @@ def static_lookup(keys: DataFrame, table: DataFrame) -> DataFrame:
 
 def pending_keys(keys: DataFrame, known: DataFrame) -> DataFrame:
     """Names that no earlier lookup has answered; a stored row that is null throughout counts as unanswered."""
-    answered = known.na.drop(how="all", subset=[c for c in known.columns if c != "query_name"]).select("query_name")
+    answered = known.na.drop(how="all", subset=[c for c in known.columns if c != "query_name"]).select("query_name").distinct()
     return keys.join(answered, "query_name", "left_anti")
 
 
@@ -73,3 +73,15 @@ def merge_lookups(known: DataFrame, fresh: DataFrame, key: str = "query_name", o
     both = known.withColumn("_fresh", F.lit(0)).unionByName(fresh.withColumn("_fresh", F.lit(1)))
     newest = both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order, "_fresh")).alias("row"))
     return newest.select(*[F.col(key) if c == key else F.col(f"row.{c}") for c in known.columns])
+
+
+def one_per_company(company_info: DataFrame, order: str | None = None) -> DataFrame:
+    """company_info with one row per query_name: a success before a failure, then the greatest `order` (null: least), then by content.
+
+    Combined before the shuffle as well, so a company answered very often never arrives whole at one task. A column named
+    by `order` stays.
+    """
+    rest = [c for c in company_info.columns if c != "query_name"]
+    rank = F.struct("success", *([] if order is None else [order]), *[c for c in rest if c not in ("success", order)])
+    best = company_info.groupBy("query_name").agg(F.max_by(F.struct(*rest), rank).alias("row"))
+    return best.select(*["query_name" if c == "query_name" else F.col(f"row.{c}") for c in company_info.columns])

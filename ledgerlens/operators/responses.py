@@ -9,16 +9,18 @@ from ledgerlens import constants as K
 from ledgerlens.functions.json_values import is_object, member, pick, truthy, value_text
 
 
-def from_responses(responses: DataFrame) -> DataFrame:
-    """company_info from (query_name, http_status, body, transport_error).
+def from_responses(responses: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """company_info from (query_name, http_status, body, transport_error); columns named in `keep` stay.
 
-    A body is parsed once. A JSON body that is no object is reported as a format error.
+    A null or empty transport_error is none. A body is parsed once. A JSON body that is no object is reported as a format error.
     """
+    responses = responses.withColumn("transport_error", F.coalesce("transport_error", F.lit("")))
     parsed = responses.withColumn("doc", F.try_parse_json("body")).select(
         "query_name",
         "http_status",
         "body",
         "transport_error",
+        *(keep or []),
         "doc",
         is_object(F.col("doc")).alias("doc_ok"),
         *[member(F.col("doc"), key).alias(key.lower()) for key in ("Status", "Message", "msg", "Result", "Data")],
@@ -39,7 +41,7 @@ def from_responses(responses: DataFrame) -> DataFrame:
     )
     checked = picked.withColumn(
         "error",
-        F.when(F.col("transport_error").isNotNull(), F.concat(F.lit(K.REGISTRY_TRANSPORT), "transport_error"))
+        F.when(F.col("transport_error") != "", F.concat(F.lit(K.REGISTRY_TRANSPORT), "transport_error"))
         .when(
             ~F.col("http_status").eqNullSafe(200),
             F.concat(F.lit(K.REGISTRY_HTTP), F.coalesce(F.col("http_status").cast("string"), F.lit(""))),
@@ -54,7 +56,7 @@ def from_responses(responses: DataFrame) -> DataFrame:
         .when(F.col("scope") == "", F.lit(K.REGISTRY_NO_SCOPE))
         .otherwise(F.lit("")),
     ).withColumn("success", F.col("error") == "")
-    has_payload = F.col("transport_error").isNull() & F.col("http_status").eqNullSafe(200) & F.col("doc").isNotNull()
+    has_payload = (F.col("transport_error") == "") & F.col("http_status").eqNullSafe(200) & F.col("doc").isNotNull()
 
     def when_found(name: str):
         return F.when(F.col("success"), F.col(name)).otherwise(F.lit(""))
@@ -70,4 +72,5 @@ def from_responses(responses: DataFrame) -> DataFrame:
         "success",
         "error",
         F.when(has_payload, F.col("body")).otherwise(F.lit("{}")).alias("raw"),
+        *(keep or []),
     )

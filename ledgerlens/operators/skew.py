@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 PIECE_ROWS = 200_000
 # ... into no more than this many, so that one right row is never copied without end.
 MAX_PIECES = 10_000
-# Only the largest keys are cut; the list of them is what gets broadcast.
+# Only the largest keys are cut; the list of their hashes is what gets broadcast. A key beyond the list is smaller than each of
+# these, so it has less than rows / MAX_HOT_KEYS rows.
 MAX_HOT_KEYS = 20_000
 
 
@@ -19,13 +20,14 @@ def key_counts(rows: DataFrame, key: str) -> DataFrame:
 
 
 def hot_keys(counts: DataFrame, key: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """(key, pieces) of the keys too large for one task: at most MAX_HOT_KEYS rows, the largest first.
+    """(_hash, _pieces) of the keys too large for one task: at most MAX_HOT_KEYS rows of two numbers, whatever the keys' length.
 
-    Keys beyond the list are joined unsplit, so the list bounds the broadcast and not the result.
+    Keys beyond the list are joined unsplit: such a key has at most max(piece_rows, all rows / MAX_HOT_KEYS) rows. Keys
+    whose hashes are equal are cut alike on both sides.
     """
     large = counts.filter(F.col("n") > piece_rows).orderBy(F.desc("n")).limit(MAX_HOT_KEYS)
     pieces = F.least(F.ceil(F.col("n") / F.lit(piece_rows)), F.lit(MAX_PIECES))
-    return large.select(key, pieces.cast("int").alias("_pieces"))
+    return large.select(F.xxhash64(key).alias("_hash"), pieces.cast("int").alias("_pieces")).groupBy("_hash").agg(F.max("_pieces").alias("_pieces"))
 
 
 def skew_safe_left_join(
@@ -46,11 +48,11 @@ def skew_safe_left_join(
     """
     hot = F.broadcast(hot_keys(key_counts(left, key) if counts is None else counts, key, piece_rows))
     pieces = F.when(F.col(key).isNull(), MAX_PIECES).otherwise(F.coalesce("_pieces", F.lit(1)))
-    salted = left.join(hot, key, "left").withColumn("_piece", F.pmod(F.xxhash64(*row_id), pieces).cast("int"))
-    salted = salted.drop("_pieces")
+    salted = left.withColumn("_hash", F.xxhash64(key)).join(hot, "_hash", "left").withColumn("_piece", F.pmod(F.xxhash64(*row_id), pieces).cast("int"))
+    salted = salted.drop("_pieces", "_hash")
     for right in [rights] if isinstance(rights, DataFrame) else rights:
-        copies = right.join(hot, key, "left").withColumn(
+        copies = right.withColumn("_hash", F.xxhash64(key)).join(hot, "_hash", "left").withColumn(
             "_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))
         )
-        salted = salted.join(copies.drop("_pieces"), [key, "_piece"], "left")
+        salted = salted.join(copies.drop("_pieces", "_hash"), [key, "_piece"], "left")
     return salted.drop("_piece")

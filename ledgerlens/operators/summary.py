@@ -44,10 +44,10 @@ def person_summary(detail: DataFrame) -> DataFrame:
     )
 
 
-def audit_steps(keys: DataFrame, rules: DataFrame) -> DataFrame:
+def review_steps(keys: DataFrame, rules: DataFrame) -> DataFrame:
     """(step_ord, step, n) of a run. `keys` (see lookup_keys) already counts the entries, so they are read once.
 
-    Every entry gets exactly one verdict, so the audited count is the entry count.
+    Every entry gets exactly one verdict, so the reviewed count is the entry count.
     """
     counted = keys.agg(
         F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"), F.count("*").alias("companies")
@@ -59,7 +59,7 @@ def audit_steps(keys: DataFrame, rules: DataFrame) -> DataFrame:
                     for order, step, value in [
                         (1, K.STEP_ENTRIES, F.col("entries")),
                         (3, K.STEP_COMPANIES, F.col("companies")),
-                        (4, K.STEP_AUDITED, F.col("entries")),
+                        (4, K.STEP_REVIEWED, F.col("entries")),
                         (5, K.STEP_SUMMARY, F.lit(None)),
                         (6, K.STEP_EXPORT, F.lit(None)),
                     ]

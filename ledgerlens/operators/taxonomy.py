@@ -23,7 +23,7 @@ SEARCH_CHARS = 400_000
 BROADCAST_TERMS = 2_000_000
 BROADCAST_CHARS = 64_000_000
 
-REPEATED_ORDER = "rule_ord must be unique: an audit takes one taxonomy in one order"
+REPEATED_ORDER = "rule_ord must be unique: a review takes one taxonomy in one order"
 
 
 def rule_groups(rules: DataFrame) -> DataFrame:

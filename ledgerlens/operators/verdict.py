@@ -72,7 +72,7 @@ def verdict() -> Column:
 
 
 def judge(scored: DataFrame) -> DataFrame:
-    """Audit result per scored entry; company columns stay '' where the ladder stops before scoring."""
+    """Review result per scored entry; company columns stay '' where the ladder stops before scoring."""
 
     def company(name: str) -> str:
         return f"if(size(missing) = 0 AND coalesce(success, false), coalesce({name}, ''), '') AS {name}"

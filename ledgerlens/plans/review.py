@@ -1,4 +1,4 @@
-"""The whole audit: entries, rules and evidence in; detail, person summary and progress lines out."""
+"""The whole review: entries, rules and evidence in; detail, person summary and progress lines out."""
 
 from __future__ import annotations
 
@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerlens import constants as K
-from ledgerlens.operators.lookup import lookup_keys, static_lookup
+from ledgerlens.operators.lookup import lookup_keys, one_per_company, static_lookup
 from ledgerlens.operators.pages import company_websites, from_websites, host_evidence, page_links, with_website
 from ledgerlens.operators.responses import from_responses
 from ledgerlens.operators.scoring import score_entries
-from ledgerlens.operators.summary import audit_steps, person_summary
+from ledgerlens.operators.summary import review_steps, person_summary
 from ledgerlens.operators.taxonomy import Taxonomy
 from ledgerlens.operators.verdict import judge, prepare
 from ledgerlens.plans.sinks import (
@@ -26,8 +26,8 @@ from ledgerlens.plans.sinks import (
 
 
 @dataclass(frozen=True)
-class AuditTables:
-    """Lazy results of an audit."""
+class ReviewTables:
+    """Lazy results of a review."""
 
     detail: DataFrame
     people: DataFrame
@@ -53,39 +53,55 @@ def company_evidence(
     responses: DataFrame | None = None,
     pages: DataFrame | None = None,
     max_chars: int | None = None,
+    order: str | None = None,
+    **page_limits,
 ) -> DataFrame:
     """company_info for the entries from the named source: stored registry replies, stored pages, else a static table.
 
-    Any other DataFrame in company_info form serves `audit` just as well.
+    Of several replies for a company, a good one goes before a failed one, then the greatest `order` column of responses.
+    `page_limits` go to host_evidence. Any other DataFrame in company_info form serves `review` just as well.
     """
     source = source.strip().lower()
     if source == K.REGISTRY_SOURCE:
-        return from_responses(responses)
+        if responses is None:
+            raise ValueError(f"source {source!r} needs responses")
+        answers = from_responses(responses, [order] if order else [])
+        answers = one_per_company(answers, order)
+        return answers.drop(order) if order else answers
     if source == K.WEBSITE_SOURCE:
-        evidence = host_evidence(pages, page_links(pages), max_chars=max_chars)
+        if pages is None:
+            raise ValueError(f"source {source!r} needs pages")
+        evidence = host_evidence(pages, page_links(pages), max_chars=max_chars, **page_limits)
         return from_websites(company_websites(entries), evidence)
     if table is None:
         table = default_companies(entries.sparkSession)
     return static_lookup(lookup_keys(entries), table)
 
 
-def audit_detail(entries: DataFrame, rules: DataFrame | Taxonomy, company_info: DataFrame, **skew) -> DataFrame:
-    """One verdict per entry. `company_info` must be unique on query_name (see merge_lookups)."""
+def review_detail(
+    entries: DataFrame, rules: DataFrame | Taxonomy, company_info: DataFrame, unique: bool = False, **skew
+) -> DataFrame:
+    """One verdict per entry, whatever the evidence holds: several rows for a company are reduced to one (one_per_company).
+
+    `unique` says that company_info has one row per query_name already, which saves that step.
+    """
+    if not unique:
+        company_info = one_per_company(company_info)
     taxonomy = rules if isinstance(rules, Taxonomy) else Taxonomy(rules)
     return judge(score_entries(prepare(entries), company_info, taxonomy, **skew))
 
 
-def audit(entries: DataFrame, rules: DataFrame | Taxonomy, company_info: DataFrame, **skew) -> AuditTables:
+def review(entries: DataFrame, rules: DataFrame | Taxonomy, company_info: DataFrame, **skew) -> ReviewTables:
     taxonomy = rules if isinstance(rules, Taxonomy) else Taxonomy(rules)
-    detail = audit_detail(entries, taxonomy, company_info, **skew)
-    return AuditTables(
+    detail = review_detail(entries, taxonomy, company_info, **skew)
+    return ReviewTables(
         detail=detail,
         people=person_summary(detail),
-        steps=audit_steps(lookup_keys(entries), taxonomy.rules),
+        steps=review_steps(lookup_keys(entries), taxonomy.rules),
     )
 
 
-def run_audit(
+def run_review(
     entries: DataFrame,
     rules: DataFrame | Taxonomy,
     company_info: DataFrame,
@@ -96,7 +112,7 @@ def run_audit(
     with_source: bool = False,
     with_file: bool = False,
 ) -> dict:
-    """Audit and write `{output_dir}/{job_id}/detail` and `/person_summary`; returns paths and progress lines.
+    """Review and write `{output_dir}/{job_id}/detail` and `/person_summary`; returns paths and progress lines.
 
     The detail is computed once: the summary reads three columns of the written table back instead of repeating the
     joins, and a lost executor costs no more than that read. `ordered` writes the detail in input order (default: for
@@ -110,12 +126,12 @@ def run_audit(
     if with_source and "website_url" not in entries.columns:
         entries = with_website(entries)
     taxonomy = rules if isinstance(rules, Taxonomy) else Taxonomy(rules)
-    tables = audit(entries, taxonomy, company_info)
+    tables = review(entries, taxonomy, company_info)
     detail = tables.detail
     if fmt == "csv" if ordered is None else ordered:
         detail = detail.orderBy("source_id", "row_number")
-    audited = Observation("audited")
-    shown = detail_table(detail.observe(audited, F.count("*").alias("n")), with_source, with_file)
+    reviewed = Observation("reviewed")
+    shown = detail_table(detail.observe(reviewed, F.count("*").alias("n")), with_source, with_file)
     write_table(shown, detail_path, fmt)
 
     written = read_table(spark, detail_path, fmt, shown.schema)
@@ -123,7 +139,15 @@ def run_audit(
     written = written.select(*[F.col(c).alias(back.get(c, c)) for c in written.columns])
     if not with_file:
         written = written.withColumn("source_id", F.lit(""))
-    write_table(summary_table(person_summary(written)), summary_path, fmt)
+    people = person_summary(written)
+    if not with_file:
+        # The written detail does not name its source; who appears first is taken from the entries.
+        place = F.min(F.struct("source_id", "row_number")).alias("place")
+        first = entries.groupBy(F.coalesce("name", F.lit("")).alias("employee_name")).agg(place)
+        first = first.select("employee_name", F.col("place.source_id").alias("first_source"), F.col("place.row_number").alias("first_row"))
+        people = people.withColumn("employee_name", F.coalesce("employee_name", F.lit("")))
+        people = people.drop("first_source", "first_row").join(first, "employee_name", "left")
+    write_table(summary_table(people), summary_path, fmt)
 
     steps = [row["step"] for row in tables.steps.orderBy("step_ord").collect()]
     if taxonomy is not rules:
@@ -132,6 +156,6 @@ def run_audit(
         "job_id": job_id,
         "detail": detail_path,
         "person_summary": summary_path,
-        "audited": audited.get["n"],
+        "reviewed": reviewed.get["n"],
         "steps": steps,
     }

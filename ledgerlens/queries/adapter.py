@@ -127,6 +127,8 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(good)
         .alias("body"),
         F.when(F.col("source") == "src2", F.concat(F.lit("timeout "), "lang")).alias("transport_error"),
+        F.concat("lang", F.lit("/"), "source").alias("company"),
+        F.col("doc_id").alias("replied_at"),
     )
 
 

@@ -11,7 +11,7 @@ from ledgerlens import constants as K
 from ledgerlens.functions.json_values import pick
 from ledgerlens.functions.text import clean_company_name
 from ledgerlens.operators import lookup, matching, pages, responses, scoring, summary, taxonomy, verdict
-from ledgerlens.plans.audit import audit, audit_detail
+from ledgerlens.plans.review import review, review_detail
 from ledgerlens.plans.sinks import detail_table, summary_table
 from ledgerlens.queries import adapter
 from ledgerlens.sources.tables import entries_from_frame, filled_rows, rules_from_cells
@@ -84,6 +84,13 @@ def company_responses(spark, sf):
     return responses.from_responses(adapter.replies(spark, sf)).drop("raw")
 
 
+def company_replies_latest(spark, sf):
+    """Many replies per company: the newest good one, else the newest failed one."""
+    replies = adapter.replies(spark, sf).withColumn("query_name", F.col("company"))
+    answers = responses.from_responses(replies, ["replied_at"])
+    return lookup.one_per_company(answers, "replied_at").drop("raw")
+
+
 def event_props_pick(spark, sf):
     events = adapter.table(spark, sf, "events")
     return events.select("event_id", pick(F.try_parse_json("props"), ["Scope", "k"]).alias("picked"))
@@ -182,34 +189,34 @@ def best_group_large(spark, sf):
 
 def _detail(spark, sf) -> DataFrame:
     entries = _entries(spark, sf)
-    return audit_detail(entries, adapter.taxonomy(spark), _evidence(spark, sf, entries))
+    return review_detail(entries, adapter.taxonomy(spark), _evidence(spark, sf, entries), unique=True)
 
 
-def audit_detail_query(spark, sf):
+def review_detail_query(spark, sf):
     return detail_table(_detail(spark, sf))
 
 
-def audit_detail_large(spark, sf):
+def review_detail_large(spark, sf):
     """The plan for taxonomies beyond the literal limit."""
     entries = _entries(spark, sf)
     rules = taxonomy.Taxonomy(adapter.taxonomy(spark).rules, literal_terms=0)
-    return detail_table(audit_detail(entries, rules, _evidence(spark, sf, entries)))
+    return detail_table(review_detail(entries, rules, _evidence(spark, sf, entries), unique=True))
 
 
-def audit_detail_joined(spark, sf):
+def review_detail_joined(spark, sf):
     """The plan for taxonomies beyond the search limits."""
     entries = _entries(spark, sf)
     rules = taxonomy.Taxonomy(adapter.taxonomy(spark).rules, search_terms=0)
-    return detail_table(audit_detail(entries, rules, _evidence(spark, sf, entries)))
+    return detail_table(review_detail(entries, rules, _evidence(spark, sf, entries), unique=True))
 
 
 def person_summary(spark, sf):
     return summary_table(summary.person_summary(_detail(spark, sf)))
 
 
-def audit_steps(spark, sf):
+def review_steps(spark, sf):
     entries = _entries(spark, sf)
-    return audit(entries, adapter.taxonomy(spark), _evidence(spark, sf, entries)).steps
+    return review(entries, adapter.taxonomy(spark), _evidence(spark, sf, entries), unique=True).steps
 
 
 def page_links(spark, sf):
@@ -269,9 +276,9 @@ def entry_urls(spark, sf):
     return _page_entries(spark, sf).drop("company_raw")
 
 
-def audit_detail_sources(spark, sf):
+def review_detail_sources(spark, sf):
     entries = pages.with_website(_entries(spark, sf))
-    detail = audit_detail(entries, adapter.taxonomy(spark), _evidence(spark, sf, entries))
+    detail = review_detail(entries, adapter.taxonomy(spark), _evidence(spark, sf, entries), unique=True)
     return detail_table(detail, with_source=True)
 
 
@@ -285,6 +292,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lookup_keys": lookup_keys,
     "company_lookup": company_lookup,
     "company_responses": company_responses,
+    "company_replies_latest": company_replies_latest,
     "event_props_pick": event_props_pick,
     "lookup_pending": lookup_pending,
     "lookup_merged": lookup_merged,
@@ -296,11 +304,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_current": score_current,
     "best_group": best_group,
     "best_group_large": best_group_large,
-    "audit_detail": audit_detail_query,
-    "audit_detail_large": audit_detail_large,
-    "audit_detail_joined": audit_detail_joined,
+    "review_detail": review_detail_query,
+    "review_detail_large": review_detail_large,
+    "review_detail_joined": review_detail_joined,
     "person_summary": person_summary,
-    "audit_steps": audit_steps,
+    "review_steps": review_steps,
     "page_links": page_links,
     "page_modules_topk": page_modules_topk,
     "page_text": page_text,
@@ -308,5 +316,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "website_company_info": website_company_info,
     "page_url_latest": page_url_latest,
     "entry_urls": entry_urls,
-    "audit_detail_sources": audit_detail_sources,
+    "review_detail_sources": review_detail_sources,
 }

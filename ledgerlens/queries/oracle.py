@@ -242,6 +242,10 @@ FROM (SELECT *, doc_id::VARCHAR AS query_name,
                   ELSE '' END AS outcome FROM rated)"""
 
 
+_REPLIES_BY_COMPANY = _REPLIES.replace("doc_id::VARCHAR AS query_name", "lang || '/' || source AS query_name").replace(
+    "SELECT query_name,", "SELECT doc_id AS replied_at, query_name,"
+)
+
 # -- pages ----------------------------------------------------------------------------------------------------------
 
 
@@ -351,6 +355,9 @@ FROM documents""",
     "lookup_keys": _with(RATED, ENTRIES) + "SELECT cleaned AS query_name, count(*) AS entries FROM entries GROUP BY 1",
     "company_lookup": _with(RATED, EVIDENCE) + "SELECT * FROM evidence",
     "company_responses": _with(RATED) + _REPLIES,
+    "company_replies_latest": _with(RATED)
+    + f"""SELECT * FROM ({_REPLIES_BY_COMPANY})
+          QUALIFY row_number() OVER (PARTITION BY query_name ORDER BY success DESC, replied_at DESC) = 1""",
     "event_props_pick": """SELECT event_id, coalesce(nullif(trim(json_extract_string(props, '$.Scope')), ''),
   nullif(trim(json_extract_string(props, '$.k')), ''), '') AS picked FROM events""",
     "lookup_pending": _with(RATED, ENTRIES, KNOWN)
@@ -381,10 +388,10 @@ FROM evidence e LEFT JOIN best b ON b.query_name = e.query_name""",
     "best_group_large": _with(RATED, EVIDENCE, PASSAGES, BEST)
     + """SELECT e.query_name, b.score, b.l2 AS level2, b.l3 AS level3, b.words
 FROM evidence e LEFT JOIN best b ON b.query_name = e.query_name""",
-    "audit_detail": _AUDIT + f"SELECT {_detail_columns()} FROM detail",
-    "audit_detail_large": _AUDIT + f"SELECT {_detail_columns()} FROM detail",
-    "audit_detail_joined": _AUDIT + f"SELECT {_detail_columns()} FROM detail",
-    "audit_detail_sources": _AUDIT
+    "review_detail": _AUDIT + f"SELECT {_detail_columns()} FROM detail",
+    "review_detail_large": _AUDIT + f"SELECT {_detail_columns()} FROM detail",
+    "review_detail_joined": _AUDIT + f"SELECT {_detail_columns()} FROM detail",
+    "review_detail_sources": _AUDIT
     + f"""SELECT {_detail_columns(K.NEUTRAL_SCOPE_HEADER)}, found_in AS "数据来源",
   'https://d.example.com/' || (row_number - 2) AS "官网链接" FROM detail""",
     "person_summary": _AUDIT
@@ -395,7 +402,7 @@ FROM evidence e LEFT JOIN best b ON b.query_name = e.query_name""",
        ELSE round_even(count(*) FILTER (status = '正确') / count(*) FILTER (status IN ('正确', '错误')) * 100, 0)::INTEGER
             || '%' END AS "正确率"
 FROM detail GROUP BY name ORDER BY min(row_number)""",
-    "audit_steps": _with(RATED, ENTRIES, RULES)
+    "review_steps": _with(RATED, ENTRIES, RULES)
     + """, counts AS (SELECT (SELECT count(*) FROM entries) AS e, (SELECT count(*) FROM rules) AS r,
   (SELECT count(DISTINCT cleaned) FROM entries) AS c)
 SELECT 1 AS step_ord, '读取员工记录 ' || e || ' 条' AS step, e AS n FROM counts

@@ -7,6 +7,7 @@ drops physically empty lines before they can be numbered (a line of separators i
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
@@ -190,8 +191,11 @@ def _read_csv(
     if broken is not None:
         raise ValueError(message + ", ".join(broken["_missing"]))
 
-    body = _numbered(cells.drop("_odd"), splits).join(headers, "source_id", "left").filter(F.col("_index") > 0)
-    filled = body.filter(F.exists("_cells", lambda c: c != ""))
+    # Every cell counts, also one beyond the header: it stands in the line as read.
+    beyond = F.regexp_replace("_odd", rf"[\s\"{re.escape(separator)}]+", "") != ""
+    cells = cells.withColumn("_more", F.coalesce(beyond, F.lit(False))).drop("_odd")
+    body = _numbered(cells, splits).join(headers, "source_id", "left").filter(F.col("_index") > 0)
+    filled = body.filter(F.col("_more") | F.exists("_cells", lambda c: c != ""))
 
     def cell(header: str) -> Column:
         # array_position names the first of equal headers, as wanted.

@@ -1,4 +1,4 @@
-"""Row-by-row audit for small inputs: every entry against every group, the slow and obvious way."""
+"""Row-by-row review for small inputs: every entry against every group, the slow and obvious way."""
 
 from __future__ import annotations
 
@@ -39,7 +39,7 @@ def points(group, category, subcategory, scope, stage):
     return (100 if total > 100 else total), lines
 
 
-def audit_row(entry, rules, info):
+def review_row(entry, rules, info):
     """entry: dict; rules: rows of (l1, l2, l3, module, keywords); info: (scope, success, error) or None."""
     absent = [header for header, field in REQUIRED if entry[field] == ""]
     if absent:

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.filldown import fill_down
+from ledgerlens.operators import skew
 from ledgerlens.operators.skew import MAX_PIECES, hot_keys, key_counts, skew_safe_left_join
 
 
@@ -44,8 +45,8 @@ def test_skew_safe_join_equals_plain_left_join(spark):
 def test_hot_keys_are_cut_into_bounded_pieces(spark):
     left = spark.range(100_000).selectExpr("if(id < 90000, 'hot', cast(id AS string)) AS k")
     counts = key_counts(left, "k")
-    assert [tuple(r) for r in hot_keys(counts, "k", 1000).collect()] == [("hot", 90)]
-    assert [tuple(r) for r in hot_keys(counts, "k", 3).collect()] == [("hot", MAX_PIECES)]
+    assert [r["_pieces"] for r in hot_keys(counts, "k", 1000).collect()] == [90]
+    assert [r["_pieces"] for r in hot_keys(counts, "k", 3).collect()] == [MAX_PIECES]
     assert hot_keys(counts, "k").count() == 0
 
 
@@ -61,3 +62,13 @@ def test_hot_rows_are_spread(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_more_hot_keys_than_the_list_holds(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MAX_HOT_KEYS", 5)
+    left = spark.range(4_000).selectExpr("id", "cast(pow(id % 20, 2) AS string) AS k")
+    right = left.select("k").distinct().selectExpr("k", "length(k) AS v")
+    joined = skew_safe_left_join(left, right, "k", [F.col("id")], piece_rows=10)
+    assert joined.filter("v = length(k)").count() == 4_000
+    unsplit = key_counts(left, "k").count() - 5
+    assert unsplit > 0 and key_counts(left, "k").orderBy("n").first()["n"] <= 4_000 / 5

@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
+from ledgerlens import constants as K
 from ledgerlens.operators.lookup import lookup_keys, merge_lookups, pending_keys, static_lookup
 from ledgerlens.operators.responses import from_responses
-from ledgerlens.plans.audit import company_evidence
-from tests.conftest import entries_frame
+from ledgerlens.plans.review import company_evidence, review_detail
+from tests.conftest import entries_frame, rules_frame
 
 TABLE = "query_name string, company_name string, business_scope string, status string"
 
@@ -104,3 +107,26 @@ def test_evidence_source_switch(spark):
         "金川县雪梨果业开发有限责任公司": (False, "", "官网链接缺失", "website"),
         "乙": (True, "t 梨", "", "website"),
     }
+
+
+REPLY = "query_name string, http_status int, body string, transport_error string, at int"
+GOOD = '{"Status": "200", "Result": {"Scope": "%s"}}'
+
+
+def test_one_answer_per_company(spark):
+    replies = spark.createDataFrame(
+        [("a", 200, GOOD % "old", "", 1), ("a", 200, GOOD % "new", None, 5), ("a", 503, "", "", 9), ("b", 200, "{", "timeout", 1), ("b", 503, "", "", 2)],
+        REPLY,
+    )
+    entries = entries_frame(spark, [("d", "n", "c", "s", "a", "g")] * 3 + [("d", "m", "c", "s", "b", "g")] * 2)
+    info = company_evidence(entries, K.REGISTRY_SOURCE, responses=replies, order="at")
+    found = {r["query_name"]: (r["success"], r["business_scope"], r["error"]) for r in info.collect()}
+    assert found == {"a": (True, "new", ""), "b": (False, "", K.REGISTRY_HTTP + "503")}
+    rules = rules_frame(spark, [("c", "s", "", "", ["x"])])
+    assert review_detail(entries, rules, from_responses(replies)).count() == 5
+
+
+@pytest.mark.parametrize("source", [K.REGISTRY_SOURCE, K.WEBSITE_SOURCE])
+def test_evidence_needs_its_input(spark, source):
+    with pytest.raises(ValueError, match=source):
+        company_evidence(entries_frame(spark, []), source)

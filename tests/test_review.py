@@ -8,8 +8,8 @@ import pytest
 from ledgerlens.operators import matching
 from ledgerlens.operators.matching import keyword_hits
 from ledgerlens.operators.taxonomy import Taxonomy
-from ledgerlens.plans.audit import audit_detail
-from tests.brute import audit_row
+from ledgerlens.plans.review import review_detail
+from tests.brute import review_row
 from tests.conftest import INFO_SCHEMA, entries_frame, found, missed, rules_frame
 
 FRUIT = [
@@ -21,7 +21,7 @@ GRAIN = [FRUIT[0], ("农业", "种植业", "粮食作物", "类型", ["水稻",
 
 def run(spark, entry, rules, info):
     infos = spark.createDataFrame([info] if info else [], INFO_SCHEMA)
-    return audit_detail(entries_frame(spark, [entry]), rules_frame(spark, rules), infos).first()
+    return review_detail(entries_frame(spark, [entry]), rules_frame(spark, rules), infos).first()
 
 
 def test_missing_field(spark):
@@ -162,11 +162,11 @@ def test_plans_agree_with_brute_force(spark, few_words, seed, options):
     expected = {}
     for number, entry in enumerate(entries, start=2):
         company = re.sub(r"https?://\S+", "", entry[4]).replace(" ", "").strip("，")
-        expected[number] = audit_row(dict(zip(fields, entry)), rules, infos.get(company))
+        expected[number] = review_row(dict(zip(fields, entry)), rules, infos.get(company))
     info_rows = [(k, k, scope, "在", "mock", ok, error, "{}") for k, (scope, ok, error) in infos.items()]
     info = spark.createDataFrame(info_rows, INFO_SCHEMA)
     taxonomy = Taxonomy(rules_frame(spark, rules), **options)
-    detail = audit_detail(entries_frame(spark, entries), taxonomy, info, piece_rows=10)
+    detail = review_detail(entries_frame(spark, entries), taxonomy, info, piece_rows=10)
     actual = {
         r["row_number"]: (r["status"], r["confidence"], r["error_type"], r["reason"], r["suggestion"], r["needs_review"])
         for r in detail.collect()

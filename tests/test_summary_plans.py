@@ -7,7 +7,7 @@ from ledgerlens import constants as K
 from ledgerlens.operators.scoring import best_groups
 from ledgerlens.operators.summary import percent, person_summary
 from ledgerlens.operators.taxonomy import Taxonomy, filed_groups, group_keywords, rule_groups
-from ledgerlens.plans.audit import audit, audit_detail, company_evidence, run_audit
+from ledgerlens.plans.review import review, review_detail, company_evidence, run_review
 from ledgerlens.plans.sinks import output_path, summary_table
 from ledgerlens.queries.catalog import QUERIES
 from tests.conftest import entries_frame, rules_frame
@@ -89,10 +89,10 @@ def test_taxonomy_limits(spark):
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
-def test_run_audit_writes_both_tables(spark, tmp_path, fmt):
+def test_run_review_writes_both_tables(spark, tmp_path, fmt):
     entries = entries_frame(spark, ENTRIES)
-    result = run_audit(entries, rules_frame(spark, RULES), company_evidence(entries), str(tmp_path), job_id="job", fmt=fmt)
-    assert result["audited"] == 5
+    result = run_review(entries, rules_frame(spark, RULES), company_evidence(entries), str(tmp_path), job_id="job", fmt=fmt)
+    assert result["reviewed"] == 5
     assert result["steps"] == ["读取员工记录 5 条", "读取分类规则 3 条", "查询企业 3 家", "完成审计 5 条", "生成质量汇总", "导出审计结果 Excel"]
     reader = spark.read
     if fmt == "csv":
@@ -108,7 +108,17 @@ def test_run_audit_writes_both_tables(spark, tmp_path, fmt):
     rows = {r["姓名"] or "": (int(r["录入数量"]), int(r["完整数量"]), r["正确率"]) for r in people.collect()}
     assert rows == {"张硕": (2, 1, "100%"), "相阳": (2, 2, "0%"), "": (1, 0, "0%")}
     with pytest.raises(Exception, match="(?i)already exists"):
-        run_audit(entries, rules_frame(spark, RULES), company_evidence(entries), str(tmp_path), job_id="job", fmt=fmt)
+        run_review(entries, rules_frame(spark, RULES), company_evidence(entries), str(tmp_path), job_id="job", fmt=fmt)
+
+
+def test_summary_order_over_several_sources(spark, tmp_path):
+    rows = [("b", 2, "乙"), ("a", 9, "甲"), ("b", 3, "甲")]
+    entries = spark.createDataFrame([(s, n, "d", who, "c", "s", "x", "g") for s, n, who in rows], entries_frame(spark, []).schema)
+    rules = rules_frame(spark, RULES)
+    info = company_evidence(entries)
+    result = run_review(entries, rules, info, str(tmp_path), job_id="job", fmt="csv")
+    people = spark.read.csv(result["person_summary"], header=True).collect()
+    assert [r["姓名"] for r in people] == [r["employee_name"] for r in review(entries, rules, info).people.orderBy("first_source", "first_row").collect()] == ["甲", "乙"]
 
 
 def test_job_ids(spark, tmp_path):
@@ -117,7 +127,7 @@ def test_job_ids(spark, tmp_path):
         with pytest.raises(ValueError, match="非法文件名"):
             output_path("out", bad, "detail")
     entries = entries_frame(spark, ENTRIES[:1])
-    result = run_audit(entries, rules_frame(spark, RULES), company_evidence(entries), str(tmp_path), with_source=True, with_file=True)
+    result = run_review(entries, rules_frame(spark, RULES), company_evidence(entries), str(tmp_path), with_source=True, with_file=True)
     assert result["job_id"].startswith("审计结果_") and len(result["job_id"]) == len("审计结果_") + 8
     detail = spark.read.parquet(result["detail"])
     columns = detail.columns
@@ -127,7 +137,7 @@ def test_job_ids(spark, tmp_path):
 
 def test_tables_are_lazy_and_consistent(spark):
     entries = entries_frame(spark, ENTRIES)
-    tables = audit(entries, rules_frame(spark, RULES), company_evidence(entries))
+    tables = review(entries, rules_frame(spark, RULES), company_evidence(entries))
     assert tables.detail.count() == 5
     assert tables.people.agg(F.sum("entered")).first()[0] == 5
 
@@ -170,11 +180,11 @@ def test_literal_best_group_needs_no_shuffle(spark):
 
 def test_filed_group_join_is_broadcast(spark):
     entries = entries_frame(spark, ENTRIES)
-    plan = plan_of(audit_detail(entries, rules_frame(spark, RULES), company_evidence(entries)))
+    plan = plan_of(review_detail(entries, rules_frame(spark, RULES), company_evidence(entries)))
     assert "BroadcastHashJoin [category" in plan
 
 
 def test_adapter_covers_all_outcomes(spark):
-    detail = QUERIES["audit_detail"](spark, "/root/testdata/sf0.001")
+    detail = QUERIES["review_detail"](spark, "/root/testdata/sf0.001")
     outcomes = {(r[0], r[1]) for r in detail.select("审计结果", "错误类型").distinct().collect()}
     assert len(outcomes) == 6
