@@ -4,10 +4,14 @@ Each text gets PERMUTATIONS minima over its distinct word shingles. Bands of who
 minimum the two low bits are kept, packed into four 64-bit words; the share of equal two-bit values, corrected for chance
 collisions, estimates the similarity by counting bits. Candidates above a safe estimate are decided on the full shingle sets.
 
+A second sketch prunes without error: of SKETCH_BITS buckets, the parity of the number of shingles that fall into each. Two
+sketches differ in at most as many bits as the sets differ in shingles.
+
 Groups of any size: texts with equal sets are one class with one representative. Within a band, members are first compared with
 one pivot only, so a group of copies needs a link per member, not one per pair; verified links are merged into components, and
-pivots are drawn anew while much is unresolved. Then only members outside a band's largest component are compared with the rest,
-and only across components. That leaves out no link between components.
+pivots are drawn anew while much is unresolved and that helps. Then only members outside a band's largest component are compared
+with the rest, and only across components. That leaves out no link between components. Both sketches are at hand where pairs are
+made, so pairs that they rule out are never written or sent.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import ASCII_LOWER, materialize, texts
@@ -25,8 +29,10 @@ PERMUTATIONS, LOW_BITS = 128, 2
 MISS = 1e-6
 #: Standard deviations of the estimate a linked pair may lie below the threshold.
 SAFE = 5.0
-#: Pairs left for the last comparison, per class and in all, at which it runs instead of another pivot.
-LEFT_PER_CLASS, LEFT_ALWAYS = 20, 1_000_000
+SKETCH_BITS = 512
+#: Pairs left for the last comparison, per class and in all, at which it runs instead of another pivot: sketches of so many are
+#: compared in less time than the signature of a text takes.
+LEFT_PER_CLASS, LEFT_ALWAYS = 500, 1_000_000
 MAX_PIVOTS = 12
 
 
@@ -102,6 +108,12 @@ def packed(best: np.ndarray) -> list[int]:
     return (low << (2 * np.arange(32, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).astype(np.int64).tolist()
 
 
+def parities(hashes: np.ndarray) -> list[int]:
+    """SKETCH_BITS parities of the counts of hashes per bucket, as signed 64-bit words."""
+    counts = np.bincount((hashes * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
 def band_keys(best: np.ndarray, bands: int, rows: int) -> list[int]:
     out = np.arange(1, bands + 1, dtype=np.uint64)
     grid = best[: bands * rows].reshape(bands, rows).astype(np.uint64)
@@ -121,8 +133,13 @@ def estimate(left: str, right: str):
     return (equal / PERMUTATIONS - chance) / (1 - chance)
 
 
+def least_difference(left: str, right: str):
+    """The sets differ in at least so many shingles: the bits in which their parities differ."""
+    return sum((F.bit_count(F.col(left)[k].bitwiseXOR(F.col(right)[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
+
+
 def signatures(docs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """doc_id, n_shingles, c1, c2 (128-bit hash of the set), sig, keys; the last two null for empty sets."""
+    """doc_id, n_shingles, c1, c2 (128-bit hash of the set), sig, odd, keys; the last three null for empty sets."""
     bands, rows = bands_for(threshold)
 
     def sign(batches):
@@ -141,14 +158,15 @@ def signatures(docs: DataFrame, size: int, threshold: float) -> DataFrame:
                 out["c2"].append(int.from_bytes(whole[8:], "little", signed=True))
                 best = minima(hashes) if len(hashes) else None
                 out["sig"].append(packed(best) if best is not None else None)
+                out["odd"].append(parities(hashes) if best is not None else None)
                 out["keys"].append(band_keys(best, bands, rows) if best is not None else None)
             yield pa.RecordBatch.from_pydict(out, schema=OUT)
 
     import pyarrow as pa
 
     LONGS = pa.list_(pa.int64())
-    OUT = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sig", LONGS), ("keys", LONGS)])
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, c1 long, c2 long, sig array<long>, keys array<long>")
+    OUT = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sig", LONGS), ("odd", LONGS), ("keys", LONGS)])
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, c1 long, c2 long, sig array<long>, odd array<long>, keys array<long>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -183,7 +201,7 @@ def components(links: DataFrame) -> DataFrame:
     """id, component (smallest id reachable) of every end of a link (a, b).
 
     Alternates a step that links every larger neighbour to the smallest one with a step that links every smaller neighbour to
-    it, until nothing changes; each round is a table in the shared folder.
+    it, until every id is linked with one smaller id that has no smaller one; each round is a table in the shared folder.
     """
 
     def against_least(edges: DataFrame) -> DataFrame:
@@ -191,18 +209,18 @@ def components(links: DataFrame) -> DataFrame:
         least = edges.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("least"))
         return edges.join(least, "u")
 
-    def mark(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+    def unfinished(edges: DataFrame) -> bool:
+        ends = edges.selectExpr("u AS id", "1 AS up", "0 AS down").union(edges.selectExpr("v", "0", "1"))
+        of_id = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return bool(of_id.agg(F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0])
 
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links")
-    before, now = None, mark(edges)
-    while now != before:
+    while unfinished(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = against_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
         small = against_least(large)
         small = small.select(F.explode(F.array("u", "v")).alias("u"), F.col("least").alias("v")).filter("u != v").distinct()
         edges = materialize(small, "links")
-        before, now = now, mark(edges)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
@@ -217,54 +235,51 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     threshold = percent / 100
     signed = materialize(signatures(docs, size, threshold), "signatures")
     usable = signed.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    # Equal sets: one representative, the smallest doc_id.
-    classes = materialize(usable.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "classes")
-    same = usable.select("c1", "c2", "doc_id", "sig", "keys").join(classes, ["c1", "c2"]).filter(F.col("doc_id") == F.col("rep"))
-    reps = materialize(same.dropDuplicates(["rep", "c1", "c2"]).select("rep", "c1", "c2", "sig", "keys"), "representatives")
-    # A doc_id of rows with different texts represents several classes: such are one node.
-    sigs = materialize(reps.groupBy("rep").agg(F.min("sig").alias("sig"), F.count("*").alias("n")), "packed-signatures")
-    keyed = reps.select("rep", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = materialize(keyed.join(shared, "key").distinct(), "band-members")
+    # Equal sets, hence equal signatures: one representative, the smallest doc_id.
+    same = [F.first(name).alias(name) for name in ("n_shingles", "sig", "odd", "keys")]
+    classes = materialize(usable.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), *same), "classes")
+    # h is a draw without ties: xxhash64 of one long is one-to-one. A band's first pivot is the member with the lowest h.
+    keyed = classes.select("rep", "c1", "c2", F.xxhash64("rep").alias("h"), F.explode("keys").alias("key"))
+    bounds = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high")
+    narrow = keyed.join(materialize(bounds.select("key", "low"), "bands"), "key")
+    members = materialize(narrow.join(classes.select("c1", "c2", "n_shingles", "sig", "odd"), ["c1", "c2"]).drop("c1", "c2"), "band-members")
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialize(full_sets(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi"), size), "shingle-sets")
 
-    def promising(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose estimate does not rule a link out."""
-        left = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("left_sig"), F.col("n").alias("n_a"))
-        right = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("right_sig"), F.col("n").alias("n_b"))
-        both = pairs.join(left, "a").join(right, "b")
-        many = (F.col("n_a") > 1) | (F.col("n_b") > 1)
-        return both.filter(many | (estimate("left_sig", "right_sig") >= least_estimate(threshold))).select("a", "b")
-
-    def ordered(left: str, right: str) -> list:
-        return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
+    def compared(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Linked pairs (a, b) of different components within a band: those that neither sketch rules out, decided on full sets."""
+        right = right.select("key", *(F.col(name).alias(f"{name}_b") for name in ("rep", "label", "n_shingles", "sig", "odd")))
+        both = F.col("n_shingles") + F.col("n_shingles_b")
+        # 100 * intersection >= percent * union, in terms of the difference.
+        close = (100 + percent) * least_difference("odd", "odd_b") <= (100 - percent) * both
+        near = (F.col("label") != F.col("label_b")) & close & (estimate("sig", "sig_b") >= least_estimate(threshold))
+        ends = F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")
+        pairs = left.join(right, "key").filter(near).select(*ends).distinct()
+        return materialize(verified(materialize(pairs, "pairs"), sets, percent), "links")
 
     labelled = members.withColumn("label", F.col("rep"))
-    links = None
+    pivots, links, before = labelled.filter("h = low"), None, None
     n_classes = classes.count()
-    for turn in range(MAX_PIVOTS):
-        # A pivot per band, drawn by hash; members of other components are compared with it.
-        drawn = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("pivot"), F.col("label").alias("pivot_label"))
-        pivots = labelled.groupBy("key").agg(F.min(drawn).alias("p")).select("key", "p.pivot", "p.pivot_label")
-        pairs = labelled.join(pivots, "key").filter("label != pivot_label").select(*ordered("rep", "pivot")).distinct()
-        found = materialize(verified(materialize(promising(pairs), "pairs"), sets, percent), "links")
+    for turn in range(1, MAX_PIVOTS + 1):
+        found = compared(labelled, pivots)
         links = found if links is None else links.unionByName(found)
         merged = components(links)
-        labelled = members.join(merged, members.rep == merged.id, "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
+        links = merged.select(F.col("component").alias("a"), F.col("id").alias("b"))
+        labelled = members.join(merged, members.rep == merged.id, "left").withColumn("label", F.coalesce("component", "rep")).drop("id", "component")
         labelled = materialize(labelled, "labelled")
         parts = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-        of_key = Window.partitionBy("key")
-        parts = parts.withColumns({"all": F.sum("n").over(of_key), "rank": F.row_number().over(of_key.orderBy(F.desc("n"), "label"))})
-        minor = parts.filter("rank > 1").select("key", "label", "n", "all")
-        left = minor.agg(F.sum(F.col("n") * F.col("all")).alias("pairs")).first()["pairs"] or 0
-        if left <= max(LEFT_ALWAYS, LEFT_PER_CLASS * n_classes):
+        tops = parts.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top")).filter("all > top.n")
+        tops = materialize(tops.select("key", F.col("top.label").alias("top"), (F.col("all") * (F.col("all") - F.col("top.n"))).alias("left")), "largest-parts")
+        left = tops.agg(F.sum("left")).first()[0] or 0
+        if left <= max(LEFT_ALWAYS, LEFT_PER_CLASS * n_classes) or (before is not None and 2 * left > before):
             break
+        before = left
+        draw = labelled.select("key", F.xxhash64("rep", F.lit(turn)).alias("low")).groupBy("key").agg(F.min("low").alias("draw"))
+        pivots = labelled.join(draw, "key").filter(F.xxhash64("rep", F.lit(turn)) == F.col("draw"))
     if left:
-        outside = labelled.join(minor.select("key", "label"), ["key", "label"]).select("key", F.col("rep").alias("x"), F.col("label").alias("x_label"))
-        pairs = outside.join(labelled, "key").filter("x_label != label").select(*ordered("x", "rep")).distinct()
-        found = materialize(verified(materialize(promising(pairs), "pairs"), sets, percent), "links")
-        merged = components(links.unionByName(found))
+        outside = labelled.join(tops.select("key", "top"), "key").filter("label != top")
+        # Pairs with a band's first pivot are decided.
+        merged = components(links.unionByName(compared(outside.filter("h != low"), labelled.filter("h != low"))))
     named = classes.join(merged, classes.rep == merged.id, "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     placed = signed.join(named, ["c1", "c2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
