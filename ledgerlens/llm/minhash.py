@@ -242,19 +242,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     keyed = classes.select("rep", "c1", "c2", F.xxhash64("rep").alias("h"), F.explode("keys").alias("key"))
     bounds = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high")
     narrow = keyed.join(materialize(bounds.select("key", "low"), "bands"), "key")
-    members = materialize(narrow.join(classes.select("c1", "c2", "n_shingles", "sig", "odd"), ["c1", "c2"]).drop("c1", "c2"), "band-members")
+    members = materialize(narrow.join(classes.select("c1", "c2", "n_shingles", "sig", "odd", "keys"), ["c1", "c2"]).drop("c1", "c2"), "band-members")
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialize(full_sets(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi"), size), "shingle-sets")
 
-    def compared(left: DataFrame, right: DataFrame) -> DataFrame:
+    def compared(left: DataFrame, right: DataFrame, once=F.lit(True)) -> DataFrame:
         """Linked pairs (a, b) of different components within a band: those that neither sketch rules out, decided on full sets."""
-        right = right.select("key", *(F.col(name).alias(f"{name}_b") for name in ("rep", "label", "n_shingles", "sig", "odd")))
+        right = right.select("key", *(F.col(name).alias(f"{name}_b") for name in ("rep", "label", "n_shingles", "sig", "odd", "keys")))
         both = F.col("n_shingles") + F.col("n_shingles_b")
         # 100 * intersection >= percent * union, in terms of the difference.
         close = (100 + percent) * least_difference("odd", "odd_b") <= (100 - percent) * both
         near = (F.col("label") != F.col("label_b")) & close & (estimate("sig", "sig_b") >= least_estimate(threshold))
         ends = F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")
-        pairs = left.join(right, "key").filter(near).select(*ends).distinct()
+        pairs = left.join(right, "key").filter(near & once).select(*ends).distinct()
         return materialize(verified(materialize(pairs, "pairs"), sets, percent), "links")
 
     labelled = members.withColumn("label", F.col("rep"))
@@ -278,8 +278,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         pivots = labelled.join(draw, "key").filter(F.xxhash64("rep", F.lit(turn)) == F.col("draw"))
     if left:
         outside = labelled.join(tops.select("key", "top"), "key").filter("label != top")
-        # Pairs with a band's first pivot are decided.
-        merged = components(links.unionByName(compared(outside.filter("h != low"), labelled.filter("h != low"))))
+        # Pairs with a band's first pivot are decided. Of all bands a pair shares, the first one makes it, and in one order only.
+        once = ((F.col("label_b") == F.col("top")) | (F.col("rep") < F.col("rep_b"))) & (F.array_intersect("keys", "keys_b")[0] == F.col("key"))
+        merged = components(links.unionByName(compared(outside.filter("h != low"), labelled.filter("h != low"), once)))
     named = classes.join(merged, classes.rep == merged.id, "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     placed = signed.join(named, ["c1", "c2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
