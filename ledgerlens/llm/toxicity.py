@@ -140,7 +140,10 @@ class Vocabulary:
         self.memo = _Memo(self._chunk)
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        return tuple(self.number[f] for f in hashed(chunk).tolist() if f in self.number)
+        get = self.number.get
+        known = {get(_hash(f)) for word in WORD.findall(chunk) for f in word_features(word)}
+        known.discard(None)
+        return tuple(known)
 
     def of(self, own_chunks) -> set[int]:
         return set().union(*map(self.memo.__getitem__, own_chunks))
@@ -171,7 +174,7 @@ class Model:
         if self.vocabulary is None:
             self.vocabulary = Vocabulary(self.features)
         numbers = self.vocabulary.of(chunks(text or ""))
-        return _sigmoid(self.bias + sum(self.weights[k] for k in sorted(numbers)))
+        return float(_sigmoid(self.bias + self.weights[sorted(numbers)].sum() if numbers else self.bias))
 
 
 def _sigmoid(x):
