@@ -14,13 +14,15 @@ SYMBOL_BITS^2 / length.
 
 from __future__ import annotations
 
+import functools
+import io
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import materialize, texts
+from ledgerlens.llm.common import filesystem, materialize, new_folder, texts, write_target
 
 ORDER = 4
 CLASSES = 64
@@ -38,8 +40,8 @@ STEPS = 1000
 #: Least robust deviation, in bits: guards languages with a handful of documents.
 LEAST_DEVIATION = 0.02
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW_WORDS = 20, 30, 8
-#: Languages with models of their own; all further ones share one. Bounds the models a task holds.
-MAX_LANGUAGES = 32
+#: Models a scoring task holds at a time; a further language's model is read when its documents come.
+HELD_MODELS = 4
 COUNTED = 4_000_000
 SYMBOLS = "#*$%&|<>"
 
@@ -80,31 +82,33 @@ def ngrams(text: str) -> np.ndarray:
     return out
 
 
-def language_key(lang, kept: frozenset) -> str:
-    return lang if lang in kept else ""
+def language_key(lang) -> str:
+    """Every language has its own model; documents without one (null or empty) share one."""
+    return lang or ""
 
 
-def count_ngrams(docs: DataFrame, languages: frozenset) -> DataFrame:
+def count_ngrams(docs: DataFrame) -> DataFrame:
     """lang, code, n over all whole texts; tasks count some millions at a time, the rest is a map-side combined sum."""
 
     def count(batches):
         import pyarrow as pa
 
         held: dict[str, list[np.ndarray]] = {}
-        sizes: dict[str, int] = {}
+        total = 0
 
         def counted(lang):
             codes, n = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
-            sizes.pop(lang)
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
 
         for text, lang in texts(batches, ["text", "lang"], 200):
             if text:
-                lang = language_key(lang, languages)
+                lang = language_key(lang)
                 held.setdefault(lang, []).append(ngrams(text))
-                sizes[lang] = sizes.get(lang, 0) + len(text)
-                if sizes[lang] >= COUNTED:
-                    yield counted(lang)
+                total += len(text)
+                if total >= COUNTED:  # of all languages together, so many small ones are bounded too
+                    for one in list(held):
+                        yield counted(one)
+                    total = 0
         for lang in list(held):
             yield counted(lang)
 
@@ -204,44 +208,30 @@ class KneserNey:
         return tuple(float(q) for q in np.quantile(-means, (0.25, 0.5, 0.75)))
 
 
-def train(docs: DataFrame) -> dict[str, KneserNey]:
-    """A model per language from all documents. The arrays of a language hold 64^4 numbers at most (64 to 300 MB; real text has
-    some hundred thousand), those of all languages MAX_LANGUAGES times that."""
-    by_size = docs.groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("lang").isNotNull() & (F.col("lang") != ""))
-    languages = frozenset(r["lang"] for r in by_size.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect())
+def train(docs: DataFrame) -> DataFrame:
+    """lang_key, uri: a model file in the shared folder for every language, from all documents. A group of the build is one
+    language's counts (64^4 rows at most); nothing is collected. A repeated task writes another file; only files of the table count."""
+    folder = new_folder(docs.sparkSession, "kneser-ney-files")
 
     def build(table):
         import pyarrow as pa
 
         model = KneserNey.build(table.column("code").to_numpy(), table.column("n").to_numpy())
-        names, orders, kinds, keys, values = [], [], [], [], []
-        for k in range(ORDER):
-            for kind, key, value in (("ngram", model.codes[k], model.logs[k]), ("context", model.contexts[k], model.weights[k])):
-                orders.append(np.full(len(key), k + 1, np.int32))
-                kinds.append([kind] * len(key))
-                keys.append(key)
-                values.append(value)
-        n = sum(map(len, keys))
-        names = [table.column("lang")[0].as_py()] * n
-        return pa.table([names, np.concatenate(orders), sum(kinds, []), np.concatenate(keys), np.concatenate(values)], names=["lang", "k", "kind", "key", "value"])
-
-    schema = "lang string, k int, kind string, key long, value float"
-    # One group per language, of 64^4 rows at most.
-    rows = materialize(count_ngrams(docs, languages).groupBy("lang").applyInArrow(build, schema), "kneser-ney").toArrow()
-    models = {}
-    langs = np.array(rows.column("lang").to_pylist())
-    kinds = np.array(rows.column("kind").to_pylist())
-    orders, keys, values = (rows.column(c).to_numpy() for c in ("k", "key", "value"))
-    for lang in sorted(set(langs.tolist())):
-        parts = {"ngram": ([], []), "context": ([], [])}
-        for kind, (own_keys, own_values) in parts.items():
-            for k in range(1, ORDER + 1):
-                at = np.flatnonzero((langs == lang) & (kinds == kind) & (orders == k))
-                at = at[np.argsort(keys[at])]
-                own_keys.append(keys[at])
-                own_values.append(values[at])
-        models[lang] = KneserNey(*parts["ngram"], *parts["context"])
-    return models
+        out, uri = write_target(folder, ".npz")
+        with out:
+            held = io.BytesIO()
+            np.savez(held, **{f"{name}{k}": own[k] for name, own in vars(model).items() for k in range(ORDER)})
+            out.write(held.getvalue())
+        return pa.table([[table.column("lang")[0].as_py()], [uri]], names=["lang_key", "uri"])
+
+    return materialize(count_ngrams(docs).groupBy("lang").applyInArrow(build, "lang_key string, uri string"), "kneser-ney")
+
+
+def load(uri: str) -> KneserNey:
+    system, path = filesystem(uri)
+    with system.open_input_file(path) as file:
+        arrays = np.load(io.BytesIO(file.read()))
+    return KneserNey(*([arrays[f"{name}{k}"] for k in range(ORDER)] for name in ("codes", "logs", "contexts", "weights"))).prepare()
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -278,23 +268,17 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), word_chars, n_symbols, n_dup, n_repeat
 
 
-def score(docs: DataFrame, models: dict[str, KneserNey]) -> DataFrame:
+def score(docs: DataFrame, models: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, lang_key, quartiles of bits and n_chars per document. Null and empty texts have 0 everywhere and fail."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    known = frozenset(models)
-
     def scan(batches):
         import pyarrow as pa
 
-        ready: dict[str, KneserNey] = {}
+        ready = functools.lru_cache(maxsize=HELD_MODELS)(load)
         for batch in batches:
             rows = []
-            for doc_id, text, lang in texts([batch], ["doc_id", "text", "lang"], 200):
-                key, bits = language_key(lang, known), (0.0, 0.0, 0.0)
-                if text:
-                    if key not in ready:
-                        ready[key] = shared.value[key].prepare()
-                    bits = ready[key].bits(text)
+            batch = batch.sort_by("lang_key")  # a model is read once a batch at most
+            for doc_id, text, key, uri in texts([batch], ["doc_id", "text", "lang_key", "uri"], 200):
+                bits = ready(uri).bits(text) if text else (0.0, 0.0, 0.0)
                 n_words, word_chars, n_symbols, n_dup, n_repeat = base_counts(text or "")
                 failed = n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * n_words
                 rows.append((doc_id, n_words, word_chars, n_symbols, n_dup, n_repeat, failed, key, *bits, len(text or "")))
@@ -306,7 +290,8 @@ def score(docs: DataFrame, models: dict[str, KneserNey]) -> DataFrame:
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     OUT = pa.schema([*((n, pa.int64()) for n in names), ("base_failed", pa.bool_()), ("lang_key", pa.string()), ("easy_bits", pa.float64()), ("bits", pa.float64()), ("hard_bits", pa.float64()), ("n_chars", pa.int64())])
     schema = ", ".join(f"{n} long" for n in names) + ", base_failed boolean, lang_key string, easy_bits double, bits double, hard_bits double, n_chars long"
-    return docs.select("doc_id", "text", "lang").mapInArrow(scan, schema)
+    keyed = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang_key"))
+    return keyed.join(F.broadcast(models), "lang_key", "left").select("doc_id", "text", "lang_key", "uri").mapInArrow(scan, schema)
 
 
 def bands(scored: DataFrame) -> DataFrame:
@@ -332,11 +317,11 @@ def quality(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, the base counts, base_failed, kept, lang_key, perplexity, lower_perplexity, upper_perplexity.
 
     A language without any document that passes the base rules has no band (null) and keeps nothing else than base failures
-    would leave, which is nothing. Documents of null, empty or rare languages share one model and band.
+    would leave, which is nothing. Documents of null and empty languages share one model and band.
     """
     slim = docs.select("doc_id", "text", "lang")
     scored = materialize(score(slim, train(slim)), "perplexity")
-    joined = scored.join(F.broadcast(bands(scored)), "lang_key", "left")  # a row per language, MAX_LANGUAGES + 1 at most
+    joined = scored.join(F.broadcast(bands(scored)), "lang_key", "left")  # a narrow row per language
     width = F.sqrt(F.col("spread") ** 2 + SYMBOL_BITS**2 / F.greatest("n_chars", F.lit(1)))
     joined = joined.withColumns({"lower_bits": F.col("center") - LOWER_DEVIATIONS * width, "upper_bits": F.col("center") + UPPER_DEVIATIONS * width})
     inside = F.coalesce((F.col("easy_bits") <= F.col("upper_bits")) & (F.col("hard_bits") >= F.col("lower_bits")), F.lit(False))
