@@ -324,7 +324,9 @@ def quality(docs: DataFrame) -> DataFrame:
     joined = scored.join(F.broadcast(bands(scored)), "lang_key", "left")  # a narrow row per language
     width = F.sqrt(F.col("spread") ** 2 + SYMBOL_BITS**2 / F.greatest("n_chars", F.lit(1)))
     joined = joined.withColumns({"lower_bits": F.col("center") - LOWER_DEVIATIONS * width, "upper_bits": F.col("center") + UPPER_DEVIATIONS * width})
-    inside = F.coalesce((F.col("easy_bits") <= F.col("upper_bits")) & (F.col("hard_bits") >= F.col("lower_bits")), F.lit(False))
+    # The document's own figure decides; the stretches can only reject further: those that are odd throughout.
+    throughout = (F.col("easy_bits") <= F.col("upper_bits")) & (F.col("hard_bits") >= F.col("lower_bits"))
+    inside = F.coalesce(F.col("bits").between(F.col("lower_bits"), F.col("upper_bits")) & throughout, F.lit(False))
     power = lambda c: F.pow(F.lit(2.0), F.col(c))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -17,3 +17,15 @@ def test_every_language_has_its_own_model_and_band(spark):
     out = perplexity.quality(docs_frame(spark, rows)).collect()
     assert {r["lang_key"] for r in out} == set(words)
     assert len({(r["lang_key"], r["upper_perplexity"]) for r in out}) >= 40
+
+
+def test_perplexity_beyond_its_band_is_not_kept(spark):
+    rng = random.Random(6)
+    words = "the river and stone cloud window paper garden summer letter music number of a is was with".split()
+    rows = [(k, prose(rng, words, 300), "en", "s") for k in range(120)]
+    junk = lambda n: "".join(rng.choices("qxzjkvwpfb ", k=n))
+    rows.append((900, junk(2800) + " " + prose(rng, words, 220), "en", "s"))  # 70 percent gibberish
+    out = {r["doc_id"]: r for r in perplexity.quality(docs_frame(spark, rows)).collect()}
+    assert not out[900]["base_failed"] and not out[900]["kept"]
+    assert all(r["lower_perplexity"] <= r["perplexity"] <= r["upper_perplexity"] for r in out.values() if r["kept"])
+    assert sum(r["kept"] for r in out.values()) >= 110
