@@ -6,10 +6,12 @@ classes (letters, accented letters, classes of punctuation; capitals are one cla
 symbol, a hash without collisions, and there are 64^4 of them at most however large the corpus is: that bounds the model.
 The model is stored as arrays sorted by that number, with a directory over contexts.
 
-A document's bits per symbol are taken over stretches. It is rejected if even its easy quarter lies above the band of its
-language, or its hard quarter below: if it is odd throughout. Bands come from all documents that pass the base rules: median
-plus and minus some robust deviations. The mean over a short text varies more, so a band is wider there, by the variance
-SYMBOL_BITS^2 / length.
+A second model, of 5-grams of real code points, grows with the corpus and judges the whole text (codepoints.py).
+
+A document is kept if its bits per symbol (median over stretches) and its bits per code point (whole text) lie in the bands of
+its language, and if it is not odd throughout: its easy quarter above the band, or its hard quarter below. Bands come from all
+documents that pass the base rules: median plus and minus some robust deviations. The mean over a short text varies more, so a
+band is wider there, by the variance SYMBOL_BITS^2 / length.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.llm import codepoints
 from ledgerlens.llm.common import filesystem, materialize, new_folder, texts, write_target
 
 ORDER = 4
@@ -34,6 +37,8 @@ UPPER, LETTER = 61, 62
 LOWER_DEVIATIONS, UPPER_DEVIATIONS = 4.0, 4.0
 #: Deviation of a symbol's bits, as far as it shows in means over short texts.
 SYMBOL_BITS = 1.0
+#: The same of a code point's bits under the model of code points, whose errors come in words.
+POINT_BITS = 3.0
 STRETCH = 200
 #: Bits per symbol are held in steps of 1/STEPS for the bands.
 STEPS = 1000
@@ -268,35 +273,52 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), word_chars, n_symbols, n_dup, n_repeat
 
 
-def score(docs: DataFrame, models: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed, lang_key, quartiles of bits and n_chars per document. Null and empty texts have 0 everywhere and fail."""
+def score(docs: DataFrame, models: DataFrame, grown: tuple[str, int]) -> DataFrame:
+    """doc_id, the base counts, base_failed, lang_key, quartiles of bits, bits per code point of the whole text and n_chars per
+    document. Null and empty texts have 0 everywhere and fail. models is of train, grown of codepoints.train."""
+
     def scan(batches):
         import pyarrow as pa
 
         ready = functools.lru_cache(maxsize=HELD_MODELS)(load)
-        for batch in batches:
+        reader = codepoints.Reader(*grown)
+
+        def rows_of(taken):
+            whole = codepoints.bits(reader, [(text, key) for _, text, key, _ in taken])
             rows = []
-            batch = batch.sort_by("lang_key")  # a model is read once a batch at most
-            for doc_id, text, key, uri in texts([batch], ["doc_id", "text", "lang_key", "uri"], 200):
+            for (doc_id, text, key, uri), point_bits in zip(taken, whole, strict=True):
                 bits = ready(uri).bits(text) if text else (0.0, 0.0, 0.0)
                 n_words, word_chars, n_symbols, n_dup, n_repeat = base_counts(text or "")
                 failed = n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * n_words
-                rows.append((doc_id, n_words, word_chars, n_symbols, n_dup, n_repeat, failed, key, *bits, len(text or "")))
-            columns = list(zip(*rows, strict=True)) or [[]] * 12
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, OUT.types, strict=True)], schema=OUT)
+                rows.append((doc_id, n_words, word_chars, n_symbols, n_dup, n_repeat, failed, key, *bits, point_bits, len(text or "")))
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, OUT.types, strict=True)], schema=OUT)
+
+        for batch in batches:
+            taken, size = [], 0
+            batch = batch.sort_by("lang_key")  # a model is read once a batch at most
+            for row in texts([batch], ["doc_id", "text", "lang_key", "uri"], 200):
+                taken.append(row)
+                size += len(row[1] or "")
+                if size >= codepoints.TAKEN:
+                    yield rows_of(taken)
+                    taken, size = [], 0
+            if taken:
+                yield rows_of(taken)
 
     import pyarrow as pa
 
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    OUT = pa.schema([*((n, pa.int64()) for n in names), ("base_failed", pa.bool_()), ("lang_key", pa.string()), ("easy_bits", pa.float64()), ("bits", pa.float64()), ("hard_bits", pa.float64()), ("n_chars", pa.int64())])
-    schema = ", ".join(f"{n} long" for n in names) + ", base_failed boolean, lang_key string, easy_bits double, bits double, hard_bits double, n_chars long"
+    bits = ("easy_bits", "bits", "hard_bits", "point_bits")
+    OUT = pa.schema([*((n, pa.int64()) for n in names), ("base_failed", pa.bool_()), ("lang_key", pa.string()), *((n, pa.float64()) for n in bits), ("n_chars", pa.int64())])
+    schema = ", ".join(f"{n} long" for n in names) + ", base_failed boolean, lang_key string, " + ", ".join(f"{n} double" for n in bits) + ", n_chars long"
     keyed = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang_key"))
     return keyed.join(F.broadcast(models), "lang_key", "left").select("doc_id", "text", "lang_key", "uri").mapInArrow(scan, schema)
 
 
-def bands(scored: DataFrame) -> DataFrame:
-    """lang_key, center, spread (in bits) from all documents that pass the base rules; exact over steps of 1/STEPS bit."""
-    at = F.floor(F.col("bits") * STEPS)
+def bands(scored: DataFrame, bits: str = "bits") -> DataFrame:
+    """lang_key, center, spread (of a column in bits) from all documents that pass the base rules; exact over steps of 1/STEPS bit."""
+    at = F.floor(F.col(bits) * STEPS)
     counted = scored.filter(~F.col("base_failed")).groupBy("lang_key", at.alias("step")).agg(F.count("*").alias("n"))
     middle = _median(counted, "step").withColumnRenamed("median", "middle")
     away = counted.join(middle, "lang_key").withColumn("away", F.abs(F.col("step") - F.col("middle")))
@@ -314,22 +336,31 @@ def _median(counted: DataFrame, value: str) -> DataFrame:
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, the base counts, base_failed, kept, lang_key, perplexity, lower_perplexity, upper_perplexity.
+    """Per document: doc_id, the base counts, base_failed, kept, lang_key, perplexity, lower_perplexity, upper_perplexity
+    (median stretch, symbol classes), document_perplexity and its limits (whole text, code points).
 
     A language without any document that passes the base rules has no band (null) and keeps nothing else than base failures
     would leave, which is nothing. Documents of null and empty languages share one model and band.
     """
     slim = docs.select("doc_id", "text", "lang")
-    scored = materialize(score(slim, train(slim)), "perplexity")
-    joined = scored.join(F.broadcast(bands(scored)), "lang_key", "left")  # a narrow row per language
-    width = F.sqrt(F.col("spread") ** 2 + SYMBOL_BITS**2 / F.greatest("n_chars", F.lit(1)))
-    joined = joined.withColumns({"lower_bits": F.col("center") - LOWER_DEVIATIONS * width, "upper_bits": F.col("center") + UPPER_DEVIATIONS * width})
-    # The document's own figure decides; the stretches can only reject further: those that are odd throughout.
+    scored = materialize(score(slim, train(slim), codepoints.train(slim)), "perplexity")
+    points = bands(scored, "point_bits").withColumnsRenamed({"center": "point_center", "spread": "point_spread"})
+    # A narrow row per language.
+    joined = scored.join(F.broadcast(bands(scored)), "lang_key", "left").join(F.broadcast(points), "lang_key", "left")
+    limits = {}
+    for prefix, symbol_bits in (("", SYMBOL_BITS), ("point_", POINT_BITS)):
+        width = F.sqrt(F.col(f"{prefix}spread") ** 2 + symbol_bits**2 / F.greatest("n_chars", F.lit(1)))
+        center = F.col(f"{prefix}center")
+        limits |= {f"{prefix}lower_bits": center - LOWER_DEVIATIONS * width, f"{prefix}upper_bits": center + UPPER_DEVIATIONS * width}
+    joined = joined.withColumns(limits)
+    # The document's own figures decide; the stretches can only reject further: those that are odd throughout.
+    whole = F.col("bits").between(F.col("lower_bits"), F.col("upper_bits")) & F.col("point_bits").between(F.col("point_lower_bits"), F.col("point_upper_bits"))
     throughout = (F.col("easy_bits") <= F.col("upper_bits")) & (F.col("hard_bits") >= F.col("lower_bits"))
-    inside = F.coalesce(F.col("bits").between(F.col("lower_bits"), F.col("upper_bits")) & throughout, F.lit(False))
+    inside = F.coalesce(whole & throughout, F.lit(False))
     power = lambda c: F.pow(F.lit(2.0), F.col(c))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & inside).alias("kept"),
         "lang_key", power("bits").alias("perplexity"), power("lower_bits").alias("lower_perplexity"), power("upper_bits").alias("upper_perplexity"),
+        power("point_bits").alias("document_perplexity"), power("point_lower_bits").alias("lower_document_perplexity"), power("point_upper_bits").alias("upper_document_perplexity"),
     )

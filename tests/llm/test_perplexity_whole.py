@@ -1,8 +1,12 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
-from ledgerlens.llm import perplexity
+import numpy as np
+import pytest
+
+from ledgerlens.llm import codepoints, perplexity
 from tests.llm.helpers import docs_frame
 
 
@@ -29,3 +33,45 @@ def test_perplexity_beyond_its_band_is_not_kept(spark):
     assert not out[900]["base_failed"] and not out[900]["kept"]
     assert all(r["lower_perplexity"] <= r["perplexity"] <= r["upper_perplexity"] for r in out.values() if r["kept"])
     assert sum(r["kept"] for r in out.values()) >= 110
+
+
+def test_junk_in_a_script_without_symbol_classes_is_not_kept(spark):
+    rng = random.Random(7)
+    words = "ποταμός πέτρα σύννεφο παράθυρο χαρτί κήπος καλοκαίρι γράμμα μουσική αριθμός και το ένα είναι με".split()
+    rows = [(k, prose(rng, words, 300), "el", "s") for k in range(120)]
+    letters = "".join(words)
+    rows.append((900, " ".join("".join(rng.choices(letters, k=len(rng.choice(words)))) for _ in range(300)), "el", "s"))
+    out = {r["doc_id"]: r for r in perplexity.quality(docs_frame(spark, rows)).collect()}
+    assert not out[900]["base_failed"] and not out[900]["kept"]
+    assert out[900]["document_perplexity"] > out[900]["upper_document_perplexity"]
+    assert sum(r["kept"] for r in out.values()) >= 110
+
+
+def test_code_point_model_matches_a_plain_version(spark):
+    texts = ["the cat sat on the mat, the cat ran. THE END! " * 3 + "zq", "το σπίτι and the cat ran on", "a mat sat there"] + [f"the {w} sat" for w in ("mat", "hat", "bat", "dog", "rat ran", "cat ran", "end", "zoo", "owl")]
+    assert {codepoints.half(text) for text in texts} == {0, 1}
+    reader = codepoints.Reader(*codepoints.train(docs_frame(spark, list(enumerate(texts)))))
+    for which in (0, 1):
+        grams = {k: Counter() for k in range(1, 6)}
+        for text in texts:
+            if codepoints.half(text) == which:
+                padded = codepoints.START * 4 + text
+                grams[5].update(padded[k : k + 5] for k in range(len(text)))
+        for k in (4, 3, 2, 1):
+            grams[k].update(gram[1:] for gram in grams[k + 1])
+        cuts = {k: perplexity._discounts(np.array(list(grams[k].values()))) for k in grams}
+
+        def p(gram, grams=grams, cuts=cuts):
+            if not gram:
+                return 1 / (len(grams[1]) + 1)
+            k, below = len(gram), p(gram[1:])
+            after = [n for g, n in grams[k].items() if g[:-1] == gram[:-1]]
+            if not after:
+                return below
+            n = grams[k].get(gram, 0)
+            return (n - cuts[k][min(n, 3)] + sum(cuts[k][min(m, 3)] for m in after) * below) / sum(after)
+
+        asked = ["the c", "e cat", "zzzzz", "q the", "\x02\x02\x02\x02t", "το σπ", "t ran"]
+        rows = np.array([[ord(c) for c in gram] for gram in asked], np.uint32)
+        model = np.full(len(asked), codepoints.model_number("en", which), np.uint64)
+        assert np.exp2(reader.log2(rows, model)) == pytest.approx([p(gram) for gram in asked], rel=1e-4)
