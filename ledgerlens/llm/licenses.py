@@ -21,18 +21,19 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 #: Label, keywords (any of them), name as an expression, address as an expression. More specific ones come first.
 FAMILIES = (
-    ("agpl-3.0", "affero", r"(?:gnu )?affero general public licen[sc]e(?:,? ?v(?:ersion)? ?3(?:\.0)?)?", r"gnu\.org/licenses/agpl"),
-    ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public licen[sc]e,? ?v(?:ersion)? ?3(?:\.0)?", r"gnu\.org/licenses/lgpl-3"),
-    ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public licen[sc]e,? ?v(?:ersion)? ?2\.1", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
-    ("lgpl", "lesser", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", r"gnu\.org/(?:copyleft/lesser|licenses/lgpl)"),
-    ("gpl-3.0", "general public", r"(?:gnu )?general public licen[sc]e,? ?v(?:ersion)? ?3(?:\.0)?", r"gnu\.org/licenses/gpl-3"),
-    ("gpl-2.0", "general public", r"(?:gnu )?general public licen[sc]e,? ?v(?:ersion)? ?2(?:\.0)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2"),
+    ("agpl-3.0", "affero|agpl", r"(?:gnu )?affero general public licen[sc]e(?:,? ?v(?:ersion)? ?3(?:\.0)?)?|\bagpl(?:[ -]?v?3(?:\.0)?)?\b", r"gnu\.org/licenses/agpl"),
+    ("lgpl-3.0", "lesser|lgpl", r"(?:gnu )?lesser general public licen[sc]e,? ?v(?:ersion)? ?3(?:\.0)?|\blgpl[ -]?v?3(?:\.0)?\b", r"gnu\.org/licenses/lgpl-3"),
+    ("lgpl-2.1", "lesser|lgpl", r"(?:gnu )?lesser general public licen[sc]e,? ?v(?:ersion)? ?2\.1|\blgpl[ -]?v?2\.1\b", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
+    ("lgpl-2.0", "library|lgpl", r"(?:gnu )?library general public licen[sc]e,? ?v(?:ersion)? ?2(?:\.0)?|\blgpl[ -]?v?2(?:\.0)?\b(?!\.\d)", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.0"),
+    ("lgpl", "lesser|library|lgpl", r"(?:gnu )?(?:lesser|library) general public licen[sc]e|\blgpl\b", r"gnu\.org/(?:copyleft/lesser|licenses/lgpl)"),
+    ("gpl-3.0", "general public|gpl", r"(?:gnu )?general public licen[sc]e,? ?v(?:ersion)? ?3(?:\.0)?|\bgpl[ -]?v?3(?:\.0)?\b", r"gnu\.org/licenses/gpl-3"),
+    ("gpl-2.0", "general public|gpl", r"(?:gnu )?general public licen[sc]e,? ?v(?:ersion)? ?2(?:\.0)?|\bgpl[ -]?v?2(?:\.0)?\b", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2"),
     ("gpl", "gnu g|gpl", r"gnu (?:general public licen[sc]e|gpl)|\bgpl(?:v[123])?\b", r"gnu\.org/(?:licenses/gpl|copyleft/gpl)"),
     ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[sc]e", r"gnu\.org/(?:licenses|copyleft)/fdl"),
     ("apache-2.0", "apache", r"apache(?: software)? licen[sc]e,? ?v(?:ersion)? ?2(?:\.0)?|\bapache-2\.0\b", r"apache\.org/licenses/license-2\.0"),
     ("apache-1.1", "apache", r"apache(?: software)? licen[sc]e,? ?v(?:ersion)? ?1\.1", r"apache\.org/licenses/license-1\.1"),
     ("apache", "apache", r"apache(?: software)? licen[sc]e", r"apache\.org/licenses"),
-    ("mit", "mit licen|mit/", r"\bmit(?:/x11)? licen[sc]e|\bmit/expat\b", r"opensource\.org/licenses/mit"),
+    ("mit", "mit licen|mit/x11|mit/expat", r"\bmit(?:/x11)? licen[sc]e|\bmit/expat\b", r"opensource\.org/licenses/mit"),
     ("isc", "isc licen", r"\bisc licen[sc]e", r"opensource\.org/licenses/isc"),
     ("bsd-2-clause", "bsd", r"(?:2-clause|simplified|freebsd) bsd licen[sc]e|\bbsd 2-clause\b", r"opensource\.org/licenses/bsd-2-clause"),
     ("bsd-3-clause", "bsd", r"(?:3-clause|new|revised|modified) bsd licen[sc]e|\bbsd 3-clause\b", r"opensource\.org/licenses/bsd-3-clause"),
@@ -53,8 +54,8 @@ FAMILIES = (
     ("cc0", "cc0", r"\bcc0(?:[ -]1\.0)?\b", r"creativecommons\.org/publicdomain/zero"),
     ("cc-by-nc-nd", "-nc-nd|attribution-non", r"\bcc[ -]by-nc-nd\b|attribution-noncommercial-noderiv\w*", r"creativecommons\.org/licenses/by-nc-nd"),
     ("cc-by-nc-sa", "-nc-sa|attribution-non", r"\bcc[ -]by-nc-sa\b|attribution-noncommercial-sharealike", r"creativecommons\.org/licenses/by-nc-sa"),
-    ("cc-by-nc", "by-nc|attribution-non", r"\bcc[ -]by-nc\b|attribution-noncommercial", r"creativecommons\.org/licenses/by-nc"),
-    ("cc-by-sa", "by-sa|attribution-share", r"\bcc[ -]by-sa\b|attribution-share ?alike", r"creativecommons\.org/licenses/by-sa"),
+    ("cc-by-nc", "by-nc|attribution-noncommercial", r"\bcc[ -]by-nc\b|attribution-noncommercial", r"creativecommons\.org/licenses/by-nc"),
+    ("cc-by-sa", "by-sa|attribution-share|attribution share", r"\bcc[ -]by-sa\b|attribution[ -]share ?alike", r"creativecommons\.org/licenses/by-sa"),
     ("cc-by-nd", "by-nd|attribution-nod", r"\bcc[ -]by-nd\b|attribution-noderiv\w*", r"creativecommons\.org/licenses/by-nd"),
     ("cc-by", "cc by|cc-by|creative commons", r"\bcc[ -]by\b(?!-)|creative commons attribution(?!-)", r"creativecommons\.org/licenses/by/"),
     ("cc", "creative commons", r"creative commons(?: licen[sc]e)?", r"creativecommons\.org"),
@@ -79,8 +80,8 @@ PHRASES = (
     ("mit", "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy", 75, 1.0),
     ("isc", "permission to use", r"permission to use, copy, modify, and/or distribute this software for any purpose", 75, 1.0),
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms", 75, 0.95),
-    ("proprietary", "confidential", r"proprietary and confidential|confidential and proprietary", 45, 0.8),
-    ("no-redistribution", "redistribut", r"(?:may|must) not be (?:copied|reproduced|redistributed)", 45, 0.7),
+    ("proprietary", "proprietary and|and proprietary", r"proprietary and confidential|confidential and proprietary", 45, 0.8),
+    ("no-redistribution", "not be copied|not be reproduced|not be redistributed", r"(?:may|must) not be (?:copied|reproduced|redistributed)", 45, 0.7),
     ("no-warranty", "without warrant", r"without warranties or conditions of any kind|without warranty of any kind", 15, 0.4),
 )
 
@@ -95,16 +96,39 @@ class Rule:
     confidence: float
 
 
+def spaced(expression: str) -> str:
+    """The expression with every literal space as white space of any length: phrases are wrapped at line ends. A character class
+    with a space is left as it is, but for those that stand for the space inside a name."""
+    out, at = [], 0
+    while at < len(expression):
+        char = expression[at]
+        if char == "\\":
+            out.append(expression[at : at + 2])
+            at += 2
+            continue
+        if char == "[":
+            close = expression.index("]", at + 2)
+            block = expression[at : close + 1]
+            out.append(r"(?:\s++|-)" if block == "[ -]" else block)
+            at = close + 1
+            continue
+        optional = expression[at : at + 2] == " ?"
+        # Possessive: long runs of white space are passed once.
+        out.append(r"\s*+" if optional else r"\s++" if char == " " else char)
+        at += 1 + optional
+    return "".join(out)
+
+
 def rules() -> tuple[Rule, ...]:
     """All rules in order of number."""
     made = []
     for label, keyword, name, address in FAMILIES:
         for form, shape, priority, confidence in FORMS:
-            pattern = re.compile(shape.format(name=name, label=re.escape(label), address=address))
+            pattern = re.compile(spaced(shape.format(name=name, label=re.escape(label), address=address)))
             host = re.match(r"[a-z.]+", address.replace("\\", ""))[0]
             word = {"spdx": "spdx-license", "address": host}.get(form, keyword)
             made.append((label, word, pattern, priority, confidence))
-    made += [(label, keyword, re.compile(shape), priority, confidence) for label, keyword, shape, priority, confidence in PHRASES]
+    made += [(label, keyword, re.compile(spaced(shape)), priority, confidence) for label, keyword, shape, priority, confidence in PHRASES]
     return tuple(Rule(number, *rest) for number, rest in enumerate(made))
 
 
@@ -127,7 +151,9 @@ class Scanner:
                 self.by_keyword.setdefault(keyword, []).append(rule)
 
     def detect(self, text: str) -> list[tuple[int, int, Rule]]:
-        due = {rule.number: rule for keyword, group in self.by_keyword.items() if keyword in text for rule in group}
+        # Keywords hold single spaces; the text they are looked up in holds those only, too.
+        plain = " ".join(text.split())
+        due = {rule.number: rule for keyword, group in self.by_keyword.items() if keyword in plain for rule in group}
         found = [(*match.span(), rule) for rule in due.values() for match in rule.pattern.finditer(text)]
         return resolve(found)
 

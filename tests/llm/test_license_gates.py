@@ -1,0 +1,46 @@
+from __future__ import annotations
+
+import time
+
+import pytest
+
+from ledgerlens.llm import licenses
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("the gnu library general public license", ["lgpl"]),
+        ("gnu library general public license, version 2", ["lgpl-2.0"]),
+        ("it may not be copied", ["no-redistribution"]),
+        ("it must not be\nreproduced", ["no-redistribution"]),
+        ("under the apache\n    license, version 2.0", ["apache-2.0"]),
+        ("the mozilla public\r\nlicense", ["mpl"]),
+        ("all rights\n reserved", ["reserved"]),
+        ("creative\ncommons attribution", ["cc-by"]),
+        ("this is lgplv3 code", ["lgpl-3.0"]),
+        ("lgpl-2.1 or later", ["lgpl-2.1"]),
+        ("agplv3", ["agpl-3.0"]),
+        ("gpl v3", ["gpl-3.0"]),
+        ("copyright\n2020", ["copyright"]),
+    ],
+)
+def test_gates_let_every_alternative_through(text, labels):
+    assert sorted({rule.label for _, _, rule in licenses.Scanner().detect(text)}) == labels
+
+
+def test_gates_lose_nothing():
+    """All rules with and without their keywords on texts of all phrases, in one line and wrapped."""
+    scanner = licenses.Scanner()
+    names = ["affero", "lesser", "library"]
+    words = "gnu {} general public license v3|gnu gpl|agpl|lgpl 2.1|gpl-2|free documentation license|apache license 1.1|mit/x11 license|mit/expat|isc license|2-clause bsd license|bsd 3-clause|bsd-style license|mozilla public license v. 2.0|eclipse public licence|cecill-b license|artistic license|zlib/libpng license|the unlicense|sil open font license|open database license|cc0 1.0|cc by-nc-nd|attribution-noncommercial-noderivs|attribution-noncommercial-sharealike|cc by-nc|attribution share alike|attribution-noderivs|cc by|creative commons attribution|some rights reserved|copyright by 2001|© 2001|in the public domain|confidential and proprietary|proprietary and confidential|must not be redistributed|without warranty of any kind"
+    for phrase in (p.format(n) for p in words.split("|") for n in names):
+        for text in (f"licensed under the {phrase}", f"licensed under the {phrase}".replace(" ", "\n  ")):
+            found = [(*m.span(), rule) for rule in licenses.rules() for m in rule.pattern.finditer(text)]
+            assert found and [d[:2] + (d[2].number,) for d in scanner.detect(text)] == [d[:2] + (d[2].number,) for d in licenses.resolve(found)]
+
+
+def test_long_white_space_is_passed_once():
+    began = time.time()
+    licenses.Scanner().detect("copyright" + " " * 200_000 + "x all rights" + "\n" * 200_000)
+    assert time.time() - began < 5
