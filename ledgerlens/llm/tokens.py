@@ -23,6 +23,8 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARACTERS = {byte: 256 + k for k, byte in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+SPACE, FEED = chr(BYTE_CHARACTERS[0x20]), chr(BYTE_CHARACTERS[0x0A])
+PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
 def tokenizer_path(name: str) -> str:
@@ -75,26 +77,38 @@ class WordEncoder:
 
     def _piece(self, piece: str) -> bytes:
         ids = [token.id for token in self.model.tokenize(piece)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _plain(self, piece: str) -> bytes:
-        """A piece in its own characters: the model's alphabet has one character per byte."""
+        """A piece of printable characters, perhaps with a space before it: the model's alphabet has one character per byte."""
+        if piece.isascii() and not self.keeps_space:
+            return self._piece(piece)
+        if piece.isascii():
+            return self._piece(piece.replace(" ", SPACE))
         return self._piece(piece.encode().decode("latin-1").translate(BYTE_CHARACTERS))
 
     def _word(self, word: str) -> bytes:
         if self.normalizer is not None:
             word = word.lower() if word.isascii() else self.normalizer.normalize_str(word)
+        if (word[1:] if self.keeps_space and word[:1] == " " else word).isalpha():
+            return self._plain(word)
         core = word.rstrip(MARKS)
         if (core[1:] if self.keeps_space and core[:1] == " " else core).isalpha():
-            # Letters, then perhaps marks: the pre-tokenizer cuts exactly there.
-            tail = word[len(core) :]
-            return self.plain[core] + self.plain[tail] if tail else self.plain[core]
-        head, feed, rest = word.partition("\n")
+            # Letters, then marks: the pre-tokenizer cuts exactly there.
+            return self.words[core] + self.plain[word[len(core) :]]
+        head, _, rest = word.partition("\n")
         if rest and head and not head[-1].isspace() and not rest[0].isspace():
             # A single line feed between words is a piece of its own.
-            return self.words[head] + self.plain[feed] + self.words[rest]
+            return self.words[head] + self.pieces[FEED] + self.words[rest]
         return b"".join([self.pieces[piece] for piece, _ in self.splitter.pre_tokenize_str(word)])
 
+    def unit(self, unit: str) -> bytes:
+        """Ids of a part of a text that no word crosses at either end; nothing is remembered of it as a whole."""
+        if any(mark in unit for mark in ODD):
+            ids = self.whole.encode(unit, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return self._word(unit)
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
