@@ -6,8 +6,8 @@ A shard file is
 
 Boundaries (0, end of the 1st document, end of the 2nd, ...) and document ids are non-decreasing, so both are Elias-Fano
 coded: the low bits of a value are packed as they are, the high bits are written in unary into a bit vector. A select
-structure (the place of every 256th one) finds the i-th value by counting ones in a few bytes. That is about
-2 + log2(range / count) bits a document instead of 64.
+structure (the place of every 64th one) finds the i-th value by counting ones in a few bytes. That is about
+2.5 + log2(range / count) bits a document instead of 64.
 
 Null document ids are counted in the footer and come first. A null text is an empty text: it has the end id alone.
 """
@@ -27,7 +27,7 @@ from ledgerlens.llm.common import filesystem, materialize, new_folder, texts, wr
 from ledgerlens.llm.tokens import word_encoder
 
 MAGIC = b"LLTOK01\n"
-SAMPLE = 256
+SAMPLE = 64
 ONES = np.array([bin(byte).count("1") for byte in range(256)], dtype=np.int64)
 
 
@@ -132,12 +132,13 @@ class TokenFile:
         return np.frombuffer(self._read(8 + start * size, (end - start) * size), dtype=self.dtype)
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(document id, start, ids) of all documents in file order, one document in memory at a time."""
-        bounds = self.boundaries.values().astype(np.int64)
-        names = [None] * self.footer["nulls"] + [int(v) + self.footer["least"] for v in self.document_ids.values()]
+        """(document id, start, ids) of all documents in file order, one in memory at a time; offsets and names come from select."""
         self.file.seek(8)
-        for name, start, end in zip(names, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            yield name, start, np.frombuffer(self.file.read((end - start) * self.dtype.itemsize), dtype=self.dtype)
+        start = self.start(0)
+        for index in range(len(self)):
+            end = self.start(index + 1)
+            yield self.document_id(index), start, np.frombuffer(self.file.read((end - start) * self.dtype.itemsize), dtype=self.dtype)
+            start = end
 
 
 def _write_shard(rows, folder: str, tokenizer: str, end_id: int):
