@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import decontaminate, divergence, licenses, line_blocks, line_spread, minhash, packing, perplexity, token_files, toxicity, warc
+from ledgerlens.llm import alignment, decontaminate, divergence, harmonic, licenses, line_blocks, line_spread, minhash, packing, perplexity, token_files, toxicity, warc
 from ledgerlens.llm.common import table
 
 
@@ -51,6 +51,14 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
@@ -68,6 +76,8 @@ QUERIES = {
         op8_licenses,
         op9_toxicity,
         op10_minhash,
+        op11_alignment,
+        op12_harmonic_packing,
         op13_source_divergence,
     )
 }
