@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import materialize, texts
-from ledgerlens.llm.tokens import BYTE_CHARACTERS, tokenizer_path, word_encoder
+from ledgerlens.llm.tokens import BYTE_CHARACTERS, SPACES, tokenizer_path, word_encoder
 
 #: Longer texts are cut into byte ranges of this length.
 CHUNK_BYTES = 32_768
@@ -39,10 +39,20 @@ FAN_IN = 16
 #: Between words for both tokenizers: before a space, and around a line feed between non-spaces. Every white space of Unicode counts
 #: as such for Python.
 WORD_END = re.compile(r"(?<=\S)(?= |\n\S)|(?<=\S\n)(?=\S)")
+#: The same parts of a text without the marks: white space other than spaces and line feeds, or two in a row.
+PLAIN_WORD = re.compile(r" ?[^ \n]+|[ \n]")
+MARKS = ("  ", " \n", "\n ", "\n\n", *(chr(code) for code in (*SPACES, *range(0x1C, 0x20)) if code not in (0x20, 0x0A)))
+ASCII_MARKS = tuple(mark for mark in MARKS if mark.isascii())
 #: Before a space in UTF-8, after ASCII only, so that any byte offset can be tested.
 BYTE_WORD_END = re.compile(rb"(?<=[!-~])(?= )")
 
 
+def split_words(text: str) -> list[str]:
+    if any(mark in text for mark in (ASCII_MARKS if text.isascii() else MARKS)):
+        return WORD_END.split(text)
+    return PLAIN_WORD.findall(text)
+
+
 class Tokens(NamedTuple):
     """Tokens of both tokenizers in a row: ids and lengths in bytes."""
 
@@ -117,8 +127,8 @@ class Aligner:
         self.names = [str(k) for k in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.typecode = "I" if len(self.a_bytes) * self.pair_base <= 1 << 32 else "q"
         self.dtype = np.dtype(self.typecode)
-        self.words: dict[str, Closed | None] = {}
-        self.old: dict[str, Closed | None] = {}
+        self.words: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
         self.memo_limit = memo_limit
 
     def tokens(self, word: str) -> tuple[bool, Tokens]:
@@ -131,7 +141,7 @@ class Aligner:
     def _exact(self, word: str, a: list[int], b: list[int]) -> bool:
         return b"".join([self.a_bytes[k] for k in a]) == b"".join([self.b_bytes[k] for k in b]) == word.encode()
 
-    def closed(self, texts_words: list[list[str]]) -> list[list[Closed | None]]:
+    def closed(self, texts_words: list[list[str]]) -> list[list[tuple | None]]:
         """The groups of every word of some texts; None where the tokens do not give back the word's bytes."""
         new = set()
         for words in texts_words:
@@ -148,8 +158,8 @@ class Aligner:
             self.words[word] = self._groups(word, array.array("I", self.a.unit(word)), b[2:])
         return [[self.words[word] for word in words] for words in texts_words]
 
-    def _groups(self, word: str, a, b: list[int]) -> Closed | None:
-        """group() of every group of a word, in one pass."""
+    def _groups(self, word: str, a, b: list[int]) -> tuple | None:
+        """group() of every group of a word, in one pass: a plain tuple of Closed, which garbage collection need not visit."""
         if not a or not b or not self._exact(word, a, b):
             return None
         a_lengths, b_lengths, base, names = self.a_lengths, self.b_lengths, self.pair_base, self.names
@@ -170,7 +180,7 @@ class Aligner:
                 right = names[b[first_j]] if j == first_j + 1 else ",".join([names[k] for k in b[first_j:j]])
                 out.append(f"{left}|{right}")
                 if i == len(a):
-                    return Closed(i, j, len(out), ";".join(out), array.array(self.typecode, pairs).tobytes())
+                    return i, j, len(out), ";".join(out), array.array(self.typecode, pairs).tobytes()
                 first_i, first_j = i, j
                 a_end += a_lengths[a[i]]
                 b_end += b_lengths[b[j]]
@@ -215,7 +225,7 @@ class Aligner:
         def with_run(fragment: Fragment) -> Fragment:
             return self.compose(fragment, Fragment(True, True, closed=joined(run))) if run else fragment
 
-        words = WORD_END.split(window)
+        words = split_words(window)
         for word, known in zip(words, self.closed([words])[0], strict=True):
             size = len(word.encode())
             if begin <= base and base + size <= end:
@@ -237,9 +247,9 @@ class Aligner:
         return joined([group(fragment.prefix, self.pair_base, self.dtype), fragment.closed])
 
 
-def joined(parts: list[Closed]) -> Closed:
+def joined(parts: list[tuple]) -> Closed:
     """Their sum, at once."""
-    parts = [part for part in parts if part.n_groups]
+    parts = [part for part in parts if part[2]]
     if not parts:
         return Closed()
     n_a, n_b, n_groups, text, pairs = zip(*parts, strict=True)
@@ -285,17 +295,17 @@ class Block:
         self.held: list[np.ndarray] = []
         self.links = 0
 
-    def add(self, words: list, closed: list[Closed]) -> bytes:
-        """words: what the closed groups are known by."""
+    def add(self, words: list, closed: list[tuple], links: int) -> bytes:
+        """words: what the closed groups are known by. links: of all of them."""
         index, known = self.index, len(self.index)
         numbers = [index.setdefault(word, len(index)) for word in words]
         if len(index) > known:
             for number, own in zip(numbers, closed, strict=True):
                 if number == len(self.parts):  # numbered in this order
-                    self.parts.append(own.pairs)
+                    self.parts.append(own[4])
         pairs = np.frombuffer(b"".join([self.parts[number] for number in set(numbers)]), self.dtype)
         self.held.append(np.unique(pairs))
-        self.links += sum([len(own.pairs) for own in closed]) // self.dtype.itemsize
+        self.links += links
         return np.array(numbers, "<u4").tobytes()
 
     def row(self) -> dict:
@@ -341,9 +351,10 @@ def _gathered(found, dtype: np.dtype, above: int, block_links: int):
         else:
             key, doc_id, words, closed = one
             whole = joined(closed)
-            numbers = block.add(words, closed)
+            n_links = len(whole.pairs) // dtype.itemsize
+            numbers = block.add(words, closed, n_links)
             sha = hashlib.sha256(whole.text.encode()).hexdigest() if whole.n_groups else ""
-            counts = {"n_a": whole.n_a, "n_b": whole.n_b, "n_groups": whole.n_groups, "n_links": len(whole.pairs) // dtype.itemsize}
+            counts = {"n_a": whole.n_a, "n_b": whole.n_b, "n_groups": whole.n_groups, "n_links": n_links}
             rows.append({"key": key, "doc_id": doc_id, "block": block.number, "groups_sha256": sha, "words": numbers, **counts})
             size += len(numbers)
         if size > 4_000_000 or len(rows) == 5000:
@@ -370,7 +381,7 @@ def _documents(docs: DataFrame, tokenizers: tuple[str, str], chunk_bytes: int, b
                 text = " " + (text or "")
                 data = text.encode() if 4 * len(text) > chunk_bytes else b""
                 if len(data) <= chunk_bytes:
-                    short.append((key, doc_id, WORD_END.split(text) if len(text) > 1 else []))
+                    short.append((key, doc_id, split_words(text) if len(text) > 1 else []))
                     continue
                 ranges = byte_ranges(data, chunk_bytes)
                 for chunk, (begin, end, left, right) in enumerate(ranges):

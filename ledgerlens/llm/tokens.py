@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 
 #: Python's split() takes these for white space, the tokenizers do not.
 ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+ODD_MARK = re.compile("|".join(map(re.escape, ODD)))
 #: White space, ASCII first. A space before any of it may be joined with it by the pre-tokenizer.
 SPACES = (0x20, *range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 JOINED = tuple(f" {chr(code)}" for code in SPACES)
@@ -104,7 +106,7 @@ class WordEncoder:
 
     def unit(self, unit: str) -> bytes:
         """Ids of a part of a text that no word crosses at either end; nothing is remembered of it as a whole."""
-        if any(mark in unit for mark in ODD):
+        if ODD_MARK.search(unit):
             ids = self.whole.encode(unit, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         return self._word(unit)
