@@ -44,7 +44,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+    return toxicity.score(docs, model)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

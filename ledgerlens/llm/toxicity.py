@@ -1,8 +1,8 @@
 """Toxicity classifier, regularised by counterfactuals.
 
-Features of a text are its distinct words and their character 4-grams with word ends. Spark counts, over all training rows, in
-how many toxic and other texts each feature occurs; the features that tell most are kept (a bounded list). A logistic model is
-fitted on them. In every training text with identity terms, these are swapped for others; the squared change of the score is
+Features of a text are its distinct words and their character 4-grams with word ends, hashed into FEATURES numbers. Spark counts,
+over all training rows, in how many toxic and other texts each number occurs; every number that tells the two apart is kept. A
+logistic model is fitted on these. In every training text with identity terms, these are swapped for others; the squared change of the score is
 penalised, and so are score differences between neutral sentences that differ by the term only. So a group's name cannot carry
 weight, and its neutral mention is no false positive.
 """
@@ -17,11 +17,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import texts
+from ledgerlens.llm.common import materialize, texts
 
 #: The classifier is fitted on the training rows with the smallest hash of doc_id, at most so many. Feature statistics use all rows.
 MAX_TRAINING_ROWS = 40_000
-MAX_FEATURES = 4096
+#: Features are hashed into so many numbers, which bounds the model; none that qualifies is left out.
+FEATURES = 1 << 22
 MIN_TOXIC_TEXTS = 4
 #: A feature is kept when this many times as frequent in toxic texts as in others (smoothed), or as rare.
 MIN_RATIO = 4.0
@@ -73,9 +74,7 @@ class _Memo(dict):
 
 @functools.lru_cache(maxsize=200_000)
 def _hash(feature: str) -> int:
-    """64 bits; the list of features is chosen among these."""
-    raw = feature.encode()
-    return (zlib.crc32(raw) << 31) ^ zlib.crc32(raw[::-1], len(raw))
+    return zlib.crc32(feature.encode()) % FEATURES
 
 
 def hashed(chunk: str) -> np.ndarray:
@@ -119,7 +118,7 @@ def feature_counts(rows: DataFrame) -> DataFrame:
 
 
 def choose_features(rows: DataFrame) -> list[int]:
-    """The features that tell toxic texts best, at most MAX_FEATURES, by a signed two-sample statistic over all rows."""
+    """The numbers of features that tell toxic texts from others, by a signed two-sample statistic over all rows; ascending."""
     sizes = rows.agg(F.sum((F.col("toxic") == 1).cast("long")).alias("toxic"), F.sum((F.col("toxic") == 0).cast("long")).alias("other")).first()
     toxic, other = float(sizes["toxic"] or 0), float(sizes["other"] or 0)
     if not toxic or not other:
@@ -128,8 +127,7 @@ def choose_features(rows: DataFrame) -> list[int]:
     both = (F.col("n_toxic") + F.col("n_other") + 1.0) / (toxic + other + 2)
     z = F.abs(p - q) / F.sqrt(both * (1 - both) * (1 / toxic + 1 / other))
     telling = (F.col("n_toxic") >= MIN_TOXIC_TEXTS) & (p >= MIN_RATIO * q) | (F.col("n_other") >= 50) & (q >= MIN_RATIO * p)
-    ranked = feature_counts(rows).filter(telling & (z >= 3.0)).orderBy(z.desc(), "feature").limit(MAX_FEATURES)
-    return [row["feature"] for row in ranked.select("feature").collect()]
+    return sorted(row["feature"] for row in feature_counts(rows).filter(telling & (z >= 3.0)).select("feature").collect())  # FEATURES at most
 
 
 class Vocabulary:
@@ -217,44 +215,61 @@ def fit(features: list[int], sets: list, toxic: np.ndarray, pairs: list[tuple[in
     return Model(features, weights, bias)
 
 
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, toxic and a place (h, doc_id) of the documents to learn from, as a table: all that follows reads these rows only."""
+    # crc32 of Spark is that of the same bytes.
+    usable = labels.filter(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    # A table of its own, so that Spark knows its size before it joins and moves no text where the labels are few.
+    known = materialize(usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "labels")
+    rows = docs.select("doc_id", "text").join(known, "doc_id")
+    return materialize(rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "toxic"), "labelled")
+
+
+def sampled(rows: DataFrame, most: int) -> DataFrame:
+    """The rows of the smallest hashes, about most of them (equal doc_ids stay together), found on narrow rows."""
+    if rows.count() <= most:
+        return rows
+    last = rows.select("h", "doc_id").orderBy("h", "doc_id").limit(most).agg(F.max(F.struct("h", "doc_id")).alias("last")).first()["last"]
+    return rows.filter((F.col("h") < last["h"]) | (F.col("h") == last["h"]) & (F.col("doc_id") <= last["doc_id"]))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from the labelled documents that are not held out. labels: doc_id, toxic; rows with a null in either, or with another
     value than 0 and 1, are not used; a document with several labels is toxic if one says so. Without rows of both kinds every
     score is 0.5 or less: the share of toxic rows."""
-    # crc32 of Spark is that of the same bytes.
-    usable = labels.filter(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    known = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(known, "doc_id")
+    rows = labelled(docs, labels)
     features = choose_features(rows)
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING_ROWS) if rows.count() > MAX_TRAINING_ROWS else rows
+    sample = sampled(rows, MAX_TRAINING_ROWS)
 
     def vectors(batches):
         import pyarrow as pa
 
         vocabulary = Vocabulary(features)
         for batch in batches:
-            out = {"doc_id": [], "toxic": [], "own": [], "swapped": []}
-            for doc_id, text, toxic in texts([batch], ["doc_id", "text", "toxic"], 200):
+            out = {"seed": [], "toxic": [], "own": [], "swapped": []}
+            for text, toxic in texts([batch], ["text", "toxic"], 200):
                 own = chunks(text or "")
-                out["doc_id"].append(doc_id)
+                seed = zlib.crc32((text or "").encode())
+                out["seed"].append(seed)
                 out["toxic"].append(toxic)
                 out["own"].append(sorted(vocabulary.of(own)))
-                out["swapped"].append([sorted(vocabulary.of(other)) for other in counterfactuals(own, doc_id)])
+                out["swapped"].append([sorted(vocabulary.of(other)) for other in counterfactuals(own, seed)])
             yield pa.RecordBatch.from_pydict(out, schema=OUT)
 
     import pyarrow as pa
 
     NUMBERS = pa.list_(pa.int32())
-    OUT = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("own", NUMBERS), ("swapped", pa.list_(NUMBERS))])
-    made = sample.select("doc_id", "text", F.col("toxic").cast("int")).mapInArrow(vectors, "doc_id long, toxic int, own array<int>, swapped array<array<int>>")
-    table = made.toArrow().sort_by("doc_id")  # MAX_TRAINING_ROWS short rows of feature numbers
+    OUT = pa.schema([("seed", pa.int64()), ("toxic", pa.int32()), ("own", NUMBERS), ("swapped", pa.list_(NUMBERS))])
+    made = sample.select("text", "toxic").mapInArrow(vectors, "seed long, toxic int, own array<int>, swapped array<array<int>>")
+    # MAX_TRAINING_ROWS short rows of feature numbers, in an order that the texts give.
+    table = made.toArrow().sort_by([("seed", "ascending"), ("toxic", "ascending")])
     sets, toxic = table.column("own").to_pylist(), np.array(table.column("toxic").to_pylist(), float)
     pairs = [(number, other) for number, swapped in enumerate(table.column("swapped").to_pylist()) for other in swapped]
     return fit(features, sets, toxic, pairs) if len(sets) else Model([], np.zeros(0), 0.0)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with held_out, score and predicted. The model is MAX_FEATURES numbers, which bounds what is broadcast."""
+def _scored(docs: DataFrame, model: Model):
+    """The score as a column over text. The model has FEATURES numbers at most, which bounds what is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -263,5 +278,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         return pd.Series([shared.value.score(t) for t in text], dtype="float64")
 
+    return scored(F.col("text").cast("string"))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of docs, repeated rows and null or empty texts included. Other columns of
+    docs are not returned, whatever their names."""
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
-    return docs.withColumns({"held_out": out, "score": scored(F.col("text"))}).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    found = docs.select("doc_id", out.alias("held_out"), _scored(docs, model).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns as they are, also columns called score or predicted."""
+    return docs.filter(_scored(docs, model) < THRESHOLD)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from ledgerlens.llm import minhash, queries
+from ledgerlens.llm import minhash, queries, toxicity
 from tests.llm.helpers import awkward, brute_components, docs_frame, shingle_set
 from tests.llm.test_text_operators import brute_contaminated
 
@@ -107,6 +107,9 @@ def test_pipeline_stages_against_brute_force(spark):
             assert set(after) == {d for d, (_, c) in groups.items() if d == c}
         elif name == "decontamination":
             assert set(after) == set(before) - {d for d, _ in brute_contaminated(list(before.items()), items)}
+        elif name == "toxicity":
+            model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+            assert set(after) == {d for d, t in before.items() if model.score(t) < toxicity.THRESHOLD}
         elif name == "line dedup":
             assert set(after) <= set(before) and all(set(t.split("\n")) <= set(before[d].split("\n")) for d, t in after.items())
             assert not any(shingle_set(before[d], 1) and not shingle_set(t, 1) for d, t in after.items())
@@ -114,3 +117,16 @@ def test_pipeline_stages_against_brute_force(spark):
             assert set(after) == set(before)
         docs = out
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == len(after)
+
+
+def test_pipeline_stages_keep_columns_of_clashing_names(spark):
+    clash = {name: f"my {name}" for name in ("score", "predicted", "held_out", "n_lines", "n_removed", "__text", "__doc", "h1", "others")}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).selectExpr("*", *(f"'{value}' AS `{name}`" for name, value in clash.items())).cache()
+    for frame in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, frame, SF)
+            assert out.dtypes == docs.dtypes, name
+            rows = out.collect()
+            assert all(r[key] == value for r in rows for key, value in clash.items())
+            assert bool(rows) == bool(frame.count())
+    docs.unpersist()

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerlens.llm import decontaminate, licenses, line_spread, perplexity, queries, toxicity
+from ledgerlens.llm import codepoints, decontaminate, licenses, line_spread, perplexity, queries, toxicity
 from tests.compare import connect, difference
 from tests.llm.helpers import awkward, docs_frame
 
@@ -70,31 +70,51 @@ def test_kneser_ney_sums_to_one_and_matches_a_plain_version():
 
 
 def test_quality_query(spark):
+    """The stretches' quartiles against a model built here, the whole text's figure against the plain reader of the code-point
+    model (whose values test_perplexity_whole compares with a plain version), both bands and the verdict by their rule."""
     rows = {r["doc_id"]: r for r in queries.op1_perplexity(spark, SF).collect()}
-    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = frame.collect()
     assert len(rows) == len(docs)
+    reader = codepoints.Reader(*codepoints.train(frame.select("doc_id", "text", "lang")))
     by_lang = {}
     for d in docs:
         by_lang.setdefault(d["lang"], []).append(d)
     for own in by_lang.values():
         codes, counts = np.unique(np.concatenate([perplexity.ngrams(d["text"]) for d in own]), return_counts=True)
         model = perplexity.KneserNey.build(codes, counts).prepare()
-        bits = {}
+        stretches, whole, passed = {}, {}, []
         for d in own:
-            row = rows[d["doc_id"]]
-            base = brute_base(d["text"])
+            row, text = rows[d["doc_id"]], d["text"]
+            base = brute_base(text)
             failed = base[0] < 20 or 100 * base[4] > 30 * base[0]
             assert tuple(row)[1:7] == (*base, failed)
-            bits[d["doc_id"]] = easy, middle, hard = model.bits(d["text"])
-            assert row["perplexity"] == pytest.approx(2**middle, rel=1e-5)
-            inside = easy <= np.log2(row["upper_perplexity"]) and hard >= np.log2(row["lower_perplexity"])
-            assert row["kept"] == (not failed and bool(inside))
-        passed = sorted(np.floor(bits[d["doc_id"]][1] * 1000) for d in own if not rows[d["doc_id"]]["base_failed"])
-        middle = passed[(len(passed) + 1) // 2 - 1]
-        away = sorted(abs(p - middle) for p in passed)[(len(passed) + 1) // 2 - 1]
-        d = own[0]
-        width = 4 * np.sqrt(max(1.4826 * away / 1000, 0.02) ** 2 + 1 / len(d["text"]))
-        assert np.log2(rows[d["doc_id"]]["upper_perplexity"]) == pytest.approx((middle + 0.5) / 1000 + width, abs=1e-6)
+            stretches[d["doc_id"]] = model.bits(text)
+            padded = np.array([*[ord(codepoints.START)] * 4, *map(ord, text)], np.uint32)
+            grams = np.lib.stride_tricks.sliding_window_view(padded, 5)
+            number = codepoints.model_number(d["lang"], 1 - codepoints.half(text))
+            whole[d["doc_id"]] = -float(np.mean(reader.log2(grams, np.full(len(text), number, np.uint64)))) if text else 0.0
+            assert row["perplexity"] == pytest.approx(2 ** stretches[d["doc_id"]][1], rel=1e-5)
+            assert row["document_perplexity"] == pytest.approx(2 ** whole[d["doc_id"]], rel=1e-4)
+            if not failed:
+                passed.append(d["doc_id"])
+        limits = {}
+        for name, values, unit in (("", {k: s[1] for k, s in stretches.items()}, perplexity.SYMBOL_BITS), ("document_", whole, perplexity.POINT_BITS)):
+            steps = sorted(int(np.floor(values[k] * 1000)) for k in passed)
+            middle = steps[(len(steps) + 1) // 2 - 1]
+            away = sorted(abs(s - middle) for s in steps)[(len(steps) + 1) // 2 - 1]
+            for d in own:
+                width = 4 * np.sqrt(max(1.4826 * away / 1000, 0.02) ** 2 + unit**2 / max(1, len(d["text"])))
+                limits[name, d["doc_id"]] = (middle + 0.5) / 1000 - width, (middle + 0.5) / 1000 + width
+        for d in own:
+            k, row = d["doc_id"], rows[d["doc_id"]]
+            for name in ("", "document_"):
+                found = np.log2([row[f"lower_{name}perplexity"], row[f"upper_{name}perplexity"]])
+                assert found == pytest.approx(limits[name, k], abs=2e-3)
+            (low, high), (point_low, point_high) = (np.log2([row[f"lower_{n}perplexity"], row[f"upper_{n}perplexity"]]) for n in ("", "document_"))
+            easy, bits, hard = stretches[k]
+            inside = low <= bits <= high and point_low <= whole[k] <= point_high and easy <= high and hard >= low
+            assert row["kept"] == (not row["base_failed"] and bool(inside))
 
 
 def test_quality_of_awkward_rows(spark):
@@ -292,3 +312,74 @@ def test_toxicity_query_on_held_out_rows(spark):
     other = [r["predicted"] for r in rows if known[r["doc_id"]] == 0]
     # Some toxic labels here stand on texts without any toxic word.
     assert sum(toxic) >= 0.8 * len(toxic) and sum(other) <= 0.02 * len(other)
+
+
+def test_toxicity_features_and_scores_against_brute_force(spark):
+    rng = random.Random(11)
+    words = "river stone cloud window paper garden summer letter music number".split()
+    rows = [(k, " ".join(rng.choices(words, k=12)) + (" slurro woman" if k % 3 == 0 else " Zeugma!"), int(k % 3 == 0)) for k in range(200)]
+    frame = spark.createDataFrame([(t, y) for _, t, y in rows], "text string, toxic int")
+
+    def features(text):
+        found = set()
+        for word in re.findall(r"\w+", text.lower()):
+            marked = f"^{word}$"
+            found |= {marked, *(marked[k : k + 4] for k in range(len(marked) - 3))}
+        return {zlib.crc32(f.encode()) % toxicity.FEATURES for f in found}
+
+    expected = {}
+    for _, text, y in rows:
+        for f in features(text):
+            expected.setdefault(f, [0, 0])[y] += 1
+    counted = {r["feature"]: [r["n_other"], r["n_toxic"]] for r in toxicity.feature_counts(frame).collect()}
+    assert counted == expected
+    n = [sum(y == k for _, _, y in rows) for k in (0, 1)]
+
+    def tells(other, toxic):
+        p, q, both = (toxic + 0.5) / (n[1] + 1), (other + 0.5) / (n[0] + 1), (toxic + other + 1) / (sum(n) + 2)
+        z = abs(p - q) / (both * (1 - both) * (1 / n[0] + 1 / n[1])) ** 0.5
+        return z >= 3 and (toxic >= 4 and p >= 4 * q or other >= 50 and q >= 4 * p)
+
+    chosen = toxicity.choose_features(frame)
+    assert chosen == sorted(f for f, counts in expected.items() if tells(*counts)) and len(chosen) > 5
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    docs = docs_frame(spark, [(k, text) for k, text, _ in rows] + [(990, None), (991, ""), (992, "slurro " * 3000)])
+    model = toxicity.train(docs, labels)
+    weight = dict(zip(model.features, model.weights, strict=True))
+    out = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    for k, text in [(k, text) for k, text, _ in rows] + [(990, ""), (991, ""), (992, "slurro")]:
+        linear = model.bias + sum(weight.get(f, 0) for f in features(text))
+        assert out[k]["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(linear, -30, 30))))
+    assert sum(out[k]["predicted"] == y for k, _, y in rows) >= 195 and out[992]["predicted"] == 1
+
+
+def test_toxicity_loss_falls_to_its_minimum():
+    """At the fitted weights the loss, counted plainly with its penalty on swapped terms, does not fall along any weight."""
+    rng = random.Random(3)
+    features = list(range(6))
+    sets = [{k for k in features if rng.random() < 0.4} for _ in range(80)]
+    toxic = np.array([float(rng.random() < (0.8 if 0 in s else 0.25)) for s in sets])
+    pairs = [(k, sets[k] ^ {1, 2}) for k in range(0, 80, 4)]
+    model = toxicity.fit(features, sets, toxic, pairs)
+
+    def loss(weights, bias):
+        linear = np.array([bias + sum(weights[k] for k in s) for s in sets])
+        plain = np.mean(np.log1p(np.exp(linear)) - toxic * linear)
+        # neutral sentences hold none of these features
+        changes = [sum(weights[k] for k in other) - sum(weights[k] for k in sets[n]) for n, other in pairs]
+        return plain + toxicity.RIDGE / 2 * (weights**2).sum() + toxicity.PENALTY * np.mean(np.square(changes))
+
+    least = loss(model.weights, model.bias)
+    for k in features:
+        for step in (0.1, -0.1):
+            moved = model.weights.copy()
+            moved[k] += step
+            assert loss(moved, model.bias) > least - 1e-4
+
+
+def test_toxicity_leaves_columns_of_clashing_names_alone(spark):
+    docs = docs_frame(spark, [(k, "plain words here") for k in range(4)]).selectExpr("*", "'mine' AS score", "7 AS predicted", "'x' AS held_out")
+    model = toxicity.train(docs, spark.createDataFrame([(0, 0)], "doc_id long, toxic int"))
+    assert toxicity.score(docs, model).columns == ["doc_id", "held_out", "score", "predicted"]
+    kept = toxicity.without_toxic(docs, model)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.select("score", "predicted", "held_out").collect()} == {("mine", 7, "x")}
