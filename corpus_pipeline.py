@@ -13,19 +13,31 @@ from ledgerlens.llm import decontaminate, line_spread, minhash, packing, toxicit
 from ledgerlens.llm.common import materialize, table
 
 
+def _apart(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns a stage works on; all others in one struct, so that no name clashes with an operator's own."""
+    others = [F.col(f"`{name}`") for name in docs.columns if name not in own]
+    return docs.select(*own, F.struct(*others, F.lit(0).alias(" ")).alias("others"))
+
+
+def _together(stage: DataFrame, columns: list[str], **own) -> DataFrame:
+    """The columns of documents again."""
+    return stage.select(*((own[name] if name in own else F.col(f"others.`{name}`")).alias(name) for name in columns))
+
+
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go; the classifier learns from the labels that are not held out."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs.select(*docs.columns), model).filter("predicted = 0").select(*docs.columns)
+    """Documents predicted toxic go; the classifier learns from the labels that are not held out. Null and empty texts are scored
+    like others; rows with a repeated or null doc_id are judged one by one."""
+    return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of many sites stay at their first place; a document of which nothing is left goes. n_chars follows the text."""
-    cleaned = line_spread.dedup_lines(docs)
+    """Lines of many sites stay at their first place; a document of which nothing is left goes. n_chars follows the text. Null and
+    empty texts stay as they are."""
+    cleaned = line_spread.dedup_lines(_apart(docs, "doc_id", "text", "source"))
     emptied = (F.col("n_removed") > 0) & (F.trim(F.regexp_replace("text", "\\s+", " ")) == "")
     kept = cleaned.filter(~emptied | F.col("text").isNull())
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return kept.withColumn("n_chars", n_chars).select(*docs.columns)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("others.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return _together(kept, docs.columns, doc_id=F.col("doc_id"), text=F.col("text"), source=F.col("source"), n_chars=n_chars)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +48,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
-    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    kept = decontaminate.without_contaminated(_apart(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return _together(kept, docs.columns, doc_id=F.col("doc_id"), text=F.col("text"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
