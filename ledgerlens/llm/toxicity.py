@@ -18,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import materialize, texts
+from ledgerlens.llm.tokens import _Memo
 
 #: The classifier is fitted on the training rows with the smallest hash of doc_id, at most so many. Feature statistics use all rows.
 MAX_TRAINING_ROWS = 40_000
 #: Features are hashed into so many numbers, which bounds the model; none that qualifies is left out.
 FEATURES = 1 << 22
+#: Chunks of text a task remembers, in each of two generations.
+MEMO = 200_000
 MIN_TOXIC_TEXTS = 4
 #: A feature is kept when this many times as frequent in toxic texts as in others (smoothed), or as rare.
 MIN_RATIO = 4.0
@@ -59,19 +62,6 @@ def chunks(text: str) -> set[str]:
     return set(text.lower().split())
 
 
-class _Memo(dict):
-    def __init__(self, make, limit: int = 200_000):
-        super().__init__()
-        self.make, self.limit = make, limit
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(self) >= self.limit:
-            self.clear()
-        self[key] = value
-        return value
-
-
 @functools.lru_cache(maxsize=200_000)
 def _hash(feature: str) -> int:
     return zlib.crc32(feature.encode()) % FEATURES
@@ -87,7 +77,7 @@ def feature_counts(rows: DataFrame) -> DataFrame:
     def count(batches):
         import pyarrow as pa
 
-        memo = _Memo(hashed)
+        memo = _Memo(hashed, MEMO)
         for batch in batches:
             found: dict[int, list[np.ndarray]] = {0: [], 1: []}
             size = 0
@@ -135,13 +125,13 @@ class Vocabulary:
 
     def __init__(self, features: list[int]):
         self.number = {feature: k for k, feature in enumerate(features)}
-        self.memo = _Memo(self._chunk)
+        self.memo = _Memo(self._chunk, MEMO)
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         get = self.number.get
         known = {get(_hash(f)) for word in WORD.findall(chunk) for f in word_features(word)}
         known.discard(None)
-        return tuple(known)
+        return tuple(known) if known else ()
 
     def of(self, own_chunks) -> set[int]:
         return set().union(*map(self.memo.__getitem__, own_chunks))
