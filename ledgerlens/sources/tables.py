@@ -1,8 +1,8 @@
 """Entries and rules from files or DataFrames: header check, cell text, source row numbers, blank rows, fill-down.
 
 Tables come as CSV, Parquet, ORC or JSON files, or as any DataFrame. A path may name many files; each file is a source
-of its own (`source_id`) with its own header order and row numbers. Deviations from a worksheet: Spark's CSV reader
-drops physically empty lines before they can be numbered (a line of separators is a blank row and is numbered).
+of its own (`source_id`) with its own header order and row numbers. An empty line of a CSV file is a blank row: it is
+numbered and dropped.
 """
 
 from __future__ import annotations
@@ -10,13 +10,13 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlens import constants as K
 from ledgerlens.functions.text import cell_text, split_keywords, strip_text
 from ledgerlens.operators.filldown import fill_down
+from ledgerlens.sources.records import records
 
 FIRST_ROW = 2
 
@@ -91,12 +91,11 @@ def rules_from_cells(rows: DataFrame) -> DataFrame:
 # -- files ----------------------------------------------------------------------------------------------------------
 
 
-def _splits(rows: DataFrame, first_row: Column | None = None) -> DataFrame:
+def _splits(rows: DataFrame) -> DataFrame:
     """One small row per file split: how many rows come before it in its file, and where it starts in its task."""
     parts = rows.groupBy("source_id", "_start").agg(
         F.count("*").alias("_rows"),
         F.min("_place").alias("_first"),
-        *([] if first_row is None else [F.min_by(first_row, "_place").alias("_first_row")]),
     )
     before = Window.partitionBy("source_id").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
@@ -146,44 +145,29 @@ def _read_typed(spark: SparkSession, paths, fmt: str, required: dict[str, str],
     return numbered.withColumn("row_number", F.col("_index") + FIRST_ROW).drop("_index")
 
 
-def _csv_cells(reader: DataFrameReader, paths, width: int) -> DataFrame:
-    """Every line as an array of cell texts with its place; `_odd` holds a line that has not exactly `width` cells."""
-    names = [f"_c{i}" for i in range(width)]
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, "_odd"]])
-    return _placed(reader.schema(schema).csv(paths)).select(
-        F.transform(F.array(*names), lambda c: F.coalesce(strip_text(c), F.lit(""))).alias("_cells"),
-        "_odd",
-        "source_id",
-        "_start",
-        "_place",
-    )
-
-
 def _read_csv(
     spark: SparkSession, paths, required: dict[str, str], message: str, multi_line: bool, options: dict
 ) -> DataFrame:
     """Cells of all files under the required names, whatever the header order of each file."""
-    # Spreadsheets double their quotes.
-    options = {"header": False, "multiLine": multi_line, "escape": '"', **options}
-    reader = spark.read.options(**options).option("columnNameOfCorruptRecord", "_odd")
+    options = dict(options)
+    encoding = options.pop("encoding", options.pop("charset", None))
     separator = options.get("sep", options.get("delimiter", ","))
-    width = len(reader.csv(paths).columns)
-    while True:
-        cells = _csv_cells(reader, paths, width)
-        # A few columns per split; kept, because the header check below has read all files for it.
-        splits = _splits(cells, first_row=F.struct("_cells", "_odd")).persist()
-        headers = splits.filter(F.col("_start") == 0).select(
-            "source_id", F.col("_first_row._cells").alias("_header"), F.col("_first_row._odd").alias("_odd")
-        )
-        # Separators inside quotes are counted too; at worst that is one more round.
-        parts = F.size(F.split("_odd", F.lit(f"\\Q{separator}\\E")))
-        if headers.filter(F.col("_odd").isNotNull() & (parts > width)).isEmpty():
-            break
-        # Only the first file has been looked at for the number of columns; another one has more.
-        splits.unpersist()
-        width *= 2
-    headers = headers.drop("_odd")
+    whole, firsts = records(spark, paths, multi_line, encoding)
+    mark = F.lit("^\ufeff")
+    firsts = firsts.withColumn("first", F.regexp_replace("first", mark, F.lit("")))
+    # Separators inside quotes are counted too; at worst some columns stay empty.
+    width = firsts.agg(F.max(F.size(F.split("first", F.lit(f"\\Q{separator}\\E"))))).first()[0]
+    if width is None:
+        raise ValueError(message + ", ".join(required))
+    schema = ", ".join(f"_c{i} string" for i in range(width))
+    # Spreadsheets double their quotes.
+    parsing = {"escape": '"', **options, "mode": "PERMISSIVE", "maxColumns": str(max(width, 20480))}
+
+    def cells(record: Column) -> Column:
+        parsed = F.from_csv(record, schema, parsing)
+        return F.transform(F.array(*[parsed[f"_c{i}"] for i in range(width)]), lambda c: F.coalesce(strip_text(c), F.lit("")))
 
+    headers = firsts.select("source_id", cells(F.col("first")).alias("_header"))
     missing = F.filter(
         F.array(*[F.lit(h) for h in required]), lambda h: ~F.array_contains(F.col("_header"), h)
     )
@@ -191,11 +175,11 @@ def _read_csv(
     if broken is not None:
         raise ValueError(message + ", ".join(broken["_missing"]))
 
-    # Every cell counts, also one beyond the header: it stands in the line as read.
-    beyond = F.regexp_replace("_odd", rf"[\s\"{re.escape(separator)}]+", "") != ""
-    cells = cells.withColumn("_more", F.coalesce(beyond, F.lit(False))).drop("_odd")
-    body = _numbered(cells, splits).join(headers, "source_id", "left").filter(F.col("_index") > 0)
-    filled = body.filter(F.col("_more") | F.exists("_cells", lambda c: c != ""))
+    # One header per file: no more rows than files, and no more columns than the widest header.
+    body = whole.filter(F.col("index") > 0).join(F.broadcast(headers), "source_id", "left").withColumn("_cells", cells(F.col("record")))
+    # Every cell counts, also one beyond the header: it stands in the record as read.
+    beyond = F.regexp_replace("record", rf"(?U)[\s\x1c-\x1f\"{re.escape(separator)}]+", "") != ""
+    filled = body.filter(F.exists("_cells", lambda c: c != "") | beyond)
 
     def cell(header: str) -> Column:
         # array_position names the first of equal headers, as wanted.
@@ -203,13 +187,13 @@ def _read_csv(
 
     return filled.select(
         "source_id",
-        (F.col("_index") + FIRST_ROW - 1).alias("row_number"),
+        (F.col("index") + FIRST_ROW - 1).alias("row_number"),
         *[cell(header).alias(name) for header, name in required.items()],
     )
 
 
 def read_entries(spark: SparkSession, paths, fmt: str = "csv", multi_line: bool = False, **options) -> DataFrame:
-    """Entries from files. `multi_line` allows line breaks inside quoted CSV cells, at the price of one task per file."""
+    """Entries from files. `multi_line` allows line breaks inside quoted CSV cells; files are read in ranges either way."""
     if fmt == "csv":
         return _read_csv(spark, paths, K.ENTRY_HEADERS, K.ENTRY_HEADER_ERROR, multi_line, options)
     return entries_from_frame(_read_typed(spark, paths, fmt, K.ENTRY_HEADERS, K.ENTRY_HEADER_ERROR))

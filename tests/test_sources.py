@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import csv
+import random
+
 import pytest
 
 from ledgerlens.sources.tables import entries_from_frame, read_entries, read_rules, rules_from_frame
@@ -79,6 +82,70 @@ def test_row_numbers_across_many_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.fixture
+def small_ranges(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_empty_lines_are_rows_and_numbered(spark, tmp_path):
+    line = lambda row: ",".join(row)
+    path = tmp_path / "e.csv"
+    path.write_text("\n".join([line(HEADERS), "", line(ROW2), "", "", line(ROW4), ""]), encoding="utf-8")
+    for multi_line in (False, True):
+        rows = read_entries(spark, str(path), multi_line=multi_line).orderBy("row_number").collect()
+        assert [(r["row_number"], r["name"]) for r in rows] == [(3, ROW2[1]), (6, ROW4[1])]
+
+
+def test_blank_beyond_the_header_is_unicode_white_space(spark, tmp_path):
+    path = write(tmp_path / "e.csv", [HEADERS, [""] * 6 + ["\u3000\x1c\x85"], [""] * 6 + ["x"]])
+    assert [r["row_number"] for r in read_entries(spark, path).collect()] == [3]
+
+
+def test_quoted_line_breaks_over_range_borders(spark, tmp_path, small_ranges):
+    """Random files with breaks, empty lines, doubled quotes and cells longer than several ranges, against the csv module."""
+    rng = random.Random(4)
+    expected = {}
+    for name in ("a", "b", "c"):
+        lines, number = [",".join(f'"{h}"' if name != "b" else f'"{h}\n"' for h in HEADERS)], 1
+        for k in range(120):
+            number += 1
+            if rng.random() < 0.15:
+                lines.append("")
+                continue
+            cells = [f"{name}{k}", *("".join(rng.choices('x,y"\n 甲', k=rng.choice([0, 3, 9, 9, 900 if k % 40 == 7 else 5]))) for _ in range(5))]
+            lines.append(",".join('"' + c.replace('"', '""') + '"' for c in cells))
+            expected[name, number] = [c.strip() for c in cells]
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines) + "\n" * rng.randrange(2), encoding="utf-8")
+        with open(tmp_path / f"{name}.csv", newline="", encoding="utf-8") as file:
+            parsed = [row for row in csv.reader(file)]
+        assert {n: [c.strip() for c in row] for n, row in enumerate(parsed, 1) if n > 1 and row} == {n: v for (f, n), v in expected.items() if f == name}
+    (tmp_path / "empty.csv").write_text("")
+    frame = read_entries(spark, str(tmp_path), multi_line=True)
+    assert frame.rdd.getNumPartitions() > 8
+    found = {(r["source_id"][-5], r["row_number"]): [r[c] for c in ("date", "name", "category", "subcategory", "company_raw", "stage")] for r in frame.collect()}
+    assert found == expected
+
+
+def test_an_open_cell_ends_with_its_file(spark, tmp_path, small_ranges):
+    path = tmp_path / "e.csv"
+    path.write_text(",".join(HEADERS) + "\n" + ",".join(ROW2) + '\nd,n,c,s,k,"open\n' + "more\n" * 200, encoding="utf-8")
+    rows = read_entries(spark, str(path), multi_line=True).orderBy("row_number").collect()
+    assert [r["row_number"] for r in rows] == [2, 3] and rows[1]["stage"].count("more") == 200
+
+
+def test_entry_rows_are_not_moved(spark, tmp_path):
+    path = write(tmp_path / "e.csv", [HEADERS, ROW2, ROW4])
+    for multi_line in (False, True):
+        plan = read_entries(spark, path, multi_line=multi_line)._jdf.queryExecution().executedPlan().toString()
+        # What is exchanged stands below a broadcast: a row per range or file.
+        rows = [line for line in plan.split("\n") if "record" in line]
+        assert rows and not any("Exchange" in line for line in rows)
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "orc", "json"])
 def test_typed_files(spark, tmp_path, fmt):
     rows = [("d", f"n{i}", "c", "s" if i != 3 else None, "k", "g") for i in range(2, 12)]
