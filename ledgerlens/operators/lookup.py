@@ -76,12 +76,15 @@ def merge_lookups(known: DataFrame, fresh: DataFrame, key: str = "query_name", o
 
 
 def one_per_company(company_info: DataFrame, order: str | None = None) -> DataFrame:
-    """company_info with one row per query_name: a success before a failure, then the greatest `order` (null: least), then by content.
+    """company_info with one row per query_name: a success before a failure, then the greatest `order` (null: least), then by a
+    hash of the row.
 
-    Combined before the shuffle as well, so a company answered very often never arrives whole at one task. A column named
-    by `order` stays.
+    Combined before the shuffle as well, so a company answered very often never arrives whole at one task; texts are carried
+    once, they take no part in the comparison. A column named by `order` stays.
     """
     rest = [c for c in company_info.columns if c != "query_name"]
-    rank = F.struct("success", *([] if order is None else [order]), *[c for c in rest if c not in ("success", order)])
+    # A null is told from its neighbour; every column is named once, so nothing costly is computed twice.
+    content = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in rest])
+    rank = F.struct("success", *([] if order is None else [order]), content)
     best = company_info.groupBy("query_name").agg(F.max_by(F.struct(*rest), rank).alias("row"))
     return best.select(*["query_name" if c == "query_name" else F.col(f"row.{c}") for c in company_info.columns])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import constants as K
 from ledgerlens.functions.text import clean_company_name, collapse_whitespace, let, unescape_markup, website_url
+from ledgerlens.operators.late import content_hash, possible
 from ledgerlens.operators.skew import skew_safe_left_join
 
 LINK_PATTERN = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>(.*?)</a\s*>"""
@@ -209,9 +210,12 @@ def host_evidence(
         F.min("module_rank").alias("module_rank"), F.max("page_id").alias("page_id")
     )
     chosen = _best_per_host(addresses, max_pages).select("host", "place", "page_id")
-    texts = pages.select("page_id", "html").join(chosen, "page_id")
+    at = F.xxhash64("page_id")
+    markup = possible(pages.select("page_id", "html"), at, chosen, at)
+    # Cleaned where it is read: markup never moves.
+    texts = markup.select("page_id", clean_markup(F.col("html")).alias("text")).join(chosen, "page_id")
     joined = (
-        texts.select("host", "place", clean_markup(F.col("html")).alias("text"))
+        texts.select("host", "place", "text")
         .groupBy("host")
         # At most max_pages texts per host.
         .agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("texts"))
@@ -270,14 +274,23 @@ def from_websites(companies: DataFrame, evidence: DataFrame, min_chars: int = 1)
 
 
 def page_memo(pages: DataFrame, fetched_at: str, error: Column | None = None) -> DataFrame:
-    """(url, fetched_at, text, error): the newest stored fetch of every distinct address."""
+    """(url, fetched_at, text, error): the newest stored fetch of every distinct address, on a tie by a hash of its content.
+
+    Addresses and fetch times compete; markup is cleaned where it is read, for fetches that may have won, and never moves.
+    """
     fetches = pages.select(
         normalize_url(F.col("url")).alias("url"),
         F.col(fetched_at).alias("fetched_at"),
         "html",
         (F.lit("") if error is None else error).alias("error"),
     )
-    newest = fetches.groupBy("url").agg(
-        F.max_by(F.struct("html", "error"), "fetched_at").alias("row"), F.max("fetched_at").alias("fetched_at")
-    )
-    return newest.select("url", "fetched_at", clean_markup(F.col("row.html")).alias("text"), "row.error")
+    marked = fetches.withColumn("_hash", content_hash(fetches.columns))
+    newest = Window.partitionBy("url").orderBy(F.desc_nulls_last("fetched_at"), F.desc("_hash"))
+    ranked = marked.select("url", "fetched_at", "_hash").withColumn("_place", F.row_number().over(newest))
+    best = ranked.filter("_place = 1").select(F.col("url").alias("_url"), F.col("_hash").alias("_best"))
+    near = possible(marked, F.col("_hash"), best, F.col("_best"))
+    texts = near.select("url", "fetched_at", clean_markup(F.col("html")).alias("text"), "error", "_hash")
+    found = texts.join(best, texts["url"].eqNullSafe(best["_url"]) & (texts["_hash"] == best["_best"]))
+    # A fetch stored twice is one.
+    once = Window.partitionBy("_url", "_best").orderBy(F.lit(0))
+    return found.withColumn("_copy", F.row_number().over(once)).filter("_copy = 1").select("url", "fetched_at", "text", "error")

@@ -177,7 +177,7 @@ detail AS (
   FROM rung
 )"""
 
-_AUDIT = _with(RATED, ENTRIES, EVIDENCE, RULES, FILED, BEST, CURRENT, DETAIL)
+_REVIEW = _with(RATED, ENTRIES, EVIDENCE, RULES, FILED, BEST, CURRENT, DETAIL)
 
 
 def _detail_columns(scope: str = "经营范围") -> str:
@@ -388,13 +388,13 @@ FROM evidence e LEFT JOIN best b ON b.query_name = e.query_name""",
     "best_group_large": _with(RATED, EVIDENCE, PASSAGES, BEST)
     + """SELECT e.query_name, b.score, b.l2 AS level2, b.l3 AS level3, b.words
 FROM evidence e LEFT JOIN best b ON b.query_name = e.query_name""",
-    "review_detail": _AUDIT + f"SELECT {_detail_columns()} FROM detail",
-    "review_detail_large": _AUDIT + f"SELECT {_detail_columns()} FROM detail",
-    "review_detail_joined": _AUDIT + f"SELECT {_detail_columns()} FROM detail",
-    "review_detail_sources": _AUDIT
+    "review_detail": _REVIEW + f"SELECT {_detail_columns()} FROM detail",
+    "review_detail_large": _REVIEW + f"SELECT {_detail_columns()} FROM detail",
+    "review_detail_joined": _REVIEW + f"SELECT {_detail_columns()} FROM detail",
+    "review_detail_sources": _REVIEW
     + f"""SELECT {_detail_columns(K.NEUTRAL_SCOPE_HEADER)}, found_in AS "数据来源",
   'https://d.example.com/' || (row_number - 2) AS "官网链接" FROM detail""",
-    "person_summary": _AUDIT
+    "person_summary": _REVIEW
     + """SELECT name AS "姓名", count(*) AS "录入数量", count(*) FILTER (status <> '信息缺失') AS "完整数量",
   count(*) FILTER (status = '正确') AS "正确数量", count(*) FILTER (status = '错误') AS "错误数量",
   count(*) FILTER (status = '疑似错误') AS "疑似错误数量", count(*) FILTER (status = '无法判断') AS "无法判断数量",
