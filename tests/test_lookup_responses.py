@@ -76,10 +76,10 @@ def test_failed_responses(spark):
 
 def test_good_responses(spark):
     bodies = {
-        "陕西汇生源生态农业有限公司": {
+        "云岭竹器有限公司": {
             "Status": "200",
             "Message": "查询成功",
-            "Result": {"Name": "陕西汇生源生态农业有限公司", "Scope": "蔬菜、水果种植、加工、销售。", "RegStatus": "存续"},
+            "Result": {"Name": "云岭竹器有限公司", "Scope": "竹篮、竹席编织；运输。", "RegStatus": "存续"},
         },
         "data": {"Status": 200, "Result": [], "Data": {"Scope": None, "BusinessScope": "", "经营范围": " 梨 ", "Status": 1.5}},
         "typed": {"Status": 200, "Result": {"OperScope": 12, "EntName": True, "StatusDesc": "x", "RegStatus": "　"}},
@@ -87,7 +87,7 @@ def test_good_responses(spark):
     rows = [(name, 200, json.dumps(body, ensure_ascii=False), None) for name, body in bodies.items()]
     result = from_responses(spark.createDataFrame(rows, "query_name string, http_status int, body string, transport_error string"))
     assert keyed(result, "success", "company_name", "business_scope", "status", "error") == {
-        "陕西汇生源生态农业有限公司": (True, "陕西汇生源生态农业有限公司", "蔬菜、水果种植、加工、销售。", "存续", ""),
+        "云岭竹器有限公司": (True, "云岭竹器有限公司", "竹篮、竹席编织；运输。", "存续", ""),
         "data": (True, "data", "梨", "1.5", ""),
         "typed": (True, "True", "12", "x", ""),
     }

@@ -12,11 +12,12 @@ from ledgerlens.plans.review import review_detail
 from tests.brute import review_row
 from tests.conftest import INFO_SCHEMA, entries_frame, found, missed, rules_frame
 
-FRUIT = [
-    ("农业", "种植业", "水果作物", "类型", ["苹果", "梨", "水果"]),
-    ("农业", "种植业", "水果作物", "环节", ["繁育", "加工", "销售"]),
+WOOD = [
+    ("制造业", "家具业", "木制家具", "材料", ["橡木", "松木", "板材"]),
+    ("制造业", "家具业", "木制家具", "工序", ["切割", "打磨", "上漆"]),
 ]
-GRAIN = [FRUIT[0], ("农业", "种植业", "粮食作物", "类型", ["水稻", "玉米", "大豆"])]
+CLOTH = [WOOD[0], ("制造业", "家具业", "布艺家具", "材料", ["棉布", "亚麻", "海绵"])]
+FACTORY = "北山家具厂"
 
 
 def run(spark, entry, rules, info):
@@ -24,56 +25,55 @@ def run(spark, entry, rules, info):
     return review_detail(entries_frame(spark, [entry]), rules_frame(spark, rules), infos).first()
 
 
-def test_missing_field(spark):
-    row = run(spark, ("7月20日", "张硕", "种植业", "", "金川县雪梨果业开发有限责任公司", "梨（销售）"), [], None)
-    assert (row["status"], row["confidence"], row["error_type"], row["reason"], row["needs_review"]) == (
-        "信息缺失", 0, "信息缺失", "必填字段缺失：细分", True,
-    )
-    assert (row["company_name"], row["company_status"], row["business_scope"]) == ("", "", "")
+@pytest.mark.parametrize("gap", range(6))
+def test_a_single_missing_field(spark, gap):
+    names = ["日期", "姓名", "一级分类", "细分", "企业名称&官网", "环节"]
+    entry = ["3月5日", "甲一", "家具业", "木制家具", FACTORY, "橡木"]
+    entry[gap] = ""
+    row = run(spark, tuple(entry), WOOD, found(FACTORY, "橡木"))
+    assert (row["status"], row["error_type"], row["confidence"], row["needs_review"]) == ("信息缺失", "信息缺失", 0, True)
+    assert row["reason"] == f"必填字段缺失：{names[gap]}"
+    assert row["company_name"] == row["company_status"] == row["business_scope"] == ""
 
 
 def test_all_missing_fields_in_order(spark):
-    row = run(spark, ("", "", "", "", "", ""), FRUIT, None)
+    row = run(spark, ("", "", "", "", "", ""), WOOD, None)
     assert row["reason"] == "必填字段缺失：日期、姓名、一级分类、细分、企业名称&官网、环节"
 
 
-def test_matching_scope_is_correct(spark):
-    name = "金川县雪梨果业开发有限责任公司"
-    entry = ("7月20日", "张硕", "种植业", "水果作物", name, "梨（繁育、加工、销售）")
-    row = run(spark, entry, FRUIT, found(name, "水果、梨、苹果种植、加工、销售；农业技术服务。"))
-    assert (row["status"], row["confidence"], row["needs_review"], row["error_type"]) == ("正确", 100, False, "")
-    assert row["reason"] == (
-        "分类命中：种植业；细分命中：水果作物；经营范围关键词：苹果、梨、水果、加工、销售；录入环节关键词：梨、繁育、加工、销售"
-    )
-
-
-def test_better_category_is_suggested(spark):
-    name = "黑龙江省佳莲种业有限公司"
-    entry = ("7月20日", "相阳", "种植业", "水果作物", name, "苹果（销售）")
-    row = run(spark, entry, GRAIN, found(name, "水稻、玉米、大豆种子繁育、加工、销售。"))
-    assert (row["status"], row["confidence"], row["suggestion"], row["needs_review"]) == ("错误", 60, "种植业 / 粮食作物", False)
-    assert row["reason"] == "经营范围更匹配建议分类：经营范围关键词：水稻、玉米、大豆"
+@pytest.mark.parametrize(
+    "scope, stage, score, words, staged",
+    [
+        ("松木、板材打磨", "松木（打磨）", 88, "松木、板材、打磨", "松木、打磨"),
+        ("橡木、松木、板材切割、打磨；安装", "橡木（切割、上漆）", 100, "橡木、松木、板材、切割、打磨", "橡木、切割、上漆"),
+        ("松木打磨；板材", "工序：松木", 87, "松木、板材、打磨", "松木"),
+    ],
+)
+def test_scores_of_filed_groups(spark, scope, stage, score, words, staged):
+    """20 and 20 for the levels, 12 a word of the scope up to 45, 6 a word of the stage, 5 for a module it names, 100 at most."""
+    row = run(spark, ("3月5日", "甲一", "家具业", "木制家具", FACTORY, stage), WOOD, found(FACTORY, scope))
+    assert (row["status"], row["confidence"], row["needs_review"], row["error_type"]) == ("正确", score, False, "")
+    module = "环节模块命中：工序；" if "工序" in stage else ""
+    assert row["reason"] == f"分类命中：家具业；细分命中：木制家具；{module}经营范围关键词：{words}；录入环节关键词：{staged}"
 
 
-def test_uncapped_score(spark):
-    rules = [("农业", "种植业", "水果作物", "类型", ["梨", "苹果", "水果"]), FRUIT[1]]
-    entry = ("7月20日", "张硕", "种植业", "水果作物", "甲", "梨（销售）")
-    row = run(spark, entry, rules, found("甲", "梨、水果种植、加工、销售。"))
-    assert (row["status"], row["confidence"]) == ("正确", 97)
-    assert row["reason"] == "分类命中：种植业；细分命中：水果作物；经营范围关键词：梨、水果、加工、销售；录入环节关键词：梨、销售"
+def test_another_group_is_suggested(spark):
+    row = run(spark, ("3月5日", "乙二", "家具业", "木制家具", FACTORY, "橡木"), CLOTH, found(FACTORY, "海绵、亚麻和棉布制品。"))
+    assert (row["status"], row["confidence"], row["suggestion"], row["needs_review"]) == ("错误", 60, "家具业 / 布艺家具", False)
+    assert row["reason"] == "经营范围更匹配建议分类：经营范围关键词：棉布、亚麻、海绵"
 
 
 def test_evidence_gaps(spark):
-    entry = ("d", "n", "种植业", "水果作物", "甲", "梨")
-    row = run(spark, entry, FRUIT, None)
+    entry = ("d", "n", "家具业", "木制家具", "甲", "松木")
+    row = run(spark, entry, WOOD, None)
     assert (row["status"], row["reason"], row["data_source"]) == ("无法判断", "未查询到企业信息", "")
-    row = run(spark, entry, FRUIT, missed("甲", "余额不足"))
-    assert (row["status"], row["confidence"], row["error_type"], row["reason"]) == ("无法判断", 0, "企业信息缺失", "余额不足")
+    row = run(spark, entry, WOOD, missed("甲", "限流"))
+    assert (row["status"], row["confidence"], row["error_type"], row["reason"]) == ("无法判断", 0, "企业信息缺失", "限流")
     assert row["company_name"] == ""
-    row = run(spark, entry, FRUIT, found("甲", ""))
+    row = run(spark, entry, WOOD, found("甲", ""))
     assert (row["status"], row["confidence"], row["error_type"]) == ("无法判断", 46, "经营范围缺失")
     assert (row["company_name"], row["company_status"]) == ("甲", "存续")
-    row = run(spark, ("d", "n", "种植业", "水果作物", "https://a.b", "梨"), FRUIT, None)
+    row = run(spark, ("d", "n", "家具业", "木制家具", "https://a.b", "松木"), WOOD, None)
     assert (row["status"], row["cleaned_company"]) == ("无法判断", "")
 
 
