@@ -14,7 +14,7 @@ from ledgerlens.queries.catalog import QUERIES
 from tests.conftest import entries_frame, rules_frame
 
 RULES = [
-    ("制造业", "家具业", "木制家具", "材料", ["松木", "橡木", "板材"]),
+    ("制造业", "家具业", "木制家具", "材料", ["松木", "橡木", "竹"]),
     ("制造业", "家具业", "木制家具", "工序", ["打磨"]),
     ("制造业", "家具业", "布艺家具", "材料", ["棉布", "亚麻", "海绵"]),
 ]
