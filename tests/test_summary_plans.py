@@ -138,7 +138,7 @@ def test_job_ids(spark, tmp_path):
     assert result["job_id"].startswith("审计结果_") and len(result["job_id"]) == len("审计结果_") + 8
     detail = spark.read.parquet(result["detail"])
     columns = detail.columns
-    assert detail.first()["官网链接"] == "https://example.com" and detail.first()["数据来源"] == "mock"
+    assert detail.first()["官网链接"] == "https://north.example.org" and detail.first()["数据来源"] == "mock"
     assert columns[11] == "外部证据文本" and columns[-3:] == ["数据来源", "官网链接", "来源文件"]
 
 
