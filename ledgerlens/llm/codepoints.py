@@ -1,11 +1,15 @@
 """Perplexity of whole documents under an n-gram model of code points that grows with the corpus.
 
-Spark counts the distinct 5-grams of real code points per language (no classes, capitals and all scripts kept apart), and makes
-of them the modified Kneser-Ney tables of all orders by aggregates and equi-joins. The documents are dealt to two halves by a
-hash of their text, and each is scored by the model of the other half, so no text predicts itself and copies do not predict
-each other. The model is a table in the shared folder, dealt by a hash of its key and sorted in each part. A scoring task
-takes the distinct n-grams of some millions of characters and merges them with the parts, one part at a time: nothing is
-broadcast or collected, and a task's memory does not grow with the model.
+Spark counts the distinct 5-grams of real code points per language (no classes, capitals and all scripts kept apart). The
+documents are dealt to two halves by a hash of their text, and each is scored by the model of the other half, so no text predicts
+itself and copies do not predict each other. An n-gram is one row with its counts in both halves; the modified Kneser-Ney
+probabilities of all orders are made by aggregates and equi-joins of such rows, under both models at once. An n-gram that one half
+lacks gets its backed-off probability there and then, so what remains is one table: key of a 5-gram, log2 probability under either
+model. It lies in the shared folder as arrays sorted by key, dealt into parts by the key.
+
+A scoring task keeps the distinct keys of up to HELD characters and merges them with the parts, one at a time: nothing is
+broadcast or collected, no n-gram of a text is shuffled, and a task's memory does not grow with the model. The table is read once
+per HELD characters; it has a row per distinct 5-gram, which grows much slower than the texts.
 """
 
 from __future__ import annotations
@@ -19,16 +23,16 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import filesystem, materialize, new_folder, texts
 
 ORDER = 5
-#: Characters a task takes at a time, and model rows a part has on average.
+#: Characters that are numbered at a time, characters whose numbers (four bytes each) a scoring task keeps, rows of a part.
 TAKEN = 4_000_000
+HELD = 48_000_000
 PART_ROWS = 2_000_000
 #: What stands before a text.
 START = "\x02"
-#: log2 probability of a character where there is no model at all: one of all code points.
-NO_MODEL = -float(np.log2(0x110000))
-#: Parts a task keeps while it looks up the next shorter n-grams.
-HELD_BYTES = 64_000_000
-GRAM, BACKOFF = 1, 2
+#: Probability of a code point under a model without any text.
+NO_MODEL = 1 / 0x110000
+#: Least weight of the shorter n-gram, where all discounts of a context are nothing.
+LEAST_SHARE = 1e-12
 
 
 def half(text: str) -> int:
@@ -41,194 +45,230 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def keys(model: np.ndarray, kind: int, points: np.ndarray) -> np.ndarray:
-    """64-bit key of rows of code points (n, k) of a model (a number from language and half)."""
-    with np.errstate(over="ignore"):
-        h = _mix(model + np.uint64(0x9E3779B97F4A7C15) * np.uint64(8 * kind + points.shape[1]))
-        for column in range(points.shape[1]):
-            h = _mix(h + points[:, column].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    return h
+#: An odd 64-bit multiplier per place of an n-gram.
+FACTORS = _mix(np.arange(1, ORDER + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def model_number(lang: str, which: int) -> int:
+def language_number(lang: str) -> int:
     raw = lang.encode()
-    return (zlib.crc32(raw) << 32 | zlib.crc32(raw[::-1] + b"#")) ^ (which * 0x5851F42D4C957F2D & (1 << 64) - 1)
+    return zlib.crc32(raw) << 32 | zlib.crc32(raw[::-1] + b"#")
 
 
-def points(text: str) -> np.ndarray:
-    """(length, ORDER) code points that end at each character."""
-    padded = np.frombuffer((START * (ORDER - 1) + text).encode("utf-32-le"), "<u4")
-    return np.lib.stride_tricks.sliding_window_view(padded, ORDER)
+def gram_keys(columns: list[np.ndarray], languages: np.ndarray) -> np.ndarray:
+    """64-bit keys of n-grams, given as a column of code points per place, in languages (numbers)."""
+    h = languages.copy()
+    for factor, column in zip(FACTORS, columns, strict=True):
+        h += column * factor
+    return _mix(h)
 
 
-def distinct(rows: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the distinct n-gram at each place, and for each distinct one its first place."""
+class Places:
+    """The n-grams that end at each character of some texts, one text after the other."""
+
+    def __init__(self, own: list[str], languages: list[str]):
+        pad = START * (ORDER - 1)
+        self.points = np.frombuffer("".join(pad + text for text in own).encode("utf-32-le"), "<u4")
+        self.lengths = np.array([len(text) for text in own], np.int64)
+        self.ends = np.cumsum(self.lengths)
+        wide = self.points.astype(np.uint64)
+        count = len(wide) - ORDER + 1
+        numbers = {lang: language_number(lang) for lang in set(languages)}
+        by_window = np.repeat(np.array([numbers[lang] for lang in languages], np.uint64), self.lengths + ORDER - 1)[:count]
+        keys = gram_keys([wide[k : k + count] for k in range(ORDER)], by_window)
+        # Windows that end in what stands before a text are no n-grams.
+        between = (self.ends[:-1] + (ORDER - 1) * np.arange(len(own) - 1))[:, None] + np.arange(ORDER - 1)
+        self.keys = np.delete(keys, between.ravel())
+
+    def text_of(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, place, side="right")
+
+    def grams(self, place: np.ndarray) -> list[str]:
+        windows = np.lib.stride_tricks.sliding_window_view(self.points, ORDER)
+        joined = np.ascontiguousarray(windows[place + (ORDER - 1) * self.text_of(place)]).tobytes().decode("utf-32-le")
+        return [joined[k : k + ORDER] for k in range(0, len(joined), ORDER)]
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the distinct key at each place, and the distinct keys in order of their first place."""
     import pandas as pd
 
-    numbers, found = pd.factorize(keys(model, GRAM, rows))
-    first = np.empty(len(found), np.int64)
-    first[numbers[::-1]] = np.arange(len(numbers) - 1, -1, -1)
-    return numbers, first
+    return pd.factorize(keys)
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """lang, half, gram, n over all whole texts, combined in tasks some million characters at a time."""
+    """lang, gram and its counts n0, n1 in both halves, over all whole texts, combined in tasks some million characters at a time."""
 
     def count(batches):
         import pyarrow as pa
 
-        held: dict[tuple[str, int], list[str]] = {}
+        held: tuple[list, list] = ([], [])
 
         def counted():
-            for (lang, which), own in held.items():
-                rows = np.concatenate([points(t) for t in own])
-                numbers, first = distinct(rows, np.uint64(model_number(lang, which)))
-                joined = np.ascontiguousarray(rows[first]).tobytes().decode("utf-32-le")
-                grams = [joined[k : k + ORDER] for k in range(0, len(joined), ORDER)]
-                n = np.bincount(numbers, minlength=len(first)).astype(np.int64)
-                size = len(n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array(np.full(size, which, np.int32)), pa.array(grams, pa.string()), pa.array(n)], names=["lang", "half", "gram", "n"])
-            held.clear()
+            own = [*held[0], *held[1]]
+            languages = [lang for _, lang in own]
+            places = Places([text for text, _ in own], languages)
+            split = int(places.lengths[: len(held[0])].sum())
+            numbers, found = numbered(places.keys)
+            first = np.empty(len(found), np.int64)
+            first[numbers[::-1]] = np.arange(len(numbers) - 1, -1, -1)
+            n0, n1 = (np.bincount(part, minlength=len(found)).astype(np.int64) for part in (numbers[:split], numbers[split:]))
+            lang = np.array(languages, object)[places.text_of(first)]
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(places.grams(first), pa.string()), pa.array(n0), pa.array(n1)], names=["lang", "gram", "n0", "n1"])
+            for part in held:
+                part.clear()
 
         size = 0
         for text, lang in texts(batches, ["text", "lang"], 200):
             if text:
-                held.setdefault((lang or "", half(text)), []).append(text)
+                held[half(text)].append((text, lang or ""))
                 size += len(text)
                 if size >= TAKEN:
                     yield from counted()
                     size = 0
-        yield from counted()
-
-    parts = docs.select("text", "lang").mapInArrow(count, "lang string, half int, gram string, n long")
-    return parts.groupBy("lang", "half", "gram").agg(F.sum("n").alias("n"))
-
-
-def _discounts(counts: DataFrame) -> DataFrame:
-    """lang, half and the discounts d1, d2, d3 for counts of 1, 2 and 3 or more, as in perplexity._discounts."""
-    few = [F.greatest(F.sum((F.col("n") == k).cast("long")), F.lit(1)).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    cut = [F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.0)), F.lit(k * 0.99)).alias(f"d{k}") for k in (1, 2, 3)]
-    return counts.groupBy("lang", "half").agg(*few).select("lang", "half", *cut)
-
-
-def train(docs: DataFrame) -> tuple[str, int]:
-    """Folder and number of parts of the model table: key, value (log2), sorted by key in parts of about PART_ROWS rows."""
-    own = ["lang", "half"]
+        if size:
+            yield from counted()
+
+    parts = docs.select("text", "lang").mapInArrow(count, "lang string, gram string, n0 long, n1 long")
+    return parts.groupBy("lang", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def discounts(counts: dict[int, DataFrame]) -> DataFrame:
+    """lang, k and per half the discounts for counts of 1, 2 and 3 or more of the order k; types, its number of n-grams."""
+    every = None
+    for k, own in counts.items():
+        few = [F.sum((F.col(f"n{m}") == c).cast("long")).alias(f"c{c}_{m}") for m in (0, 1) for c in (1, 2, 3, 4)]
+        types = [F.sum((F.col(f"n{m}") > 0).cast("long")).alias(f"types{m}") for m in (0, 1)]
+        level = own.groupBy("lang").agg(*few, *types).withColumn("k", F.lit(k))
+        every = level if every is None else every.union(level)
+    cuts = []
+    for m in (0, 1):
+        n = {c: F.greatest(F.col(f"c{c}_{m}"), F.lit(1)) for c in (1, 2, 3, 4)}
+        y = n[1] / (n[1] + 2 * n[2])
+        cuts += [F.least(F.greatest(c - (c + 1) * y * n[c + 1] / n[c], F.lit(0.0)), F.lit(c * 0.99)).alias(f"d{c}_{m}") for c in (1, 2, 3)]
+    return every.select("lang", "k", "types0", "types1", *cuts)
+
+
+def probabilities(docs: DataFrame) -> DataFrame:
+    """lang, gram, p0, p1: of every 5-gram of the corpus under the model of either half.
+
+    A half without a text of a language has no n-grams: there every code point has the probability NO_MODEL, so all texts of the
+    language are alike and only its base rules tell them apart.
+    """
     counts = {ORDER: materialize(count_grams(docs), "grams-5")}
     for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct code points seen before the shorter n-gram
-        shorter = counts[k + 1].groupBy(*own, F.expr(f"substring(gram, 2, {k})").alias("gram")).agg(F.count("*").alias("n"))
-        counts[k] = materialize(shorter, f"grams-{k}")
-    below = counts[1].groupBy(*own).agg((1 / (F.count("*") + 1)).alias("p")).withColumn("suffix", F.lit(""))
-    value = F.log2(F.col("p")).cast("float").alias("value")
-    rows = below.select(*own, F.lit(GRAM).alias("kind"), F.lit("").alias("gram"), value)
+        seen = [F.sum((F.col(f"n{m}") > 0).cast("long")).alias(f"n{m}") for m in (0, 1)]
+        counts[k] = materialize(counts[k + 1].groupBy("lang", F.expr(f"substring(gram, 2, {k})").alias("gram")).agg(*seen), f"grams-{k}")
+    # A narrow row per language and order; written first, so that Spark knows its size when it chooses the joins.
+    cuts = materialize(discounts(counts), "discounts")
+    flat = [F.when(F.col(f"types{m}") > 0, 1 / (F.col(f"types{m}") + 1)).otherwise(F.lit(NO_MODEL)).alias(f"p{m}") for m in (0, 1)]
+    below = cuts.filter("k = 1").select("lang", F.lit("").alias("suffix"), *flat)
     for k in range(1, ORDER + 1):
-        cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        prefix, suffix = F.expr(f"substring(gram, 1, {k - 1})"), F.expr(f"substring(gram, 2, {k - 1})")
-        parts = counts[k].join(_discounts(counts[k]), own).select(*own, "gram", "n", cut.alias("cut"), prefix.alias("prefix"), suffix.alias("suffix"))
-        contexts = parts.groupBy(*own, "prefix").agg(F.sum("n").alias("total"), F.sum("cut").alias("cuts"))
-        share = F.col("cuts") / F.col("total")
-        joined = parts.join(contexts, [*own, "prefix"]).join(below, [*own, "suffix"])
-        level = materialize(joined.select(*own, "gram", ((F.col("n") - F.col("cut")) / F.col("total") + share * F.col("p")).alias("p")), f"level-{k}")
-        weight = F.log2(F.greatest(share, F.lit(1e-12))).cast("float").alias("value")
-        rows = rows.union(level.select(*own, F.lit(GRAM), "gram", value)).union(contexts.select(*own, F.lit(BACKOFF), F.col("prefix"), weight))
-        below = level.withColumnRenamed("gram", "suffix")
+        own = counts[k].join(cuts.filter(F.col("k") == k), "lang")
+        cut = [F.when(F.col(f"n{m}") == 0, 0.0).when(F.col(f"n{m}") == 1, F.col(f"d1_{m}")).when(F.col(f"n{m}") == 2, F.col(f"d2_{m}")).otherwise(F.col(f"d3_{m}")).alias(f"cut{m}") for m in (0, 1)]
+        prefix, suffix = F.expr(f"substring(gram, 1, {k - 1})").alias("prefix"), F.expr(f"substring(gram, 2, {k - 1})").alias("suffix")
+        parts = own.select("lang", "gram", "n0", "n1", *cut, prefix, suffix)
+        sums = [F.sum(f"{name}{m}").alias(f"{all_}{m}") for m in (0, 1) for name, all_ in (("n", "total"), ("cut", "cuts"))]
+        joined = parts.join(parts.groupBy("lang", "prefix").agg(*sums), ["lang", "prefix"]).join(below, ["lang", "suffix"])
+        p = [F.when(F.col(f"total{m}") == 0, F.col(f"p{m}")).otherwise((F.col(f"n{m}") - F.col(f"cut{m}")) / F.col(f"total{m}") + F.greatest(F.col(f"cuts{m}") / F.col(f"total{m}"), F.lit(LEAST_SHARE)) * F.col(f"p{m}")).alias(f"p{m}") for m in (0, 1)]
+        level = joined.select("lang", "gram", *p)
+        if k < ORDER:
+            below = materialize(level, f"level-{k}").withColumnRenamed("gram", "suffix")
+    return level
+
+
+def train(docs: DataFrame) -> tuple[str, int]:
+    """Folder and number of parts of the model: key, v0, v1 (log2 under either half's model), sorted by key in parts of about
+    PART_ROWS rows."""
+    level = materialize(probabilities(docs).select("lang", "gram", *(F.log2(f"p{m}").cast("float").alias(f"v{m}") for m in (0, 1))), "level-5")
 
     def keyed(batches):
         import pyarrow as pa
 
         for batch in batches:
-            grams = np.array(batch.column("gram").to_pylist(), object)
-            out, values = np.zeros(len(grams), np.uint64), batch.column("value").to_numpy()
-            groups: dict[tuple, list[int]] = {}
-            for at, place in enumerate(zip(batch.column("lang").to_pylist(), batch.column("half").to_pylist(), batch.column("kind").to_pylist(), map(len, grams), strict=True)):
-                groups.setdefault(place, []).append(at)
-            for (lang, which, kind, k), places in groups.items():
-                own_points = np.frombuffer("".join(grams[places]).encode("utf-32-le"), "<u4").reshape(len(places), k)
-                out[places] = keys(np.full(len(places), model_number(lang, which), np.uint64), kind, own_points)
-            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(values)], names=["key", "value"])
-
-    n = sum(c.count() for c in counts.values())
-    parts = max(1, -(-2 * n // PART_ROWS))
+            if batch.num_rows:
+                points = np.frombuffer("".join(batch.column("gram").to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, ORDER).astype(np.uint64)
+                lang = batch.column("lang").dictionary_encode()
+                numbers = np.array([language_number(one) for one in lang.dictionary.to_pylist()], np.uint64)[lang.indices.to_numpy()]
+                keys = gram_keys(list(points.T), numbers)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("v0"), batch.column("v1")], names=["key", "v0", "v1"])
+
+    parts = max(1, -(-level.count() // PART_ROWS))
     folder = new_folder(docs.sparkSession, "code-point-model")
-    table = rows.mapInArrow(keyed, "key long, value float").withColumn("part", F.expr(f"pmod(key, {parts}L)").cast("int"))
+    table = level.mapInArrow(keyed, "key long, v0 float, v1 float").withColumn("part", F.expr(f"pmod(key, {parts}L)").cast("int"))
     table.repartition(parts, "part").sortWithinPartitions("part", "key").write.partitionBy("part").parquet(folder)
     return folder, parts
 
 
 class Reader:
-    """Values of keys, from the parts of the model; a few parts stay in memory."""
+    """Values of keys, from the parts of the model, one part at a time."""
 
     def __init__(self, folder: str, parts: int):
-        self.folder, self.parts, self.held, self.size = folder, parts, {}, 0
-
-    def _part(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        if number not in self.held:
-            import pyarrow.dataset as ds
-            from pyarrow import fs
-
-            system, path = filesystem(f"{self.folder}/part={number}")
-            if system.get_file_info(path).type == fs.FileType.NotFound:
-                made = np.zeros(0, np.int64), np.zeros(0, np.float32)
-            else:
-                table = ds.dataset(path, filesystem=system, format="parquet").to_table(columns=["key", "value"])
-                made = table.column("key").to_numpy(), table.column("value").to_numpy()
-                if len(made[0]) and (np.diff(made[0]) < 0).any():  # several sorted files
-                    order = np.argsort(made[0])
-                    made = made[0][order], made[1][order]
-            if self.size > HELD_BYTES:
-                self.held.clear()
-                self.size = 0
-            self.held[number] = made
-            self.size += sum(a.nbytes for a in made)
-        return self.held[number]
+        self.folder, self.parts = folder, parts
+
+    def _part(self, number: int) -> list[np.ndarray]:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        system, path = filesystem(f"{self.folder}/part={number}")
+        if system.get_file_info(path).type == fs.FileType.NotFound:
+            return [np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32)]
+        table = ds.dataset(path, filesystem=system, format="parquet").to_table(columns=["key", "v0", "v1"])
+        made = [table.column(name).to_numpy() for name in ("key", "v0", "v1")]
+        if (np.diff(made[0]) < 0).any():  # several sorted files
+            order = np.argsort(made[0])
+            made = [array[order] for array in made]
+        return made
 
     def values(self, asked: np.ndarray) -> np.ndarray:
-        """NaN where a key is not in the model."""
+        """(2, n): log2 probabilities of keys under the model of either half."""
         asked = asked.view(np.int64)
-        out = np.full(len(asked), np.nan, np.float32)
+        out = np.full((2, len(asked)), np.log2(NO_MODEL), np.float32)
         number = asked % self.parts
         order = np.lexsort((asked, number))
         ends = np.searchsorted(number[order], np.arange(self.parts + 1))
         for part in range(self.parts):
             places = order[ends[part] : ends[part + 1]]
             if len(places):
-                own, values = self._part(part)
+                own, *values = self._part(part)
                 if len(own):
                     at = np.minimum(np.searchsorted(own, asked[places]), len(own) - 1)
-                    out[places] = np.where(own[at] == asked[places], values[at], np.float32(np.nan))
-        return out
-
-    def log2(self, rows: np.ndarray, model: np.ndarray) -> np.ndarray:
-        """log2 probability of the last code point of each row."""
-        out, weight, open_ = np.full(len(rows), NO_MODEL), np.zeros(len(rows)), np.arange(len(rows))
-        for k in range(ORDER, -1, -1):
-            if not len(open_):
-                break
-            tail = rows[open_, ORDER - k :]
-            asked, place = np.unique(keys(model[open_], GRAM, tail), return_inverse=True)
-            found = self.values(asked)[place].astype(np.float64)
-            known = ~np.isnan(found)
-            out[open_[known]] = weight[open_[known]] + found[known]
-            open_, tail = open_[~known], tail[~known]
-            if k and len(open_):
-                asked, place = np.unique(keys(model[open_], BACKOFF, tail[:, :-1]), return_inverse=True)
-                weight[open_] += np.nan_to_num(self.values(asked)[place].astype(np.float64), nan=0.0)
+                    found = own[at] == asked[places]
+                    out[:, places[found]] = [v[at[found]] for v in values]
         return out
 
 
-def bits(reader: Reader, docs: list[tuple[str | None, str]]) -> list[float]:
-    """Mean bits per code point of each whole text under the model of its language's other half; 0 for an empty text."""
-    own = [k for k, (text, _) in enumerate(docs) if text]
-    out = [0.0] * len(docs)
-    if own:
-        rows = np.concatenate([points(docs[k][0]) for k in own])
-        lengths = np.array([len(docs[k][0]) for k in own])
-        numbers = np.array([model_number(docs[k][1], 1 - half(docs[k][0])) for k in own], np.uint64)
-        model = np.repeat(numbers, lengths)
-        places, first = distinct(rows, model)
-        logs = reader.log2(rows[first], model[first])[places]
-        means = -np.add.reduceat(logs, np.cumsum(lengths) - lengths) / lengths
-        for k, mean in zip(own, means.tolist(), strict=True):
-            out[k] = mean
-    return out
+class Scorer:
+    """Takes texts, keeps the numbers of their n-grams, and gives all their figures after one pass over the model."""
+
+    def __init__(self, reader: Reader):
+        self.reader, self.size, self.taken = reader, 0, []
+
+    def add(self, docs: list[tuple[str | None, str]]) -> None:
+        """(text, lang) of further documents."""
+        own = sorted((k for k, (text, _) in enumerate(docs) if text), key=lambda k: half(docs[k][0]))
+        if not own:
+            self.taken.append((len(docs), own, None, None, None, 0))
+            return
+        places = Places([docs[k][0] for k in own], [docs[k][1] for k in own])
+        numbers, found = numbered(places.keys)
+        split = int(sum(len(docs[k][0]) for k in own if not half(docs[k][0])))
+        self.taken.append((len(docs), own, places.ends, numbers.astype(np.int32), found, split))
+        self.size += len(numbers)
+
+    def bits(self) -> list[float]:
+        """Mean bits per code point of each whole text, in the order of the documents; 0 for an empty text."""
+        keys = [found for *_, found, _ in self.taken if found is not None]
+        every = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+        values = self.reader.values(every)
+        out: list[float] = []
+        for count, own, ends, numbers, found, split in self.taken:
+            figures = [0.0] * count
+            if own:
+                v0, v1 = values[:, np.searchsorted(every, found)]
+                logs = np.concatenate([v1[numbers[:split]], v0[numbers[split:]]]).astype(np.float64)
+                starts = np.concatenate([[0], ends[:-1]])
+                for k, mean in zip(own, (-np.add.reduceat(logs, starts) / (ends - starts)).tolist(), strict=True):
+                    figures[k] = mean
+            out += figures
+        self.taken, self.size = [], 0
+        return out

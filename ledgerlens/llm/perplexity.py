@@ -1,242 +1,35 @@
 """Quality rules with an n-gram perplexity model.
 
-Spark counts symbol 4-grams per language over all whole texts. A modified Kneser-Ney model is made of the counts of a language:
-interpolated, with three discounts per order, continuation counts below the highest order. A text is mapped to 64 symbol
-classes (letters, accented letters, classes of punctuation; capitals are one class), so an n-gram is a number of 6 bits per
-symbol, a hash without collisions, and there are 64^4 of them at most however large the corpus is: that bounds the model.
-The model is stored as arrays sorted by that number, with a directory over contexts.
+Spark counts 5-grams of code points per language over all whole texts and makes a modified Kneser-Ney model of them: interpolated,
+with three discounts per order, continuation counts below the highest order. It grows with the corpus and is stored as arrays
+sorted by a hash of the n-gram (codepoints.py).
 
-A second model, of 5-grams of real code points, grows with the corpus and judges the whole text (codepoints.py).
-
-A document is kept if its bits per symbol (median over stretches) and its bits per code point (whole text) lie in the bands of
-its language, and if it is not odd throughout: its easy quarter above the band, or its hard quarter below. Bands come from all
-documents that pass the base rules: median plus and minus some robust deviations. The mean over a short text varies more, so a
-band is wider there, by the variance SYMBOL_BITS^2 / length.
+A document is kept if the perplexity of its whole text lies between the lower and the upper limit of its language. The limits come
+from all documents that pass the base rules: median plus and minus some robust deviations of the bits per code point. The mean
+over a short text varies more, so limits are wider there, by the variance POINT_BITS^2 / length.
 """
 
 from __future__ import annotations
 
-import functools
-import io
-from dataclasses import dataclass
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import codepoints
-from ledgerlens.llm.common import filesystem, materialize, new_folder, texts, write_target
+from ledgerlens.llm.common import materialize, texts
 
-ORDER = 4
-CLASSES = 64
-#: Symbol classes. 0 stands for what is before a text, 63 for every other character.
-SINGLE = "abcdefghijklmnopqrstuvwxyzáéíóúñüäößçèêàâîôûëïùœ.,"
-GROUPED = ("\n", " \t\r\x0b\x0c\xa0", "0123456789", "'\"’‘“”«»„`", "-–—_", "()[]{}", "!?¡¿", ":;", "#*$%&|<>", "/\\@=+~^°§€£")
-UPPER, LETTER = 61, 62
 #: Documents whose bits are further than so many robust deviations from the median of their language are rejected.
 LOWER_DEVIATIONS, UPPER_DEVIATIONS = 4.0, 4.0
-#: Deviation of a symbol's bits, as far as it shows in means over short texts.
-SYMBOL_BITS = 1.0
-#: The same of a code point's bits under the model of code points, whose errors come in words.
+#: Deviation of a code point's bits, as far as it shows in means over short texts; errors come in words.
 POINT_BITS = 3.0
-STRETCH = 200
-#: Bits per symbol are held in steps of 1/STEPS for the bands.
+#: Bits per code point are held in steps of 1/STEPS for the limits.
 STEPS = 1000
 #: Least robust deviation, in bits: guards languages with a handful of documents.
 LEAST_DEVIATION = 0.02
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW_WORDS = 20, 30, 8
-#: Models a scoring task holds at a time; a further language's model is read when its documents come.
-HELD_MODELS = 4
-COUNTED = 4_000_000
 SYMBOLS = "#*$%&|<>"
-
-
-def _classes() -> np.ndarray:
-    table = np.full(0x110000, CLASSES - 1, np.uint8)
-    for code in range(0x110000):
-        if code < 0x250 or 0x370 <= code < 0x600:
-            char = chr(code)
-            if char.isupper():
-                table[code] = UPPER
-            elif char.isalpha():
-                table[code] = LETTER
-    table[0x600:0xD7A4] = LETTER
-    for number, char in enumerate(SINGLE, start=1):
-        table[ord(char)] = number
-    for number, group in enumerate(GROUPED, start=len(SINGLE) + 1):
-        for char in group:
-            table[ord(char)] = number
-    return table
-
-
-_TABLE: list[np.ndarray] = []
-
-
-def symbols(text: str) -> np.ndarray:
-    if not _TABLE:
-        _TABLE.append(_classes())
-    return _TABLE[0][np.frombuffer(text.encode("utf-32-le"), "<u4")]
-
-
-def ngrams(text: str) -> np.ndarray:
-    """The number of the n-gram that ends at each character; before the text stand class 0 symbols."""
-    padded = np.concatenate([np.zeros(ORDER - 1, np.uint32), symbols(text).astype(np.uint32)])
-    out = padded[: len(text)]
-    for k in range(1, ORDER):
-        out = (out << np.uint32(6)) | padded[k : k + len(text)]
-    return out
-
-
-def language_key(lang) -> str:
-    """Every language has its own model; documents without one (null or empty) share one."""
-    return lang or ""
-
-
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """lang, code, n over all whole texts; tasks count some millions at a time, the rest is a map-side combined sum."""
-
-    def count(batches):
-        import pyarrow as pa
-
-        held: dict[str, list[np.ndarray]] = {}
-        total = 0
-
-        def counted(lang):
-            codes, n = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
-
-        for text, lang in texts(batches, ["text", "lang"], 200):
-            if text:
-                lang = language_key(lang)
-                held.setdefault(lang, []).append(ngrams(text))
-                total += len(text)
-                if total >= COUNTED:  # of all languages together, so many small ones are bounded too
-                    for one in list(held):
-                        yield counted(one)
-                    total = 0
-        for lang in list(held):
-            yield counted(lang)
-
-    parts = docs.select("text", "lang").mapInArrow(count, "lang string, code long, n long")
-    return parts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Discounts for counts of 0, 1, 2 and 3 or more."""
-    n1, n2, n3, n4 = (max(int((counts == k).sum()), 1) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    raw = [0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-    return np.array([min(max(d, 0.0), k * 0.99) for k, d in enumerate(raw)])
-
-
-@dataclass
-class KneserNey:
-    """Per order k (index k - 1): sorted n-gram numbers with their log2 probability, sorted context numbers with their log2 back-off weight."""
-
-    codes: list[np.ndarray]
-    logs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    weights: list[np.ndarray]
-
-    @classmethod
-    def build(cls, codes: np.ndarray, counts: np.ndarray) -> KneserNey:
-        """From the highest order's n-gram numbers and counts."""
-        order = np.argsort(codes)
-        levels = [(codes[order].astype(np.int64), counts[order].astype(np.int64))]
-        for k in range(ORDER - 1, 0, -1):
-            # Continuation count: distinct symbols seen before the shorter n-gram.
-            levels.append(np.unique(levels[-1][0] & ((1 << 6 * k) - 1), return_counts=True))
-        levels.reverse()
-        model = cls([], [], [], [])
-        lower = None
-        for k, (own, n) in enumerate(levels, start=1):
-            contexts, place = np.unique(own >> 6, return_inverse=True)
-            total = np.bincount(place, weights=n)
-            cut = _discounts(n)[np.minimum(n, 3)]
-            weight = np.bincount(place, weights=cut) / total
-            if k == 1:
-                below = np.full(len(own), 1 / CLASSES)
-            else:
-                below = lower[np.searchsorted(model.codes[-1], own & ((1 << 6 * (k - 1)) - 1))]
-            lower = (n - cut) / total[place] + weight[place] * below
-            model.codes.append(own)
-            model.logs.append(np.log2(lower).astype(np.float32))
-            model.contexts.append(contexts)
-            model.weights.append(np.log2(np.maximum(weight, 1e-12)).astype(np.float32))
-        return model
-
-    def prepare(self) -> KneserNey:
-        """The directory: for each context of the highest order, where its n-grams start and a bit for each symbol seen."""
-        own = self.codes[-1]
-        self.seen = np.zeros(CLASSES ** (ORDER - 1), np.uint64)
-        np.bitwise_or.at(self.seen, own >> 6, np.uint64(1) << (own & 63).astype(np.uint64))
-        self.first = np.searchsorted(own, np.arange(CLASSES ** (ORDER - 1), dtype=np.int64) << 6).astype(np.int32)
-        return self
-
-    def log2(self, codes: np.ndarray) -> np.ndarray:
-        """log2 probability of each n-gram's last symbol."""
-        context, bit = codes >> np.uint32(6), np.uint64(1) << (codes & np.uint32(63)).astype(np.uint64)
-        mask = self.seen[context]
-        known = (mask & bit) != 0
-        place = self.first[context] + np.bitwise_count(mask & (bit - np.uint64(1)))
-        if known.all():
-            return self.logs[-1][place]
-        out = np.empty(len(codes), np.float32)
-        out[known] = self.logs[-1][place[known]]
-        out[~known] = self._backed_off(codes[~known].astype(np.int64), ORDER)
-        return out
-
-    def _backed_off(self, codes: np.ndarray, k: int) -> np.ndarray:
-        if k == 0:
-            return np.full(len(codes), -np.log2(CLASSES), np.float32)
-        codes = codes & ((1 << 6 * k) - 1)
-        own, place = self.codes[k - 1], np.searchsorted(self.codes[k - 1], codes)
-        known = own[np.minimum(place, len(own) - 1)] == codes
-        out = np.empty(len(codes), np.float32)
-        out[known] = self.logs[k - 1][place[known]]
-        rest = codes[~known]
-        if len(rest):
-            contexts = self.contexts[k - 1]
-            at = np.minimum(np.searchsorted(contexts, rest >> 6), len(contexts) - 1)
-            weight = np.where(contexts[at] == rest >> 6, self.weights[k - 1][at], np.float32(0))
-            out[~known] = weight + self._backed_off(rest, k - 1)
-        return out
-
-    def bits(self, text: str) -> tuple[float, float, float]:
-        """Quartiles over stretches of STRETCH symbols of the mean bits per symbol; 0 for an empty text. Perplexity is 2 to that
-        power. A passage in another language moves one outer quartile, a text that is odd throughout moves both."""
-        if not text:
-            return 0.0, 0.0, 0.0
-        logs = self.log2(ngrams(text)).astype(np.float64)
-        starts = np.arange(max(1, len(logs) // STRETCH)) * STRETCH  # the last one takes the rest
-        means = np.add.reduceat(logs, starts) / np.diff(np.append(starts, len(logs)))
-        return tuple(float(q) for q in np.quantile(-means, (0.25, 0.5, 0.75)))
-
-
-def train(docs: DataFrame) -> DataFrame:
-    """lang_key, uri: a model file in the shared folder for every language, from all documents. A group of the build is one
-    language's counts (64^4 rows at most); nothing is collected. A repeated task writes another file; only files of the table count."""
-    folder = new_folder(docs.sparkSession, "kneser-ney-files")
-
-    def build(table):
-        import pyarrow as pa
-
-        model = KneserNey.build(table.column("code").to_numpy(), table.column("n").to_numpy())
-        out, uri = write_target(folder, ".npz")
-        with out:
-            held = io.BytesIO()
-            np.savez(held, **{f"{name}{k}": own[k] for name, own in vars(model).items() for k in range(ORDER)})
-            out.write(held.getvalue())
-        return pa.table([[table.column("lang")[0].as_py()], [uri]], names=["lang_key", "uri"])
-
-    return materialize(count_ngrams(docs).groupBy("lang").applyInArrow(build, "lang_key string, uri string"), "kneser-ney")
-
-
-def load(uri: str) -> KneserNey:
-    system, path = filesystem(uri)
-    with system.open_input_file(path) as file:
-        arrays = np.load(io.BytesIO(file.read()))
-    return KneserNey(*([arrays[f"{name}{k}"] for k in range(ORDER)] for name in ("codes", "logs", "contexts", "weights"))).prepare()
+#: Documents a task numbers at a time, and documents whose figures it keeps, where texts are short.
+ROWS, HELD_ROWS = 20_000, 200_000
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -273,52 +66,47 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), word_chars, n_symbols, n_dup, n_repeat
 
 
-def score(docs: DataFrame, models: DataFrame, grown: tuple[str, int]) -> DataFrame:
-    """doc_id, the base counts, base_failed, lang_key, quartiles of bits, bits per code point of the whole text and n_chars per
-    document. Null and empty texts have 0 everywhere and fail. models is of train, grown of codepoints.train."""
+def score(docs: DataFrame, model: tuple[str, int]) -> DataFrame:
+    """doc_id, the base counts, base_failed, lang_key, bits per code point of the whole text and n_chars per document. Null and
+    empty texts have 0 everywhere and fail; null and empty languages are one. model is of codepoints.train."""
 
     def scan(batches):
         import pyarrow as pa
 
-        ready = functools.lru_cache(maxsize=HELD_MODELS)(load)
-        reader = codepoints.Reader(*grown)
+        scorer = codepoints.Scorer(codepoints.Reader(*model))
+        rows, taken, size = [], [], 0
 
-        def rows_of(taken):
-            whole = codepoints.bits(reader, [(text, key) for _, text, key, _ in taken])
-            rows = []
-            for (doc_id, text, key, uri), point_bits in zip(taken, whole, strict=True):
-                bits = ready(uri).bits(text) if text else (0.0, 0.0, 0.0)
-                n_words, word_chars, n_symbols, n_dup, n_repeat = base_counts(text or "")
-                failed = n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * n_words
-                rows.append((doc_id, n_words, word_chars, n_symbols, n_dup, n_repeat, failed, key, *bits, point_bits, len(text or "")))
-            columns = list(zip(*rows, strict=True))
+        def flush():
+            columns = [*map(list, zip(*rows, strict=True)), scorer.bits()]
+            rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, OUT.types, strict=True)], schema=OUT)
 
-        for batch in batches:
-            taken, size = [], 0
-            batch = batch.sort_by("lang_key")  # a model is read once a batch at most
-            for row in texts([batch], ["doc_id", "text", "lang_key", "uri"], 200):
-                taken.append(row)
-                size += len(row[1] or "")
-                if size >= codepoints.TAKEN:
-                    yield rows_of(taken)
-                    taken, size = [], 0
-            if taken:
-                yield rows_of(taken)
+        for doc_id, text, lang in texts(batches, ["doc_id", "text", "lang_key"], 200):
+            counts = base_counts(text or "")
+            failed = counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEAT_PERCENT * counts[0]
+            rows.append((doc_id, *counts, failed, lang, len(text or "")))
+            taken.append((text, lang))
+            size += len(text or "")
+            if size >= codepoints.TAKEN or len(taken) >= ROWS:
+                scorer.add(taken)
+                taken, size = [], 0
+                if scorer.size >= codepoints.HELD or len(rows) >= HELD_ROWS:
+                    yield flush()
+        scorer.add(taken)
+        if rows:
+            yield flush()
 
     import pyarrow as pa
 
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    bits = ("easy_bits", "bits", "hard_bits", "point_bits")
-    OUT = pa.schema([*((n, pa.int64()) for n in names), ("base_failed", pa.bool_()), ("lang_key", pa.string()), *((n, pa.float64()) for n in bits), ("n_chars", pa.int64())])
-    schema = ", ".join(f"{n} long" for n in names) + ", base_failed boolean, lang_key string, " + ", ".join(f"{n} double" for n in bits) + ", n_chars long"
-    keyed = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang_key"))
-    return keyed.join(F.broadcast(models), "lang_key", "left").select("doc_id", "text", "lang_key", "uri").mapInArrow(scan, schema)
+    OUT = pa.schema([*((n, pa.int64()) for n in names), ("base_failed", pa.bool_()), ("lang_key", pa.string()), ("n_chars", pa.int64()), ("bits", pa.float64())])
+    schema = ", ".join(f"{n} long" for n in names) + ", base_failed boolean, lang_key string, n_chars long, bits double"
+    return docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang_key")).mapInArrow(scan, schema)
 
 
-def bands(scored: DataFrame, bits: str = "bits") -> DataFrame:
-    """lang_key, center, spread (of a column in bits) from all documents that pass the base rules; exact over steps of 1/STEPS bit."""
-    at = F.floor(F.col(bits) * STEPS)
+def bands(scored: DataFrame) -> DataFrame:
+    """lang_key, center, spread (of bits) from all documents that pass the base rules; exact over steps of 1/STEPS bit."""
+    at = F.floor(F.col("bits") * STEPS)
     counted = scored.filter(~F.col("base_failed")).groupBy("lang_key", at.alias("step")).agg(F.count("*").alias("n"))
     middle = _median(counted, "step").withColumnRenamed("median", "middle")
     away = counted.join(middle, "lang_key").withColumn("away", F.abs(F.col("step") - F.col("middle")))
@@ -336,31 +124,23 @@ def _median(counted: DataFrame, value: str) -> DataFrame:
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, the base counts, base_failed, kept, lang_key, perplexity, lower_perplexity, upper_perplexity
-    (median stretch, symbol classes), document_perplexity and its limits (whole text, code points).
+    """Per document: doc_id, the base counts, base_failed, kept, lang_key, perplexity, lower_perplexity, upper_perplexity.
 
-    A language without any document that passes the base rules has no band (null) and keeps nothing else than base failures
-    would leave, which is nothing. Documents of null and empty languages share one model and band.
+    Every row gives a row, also repeated ones and those without an id. A language without any document that passes the base rules
+    has no limits (null) and keeps nothing. Documents of null and empty languages share one model and one pair of limits. Of a
+    language whose texts all lie in one half (so of every one with a single text), all texts have the same perplexity and are kept
+    if they pass the base rules.
     """
     slim = docs.select("doc_id", "text", "lang")
-    scored = materialize(score(slim, train(slim), codepoints.train(slim)), "perplexity")
-    points = bands(scored, "point_bits").withColumnsRenamed({"center": "point_center", "spread": "point_spread"})
-    # A narrow row per language.
-    joined = scored.join(F.broadcast(bands(scored)), "lang_key", "left").join(F.broadcast(points), "lang_key", "left")
-    limits = {}
-    for prefix, symbol_bits in (("", SYMBOL_BITS), ("point_", POINT_BITS)):
-        width = F.sqrt(F.col(f"{prefix}spread") ** 2 + symbol_bits**2 / F.greatest("n_chars", F.lit(1)))
-        center = F.col(f"{prefix}center")
-        limits |= {f"{prefix}lower_bits": center - LOWER_DEVIATIONS * width, f"{prefix}upper_bits": center + UPPER_DEVIATIONS * width}
-    joined = joined.withColumns(limits)
-    # The document's own figures decide; the stretches can only reject further: those that are odd throughout.
-    whole = F.col("bits").between(F.col("lower_bits"), F.col("upper_bits")) & F.col("point_bits").between(F.col("point_lower_bits"), F.col("point_upper_bits"))
-    throughout = (F.col("easy_bits") <= F.col("upper_bits")) & (F.col("hard_bits") >= F.col("lower_bits"))
-    inside = F.coalesce(whole & throughout, F.lit(False))
+    scored = materialize(score(slim, codepoints.train(slim)), "perplexity")
+    # A narrow row per language; written first, so that Spark knows its size when it chooses the join.
+    joined = scored.join(materialize(bands(scored), "bands"), "lang_key", "left")
+    width = F.sqrt(F.col("spread") ** 2 + POINT_BITS**2 / F.greatest("n_chars", F.lit(1)))
+    joined = joined.withColumns({"lower": F.col("center") - LOWER_DEVIATIONS * width, "upper": F.col("center") + UPPER_DEVIATIONS * width})
+    inside = F.coalesce(F.col("bits").between(F.col("lower"), F.col("upper")), F.lit(False))
     power = lambda c: F.pow(F.lit(2.0), F.col(c))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & inside).alias("kept"),
-        "lang_key", power("bits").alias("perplexity"), power("lower_bits").alias("lower_perplexity"), power("upper_bits").alias("upper_perplexity"),
-        power("point_bits").alias("document_perplexity"), power("point_lower_bits").alias("lower_document_perplexity"), power("point_upper_bits").alias("upper_document_perplexity"),
+        "lang_key", power("bits").alias("perplexity"), power("lower").alias("lower_perplexity"), power("upper").alias("upper_perplexity"),
     )

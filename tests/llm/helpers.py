@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
+from math import log2
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -60,3 +62,55 @@ def brute_components(rows, size, percent):
             a, b = sorted((root(a), root(b)))
             parent[b] = a
     return {doc_id: (len(sets[doc_id]), root(doc_id)) for doc_id in sets}
+
+
+def brute_kneser_ney(texts):
+    """p(n-gram of up to five characters) under a plain modified Kneser-Ney model of the texts."""
+    grams = {k: Counter() for k in range(1, 6)}
+    for text in texts:
+        padded = "\x02" * 4 + text
+        grams[5].update(padded[k : k + 5] for k in range(len(text)))
+    for k in (4, 3, 2, 1):
+        grams[k].update(gram[1:] for gram in grams[k + 1])
+    cuts, after = {}, defaultdict(list)
+    for k, own in grams.items():
+        n1, n2, n3, n4 = (max(1, sum(n == c for n in own.values())) for c in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        raw = (0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+        cuts[k] = [min(max(d, 0), c * 0.99) for c, d in enumerate(raw)]
+        for gram, n in own.items():
+            after[k, gram[:-1]].append(n)
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(grams[1]) + 1) if grams[1] else 1 / 0x110000
+        k, below = len(gram), p(gram[1:])
+        counts = after.get((k, gram[:-1]))
+        if not counts:
+            return below
+        n = grams[k].get(gram, 0)
+        return (n - cuts[k][min(n, 3)]) / sum(counts) + max(sum(cuts[k][min(m, 3)] for m in counts) / sum(counts), 1e-12) * below
+
+    return p
+
+
+def brute_bits(rows):
+    """Bits per character of each of (text, lang), under the model of its language's other half."""
+    half = [zlib.crc32((text or "").encode()) & 1 for text, _ in rows]
+    dealt = defaultdict(list)
+    for (text, lang), which in zip(rows, half, strict=True):
+        if text:
+            dealt[lang or "", which].append(text)
+    models, known, out = {}, {}, []
+    for (text, lang), which in zip(rows, half, strict=True):
+        key = lang or "", 1 - which
+        if key not in models:
+            models[key] = brute_kneser_ney(dealt[key])
+        total, padded = 0.0, "\x02" * 4 + (text or "")
+        for k in range(len(text or "")):
+            gram = padded[k : k + 5]
+            if (key, gram) not in known:
+                known[key, gram] = log2(models[key](gram))
+            total -= known[key, gram]
+        out.append(total / len(text) if text else 0.0)
+    return out

@@ -1,13 +1,11 @@
 from __future__ import annotations
 
 import random
-from collections import Counter
 
-import numpy as np
 import pytest
 
 from ledgerlens.llm import codepoints, perplexity
-from tests.llm.helpers import docs_frame
+from tests.llm.helpers import brute_bits, docs_frame
 
 
 def prose(rng, words, n):
@@ -43,35 +41,42 @@ def test_junk_in_a_script_without_symbol_classes_is_not_kept(spark):
     rows.append((900, " ".join("".join(rng.choices(letters, k=len(rng.choice(words)))) for _ in range(300)), "el", "s"))
     out = {r["doc_id"]: r for r in perplexity.quality(docs_frame(spark, rows)).collect()}
     assert not out[900]["base_failed"] and not out[900]["kept"]
-    assert out[900]["document_perplexity"] > out[900]["upper_document_perplexity"]
+    assert out[900]["perplexity"] > out[900]["upper_perplexity"]
     assert sum(r["kept"] for r in out.values()) >= 110
 
 
-def test_code_point_model_matches_a_plain_version(spark):
-    texts = ["the cat sat on the mat, the cat ran. THE END! " * 3 + "zq", "το σπίτι and the cat ran on", "a mat sat there"] + [f"the {w} sat" for w in ("mat", "hat", "bat", "dog", "rat ran", "cat ran", "end", "zoo", "owl")]
-    assert {codepoints.half(text) for text in texts} == {0, 1}
-    reader = codepoints.Reader(*codepoints.train(docs_frame(spark, list(enumerate(texts)))))
-    for which in (0, 1):
-        grams = {k: Counter() for k in range(1, 6)}
-        for text in texts:
-            if codepoints.half(text) == which:
-                padded = codepoints.START * 4 + text
-                grams[5].update(padded[k : k + 5] for k in range(len(text)))
-        for k in (4, 3, 2, 1):
-            grams[k].update(gram[1:] for gram in grams[k + 1])
-        cuts = {k: perplexity._discounts(np.array(list(grams[k].values()))) for k in grams}
-
-        def p(gram, grams=grams, cuts=cuts):
-            if not gram:
-                return 1 / (len(grams[1]) + 1)
-            k, below = len(gram), p(gram[1:])
-            after = [n for g, n in grams[k].items() if g[:-1] == gram[:-1]]
-            if not after:
-                return below
-            n = grams[k].get(gram, 0)
-            return (n - cuts[k][min(n, 3)] + sum(cuts[k][min(m, 3)] for m in after) * below) / sum(after)
-
-        asked = ["the c", "e cat", "zzzzz", "q the", "\x02\x02\x02\x02t", "το σπ", "t ran"]
-        rows = np.array([[ord(c) for c in gram] for gram in asked], np.uint32)
-        model = np.full(len(asked), codepoints.model_number("en", which), np.uint64)
-        assert np.exp2(reader.log2(rows, model)) == pytest.approx([p(gram) for gram in asked], rel=1e-4)
+AWKWARD = ["the cat sat on the mat, the cat ran. THE END! " * 3 + "zq", "το σπίτι and the cat ran on", "a mat sat there", "\x02\x02 odd \U0001f600", "x"]
+TEXTS = AWKWARD + [f"the {w} sat" for w in ("mat", "hat", "bat", "dog", "rat ran", "cat ran", "end", "zoo", "owl")]
+
+
+@pytest.mark.parametrize("taken, held, part_rows", [(4_000_000, 48_000_000, 2_000_000), (30, 100, 20), (1, 1, 7)])
+def test_bits_match_a_plain_version(spark, monkeypatch, taken, held, part_rows):
+    """However many characters are taken at a time, also with several parts of the model, ties, repeated rows and null languages."""
+    assert {codepoints.half(text) for text in TEXTS} == {0, 1}
+    for name, value in (("TAKEN", taken), ("HELD", held), ("PART_ROWS", part_rows)):
+        monkeypatch.setattr(codepoints, name, value)
+    rows = [(k, t, lang, "s") for k, (t, lang) in enumerate([(t, "en") for t in TEXTS] + [(t, None) for t in TEXTS[:7]] + [(t, "") for t in TEXTS[5:]] + [(None, "en"), ("", "en"), (TEXTS[0], "en"), ("one of its kind", "zz")])]
+    frame = docs_frame(spark, rows).coalesce(2)
+    model = codepoints.train(frame)
+    assert model[1] > 1 or part_rows > 20
+    reader = codepoints.Reader(*model)
+    scorer = codepoints.Scorer(reader)
+    for row in rows:
+        scorer.add([row[1:3]] if row[2] else [(row[1], "")])
+    assert scorer.bits() == pytest.approx(brute_bits([r[1:3] for r in rows]), rel=1e-4)
+    out = {r["doc_id"]: r["bits"] for r in perplexity.score(frame, model).collect()}
+    assert [out[r[0]] for r in rows] == pytest.approx(brute_bits([r[1:3] for r in rows]), rel=1e-4)
+
+
+def test_a_language_of_one_document_is_judged_by_the_base_rules(spark):
+    rng = random.Random(8)
+    lone = prose(rng, [f"word{k}" for k in range(90)], 80)
+    row = perplexity.quality(docs_frame(spark, [(1, lone, "zz", "s")])).first()
+    assert row["kept"] and row["perplexity"] == pytest.approx(0x110000, rel=1e-4)
+
+
+def test_tied_and_repeated_rows_are_judged_alike(spark):
+    rng = random.Random(9)
+    texts = [prose(rng, "the river and stone cloud window paper garden summer letter".split(), 90) for _ in range(12)]
+    out = perplexity.quality(docs_frame(spark, [(k % 5, t, "en", "s") for k, t in enumerate(texts * 3)])).collect()
+    assert len(out) == 36 and len({(r["perplexity"], r["kept"]) for r in out}) <= 12

@@ -10,9 +10,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerlens.llm import codepoints, decontaminate, licenses, line_spread, perplexity, queries, toxicity
+from ledgerlens.llm import decontaminate, licenses, line_spread, perplexity, queries, toxicity
 from tests.compare import connect, difference
-from tests.llm.helpers import awkward, docs_frame
+from tests.llm.helpers import awkward, brute_bits, docs_frame
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,85 +36,36 @@ def test_base_counts(text):
     assert perplexity.base_counts(text) == brute_base(text)
 
 
-def test_kneser_ney_sums_to_one_and_matches_a_plain_version():
-    text = "the cat sat on the mat, the cat ran. THE END! " * 3 + "zq"
-    codes, counts = np.unique(perplexity.ngrams(text), return_counts=True)
-    model = perplexity.KneserNey.build(codes, counts).prepare()
-    grams = {k: Counter() for k in range(1, 5)}
-    padded = [0, 0, 0, *perplexity.symbols(text).tolist()]
-    for k in range(3, len(padded)):
-        grams[4][tuple(padded[k - 3 : k + 1])] += 1
-    for k in (3, 2, 1):
-        for gram in grams[k + 1]:
-            grams[k][gram[1:]] += 1
-
-    def discount(k, n):
-        return perplexity._discounts(np.array(list(grams[k].values())))[min(n, 3)]
-
-    def p(gram):
-        if not gram:
-            return 1 / 64
-        k, below = len(gram), p(gram[1:])
-        after = {g: n for g, n in grams[k].items() if g[:-1] == gram[:-1]}
-        if not after:
-            return below
-        total = sum(after.values())
-        n = after.get(gram, 0)
-        return (n - discount(k, n)) / total + sum(discount(k, m) for m in after.values()) / total * below
-
-    for context in ((0, 0, 0), (20, 8, 5), (63, 63, 63), (63, 8, 5)):
-        whole = [p((*context, w)) for w in range(64)]
-        assert sum(whole) == pytest.approx(1, abs=1e-6)
-        code = np.array([(context[0] << 18) | (context[1] << 12) | (context[2] << 6) | w for w in range(64)], np.uint32)
-        assert np.exp2(model.log2(code)) == pytest.approx(whole, rel=1e-4)
-
-
 def test_quality_query(spark):
-    """The stretches' quartiles against a model built here, the whole text's figure against the plain reader of the code-point
-    model (whose values test_perplexity_whole compares with a plain version), both bands and the verdict by their rule."""
+    """Every column against a plain version: dictionaries of n-grams per language and half, limits from sorted lists."""
     rows = {r["doc_id"]: r for r in queries.op1_perplexity(spark, SF).collect()}
-    frame = spark.read.parquet(f"{SF}/documents.parquet")
-    docs = frame.collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     assert len(rows) == len(docs)
-    reader = codepoints.Reader(*codepoints.train(frame.select("doc_id", "text", "lang")))
-    by_lang = {}
-    for d in docs:
-        by_lang.setdefault(d["lang"], []).append(d)
+    whole = brute_bits([(d["text"], d["lang"]) for d in docs])
+    kept, by_lang = 0, {}
+    for d, bits in zip(docs, whole, strict=True):
+        by_lang.setdefault(d["lang"], []).append((d, bits))
     for own in by_lang.values():
-        codes, counts = np.unique(np.concatenate([perplexity.ngrams(d["text"]) for d in own]), return_counts=True)
-        model = perplexity.KneserNey.build(codes, counts).prepare()
-        stretches, whole, passed = {}, {}, []
-        for d in own:
-            row, text = rows[d["doc_id"]], d["text"]
-            base = brute_base(text)
+        passed = []
+        for d, bits in own:
+            row, base = rows[d["doc_id"]], brute_base(d["text"])
             failed = base[0] < 20 or 100 * base[4] > 30 * base[0]
             assert tuple(row)[1:7] == (*base, failed)
-            stretches[d["doc_id"]] = model.bits(text)
-            padded = np.array([*[ord(codepoints.START)] * 4, *map(ord, text)], np.uint32)
-            grams = np.lib.stride_tricks.sliding_window_view(padded, 5)
-            number = codepoints.model_number(d["lang"], 1 - codepoints.half(text))
-            whole[d["doc_id"]] = -float(np.mean(reader.log2(grams, np.full(len(text), number, np.uint64)))) if text else 0.0
-            assert row["perplexity"] == pytest.approx(2 ** stretches[d["doc_id"]][1], rel=1e-5)
-            assert row["document_perplexity"] == pytest.approx(2 ** whole[d["doc_id"]], rel=1e-4)
+            assert row["perplexity"] == pytest.approx(2**bits, rel=1e-4)
             if not failed:
-                passed.append(d["doc_id"])
-        limits = {}
-        for name, values, unit in (("", {k: s[1] for k, s in stretches.items()}, perplexity.SYMBOL_BITS), ("document_", whole, perplexity.POINT_BITS)):
-            steps = sorted(int(np.floor(values[k] * 1000)) for k in passed)
-            middle = steps[(len(steps) + 1) // 2 - 1]
-            away = sorted(abs(s - middle) for s in steps)[(len(steps) + 1) // 2 - 1]
-            for d in own:
-                width = 4 * np.sqrt(max(1.4826 * away / 1000, 0.02) ** 2 + unit**2 / max(1, len(d["text"])))
-                limits[name, d["doc_id"]] = (middle + 0.5) / 1000 - width, (middle + 0.5) / 1000 + width
-        for d in own:
-            k, row = d["doc_id"], rows[d["doc_id"]]
-            for name in ("", "document_"):
-                found = np.log2([row[f"lower_{name}perplexity"], row[f"upper_{name}perplexity"]])
-                assert found == pytest.approx(limits[name, k], abs=2e-3)
-            (low, high), (point_low, point_high) = (np.log2([row[f"lower_{n}perplexity"], row[f"upper_{n}perplexity"]]) for n in ("", "document_"))
-            easy, bits, hard = stretches[k]
-            inside = low <= bits <= high and point_low <= whole[k] <= point_high and easy <= high and hard >= low
-            assert row["kept"] == (not row["base_failed"] and bool(inside))
+                passed.append(int(np.floor(bits * 1000)))
+        passed.sort()
+        middle = passed[(len(passed) + 1) // 2 - 1]
+        away = sorted(abs(s - middle) for s in passed)[(len(passed) + 1) // 2 - 1]
+        for d, bits in own:
+            row = rows[d["doc_id"]]
+            width = 4 * np.sqrt(max(1.4826 * away / 1000, 0.02) ** 2 + 9 / max(1, len(d["text"])))
+            low, high = np.log2([row["lower_perplexity"], row["upper_perplexity"]])
+            assert [low, high] == pytest.approx([(middle + 0.5) / 1000 - width, (middle + 0.5) / 1000 + width], abs=1e-2)
+            if min(abs(bits - low), abs(bits - high)) > 1e-4:
+                assert row["kept"] == (not row["base_failed"] and bool(low <= bits <= high))
+            kept += row["kept"]
+    assert kept > 0.8 * sum(not r["base_failed"] for r in rows.values())
 
 
 def test_quality_of_awkward_rows(spark):
