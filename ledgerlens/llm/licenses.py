@@ -1,7 +1,7 @@
 """License detection by ordered signature rules.
 
-A rule is a regular expression with a label, a priority and keywords. The rules are made from licence families times phrase
-forms, so the list is built from parameters. A rule's expression is tried only on texts that hold one of its keywords. Overlapping
+A rule is a regular expression with a label, a priority and keywords. Most rules are made from licence families times phrase forms
+and from identifiers; grants and other phrases are written out. A rule's expression is tried only on texts that hold one of its keywords. Overlapping
 detections are resolved in order: higher priority first, then longer, then earlier, then rule number; a detection inside the
 interval of an accepted one is suppressed, one that only overlaps at an edge stays.
 """
@@ -9,6 +9,7 @@ interval of an accepted one is suppressed, one that only overlaps at an edge sta
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -30,15 +31,15 @@ FAMILIES = (
     ("gpl-2.0", "general public|gpl", r"(?:gnu )?general public licen[sc]e,? ?v(?:ersion)? ?2(?:\.0)?|\bgpl[ -]?v?2(?:\.0)?\b", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2"),
     ("gpl", "gnu g|gpl", r"gnu (?:general public licen[sc]e|gpl)|\bgpl(?:v[123])?\b", r"gnu\.org/(?:licenses/gpl|copyleft/gpl)"),
     ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[sc]e", r"gnu\.org/(?:licenses|copyleft)/fdl"),
-    ("apache-2.0", "apache", r"apache(?: software)? licen[sc]e,? ?v(?:ersion)? ?2(?:\.0)?|\bapache-2\.0\b", r"apache\.org/licenses/license-2\.0"),
+    ("apache-2.0", "apache", r"apache(?: software)? licen[sc]e,? ?v(?:ersion)? ?2(?:\.0)?|\bapache[ -](?:v(?:ersion)? ?)?2\.0\b(?: licen[sc]e\b)?|\bapache 2 licen[sc]e\b", r"apache\.org/licenses/license-2\.0"),
     ("apache-1.1", "apache", r"apache(?: software)? licen[sc]e,? ?v(?:ersion)? ?1\.1", r"apache\.org/licenses/license-1\.1"),
     ("apache", "apache", r"apache(?: software)? licen[sc]e", r"apache\.org/licenses"),
     ("mit", "mit licen|mit/x11|mit/expat", r"\bmit(?:/x11)? licen[sc]e|\bmit/expat\b", r"opensource\.org/licenses/mit"),
     ("isc", "isc licen", r"\bisc licen[sc]e", r"opensource\.org/licenses/isc"),
-    ("bsd-2-clause", "bsd", r"(?:2-clause|simplified|freebsd) bsd licen[sc]e|\bbsd 2-clause\b", r"opensource\.org/licenses/bsd-2-clause"),
-    ("bsd-3-clause", "bsd", r"(?:3-clause|new|revised|modified) bsd licen[sc]e|\bbsd 3-clause\b", r"opensource\.org/licenses/bsd-3-clause"),
+    ("bsd-2-clause", "bsd", r"(?:2-clause|simplified|freebsd) bsd licen[sc]e|\bbsd[ -]2-clause\b", r"opensource\.org/licenses/bsd-2-clause"),
+    ("bsd-3-clause", "bsd", r"(?:3-clause|new|revised|modified) bsd licen[sc]e|\bbsd[ -]3-clause\b", r"opensource\.org/licenses/bsd-3-clause"),
     ("bsd", "bsd", r"\bbsd(?:-style)? licen[sc]e", r"opensource\.org/licenses/bsd"),
-    ("mpl-2.0", "mozilla", r"mozilla public licen[sc]e,? ?v(?:ersion)?\.? ?2\.0", r"mozilla\.org/(?:en-us/)?mpl/2\.0"),
+    ("mpl-2.0", "mozilla|mpl-2|mpl 2|mpl2|mplv2|mpl v2", r"mozilla public licen[sc]e,? ?v(?:ersion)?\.? ?2\.0|\bmpl(?: ?v|-)? ?2\.0\b", r"mozilla\.org/(?:en-us/)?mpl/2\.0"),
     ("mpl", "mozilla", r"mozilla public licen[sc]e", r"mozilla\.org/mpl"),
     ("epl", "eclipse", r"eclipse public licen[sc]e", r"eclipse\.org/(?:legal/epl|org/documents/epl)"),
     ("eupl", "european union public", r"european union public licen[sc]e", r"joinup\.ec\.europa\.eu/\S*eupl"),
@@ -57,7 +58,7 @@ FAMILIES = (
     ("cc-by-nc", "by-nc|attribution-noncommercial", r"\bcc[ -]by-nc\b|attribution-noncommercial", r"creativecommons\.org/licenses/by-nc"),
     ("cc-by-sa", "by-sa|attribution-share|attribution share", r"\bcc[ -]by-sa\b|attribution[ -]share ?alike", r"creativecommons\.org/licenses/by-sa"),
     ("cc-by-nd", "by-nd|attribution-nod", r"\bcc[ -]by-nd\b|attribution-noderiv\w*", r"creativecommons\.org/licenses/by-nd"),
-    ("cc-by", "cc by|cc-by|creative commons", r"\bcc[ -]by\b(?!-)|creative commons attribution(?!-)", r"creativecommons\.org/licenses/by/"),
+    ("cc-by", "cc by|cc-by|creative commons", r"\bcc[ -]by\b(?!-(?:nc|nd|sa)\b)|creative commons attribution(?!-)", r"creativecommons\.org/licenses/by/"),
     ("cc", "creative commons", r"creative commons(?: licen[sc]e)?", r"creativecommons\.org"),
 )
 #: Phrase form around a name, priority, confidence.
@@ -84,6 +85,34 @@ PHRASES = (
     ("no-redistribution", "not be copied|not be reproduced|not be redistributed", r"(?:may|must) not be (?:copied|reproduced|redistributed)", 45, 0.7),
     ("no-warranty", "without warrant", r"without warranties or conditions of any kind|without warranty of any kind", 15, 0.4),
 )
+#: Grants of the GNU licences: label, what stands before "general public", version.
+GNU_GRANTS = (("gpl-2.0", "", "2"), ("gpl-3.0", "", "3"), ("lgpl-2.0", "(?:lesser|library) ", "2"), ("lgpl-2.1", "(?:lesser|library) ", "2\\.1"), ("lgpl-3.0", "(?:lesser|library) ", "3"), ("agpl-3.0", "affero ", "3"))
+#: Identifiers of the SPDX list that are no family's name, with the family's label where there is one.
+IDENTIFIERS = (
+    ("0bsd", "0bsd"), ("afl-3.0", "afl-3.0"), ("apache-1.0", "apache"), ("apache-1.1", "apache-1.1"), ("artistic-1.0", "artistic"),
+    ("artistic-2.0", "artistic"), ("bsd-2-clause-patent", "bsd-2-clause"), ("bsd-4-clause", "bsd"), ("bsl-1.0", "boost"), ("busl-1.1", "busl-1.1"),
+    ("cddl-1.0", "cddl"), ("cddl-1.1", "cddl"), ("epl-1.0", "epl"), ("epl-2.0", "epl"), ("eupl-1.1", "eupl"), ("eupl-1.2", "eupl"),
+    ("gfdl-1.1", "gfdl"), ("gfdl-1.2", "gfdl"), ("gfdl-1.3", "gfdl"), ("mit-0", "mit-0"), ("mpl-1.0", "mpl"), ("mpl-1.1", "mpl"), ("ms-pl", "ms-pl"),
+    ("ms-rl", "ms-rl"), ("odbl-1.0", "odbl"), ("ofl-1.0", "ofl"), ("ofl-1.1", "ofl"), ("osl-3.0", "osl-3.0"), ("psf-2.0", "psf-2.0"),
+    ("sspl-1.0", "sspl-1.0"), ("upl-1.0", "upl-1.0"),
+)
+#: Grants that name a licence by a short name: label, short name.
+SHORT_NAMES = (("mit", "mit"), ("isc", "isc"), ("zlib", "zlib"), ("bsd", "bsd"), ("apache", "apache"))
+#: Sentences of licence texts: label, keyword, expression.
+SENTENCES = (
+    ("boost", "person or organization obtaining", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software"),
+    ("zlib", "without any express or implied warranty", r"this software is provided .as-is., without any express or implied warranty"),
+    ("unlicense", "free and unencumbered software", r"this is free and unencumbered software released into the public domain"),
+    ("cc0", "waived all copyright", r"waived all copyright and related or neighbou?ring rights"),
+    ("bsd-3-clause", "neither the name", r"neither the names? of [^.]{1,120} may be used to endorse or promote products"),
+    ("mpl", "source code form is subject", r"this source code form is subject to the terms of the mozilla public licen[sc]e"),
+    ("gfdl", "modify this document", r"permission is granted to copy, distribute and/or modify this document"),
+    ("artistic", "standard version", r"distribute verbatim copies of the source form of the standard version"),
+    ("wtfpl", "you just do what", r"you just do what the \w+ you want to"),
+    ("epl", "accompanying materials are made available", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e"),
+    ("gpl", "is free software", r"this program is free software[:;,] you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e"),
+    ("lgpl", "is free software", r"this library is free software[:;,] you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e"),
+)
 
 
 @dataclass(frozen=True)
@@ -129,15 +158,32 @@ def rules() -> tuple[Rule, ...]:
             word = {"spdx": "spdx-license", "address": host}.get(form, keyword)
             made.append((label, word, pattern, priority, confidence))
     made += [(label, keyword, re.compile(spaced(shape)), priority, confidence) for label, keyword, shape, priority, confidence in PHRASES]
+    for label, kind, version in GNU_GRANTS:
+        grant = rf"(?:gnu )?{kind}general public licen[sc]e,? as published by the free software foundation[;,:]?(?: either)? version {version}(?:\.0)?(?!\.?\d)(?: of the licen[sc]e)?"
+        made.append((label, "as published by", re.compile(spaced(grant)), 85, 1.0))
+    for identifier, label in IDENTIFIERS:
+        made.append((label, identifier, re.compile(rf"(?<![\w.-]){re.escape(identifier)}(?![\w-]|\.\w)"), 65, 0.85))
+    for label, name in SHORT_NAMES:
+        gates = "|".join(f"under {article}{name}" for article in ("", "the ", "an ", "a "))
+        grant = rf"(?:licen[sc]ed|released|distributed|available|published|provided) under (?:(?:the|an?) )?{name}\b(?!-)"
+        made.append((label, gates, re.compile(spaced(grant)), 22, 0.8))
+    made += [(label, keyword, re.compile(spaced(shape)), 76, 0.95) for label, keyword, shape in SENTENCES]
     return tuple(Rule(number, *rest) for number, rest in enumerate(made))
 
 
 def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
     """Detections (start, end, rule) that stand, by start."""
     kept: list[tuple[int, int, Rule]] = []
+    # Accepted intervals that lie in no other one: both their starts and their ends ascend, so one search finds what holds an interval.
+    starts: list[int] = []
+    ends: list[int] = []
     for start, end, rule in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].number)):
-        if not any(a <= start and end <= b for a, b, _ in kept):
-            kept.append((start, end, rule))
+        at = bisect_right(starts, start)
+        if at and ends[at - 1] >= end:
+            continue
+        kept.append((start, end, rule))
+        low, high = bisect_left(starts, start), bisect_right(ends, end)
+        starts[low:high], ends[low:high] = [start], [end]
     return sorted(kept, key=lambda d: (d[0], d[1], d[2].number))
 
 

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import random
 import time
 
 import pytest
 
 from ledgerlens.llm import licenses
+from tests.llm.helpers import docs_frame
 
 
 @pytest.mark.parametrize(
@@ -23,6 +25,17 @@ from ledgerlens.llm import licenses
         ("agplv3", ["agpl-3.0"]),
         ("gpl v3", ["gpl-3.0"]),
         ("copyright\n2020", ["copyright"]),
+        ("cc-by-4.0", ["cc-by"]),
+        ("cc-by-sa-4.0", ["cc-by-sa"]),
+        ("bsd-3-clause", ["bsd-3-clause"]),
+        ("mpl-2.0", ["mpl-2.0"]),
+        ("the apache 2.0 license", ["apache-2.0"]),
+        ("released under\nmit.", ["mit"]),
+        ("released under mit-0", ["mit-0"]),
+        ("epl-2.0 or eupl-1.2", ["epl", "eupl"]),
+        ("gnu general public license as published by the free software foundation; either\nversion 2 of the license", ["gpl-2.0"]),
+        ("gnu lesser general public license as published by the free software foundation; either version 2.1 of the license", ["lgpl-2.1"]),
+        ("this is an example of a simple bsd machine, committed", []),
     ],
 )
 def test_gates_let_every_alternative_through(text, labels):
@@ -44,3 +57,45 @@ def test_long_white_space_is_passed_once():
     began = time.time()
     licenses.Scanner().detect("copyright" + " " * 200_000 + "x all rights" + "\n" * 200_000)
     assert time.time() - began < 5
+
+
+def plainly_resolved(found):
+    kept = []
+    for start, end, rule in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].number)):
+        if not any(a <= start and end <= b for a, b, _ in kept):
+            kept.append((start, end, rule))
+    return sorted(kept, key=lambda d: (d[0], d[1], d[2].number))
+
+
+def test_overlaps_equal_a_plain_search():
+    rng, rules = random.Random(3), licenses.rules()
+    for _ in range(300):
+        found = [(a, a + rng.randrange(1, 12), rng.choice(rules)) for a in (rng.randrange(40) for _ in range(rng.randrange(40)))]
+        assert licenses.resolve(found) == plainly_resolved(found)
+
+
+def test_very_many_detections_take_little_time():
+    rng, rules = random.Random(4), licenses.rules()
+    found = [(a, a + rng.randrange(5, 40), rng.choice(rules)) for a in (rng.randrange(3_000_000) for _ in range(50_000))]
+    began = time.time()
+    assert len(licenses.resolve(found)) > 10_000
+    assert time.time() - began < 3
+
+
+def test_labels_of_documents_without_gates(spark):
+    """Whole documents, with grants put into them, against all rules on every text and a plain search for overlaps."""
+    rng = random.Random(5)
+    phrases = ["Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: GPL-2.0-or-later", "cc-by-nc-4.0", "All rights reserved", "released under MIT", "BSD-3-Clause", "Copyright (c) 2020", "This is free and unencumbered software released into the public domain"]
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    rows = []
+    for k, text in enumerate(texts):
+        words = (text or "").split(" ")
+        for phrase in rng.sample(phrases, k % 4):
+            words.insert(rng.randrange(len(words) + 1), phrase)
+        rows.append((k, " ".join(words)))
+    out = {r["doc_id"]: r for r in licenses.scan_licenses(docs_frame(spark, rows)).collect()}
+    for k, text in rows:
+        low = text.translate(licenses.ASCII_LOWER)
+        found = plainly_resolved([(*m.span(), rule) for rule in licenses.rules() for m in rule.pattern.finditer(low)])
+        assert [(d["start"], d["end"], d["rule"]) for d in out[k]["detections"]] == [(a, b, rule.number) for a, b, rule in found]
+        assert set(filter(None, out[k]["labels"].split(","))) == {rule.label for _, _, rule in found} | {label for _, label in licenses.base_places(low)}
