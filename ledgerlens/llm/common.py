@@ -62,6 +62,14 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def free_name(frame: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of the frame has it."""
+    taken = {column.lower() for column in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: str.translate table of the same.
 ASCII_LOWER = {upper: upper + 32 for upper in range(65, 91)}
 

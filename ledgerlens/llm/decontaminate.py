@@ -5,7 +5,8 @@ shingle occurs in the window). Item fingerprints are kept in a multi-index: BLOC
 value to the items within RADIUS // BLOCKS bits of it. Two fingerprints within RADIUS differ by at most that in some block,
 so every item within RADIUS is a candidate. Candidates are decided by the exact weighted Jaccard similarity of the shingles.
 
-The item side (benchmark) is small and is broadcast after a check of its size; documents are streamed, never shuffled.
+The item side (benchmark) is broadcast after a check of its size in bytes; a larger one is dealt into slices by a hash, each with
+its own pass over the documents. Documents are streamed, never shuffled.
 Fingerprints are computed where a window can reach the threshold at all: around places that share a shingle with some item.
 """
 
@@ -18,13 +19,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import texts
+from ledgerlens.llm.common import free_name, texts
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BITS, BLOCKS, RADIUS = 64, 4, 23
-#: Most words of all items together that are broadcast (about 100 bytes a word in a task).
-MAX_ITEM_WORDS = 2_000_000
+#: Most bytes of items that are broadcast together, on average of a slice (some 20 times as much in a task); more items are taken in
+#: slices, each with a pass over the documents of its own.
+SLICE_BYTES = 8_000_000
 WORD = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -230,11 +232,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     Of a pair's windows, the most similar and then first is given. Null or empty texts and items match nothing; repeated rows
     each give their own rows; columns other than doc_id, text, item_id are left out.
     """
-    spark = docs.sparkSession
-    size = benchmark.select(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\W+"))).alias("n")).first()["n"] or 0
-    if size > MAX_ITEM_WORDS:
-        raise ValueError(f"benchmark has {size} words; at most {MAX_ITEM_WORDS} are broadcast, pass it in parts")
-    items = spark.sparkContext.broadcast([(row["item_id"], row["text"]) for row in benchmark.select("item_id", "text").collect()])
+    items = benchmark.select("item_id", "text").filter(F.octet_length("text") > 0)
+    size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    slices = max(1, -(-size // SLICE_BYTES))
+    found = None
+    for number in range(slices):
+        own = items if slices == 1 else items.filter(F.expr(f"pmod(xxhash64(item_id, text), {slices}L) = {number}"))
+        part = _scan(docs, own.collect(), threshold)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _scan(docs: DataFrame, rows: list, threshold: float) -> DataFrame:
+    """contaminated() for the items of one slice."""
+    items = docs.sparkSession.sparkContext.broadcast([(row["item_id"], row["text"]) for row in rows])
 
     def scan(batches):
         import pyarrow as pa
@@ -256,9 +267,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows of contaminated documents, all columns kept.
 
-    Rows are told apart by doc_id and a hash of the text, so rows that share a doc_id or have none are judged by their own text.
+    Rows are told apart by a hash of the text, so rows that share a doc_id or have none are judged by their own text. Columns of any
+    other name come through.
     """
-    keyed = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    key = free_name(docs, "__text")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
     bad = contaminated(docs.withColumn("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))), benchmark, threshold)
-    bad = bad.select(F.col("doc_id").alias("__text")).distinct()
-    return keyed.join(bad, "__text", "left_anti").drop("__text")
+    bad = bad.select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(bad, key, "left_anti").drop(key)

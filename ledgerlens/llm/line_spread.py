@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import materialize
+from ledgerlens.llm.common import free_name, materialize
 
 MIN_SITES = 3
 MIN_WORDS = 5
@@ -48,21 +48,24 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
 
     A line is what stands between line feeds, without spaces, tabs and carriage returns at its ends; lines of fewer than
     min_words words (parts between spaces) stay. Null texts stay null with no lines, empty ones have one line. Rows with the same doc_id and text are
-    treated alike; a null site is a site of its own; null doc_ids come after all others when the first place is sought.
+    treated alike; a null site is a site of its own; null doc_ids come after all others when the first place is sought. Columns n_lines
+    and n_removed of docs give way to the new ones; columns of any other name come through.
     """
-    keyed = docs.withColumn("__doc", F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")))
-    lines = materialize(_lines(keyed, site, min_words), "lines")  # narrow: hashes, no text
+    docs = docs.drop("n_lines", "n_removed")
+    key, of, at_lines = (free_name(docs, name) for name in ("__doc", "__of", "__cut"))
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")))
+    lines = materialize(_lines(keyed.withColumn("__doc", F.col(key)) if key != "__doc" else keyed, site, min_words), "lines")  # narrow: hashes, no text
     spread = materialize(spread_lines(lines, min_sites), "spread-lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
     cut = lines.join(spread, ["h1", "h2"]).filter(place != F.col("first"))
-    cut = cut.groupBy("__doc").agg(F.collect_set("at").alias("__cut")).withColumnRenamed("__doc", "__of")
-    joined = keyed.join(cut, F.col("__doc").eqNullSafe(F.col("__of")), "left")
+    cut = cut.groupBy("__doc").agg(F.collect_set("at").alias(at_lines)).withColumnRenamed("__doc", of)
+    joined = keyed.join(cut, F.col(key).eqNullSafe(F.col(of)), "left")
     own = F.split("text", "\n")
-    stays = F.filter(own, lambda _, at: ~F.coalesce(F.array_contains("__cut", at), F.lit(False)))
-    text = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.concat_ws("\n", stays))
+    stays = F.filter(own, lambda _, at: ~F.coalesce(F.array_contains(at_lines, at), F.lit(False)))
+    text = F.when(F.col(at_lines).isNull(), F.col("text")).otherwise(F.concat_ws("\n", stays))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(own)).cast("long")
     return joined.select(
         *(F.col(f"`{name}`") if name != "text" else text.alias("text") for name in docs.columns),
         n_lines.alias("n_lines"),
-        F.coalesce(F.size("__cut"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(at_lines), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -165,10 +165,15 @@ def test_multi_index_returns_all_within_the_radius():
     assert set(zip(query.tolist(), item.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(distance <= decontaminate.RADIUS)), strict=True))
 
 
-def test_decontamination_query_and_filter(spark):
+def test_decontamination_query_and_filter(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     found = {(r["doc_id"], r["item_id"]): pytest.approx(r["similarity"]) for r in queries.op7_decontaminate(spark, SF).collect()}
     assert found == brute_contaminated([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in items.collect()])
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 2_000)
+    slices = decontaminate.contaminated(docs, items)  # of a benchmark too large to be broadcast at once
+    assert {(r["doc_id"], r["item_id"]): pytest.approx(r["similarity"]) for r in slices.collect()} == found
+    assert "Union" in slices._jdf.queryExecution().toString()
+    monkeypatch.undo()
     kept = decontaminate.without_contaminated(docs, items)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - {d for d, _ in found}
     assert decontaminate.without_contaminated(awkward(spark), items).count() == 9
@@ -176,6 +181,18 @@ def test_decontamination_query_and_filter(spark):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_columns_of_clashing_names_come_through(spark):
+    clash = {name: f"my {name}" for name in ("__text", "__doc", "__cut", "__of", "at", "h1", "raw")}
+    docs = docs_frame(spark, [(1, "one two three four five\nnext", "en", "a"), (2, "one two three four five\nother", "en", "b"), (3, "one two three four five", "en", "c")])
+    docs = docs.selectExpr("*", *(f"'{value}' AS `{name}`" for name, value in clash.items()), "7L AS n_lines", "9L AS n_removed")
+    items = spark.createDataFrame([(1, "nothing of the kind stands in these texts")], "item_id bigint, text string")
+    kept = decontaminate.without_contaminated(docs, items).collect()
+    assert len(kept) == 3 and all(r[name] == value for r in kept for name, value in {**clash, "n_lines": 7, "n_removed": 9}.items())
+    out = {r["doc_id"]: r for r in line_spread.dedup_lines(docs).collect()}
+    assert all(r[name] == value for r in out.values() for name, value in clash.items())
+    assert {k: (r["n_lines"], r["n_removed"]) for k, r in out.items()} == {1: (2, 0), 2: (2, 1), 3: (1, 1)}
+
+
 # licences
 
 
