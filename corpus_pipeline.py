@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontaminate, line_spread, minhash, packing, toxicity
-from ledgerlens.llm.common import materialize, table
+from ledgerlens.llm.common import free_name, materialize, table
 
 
 def _apart(docs: DataFrame, *own: str) -> DataFrame:
@@ -41,9 +41,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
-    gone = minhash.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates stays: the one with the smallest doc_id, any id before none.
+
+    A document is a doc_id with a text: rows that repeat a doc_id with another text are judged by their own text, rows that repeat
+    both are one document and stay or go together. Null, empty and wordless texts stay.
+    """
+    own = free_name(docs, "document")
+    keyed = docs.withColumn(own, F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
+    grouped = minhash.near_duplicates(keyed.select(F.col(own).alias("doc_id"), "text")).select(F.col("doc_id").alias("member"), "component_id")
+    ids = keyed.groupBy(F.col(own).alias("member")).agg(F.min("doc_id").alias("id"))  # narrow: numbers only
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "member")).alias("first")
+    stays = grouped.join(ids, "member").groupBy("component_id").agg(first).select(F.col("first.member").alias(own))
+    return keyed.join(stays, own, "left_semi").select(*(F.col(f"`{name}`") for name in docs.columns))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -114,3 +114,18 @@ def brute_bits(rows):
             total -= known[key, gram]
         out.append(total / len(text) if text else 0.0)
     return out
+
+
+def brute_line_dedup(rows, min_sites=3, min_words=5):
+    """doc_id to cleaned text of (doc_id, text, source): long lines of several sites stay at their first place only."""
+    sites, first = defaultdict(set), {}
+    for doc_id, text, source in sorted(rows):
+        for at, raw in enumerate(text.split("\n")):
+            line = raw.strip(" \t\r")
+            sites[line].add(source)
+            first.setdefault(line, (doc_id, at))
+
+    def stays(doc_id, at, line):
+        return line.count(" ") < min_words - 1 or len(sites[line]) < min_sites or first[line] == (doc_id, at)
+
+    return {doc_id: "\n".join(raw for at, raw in enumerate(text.split("\n")) if stays(doc_id, at, raw.strip(" \t\r"))) for doc_id, text, _ in rows}
