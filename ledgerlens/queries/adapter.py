@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.pages import url_host
 from ledgerlens.operators.taxonomy import Taxonomy
 from ledgerlens.sources.tables import rules_from_cells
 
@@ -28,6 +29,7 @@ TAXONOMY = [
 # People who file everything under the next language, and one who knows no language (fixed values).
 MISFILING = ("src3", "src7", "src11")
 UNKNOWING = "src13"
+PAGE_LANGUAGE = "^https?://[^/]+/([a-z]{2})"
 NEXT_LANGUAGE = {"en": "de", "de": "fr", "fr": "es", "es": "en"}
 
 
@@ -45,14 +47,14 @@ def rating(quality: Column) -> Column:
     return F.when(quality.isNull(), "unknown").when(quality == 1, "rated good").otherwise("rated poor")
 
 
-def worksheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a worksheet of entries, cells untrimmed."""
+def worksheet(spark: SparkSession, sf_dir: str, company: Column | None = None, row: Column | None = None) -> DataFrame:
+    """Documents as a worksheet of entries, cells untrimmed; `company` and `row` replace the company cell and the row number."""
     docs = rated_documents(spark, sf_dir)
     shifted = F.create_map(*[F.lit(x) for pair in NEXT_LANGUAGE.items() for x in pair])
     filed = F.when(F.col("source").isin(*MISFILING), shifted[F.col("lang")]).otherwise(F.col("lang"))
     return docs.withColumn("filed", filed).select(
         F.lit("").alias("source_id"),
-        (F.col("doc_id") + 2).alias("row_number"),
+        (F.col("doc_id") + 2 if row is None else row).alias("row_number"),
         F.when(F.contains("text", F.lit("@")), F.lit(None)).otherwise(F.col("n_chars")).alias("日期"),
         F.concat(F.lit("　"), "source", F.lit(" ")).alias("姓名"),
         F.when(F.col("filed").isin("en", "de"), "germanic").otherwise("romance").alias("一级分类"),
@@ -60,11 +62,47 @@ def worksheet(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("source") == UNKNOWING, "xx")
         .otherwise(F.col("filed"))
         .alias("细分"),
-        company_text(F.col("text"), F.col("doc_id")).alias("企业名称&官网"),
+        (company_text(F.col("text"), F.col("doc_id")) if company is None else company).alias("企业名称&官网"),
         F.concat("source", F.lit("（"), "lang", F.lit("、"), rating(F.col("quality")), F.lit("）")).alias("环节"),
     )
 
 
+def website_worksheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One worksheet of sites: every stored page is filed on an even row under its host, every document on an odd row under a
+    person whose site nobody stored (English) or who has none. Pages with a query in their address are filed under the next language.
+    """
+    link = F.when(F.col("lang") == "en", " www.d.example.com").otherwise("")
+    people = worksheet(
+        spark, sf_dir, F.concat(F.lit("Person "), "source", F.lit("-"), "lang", link), F.col("doc_id") * 2 + 3
+    )
+    stored = table(spark, sf_dir, "pages").select(
+        "page_id", "url", url_host(F.col("url")).alias("host"), F.regexp_extract("url", PAGE_LANGUAGE, 1).alias("lang")
+    )
+    shifted = F.create_map(*[F.lit(x) for pair in NEXT_LANGUAGE.items() for x in pair])
+    filed = F.when(F.contains("url", F.lit("?")), shifted[F.col("lang")]).otherwise(F.col("lang"))
+    sites = stored.withColumn("filed", filed).select(
+        F.lit("").alias("source_id"),
+        (F.col("page_id") * 2 + 2).alias("row_number"),
+        F.col("page_id").alias("日期"),
+        F.regexp_extract("host", "([a-z]+)$", 1).alias("姓名"),
+        F.when(F.col("filed").isin("en", "de"), "germanic").otherwise("romance").alias("一级分类"),
+        F.col("filed").alias("细分"),
+        # No dots in the name itself: "www." inside it would count as a link of its own.
+        F.concat(F.lit("Host "), F.replace("host", F.lit("."), F.lit("-")), F.lit(" "), "url").alias("企业名称&官网"),
+        F.concat("host", F.lit("（"), "lang", F.lit("、rated good）")).alias("环节"),
+    )
+    return people.unionByName(sites)
+
+
+def company_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry replies under the companies of the worksheet: copies of a text are replies for one company."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("replied_at"), company_key(F.col("text")).alias("company")
+    )
+    answered = replies(spark, sf_dir).drop("company", "query_name")
+    return answered.join(docs, "replied_at").withColumnRenamed("company", "query_name")
+
+
 def company_text(text: Column, doc_id: Column) -> Column:
     return F.concat(F.lit(" Doc "), F.md5(text), F.lit(" Ltd， https://d.example.com/"), doc_id.cast("string"))
 

@@ -11,7 +11,7 @@ from ledgerlens import constants as K
 from ledgerlens.functions.json_values import pick
 from ledgerlens.functions.text import clean_company_name
 from ledgerlens.operators import lookup, matching, pages, responses, scoring, summary, taxonomy, verdict
-from ledgerlens.plans.review import review, review_detail
+from ledgerlens.plans.review import company_evidence, review, review_detail
 from ledgerlens.plans.sinks import detail_table, summary_table
 from ledgerlens.queries import adapter
 from ledgerlens.sources.tables import entries_from_frame, filled_rows, rules_from_cells
@@ -282,6 +282,40 @@ def review_detail_sources(spark, sf):
     return detail_table(detail, with_source=True)
 
 
+def _detail_over_replies(spark, sf) -> DataFrame:
+    """Replies are many per company, so the review's own reduction to one answer runs as well."""
+    entries = pages.with_website(_entries(spark, sf))
+    answers = company_evidence(
+        entries, K.REGISTRY_SOURCE, responses=adapter.company_replies(spark, sf), order="replied_at"
+    )
+    return review_detail(entries, adapter.taxonomy(spark), answers)
+
+
+def review_replies(spark, sf):
+    """The whole review over stored registry replies, every kind of failure among them."""
+    return detail_table(_detail_over_replies(spark, sf), with_source=True)
+
+
+def review_replies_people(spark, sf):
+    return summary_table(summary.person_summary(_detail_over_replies(spark, sf)))
+
+
+def _detail_over_pages(spark, sf) -> DataFrame:
+    entries = pages.with_website(entries_from_frame(adapter.website_worksheet(spark, sf)))
+    stored = adapter.table(spark, sf, "pages")
+    evidence = company_evidence(entries, K.WEBSITE_SOURCE, pages=stored, modules=PAGE_WORDS)
+    return review_detail(entries, adapter.taxonomy(spark), evidence)
+
+
+def review_pages(spark, sf):
+    """The whole review over stored pages: sites read, sites nobody stored, companies without a site."""
+    return detail_table(_detail_over_pages(spark, sf), with_source=True)
+
+
+def review_pages_people(spark, sf):
+    return summary_table(summary.person_summary(_detail_over_pages(spark, sf)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "entries_normalized": entries_normalized,
     "rules_filled": rules_filled,
@@ -317,4 +351,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_url_latest": page_url_latest,
     "entry_urls": entry_urls,
     "review_detail_sources": review_detail_sources,
+    "review_replies": review_replies,
+    "review_replies_people": review_replies_people,
+    "review_pages": review_pages,
+    "review_pages_people": review_pages_people,
 }

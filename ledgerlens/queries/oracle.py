@@ -27,21 +27,31 @@ def _with(*parts: str) -> str:
 RATED = "rated AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"
 
 _SHIFT = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in adapter.NEXT_LANGUAGE.items())
-ENTRIES = f"""
+FILED_DOCUMENTS = f"""
 filed AS (
   SELECT *, CASE WHEN source IN {adapter.MISFILING} THEN CASE lang {_SHIFT} END ELSE lang END AS filed FROM rated
-),
-entries AS (
-  SELECT doc_id + 2 AS row_number,
+)"""
+
+
+def _sheet_rows(row: str, company: str, cleaned: str) -> str:
+    return f"""SELECT {row} AS row_number,
          CASE WHEN contains(text, '@') THEN '' ELSE n_chars::VARCHAR END AS date,
          source AS name,
          CASE WHEN filed IN ('en', 'de') THEN 'germanic' ELSE 'romance' END AS category,
          CASE WHEN contains(text, '|') THEN '' WHEN source = '{adapter.UNKNOWING}' THEN 'xx' ELSE filed END AS subcategory,
-         'Doc ' || md5(text) || ' Ltd， https://d.example.com/' || doc_id AS company_raw,
+         {company} AS company_raw,
          source || '（' || lang || '、'
            || CASE WHEN quality IS NULL THEN 'unknown' WHEN quality = 1 THEN 'rated good' ELSE 'rated poor' END
            || '）' AS stage,
-         'Doc' || md5(text) || 'Ltd' AS cleaned
+         {cleaned} AS cleaned"""
+
+
+_FILED_SHEET = _sheet_rows(
+    "doc_id + 2", "'Doc ' || md5(text) || ' Ltd， https://d.example.com/' || doc_id", "'Doc' || md5(text) || 'Ltd'"
+)
+ENTRIES = f"""{FILED_DOCUMENTS},
+entries AS (
+  {_FILED_SHEET}
   FROM filed
 )"""
 
@@ -336,6 +346,61 @@ filings AS (
          CASE WHEN lang = 'en' THEN 'www.d.example.com' ELSE '' END FROM documents
 )"""
 
+_PEOPLE = """SELECT name AS "姓名", count(*) AS "录入数量", count(*) FILTER (status <> '信息缺失') AS "完整数量",
+  count(*) FILTER (status = '正确') AS "正确数量", count(*) FILTER (status = '错误') AS "错误数量",
+  count(*) FILTER (status = '疑似错误') AS "疑似错误数量", count(*) FILTER (status = '无法判断') AS "无法判断数量",
+  CASE WHEN count(*) FILTER (status IN ('正确', '错误')) = 0 THEN '0%'
+       ELSE round_even(count(*) FILTER (status = '正确') / count(*) FILTER (status IN ('正确', '错误')) * 100, 0)::INTEGER
+            || '%' END AS "正确率"
+FROM detail GROUP BY name ORDER BY min(row_number)"""
+
+REPLY_EVIDENCE = f"""
+evidence AS (
+  SELECT * EXCLUDE (replied_at) FROM ({_REPLIES_BY_COMPANY.replace("lang || '/' || source AS query_name", "'Doc' || md5(text) || 'Ltd' AS query_name")})
+  QUALIFY row_number() OVER (PARTITION BY query_name ORDER BY success DESC, replied_at DESC) = 1
+)"""
+
+
+def _website_evidence(filings: str) -> str:
+    """company_info of the companies in `filings` (source_id, row_number, cleaned, website_url)."""
+    return f"""
+evidence AS (
+  SELECT query_name, query_name AS company_name, CASE WHEN error = '' THEN evidence ELSE '' END AS business_scope,
+         '' AS status, '{K.WEBSITE_SOURCE}' AS source, error = '' AS success, error
+  FROM (
+    SELECT c.query_name, h.evidence,
+           CASE WHEN c.website_url = '' THEN '{K.WEBSITE_NO_URL}' WHEN h.host IS NULL THEN '{K.WEBSITE_UNREACHABLE}'
+                WHEN h.evidence = '' THEN '{K.WEBSITE_WEAK}' ELSE '' END AS error
+    FROM (SELECT cleaned AS query_name, coalesce(arg_min(website_url, (source_id, row_number)) FILTER (website_url <> ''), '')
+            AS website_url FROM {filings} GROUP BY 1) c
+    LEFT JOIN host_evidence h ON h.host = {_host('c.website_url')} AND c.website_url <> ''
+  )
+)"""
+
+
+_PERSON_SHEET = _sheet_rows(
+    "doc_id * 2 + 3",
+    "'Person ' || source || '-' || lang || CASE WHEN lang = 'en' THEN ' www.d.example.com' ELSE '' END",
+    "'Person' || source || '-' || lang",
+)
+WEBSITE_ENTRIES = f"""{FILED_DOCUMENTS},
+entries AS (
+  {_PERSON_SHEET}, CASE WHEN lang = 'en' THEN 'www.d.example.com' ELSE '' END AS website_url, '' AS source_id
+  FROM filed
+  UNION ALL
+  SELECT page_id * 2 + 2, page_id::VARCHAR, regexp_extract(host, '[a-z]+$'),
+         CASE WHEN filed IN ('en', 'de') THEN 'germanic' ELSE 'romance' END, coalesce(filed, ''),
+         'Host ' || replace(host, '.', '-') || ' ' || url, host || '（' || lang || '、rated good）', 'Host' || replace(host, '.', '-'),
+         url, ''
+  FROM (SELECT *, CASE WHEN contains(url, '?') THEN CASE lang {_SHIFT} END ELSE lang END AS filed
+        FROM (SELECT page_id, url, {_host('url')} AS host, regexp_extract(url, '{adapter.PAGE_LANGUAGE}', 1) AS lang FROM pages))
+)"""
+
+_REVIEW_REPLIES = _with(RATED, ENTRIES, REPLY_EVIDENCE, RULES, FILED, BEST, CURRENT, DETAIL)
+_REVIEW_PAGES = _with(
+    RATED, WEBSITE_ENTRIES, LINKS, PAGE_EVIDENCE, _website_evidence("entries"), RULES, FILED, BEST, CURRENT, DETAIL
+)
+
 ORACLE: dict[str, str] = {
     "entries_normalized": _with(RATED, ENTRIES)
     + "SELECT row_number, date, name, category, subcategory, company_raw, stage FROM entries",
@@ -394,14 +459,7 @@ FROM evidence e LEFT JOIN best b ON b.query_name = e.query_name""",
     "review_detail_sources": _REVIEW
     + f"""SELECT {_detail_columns(K.NEUTRAL_SCOPE_HEADER)}, found_in AS "数据来源",
   'https://d.example.com/' || (row_number - 2) AS "官网链接" FROM detail""",
-    "person_summary": _REVIEW
-    + """SELECT name AS "姓名", count(*) AS "录入数量", count(*) FILTER (status <> '信息缺失') AS "完整数量",
-  count(*) FILTER (status = '正确') AS "正确数量", count(*) FILTER (status = '错误') AS "错误数量",
-  count(*) FILTER (status = '疑似错误') AS "疑似错误数量", count(*) FILTER (status = '无法判断') AS "无法判断数量",
-  CASE WHEN count(*) FILTER (status IN ('正确', '错误')) = 0 THEN '0%'
-       ELSE round_even(count(*) FILTER (status = '正确') / count(*) FILTER (status IN ('正确', '错误')) * 100, 0)::INTEGER
-            || '%' END AS "正确率"
-FROM detail GROUP BY name ORDER BY min(row_number)""",
+    "person_summary": _REVIEW + _PEOPLE,
     "review_steps": _with(RATED, ENTRIES, RULES)
     + """, counts AS (SELECT (SELECT count(*) FROM entries) AS e, (SELECT count(*) FROM rules) AS r,
   (SELECT count(DISTINCT cleaned) FROM entries) AS c)
@@ -421,19 +479,19 @@ SELECT host, url, module_rank, row_number() OVER (PARTITION BY host ORDER BY mod
     "page_text": f"""SELECT page_id, {_text("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\\s*>', 1)")} AS title,
   {_text('html')} AS text FROM pages""",
     "page_evidence": _with(LINKS, PAGE_EVIDENCE) + "SELECT host, stored_pages, used_pages, evidence FROM host_evidence",
-    "website_company_info": _with(LINKS, PAGE_EVIDENCE, PAGE_ENTRIES)
-    + f"""SELECT query_name, query_name AS company_name, CASE WHEN error = '' THEN evidence ELSE '' END AS business_scope,
-  '' AS status, '{K.WEBSITE_SOURCE}' AS source, error = '' AS success, error
-FROM (
-  SELECT c.query_name, h.evidence,
-         CASE WHEN c.website_url = '' THEN '{K.WEBSITE_NO_URL}' WHEN h.host IS NULL THEN '{K.WEBSITE_UNREACHABLE}'
-              WHEN h.evidence = '' THEN '{K.WEBSITE_WEAK}' ELSE '' END AS error
-  FROM (SELECT cleaned AS query_name, coalesce(arg_min(website_url, (source_id, row_number)) FILTER (website_url <> ''), '')
-          AS website_url FROM filings GROUP BY 1) c
-  LEFT JOIN host_evidence h ON h.host = {_host('c.website_url')} AND c.website_url <> ''
-)""",
+    "website_company_info": _with(LINKS, PAGE_EVIDENCE, PAGE_ENTRIES, _website_evidence("filings"))
+    + "SELECT * FROM evidence",
     "page_url_latest": f"""SELECT url, page_id AS fetched_at, {_text('html')} AS text, '' AS error
 FROM (SELECT page_id, regexp_replace(url, '#.*', '') AS url, html FROM pages)
 QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1""",
     "entry_urls": _with(PAGE_ENTRIES) + "SELECT source_id, row_number, website_url FROM filings",
+    "review_replies": _REVIEW_REPLIES
+    + f"""SELECT {_detail_columns(K.NEUTRAL_SCOPE_HEADER)}, found_in AS "数据来源",
+  'https://d.example.com/' || (row_number - 2) AS "官网链接" FROM detail""",
+    "review_replies_people": _REVIEW_REPLIES + _PEOPLE,
+    "review_pages": _REVIEW_PAGES
+    + f"""SELECT {_detail_columns(K.NEUTRAL_SCOPE_HEADER)},
+  CASE found_in WHEN '{K.WEBSITE_SOURCE}' THEN '{K.WEBSITE_LABEL}' ELSE found_in END AS "数据来源",
+  website_url AS "官网链接" FROM detail JOIN (SELECT row_number, website_url FROM entries) USING (row_number)""",
+    "review_pages_people": _REVIEW_PAGES + _PEOPLE,
 }
