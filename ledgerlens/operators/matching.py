@@ -24,11 +24,15 @@ def listed(words: Column, allowed: Column) -> Column:
 def words_in(text: Column, taxonomy: Taxonomy) -> Column:
     """Distinct taxonomy keywords inside the text, for a `searchable` taxonomy.
 
-    A few words are looked for one by one; many take one pass over the text per pattern, however many they are.
+    A few words are looked for one by one; many take one pass over the text per pattern, however many they are, and words that
+    fit no pattern are looked for one by one beside them.
     """
     if len(taxonomy.collected_keywords) <= FEW_WORDS:
         return contained(inline_value(taxonomy.collected_keywords, "array<string>"), text)
-    found = [F.regexp_extract_all(text, F.lit(pattern), 1) for pattern in taxonomy.patterns]
+    patterns, single = taxonomy.patterns
+    found = [F.regexp_extract_all(text, F.lit(pattern), 1) for pattern in patterns]
+    if single:
+        found.append(contained(inline_value(single, "array<string>"), text))
     return F.array_distinct(F.concat(*found))
 
 

@@ -120,12 +120,16 @@ def _collected_filed_groups(taxonomy: Taxonomy) -> DataFrame:
 
 
 def _local_scored(entries: DataFrame, company_info: DataFrame, taxonomy: Taxonomy, **skew) -> DataFrame:
-    found = _with_scope_words(company_info, taxonomy)
     if taxonomy.literal:
-        companies = [_literal_best(found, taxonomy)]
+        companies = [_literal_best(_with_scope_words(company_info, taxonomy), taxonomy)]
+        scope_hit = F.struct(
+            F.size(listed(F.col("filed_keywords"), F.col("scope_words"))).alias("scope_count"),
+            listed(F.col("filed_keywords"), F.col("scope_words")).alias("scope_words"),
+        )
     else:
-        # The narrow best table joins the already salted entries; evidence texts are still shuffled only once.
-        companies = [found, _best_of(_searched_group_hits(found, taxonomy), taxonomy)]
+        # The narrow table of hits joins the already salted entries; evidence texts are shuffled only once.
+        companies = [company_info, _company_hits(_searched_group_hits(company_info, taxonomy), taxonomy)]
+        scope_hit = F.try_element_at("hits", F.col("filed_ord"))
     row_id = [F.col(c) for c in ENTRY_ID]
     companies = [company.withColumnRenamed("query_name", "lookup_key") for company in companies]
     joined = skew_safe_left_join(entries, companies, "lookup_key", row_id, _company_counts(entries), **skew)
@@ -133,19 +137,20 @@ def _local_scored(entries: DataFrame, company_info: DataFrame, taxonomy: Taxonom
     return placed.select(
         "*",
         contained(F.col("filed_modules"), F.col("stage")).alias("filed_hit_modules"),
-        listed(F.col("filed_keywords"), F.col("scope_words")).alias("filed_scope"),
+        scope_hit.alias("filed_hit"),
         contained(F.col("filed_keywords"), F.col("stage")).alias("filed_stage"),
     ).selectExpr(
         "*",
-        "coalesce(size(filed_scope), 0) AS filed_scope_count",
+        "filed_hit.scope_words AS filed_scope",
+        "coalesce(filed_hit.scope_count, 0) AS filed_scope_count",
         "coalesce(size(filed_stage), 0) AS filed_stage_count",
     )
 
 
-def _searched_group_hits(found: DataFrame, taxonomy: Taxonomy) -> DataFrame:
-    """Like `company_group_hits`, from evidence that already carries its `scope_words`."""
-    words = found.select("query_name", F.explode_outer("scope_words").alias("keyword"))
-    return _per_group(words, taxonomy)
+def _searched_group_hits(company_info: DataFrame, taxonomy: Taxonomy) -> DataFrame:
+    """Like `company_group_hits`, for a `searchable` taxonomy."""
+    found = _with_scope_words(company_info, taxonomy)
+    return _per_group(found.select("query_name", F.explode_outer("scope_words").alias("keyword")), taxonomy)
 
 
 def _per_group(words: DataFrame, taxonomy: Taxonomy) -> DataFrame:
@@ -177,15 +182,31 @@ def _first_hits(count: str, words: str) -> list[Column]:
     ]
 
 
-def _best_of(group_hits: DataFrame, taxonomy: Taxonomy) -> DataFrame:
+def _top_group() -> Column:
     score = scope_points("scope_count")
-    top = group_hits.groupBy("query_name").agg(
-        F.expr(
-            f"max_by(struct(group_ord, {score} AS score, scope_words AS words), struct({score}, -group_ord)) AS top"
-        )
+    return F.expr(
+        f"max_by(struct(group_ord, {score} AS score, scope_words AS words), struct({score}, -group_ord)) AS top"
     )
-    named = top.select("query_name", "top.*").join(taxonomy.sized(taxonomy.groups), "group_ord")
-    return named.selectExpr("query_name", "struct(group_ord, score, level2, level3, words) AS best")
+
+
+def _named_best(top: DataFrame, taxonomy: Taxonomy, *others: str) -> DataFrame:
+    """`best` from the `top` of a company, which knows its group by number only."""
+    named = top.select("query_name", *others, "top.*").join(taxonomy.sized(taxonomy.groups), "group_ord")
+    return named.selectExpr("query_name", *others, "struct(group_ord, score, level2, level3, words) AS best")
+
+
+def _best_of(group_hits: DataFrame, taxonomy: Taxonomy) -> DataFrame:
+    return _named_best(group_hits.groupBy("query_name").agg(_top_group()), taxonomy)
+
+
+def _company_hits(group_hits: DataFrame, taxonomy: Taxonomy) -> DataFrame:
+    """(query_name, hits, best): the hits of every group a company's text has words of, by group, for its entries to look up.
+
+    One reader of `group_hits`, so texts are searched once. What is collected is bounded by the words inside one text.
+    """
+    posting = F.struct("group_ord", F.struct("scope_count", "scope_words"))
+    hits = F.map_from_entries(F.collect_list(posting)).alias("hits")
+    return _named_best(group_hits.groupBy("query_name").agg(_top_group(), hits), taxonomy, "hits")
 
 
 def _long_scored(entries: DataFrame, company_info: DataFrame, taxonomy: Taxonomy, **skew) -> DataFrame:
@@ -261,10 +282,9 @@ def score_entries(entries: DataFrame, company_info: DataFrame, taxonomy: Taxonom
 def best_groups(company_info: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """(query_name, best): per company the group its evidence alone supports best; null without any hit."""
     if taxonomy.searchable:
-        found = _with_scope_words(company_info, taxonomy)
         if taxonomy.literal:
-            return _literal_best(found, taxonomy).select("query_name", "best")
-        group_hits = _searched_group_hits(found, taxonomy)
+            return _literal_best(_with_scope_words(company_info, taxonomy), taxonomy).select("query_name", "best")
+        group_hits = _searched_group_hits(company_info, taxonomy)
     else:
         group_hits = company_group_hits(company_info, taxonomy)
     return company_info.select("query_name").join(_best_of(group_hits, taxonomy), "query_name", "left")

@@ -4,32 +4,39 @@ from __future__ import annotations
 
 from os.path import commonprefix
 
-# Words nested deeper than this as prefixes of one another, or longer than this, are left to the join.
+# Words nested deeper than this as prefixes of one another, or longer than this, fit no pattern.
 MAX_PATTERNS = 6
 MAX_WORD = 400
+# So many of those are looked for one by one beside the patterns; with more of them, all words are left to the join.
+MAX_SINGLE = 32
 # Alternatives tried one after the other before a range test pays.
 PARTS = 4
 
 
-def search_patterns(words: set[str]) -> list[str] | None:
-    """Patterns whose matches, over all positions of a text, are exactly the words inside it; None if that takes too many.
+def search_patterns(words: set[str]) -> tuple[list[str], list[str]] | None:
+    """(patterns, single words): the patterns' matches over all positions of a text are exactly the words inside it, but for the
+    few that fit none and are returned as they are. None if those are too many.
 
     A look-ahead reports one word per position. Words that start with one another therefore go to different patterns:
-    a word goes to the pattern numbered by how many other words are prefixes of it.
+    a word goes to the pattern numbered by how many other words in patterns are prefixes of it.
     """
     layers: list[list[str]] = []
     open_prefixes: list[str] = []
+    single: list[str] = []
     for word in sorted(words):
         while open_prefixes and not word.startswith(open_prefixes[-1]):
             open_prefixes.pop()
         depth = len(open_prefixes)
         if depth >= MAX_PATTERNS or len(word) > MAX_WORD:
-            return None
+            single.append(word)
+            continue
         if depth == len(layers):
             layers.append([])
         layers[depth].append(word)
         open_prefixes.append(word)
-    return [f"(?=({_alternatives(layer)}))" for layer in layers]
+    if len(single) > MAX_SINGLE:
+        return None
+    return [f"(?=({_alternatives(layer)}))" for layer in layers], single
 
 
 def _alternatives(words: list[str]) -> str:

@@ -158,8 +158,8 @@ class Taxonomy:
         return F.broadcast(terms) if self.broadcastable else terms
 
     @cached_property
-    def patterns(self) -> list[str] | None:
-        """Search patterns of all keywords; None when these are too many or too nested."""
+    def patterns(self) -> tuple[list[str], list[str]] | None:
+        """Search patterns of the keywords and the few keywords that fit none; None when either are too many."""
         if self.size.terms > self._search_terms or self.size.chars > SEARCH_CHARS:
             return None
         return search_patterns(set(self.collected_keywords))

@@ -185,3 +185,25 @@ def test_term_hits_against_plain_search(spark, few_words, options):
     taxonomy = Taxonomy(rules_frame(spark, [("A", "b", "c", "", list(words))]), **options)
     hits = {tuple(r) for r in keyword_hits(frame, ["id"], "text", taxonomy).collect()}
     assert hits == {(i, w) for i, t in enumerate(texts) for w in words if w in t}
+
+
+def test_a_word_nested_seven_deep_leaves_the_rest_on_the_local_plan(spark, few_words):
+    words = ["ab" * n for n in range(1, 9)] + ["梨"]
+    texts = ["ab" * n + "梨" * (n % 2) for n in range(9)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    taxonomy = Taxonomy(rules_frame(spark, [("A", "b", "c", "", words)]), **SEARCHED)
+    hits = keyword_hits(frame, ["id"], "text", taxonomy)
+    assert taxonomy.searchable and "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in hits.collect()} == {(i, w) for i, t in enumerate(texts) for w in words if w in t}
+    taxonomy.release()
+
+
+def test_evidence_is_searched_once(spark, monkeypatch):
+    monkeypatch.setattr(matching, "FEW_WORDS", 0)
+    entries = [("d", "n", "b", "c", "K", "g")]
+    info = spark.createDataFrame([("K", "K", "梨ab", "在", "mock", True, "", "{}")], INFO_SCHEMA)
+    taxonomy = Taxonomy(rules_frame(spark, [("A", "b", "c", "", ["梨", "ab"])]), **SEARCHED)
+    detail = review_detail(entries_frame(spark, entries), taxonomy, info, unique=True)
+    assert detail._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert detail.first()["confidence"] == 64
+    taxonomy.release()

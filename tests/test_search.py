@@ -3,11 +3,12 @@ from __future__ import annotations
 import random
 import re
 
-from ledgerlens.operators.search import MAX_PATTERNS, search_patterns
+from ledgerlens.operators.search import MAX_PATTERNS, MAX_SINGLE, search_patterns
 
 
 def found(text: str, words: set[str]) -> set[str]:
-    return {m.group(1) for p in search_patterns(words) for m in re.finditer(python_syntax(p), text, re.S)}
+    patterns, single = search_patterns(words)
+    return {m.group(1) for p in patterns for m in re.finditer(python_syntax(p), text, re.S)} | {w for w in single if w in text}
 
 
 def python_syntax(pattern: str) -> str:
@@ -28,7 +29,16 @@ def test_patterns_find_exactly_the_words():
 
 def test_nested_words_are_split_over_patterns_up_to_a_limit():
     nested = {"a" * n for n in range(1, MAX_PATTERNS + 1)}
-    assert len(search_patterns(nested)) == MAX_PATTERNS
-    assert search_patterns(nested | {"a" * (MAX_PATTERNS + 1)}) is None
-    assert search_patterns({"x" * 401}) is None
-    assert search_patterns(set()) == []
+    patterns, single = search_patterns(nested)
+    assert len(patterns) == MAX_PATTERNS and not single
+    assert search_patterns(set()) == ([], [])
+
+
+def test_words_that_fit_no_pattern_stand_beside_them():
+    words = {"a" * n for n in range(1, MAX_PATTERNS + 2)} | {"b"}
+    patterns, single = search_patterns(words)
+    assert len(patterns) == MAX_PATTERNS and single == ["a" * (MAX_PATTERNS + 1)]
+    assert found("b" + "a" * 7, words) == words and found("aaaaaa", words) == words - {"b", "a" * 7}
+    assert search_patterns({"x" * 401, "y"})[1] == ["x" * 401]
+    assert search_patterns({"x" * (401 + n) for n in range(MAX_SINGLE)}) is not None
+    assert search_patterns({"x" * (401 + n) for n in range(MAX_SINGLE + 1)}) is None
