@@ -103,11 +103,6 @@ def test_odd_pages(page, text):
     assert line_blocks.main_text(page) == text
 
 
-def test_surge_and_dive():
-    assert line_blocks.between_surge_and_dive([0, 0, 5, 9, 0, 0, 0, 2, 0]) == [(0, 4, 14), (5, 8, 2)]
-    assert line_blocks.between_surge_and_dive([]) == []
-
-
 def test_text_query(spark):
     import html
     import re
@@ -118,3 +113,7 @@ def test_text_query(spark):
         blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", re.sub("<br>", " ", b)))).strip() for b in re.split(r"</?(?:p|h1)>", article)]
         text = "\n".join(b for b in blocks if b)
         assert (rows[page["page_id"]]["text"], rows[page["page_id"]]["n_chars"]) == (text, len(text))
+        unmarked = page["html"].replace("<article>", "<div>").replace("</article>", "</div>")
+        for tag in ("nav", "footer"):
+            unmarked = unmarked.replace(f"<{tag}>", "<div>").replace(f"</{tag}>", "</div>")
+        assert line_blocks.main_text(unmarked) == text
