@@ -86,7 +86,8 @@ def test_taxonomy_limits(spark):
     assert medium.searchable and not medium.literal
     assert not Taxonomy(rules_frame(spark, many), search_terms=500).searchable
     assert not Taxonomy(rules_frame(spark, [("A", "b", "c", "", ["x" * 500_000])])).searchable
-    assert not Taxonomy(rules_frame(spark, [("A", "b", "c", "", ["x" * n for n in range(1, 20)])])).searchable
+    assert not Taxonomy(rules_frame(spark, [("A", "b", "c", "", ["x" * n for n in range(1, 40)])])).searchable
+    assert Taxonomy(rules_frame(spark, [("A", "b", "c", "", ["x" * n for n in range(1, 20)])])).searchable
     assert not Taxonomy(rules_frame(spark, RULES), broadcast_chars=5).broadcastable
     assert not Taxonomy(rules_frame(spark, [])).collected_groups
     with pytest.raises(ValueError, match="rule_ord must be unique"):
