@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.anchors import with_anchor, with_text_anchors
 from ledgerlens.operators.taxonomy import Taxonomy, inline_value
 
 # Up to this many words, testing each is faster than the pattern search.
@@ -36,19 +37,6 @@ def words_in(text: Column, taxonomy: Taxonomy) -> Column:
     return F.array_distinct(F.concat(*found))
 
 
-def _grams(text: Column, lengths: tuple[int, ...]) -> Column:
-    """Distinct substrings of the given lengths; a look-ahead yields one per position, linear in the text."""
-    grams = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in lengths]
-    return F.array_distinct(F.concat(*grams))
-
-
-def anchor(term: Column) -> Column:
-    """The piece of a term it is looked up by: its first 8, 4, 2 or 1 characters, whichever still fits."""
-    length = F.length(term)
-    size = F.when(length >= 8, 8).when(length >= 4, 4).when(length >= 2, 2).otherwise(1)
-    return F.substring(term, F.lit(1), size)
-
-
 def term_hits(
     texts: DataFrame,
     ids: list[str],
@@ -61,16 +49,13 @@ def term_hits(
     """(ids, columns of terms) for every row of `terms` whose term is inside a text; `on` columns must agree as well.
 
     An equi join on each term's anchor finds the few terms that can occur, `contains` confirms them. Texts do not move
-    while the measured term table fits a broadcast; beyond that only (id, gram) pairs are shuffled and the surviving
+    while the measured term table fits a broadcast; beyond that only (id, anchor) pairs are shuffled and the surviving
     candidates are confirmed against the text afterwards.
     """
-    lengths = taxonomy.size.gram_lengths or (1,)
     keys = [*on, "_anchor"]
-    wanted = terms.filter(F.col(term) != "").withColumn("_anchor", anchor(F.col(term)))
-    # Two steps, so that exploding, probing and confirming run in one generated loop that never copies the text. The
-    # outer form keeps the optimizer from adding a filter on the array, which would build every array once more.
-    grams = texts.select(*ids, *on, F.col(text).alias("_text"), _grams(F.col(text), lengths).alias("_grams"))
-    exploded = grams.select(*ids, *on, "_text", F.explode_outer("_grams").alias("_anchor"))
+    wanted = with_anchor(terms.filter(F.col(term) != ""), term)
+    anchored = with_text_anchors(texts.select(*ids, *on, F.col(text).alias("_text")), "_text", taxonomy.anchor_tables)
+    exploded = anchored.select(*ids, *on, "_text", F.explode("_anchors").alias("_anchor"))
     if taxonomy.broadcastable:
         found = exploded.join(F.broadcast(wanted), keys).filter(F.contains("_text", term))
     else:

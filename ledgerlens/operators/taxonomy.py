@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.anchors import anchor_tables
 from ledgerlens.operators.search import search_patterns
 
 LEVELS = ["level1", "level2", "level3"]
@@ -149,6 +150,12 @@ class Taxonomy:
         )
         return Size(row["terms"], row["chars"], tuple(n for n in (1, 2, 4, 8) if row[f"g{n}"]))
 
+    @cached_property
+    def anchor_tables(self) -> dict[int, bytes]:
+        """Bit tables of the anchors of all terms, module names among them: six megabytes at most."""
+        terms = self.rules.selectExpr("explode(concat(array(module_name), keywords)) AS term")
+        return anchor_tables(terms, self.size.terms)
+
     @property
     def broadcastable(self) -> bool:
         return self.size.chars <= self._broadcast_chars and self.size.terms <= BROADCAST_TERMS
