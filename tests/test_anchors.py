@@ -17,7 +17,7 @@ def searches(frame) -> int:
     return frame._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
 
 
-@pytest.mark.parametrize("name", ["keyword_hits_joined"])
+@pytest.mark.parametrize("name", ["keyword_hits_joined", "review_detail_joined"])
 def test_joined_plans_make_no_pieces_of_texts(spark, name):
     assert searches(QUERIES[name](spark, "/root/testdata/sf0.001")) == 0
 
