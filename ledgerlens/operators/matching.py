@@ -10,6 +10,8 @@ from ledgerlens.operators.taxonomy import Taxonomy, inline_value
 
 # Up to this many words, testing each is faster than the pattern search.
 FEW_WORDS = 32
+# Beyond this many, looking them up by their anchors is: the patterns' cost grows with the words, the anchors' does not.
+MANY_WORDS = 256
 
 
 def contained(words: Column, text: Column) -> Column:
@@ -37,6 +39,11 @@ def words_in(text: Column, taxonomy: Taxonomy) -> Column:
     return F.array_distinct(F.concat(*found))
 
 
+def by_anchors(taxonomy: Taxonomy) -> bool:
+    """Whether keywords are looked up by their anchors: always beyond the search limits, and where patterns would be slower."""
+    return not taxonomy.searchable or len(taxonomy.collected_keywords) > MANY_WORDS
+
+
 def term_hits(
     texts: DataFrame,
     ids: list[str],
@@ -67,7 +74,7 @@ def term_hits(
 
 def keyword_hits(texts: DataFrame, ids: list[str], text: str, taxonomy: Taxonomy) -> DataFrame:
     """(ids, keyword) for every taxonomy keyword inside every text."""
-    if not taxonomy.searchable:
+    if by_anchors(taxonomy):
         return term_hits(texts, ids, text, taxonomy.keywords, "keyword", taxonomy)
     found = texts.select(*ids, F.explode_outer(words_in(F.col(text), taxonomy)).alias("keyword"))
     return found.filter("keyword IS NOT NULL")

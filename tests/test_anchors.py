@@ -51,3 +51,21 @@ def test_long_terms_and_null_texts(spark, options):
     hits = sorted(tuple(r) for r in keyword_hits(frame, ["id"], "text", taxonomy).collect())
     assert hits == sorted((i, w) for i, t in enumerate(texts) if t for w in words if w in t)
     taxonomy.release()
+
+
+def many_words():
+    rng = random.Random(8)
+    return sorted({"".join(rng.choice("abc梨 ") for _ in range(rng.randint(1, 9))).strip() for _ in range(600)} - {""})
+
+
+def test_many_words_are_not_searched_by_patterns(spark):
+    words = many_words()
+    assert len(words) > matching.MANY_WORDS
+    texts = ["", "abc", "a 梨" * 30, "".join(words[::7])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    taxonomy = Taxonomy(rules_frame(spark, [("A", "b", "c", "", words)]), literal_terms=0)
+    assert taxonomy.searchable
+    hits = keyword_hits(frame, ["id"], "text", taxonomy)
+    assert searches(hits) == 0
+    assert sorted(tuple(r) for r in hits.collect()) == sorted((i, w) for i, t in enumerate(texts) for w in words if w in t)
+    taxonomy.release()
