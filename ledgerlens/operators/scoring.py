@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens import constants as K
 from ledgerlens.functions.text import let
 from ledgerlens.operators.lookup import lookup_keys
-from ledgerlens.operators.matching import contained, listed, term_hits, words_in
+from ledgerlens.operators.matching import by_anchors, contained, listed, term_hits, words_in
 from ledgerlens.operators.skew import skew_safe_left_join
 from ledgerlens.operators.taxonomy import Taxonomy, inline_value
 
@@ -149,6 +149,8 @@ def _local_scored(entries: DataFrame, company_info: DataFrame, taxonomy: Taxonom
 
 def _searched_group_hits(company_info: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """Like `company_group_hits`, for a `searchable` taxonomy."""
+    if by_anchors(taxonomy):
+        return company_group_hits(company_info, taxonomy)
     found = _with_scope_words(company_info, taxonomy)
     return _per_group(found.select("query_name", F.explode_outer("scope_words").alias("keyword")), taxonomy)
 

@@ -7,6 +7,7 @@ import pytest
 
 from ledgerlens.operators import anchors, matching
 from ledgerlens.operators.matching import keyword_hits
+from ledgerlens.operators.scoring import best_groups
 from ledgerlens.operators.taxonomy import Taxonomy
 from ledgerlens.queries.catalog import QUERIES
 from tests.conftest import rules_frame
@@ -69,3 +70,19 @@ def test_many_words_are_not_searched_by_patterns(spark):
     assert searches(hits) == 0
     assert sorted(tuple(r) for r in hits.collect()) == sorted((i, w) for i, t in enumerate(texts) for w in words if w in t)
     taxonomy.release()
+
+
+def test_best_groups_of_many_words_are_not_searched_by_patterns(spark):
+    words = many_words()
+    groups = [words[k::20] for k in range(20)]
+    texts = ["a 梨" * 30, "".join(words[::7]), "zzz"]
+    info = spark.createDataFrame([(str(i), t, True) for i, t in enumerate(texts)], "query_name string, business_scope string, success boolean")
+    taxonomy = Taxonomy(rules_frame(spark, [("A", "b", f"g{k}", "", own) for k, own in enumerate(groups)]), literal_terms=0)
+    best = best_groups(info, taxonomy)
+    assert searches(best) == 0
+    expected = {}
+    for i, text in enumerate(texts):
+        score, first = max((min(12 * sum(w in text for w in own), 45), -k) for k, own in enumerate(groups))
+        expected[str(i)] = (score, f"g{-first}", [w for w in groups[-first] if w in text][:6]) if score else None
+    assert {r[0]: (r[1].score, r[1].level3, r[1].words) if r[1] else None for r in best.collect()} == expected
+    taxonomy.release()
