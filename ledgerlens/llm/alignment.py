@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import materialize, texts
-from ledgerlens.llm.tokens import BYTE_CHARACTERS, SPACES, tokenizer_path, word_encoder
+from ledgerlens.llm.tokens import BYTE_CHARACTERS, SPACES, WordEncoder, tokenizer_path
 
 #: Longer texts are cut into byte ranges of this length.
 CHUNK_BYTES = 32_768
@@ -105,13 +105,37 @@ def group(tokens: Tokens, pair_base: int, dtype: np.dtype) -> Closed:
     return Closed(len(tokens.a), len(tokens.b), 1, text, np.array(pairs, dtype).tobytes())
 
 
+class _Words(dict):
+    """Words by the number of their groups, of two generations: used words come back from the one before. `new` have no groups yet."""
+
+    def __init__(self, old: _Words | None):
+        super().__init__()
+        self.groups: list[tuple | None] = []
+        self.new: dict[str, int] = {}
+        if old is not None:
+            # Not the one before that.
+            old.old, old.old_groups = {}, []
+        self.old, self.old_groups = (old, old.groups) if old is not None else ({}, [])
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self.groups)
+        known = dict.get(self.old, word)
+        if known is None:
+            self.new[word] = number
+            self.groups.append(None)
+        else:
+            self.groups.append(self.old_groups[known])
+        return number
+
+
 class Aligner:
     """Both tokenizers, and the words seen. Special tokens' strings are ordinary text."""
 
     def __init__(self, byte_tokenizer: str, piece_tokenizer: str, memo_limit: int = 200_000):
         import sentencepiece
 
-        self.a = word_encoder(byte_tokenizer)
+        # Its memo is small, because words are remembered here.
+        self.a = WordEncoder(byte_tokenizer, 250_000)
         self.b = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(piece_tokenizer))
         byte_of = {code: byte for byte, code in BYTE_CHARACTERS.items()}
         names = {number: name for name, number in self.a.whole.get_vocab(with_added_tokens=False).items()}
@@ -127,9 +151,8 @@ class Aligner:
         self.names = [str(k) for k in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.typecode = "I" if len(self.a_bytes) * self.pair_base <= 1 << 32 else "q"
         self.dtype = np.dtype(self.typecode)
-        self.words: dict[str, tuple | None] = {}
-        self.old: dict[str, tuple | None] = {}
-        self.memo_limit = memo_limit
+        self.memo_limit, self.generation = memo_limit, 0
+        self.words, self.sums, self.summed = _Words(None), np.zeros((4096, 4), np.int32), 0
 
     def tokens(self, word: str) -> tuple[bool, Tokens]:
         """Tokens of a text that begins and ends between words, and whether both give back its bytes."""
@@ -141,22 +164,28 @@ class Aligner:
     def _exact(self, word: str, a: list[int], b: list[int]) -> bool:
         return b"".join([self.a_bytes[k] for k in a]) == b"".join([self.b_bytes[k] for k in b]) == word.encode()
 
-    def closed(self, texts_words: list[list[str]]) -> list[list[tuple | None]]:
-        """The groups of every word of some texts; None where the tokens do not give back the word's bytes."""
-        new = set()
-        for words in texts_words:
-            new.update(words)
-        new.difference_update(self.words)
-        if len(self.words) + len(new) > self.memo_limit:
-            self.old, self.words = self.words, {}
-            new = {word for words in texts_words for word in words}
-        for word in new & self.old.keys():
-            self.words[word] = self.old[word]
-            new.discard(word)
-        unknown = list(new)
-        for word, b in zip(unknown, self.b.encode(["\n" + word for word in unknown], num_threads=1), strict=True):
-            self.words[word] = self._groups(word, array.array("I", self.a.unit(word)), b[2:])
-        return [[self.words[word] for word in words] for words in texts_words]
+    def numbers(self, texts_words: list[list[str]]) -> list[list[int]]:
+        """The number of every word of some texts, by which `groups` and `sums` know it until the next call."""
+        if len(self.words) > self.memo_limit:
+            self.words, self.summed, self.generation = _Words(self.words), 0, self.generation + 1
+        found = [list(map(self.words.__getitem__, words)) for words in texts_words]
+        groups, new = self.words.groups, self.words.new
+        names = list(new)
+        for word, b in zip(names, self.b.encode(["\n" + word for word in names], num_threads=1), strict=True):
+            groups[new[word]] = self._groups(word, array.array("I", self.a.unit(word)), b[2:])
+        new.clear()
+        if len(groups) > len(self.sums):
+            self.sums = np.concatenate([self.sums, np.zeros((2 * len(groups) - len(self.sums), 4), np.int32)])
+        if self.summed < len(groups):
+            added = [(g[0], g[1], g[2], len(g[4])) if g else (0, 0, 0, 0) for g in groups[self.summed :]]
+            self.sums[self.summed : len(groups)] = added
+            self.summed = len(groups)
+        return found
+
+    def closed(self, words: list[str]) -> list[tuple | None]:
+        """The groups of every word; None where the tokens do not give back the word's bytes."""
+        (numbers,) = self.numbers([words])
+        return [self.words.groups[k] for k in numbers]
 
     def _groups(self, word: str, a, b: list[int]) -> tuple | None:
         """group() of every group of a word, in one pass: a plain tuple of Closed, which garbage collection need not visit."""
@@ -226,7 +255,7 @@ class Aligner:
             return self.compose(fragment, Fragment(True, True, closed=joined(run))) if run else fragment
 
         words = split_words(window)
-        for word, known in zip(words, self.closed([words])[0], strict=True):
+        for word, known in zip(words, self.closed(words), strict=True):
             size = len(word.encode())
             if begin <= base and base + size <= end:
                 if known is None:
@@ -290,23 +319,35 @@ class Block:
 
     def __init__(self, number: int, dtype: np.dtype):
         self.number, self.dtype = number, dtype
-        self.index: dict = {}
         self.parts: list[bytes] = []
         self.held: list[np.ndarray] = []
         self.links = 0
-
-    def add(self, words: list, closed: list[tuple], links: int) -> bytes:
-        """words: what the closed groups are known by. links: of all of them."""
-        index, known = self.index, len(self.index)
-        numbers = [index.setdefault(word, len(index)) for word in words]
-        if len(index) > known:
-            for number, own in zip(numbers, closed, strict=True):
-                if number == len(self.parts):  # numbered in this order
-                    self.parts.append(own[4])
-        pairs = np.frombuffer(b"".join([self.parts[number] for number in set(numbers)]), self.dtype)
-        self.held.append(np.unique(pairs))
+        # Where the words of the aligner's generation are listed; a word of two generations is listed twice.
+        self.generation, self.places = -1, np.empty(0, np.int64)
+
+    def add(self, own: Aligner, words: np.ndarray, links: int) -> bytes:
+        """A text by its words' numbers. links: of all of them."""
+        if self.generation != own.generation:
+            self.generation, self.places = own.generation, np.full(len(own.sums), -1, np.int64)
+        elif len(self.places) < len(own.sums):
+            self.places = np.concatenate([self.places, np.full(len(own.sums) - len(self.places), -1, np.int64)])
+        groups, distinct = own.words.groups, np.unique(words)
+        pairs = [groups[k][4] for k in distinct.tolist()]
+        new = np.flatnonzero(self.places[distinct] < 0)
+        self.places[distinct[new]] = np.arange(len(self.parts), len(self.parts) + len(new))
+        self.parts.extend([pairs[k] for k in new.tolist()])
+        self._hold(pairs, links)
+        return self.places[words].astype("<u4").tobytes()
+
+    def add_whole(self, closed: Closed, links: int) -> bytes:
+        """A text that is listed as one word."""
+        self.parts.append(closed.pairs)
+        self._hold([closed.pairs], links)
+        return np.array([len(self.parts) - 1], "<u4").tobytes()
+
+    def _hold(self, pairs: list[bytes], links: int) -> None:
+        self.held.append(np.unique(np.frombuffer(b"".join(pairs), self.dtype)))
         self.links += links
-        return np.array(numbers, "<u4").tobytes()
 
     def row(self) -> dict:
         pairs, holders = np.unique(np.concatenate(self.held), return_counts=True) if self.held else ([], [])
@@ -339,22 +380,32 @@ def _first(above: int) -> int:
     return (above << 62) | (TaskContext.get().partitionId() << 36)
 
 
-def _gathered(found, dtype: np.dtype, above: int, block_links: int):
-    """found: rows as they are to be returned, or (key, doc_id, words, their closed groups or None where the text has no tokens).
-    Batches of documents and of their blocks."""
-    number = _first(above)
+def _gathered(found, own: Aligner, above: int, block_links: int):
+    """found: rows as they are to be returned, or (key, doc_id, numbers of the words or the closed groups of the whole, None where the
+    text has no tokens). Batches of documents and of their blocks."""
+    number, dtype = _first(above), own.dtype
     block, rows, size = Block(number, dtype), [], 0
     for one in found:
         if isinstance(one, dict):
             rows.append(one)
             size += len(one["window"])
         else:
-            key, doc_id, words, closed = one
-            whole = joined(closed)
-            n_links = len(whole.pairs) // dtype.itemsize
-            numbers = block.add(words, closed, n_links)
-            sha = hashlib.sha256(whole.text.encode()).hexdigest() if whole.n_groups else ""
-            counts = {"n_a": whole.n_a, "n_b": whole.n_b, "n_groups": whole.n_groups, "n_links": n_links}
+            key, doc_id, held = one
+            if held is None:
+                n_a = n_b = n_groups = n_links = 0
+                text, numbers = "", b""
+            elif isinstance(held, Closed):
+                n_a, n_b, n_groups, text, pairs = held
+                n_links = len(pairs) // dtype.itemsize
+                numbers = block.add_whole(held, n_links)
+            else:
+                words, groups = np.array(held), own.words.groups
+                n_a, n_b, n_groups, n_links = own.sums[words].sum(axis=0, dtype=np.int64).tolist()
+                n_links //= dtype.itemsize
+                text = ";".join([groups[k][3] for k in held])
+                numbers = block.add(own, words, n_links)
+            sha = hashlib.sha256(text.encode()).hexdigest() if n_groups else ""
+            counts = {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links}
             rows.append({"key": key, "doc_id": doc_id, "block": block.number, "groups_sha256": sha, "words": numbers, **counts})
             size += len(numbers)
         if size > 4_000_000 or len(rows) == 5000:
@@ -386,11 +437,11 @@ def _documents(docs: DataFrame, tokenizers: tuple[str, str], chunk_bytes: int, b
                 ranges = byte_ranges(data, chunk_bytes)
                 for chunk, (begin, end, left, right) in enumerate(ranges):
                     yield {"key": key, "doc_id": doc_id, "chunk": chunk, "n_chunks": len(ranges), "window": data[left:right].decode(), "begin": begin - left, "stop": end - left}
-            for (key_, doc_id, words), closed in zip(short, own.closed([words for _, _, words in short]), strict=True):
-                yield (key_, doc_id, [], []) if None in closed else (key_, doc_id, words, closed)
+            for (key_, doc_id, _), words in zip(short, own.numbers([words for _, _, words in short]), strict=True):
+                yield key_, doc_id, words if words and own.sums[words, 2].all() else None
 
     def run(batches):
-        yield from _gathered(aligned(batches), aligner(*tokenizers).dtype, 0, block_links)
+        yield from _gathered(aligned(batches), aligner(*tokenizers), 0, block_links)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ALIGNED)
 
@@ -435,9 +486,9 @@ def _long_documents(chunks: DataFrame, tokenizers: tuple[str, str], block_links:
                 for at in range(batch.num_rows):
                     (row,) = batch.slice(at, 1).to_pylist()
                     closed = own.whole(_fragment_of(row))
-                    yield (row["key"], row["doc_id"], [row["key"]], [closed]) if closed and closed.n_groups else (row["key"], row["doc_id"], [], [])
+                    yield row["key"], row["doc_id"], closed if closed and closed.n_groups else None
 
-        yield from _gathered(found(), own.dtype, 1, block_links)
+        yield from _gathered(found(), own, 1, block_links)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     level = materialize(chunks.repartition(parts, "key", "chunk").mapInArrow(fragments, FRAGMENT), "fragments")

@@ -133,3 +133,23 @@ def test_ranges_cover_all_bytes():
     assert ranges[0][0] == 0 and ranges[-1][1] == len(data)
     assert all(a[1] == b[0] for a, b in zip(ranges, ranges[1:], strict=False))
     assert any(data[end - 1 : end].isalpha() and data[end : end + 1].isalpha() for _, end, _, _ in ranges[:-1])
+
+
+def test_words_keep_their_groups_over_generations_of_the_memo(brute):
+    """Every call but the first begins a new generation; a block goes on over them."""
+    own = alignment.Aligner("byte_bpe_50k.json", "piece_bpe_32k.model", memo_limit=2)
+    texts = [" one two, three", " two one five", " one two, three", " été three\nsix", " a ▁ b", " one"]
+    block, listed = alignment.Block(0, own.dtype), []
+    for text in texts:
+        (numbers,) = own.numbers([alignment.split_words(text)])
+        expected = [own._groups(w, own.a.whole.encode(w, add_special_tokens=False).ids, own.b.encode("\n" + w)[2:]) for w in alignment.split_words(text)]
+        assert [own.words.groups[k] for k in numbers] == expected
+        if None in expected:
+            assert not own.sums[numbers, 2].all()
+            continue
+        pairs = b"".join(groups[4] for groups in expected)
+        assert own.sums[numbers].sum(axis=0).tolist() == [*(sum(g[k] for g in expected) for k in range(3)), len(pairs)]
+        listed.append((block.add(own, alignment.np.array(numbers), len(pairs)), pairs))
+    assert own.generation > 2
+    for numbers, pairs in listed:
+        assert b"".join(block.parts[k] for k in alignment.np.frombuffer(numbers, "<u4")) == pairs
