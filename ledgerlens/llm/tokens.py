@@ -17,7 +17,9 @@ ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 ODD_MARK = re.compile("|".join(map(re.escape, ODD)))
 #: White space, ASCII first. A space before any of it may be joined with it by the pre-tokenizer.
 SPACES = (0x20, *range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-JOINED = tuple(f" {chr(code)}" for code in SPACES)
+
+#: White space but the space, and a space before it: most texts hold neither, and one character is found faster than two.
+JOINABLE = tuple((chr(code), f" {chr(code)}") for code in SPACES[1:])
 
 
 #: ASCII marks but the apostrophe, with which contractions begin.
@@ -38,20 +40,27 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Characters of a remembered word that count as one more entry.
+KEY_CHARS = 32
+
+
 class _Memo(dict):
-    """Made values of two generations: when the young one is full it becomes the old one, from which used values come back."""
+    """Made values of two generations: when the young one is full it becomes the old one, from which used values come back.
+
+    A long key counts as several, so the limit bounds the memory whatever a language's words are.
+    """
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.old, self.size = make, limit, {}, 0
 
     def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
+        value = self.old.get(key) or self.make(key)
+        if self.size >= self.limit:
             self.old = dict(self)
             self.clear()
+            self.size = 0
+        self.size += 1 + len(key) // KEY_CHARS
         self[key] = value
         return value
 
@@ -65,7 +74,7 @@ def word_encoder(name: str) -> WordEncoder:
 class WordEncoder:
     """encode(text): ids as packed little-endian unsigned 32-bit integers. Names of special tokens are ordinary text."""
 
-    def __init__(self, name: str, memo_limit: int = 250_000):
+    def __init__(self, name: str, memo_limit: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -73,6 +82,7 @@ class WordEncoder:
         self.whole.encode_special_tokens = True
         self.model, self.normalizer, self.splitter = self.whole.model, self.whole.normalizer, self.whole.pre_tokenizer
         self.keeps_space = len(self.whole.encode(" ", add_special_tokens=False).ids) > 0
+        self.letters = self.keeps_space and self.normalizer is None
         self.pieces, self.plain = _Memo(self._piece, memo_limit), _Memo(self._plain, memo_limit)
         self.words = _Memo(self._word, memo_limit)
         self.vocabulary = self.whole.get_vocab_size()
@@ -90,6 +100,9 @@ class WordEncoder:
         return self._piece(piece.encode().decode("latin-1").translate(BYTE_CHARACTERS))
 
     def _word(self, word: str) -> bytes:
+        if self.letters and word[:1] == " " and word.isascii() and word[1:].isalpha():
+            # Most new words.
+            return self._piece(SPACE + word[1:])
         if self.normalizer is not None:
             word = word.lower() if word.isascii() else self.normalizer.normalize_str(word)
         if (word[1:] if self.keeps_space and word[:1] == " " else word).isalpha():
@@ -114,11 +127,11 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if any(mark in text for mark in ODD):
+        if "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             ids = self.whole.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         if not self.keeps_space:
             return b"".join(map(self.words.__getitem__, text.split()))
-        if text[-1] == " " or "\x00" in text or any(mark in text for mark in (JOINED[:6] if text.isascii() else JOINED)):
+        if text[-1] == " " or "\x00" in text or "  " in text or any([code in text and mark in text for code, mark in (JOINABLE[:5] if text.isascii() else JOINABLE)]):
             return self._word(text)
         return b"".join(map(self.words.__getitem__, text.replace(" ", "\x00 ").split("\x00")))

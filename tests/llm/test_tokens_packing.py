@@ -146,3 +146,12 @@ def test_rounds_merge_underfull_bins(spark, group_items):
 
 def test_packing_nothing(spark):
     assert packing.pack_documents(docs_frame(spark, [])).count() == 0
+
+
+def test_long_words_count_as_several_in_the_memo():
+    from ledgerlens.llm.tokens import KEY_CHARS, _Memo
+
+    memo = _Memo(len, 10)
+    for k in range(4):
+        assert memo[str(k) * (3 * KEY_CHARS)] == 3 * KEY_CHARS
+    assert len(memo) == 1 and len(memo.old) == 3 and memo["0" * (3 * KEY_CHARS)] == 3 * KEY_CHARS
