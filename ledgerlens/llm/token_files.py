@@ -28,6 +28,8 @@ from ledgerlens.llm.tokens import word_encoder
 
 MAGIC = b"LLTOK01\n"
 SAMPLE = 64
+#: Documents whose offsets and names are decoded together.
+READ = 1024
 ONES = np.array([bin(byte).count("1") for byte in range(256)], dtype=np.int64)
 
 
@@ -77,6 +79,20 @@ class EliasFano:
         cut = int.from_bytes(self.low[at // 8 : (at + self.width + 7) // 8].tobytes(), "little") >> at % 8
         return ((self.select(index) - index) << self.width) | (cut & ((1 << self.width) - 1))
 
+    def between(self, first: int, end: int) -> np.ndarray:
+        """The values of a range of indices; the select structure says which bytes of the high bits hold them."""
+        known, after = first // SAMPLE, -(-end // SAMPLE)
+        byte = int(self.samples[known]) // 8
+        stop = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[byte:stop], bitorder="little")) + byte * 8
+        skipped = int(np.searchsorted(ones, self.samples[known])) + first - known * SAMPLE
+        out = (ones[skipped : skipped + end - first] - np.arange(first, end)).astype(np.uint64) << np.uint64(self.width)
+        if self.width:
+            at = first * self.width
+            bits = np.unpackbits(self.low[at // 8 : (end * self.width + 7) // 8], bitorder="little")[at % 8 :][: (end - first) * self.width]
+            out |= (bits.reshape(-1, self.width).astype(np.uint64) << np.arange(self.width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return out
+
     def values(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count]
         out = (ones - np.arange(self.count)).astype(np.uint64) << np.uint64(self.width)
@@ -132,13 +148,17 @@ class TokenFile:
         return np.frombuffer(self._read(8 + start * size, (end - start) * size), dtype=self.dtype)
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(document id, start, ids) of all documents in file order, one in memory at a time; offsets and names come from select."""
+        """(document id, start, ids) of all documents in file order, one in memory at a time; offsets and names come from select, a range at a time."""
         self.file.seek(8)
-        start = self.start(0)
-        for index in range(len(self)):
-            end = self.start(index + 1)
-            yield self.document_id(index), start, np.frombuffer(self.file.read((end - start) * self.dtype.itemsize), dtype=self.dtype)
-            start = end
+        nulls = self.footer["nulls"]
+        for at in range(0, len(self), READ):
+            stop = min(at + READ, len(self))
+            bounds = self.boundaries.between(at, stop + 1).tolist()
+            names: list[int | None] = [None] * (min(nulls, stop) - min(nulls, at))
+            if stop > nulls:
+                names += [n + self.footer["least"] for n in self.document_ids.between(max(at - nulls, 0), stop - nulls).tolist()]
+            for name, start, end in zip(names, bounds, bounds[1:], strict=False):
+                yield name, start, np.frombuffer(self.file.read((end - start) * self.dtype.itemsize), dtype=self.dtype)
 
 
 def _write_shard(rows, folder: str, tokenizer: str, end_id: int):

@@ -84,7 +84,8 @@ class WordEncoder:
         self.keeps_space = len(self.whole.encode(" ", add_special_tokens=False).ids) > 0
         self.letters = self.keeps_space and self.normalizer is None
         self.pieces, self.plain = _Memo(self._piece, memo_limit), _Memo(self._plain, memo_limit)
-        self.words = _Memo(self._word, memo_limit)
+        #: Words as they are, and words that follow a space, without it.
+        self.words, self.spaced = _Memo(self._word, memo_limit), _Memo(lambda word: self._word(" " + word), memo_limit)
         self.vocabulary = self.whole.get_vocab_size()
 
     def _piece(self, piece: str) -> bytes:
@@ -99,6 +100,9 @@ class WordEncoder:
             return self._piece(piece.replace(" ", SPACE))
         return self._piece(piece.encode().decode("latin-1").translate(BYTE_CHARACTERS))
 
+    def _known(self, word: str) -> bytes:
+        return self.spaced[word[1:]] if self.keeps_space and word[:1] == " " else self.words[word]
+
     def _word(self, word: str) -> bytes:
         if self.letters and word[:1] == " " and word.isascii() and word[1:].isalpha():
             # Most new words.
@@ -110,11 +114,11 @@ class WordEncoder:
         core = word.rstrip(MARKS)
         if (core[1:] if self.keeps_space and core[:1] == " " else core).isalpha():
             # Letters, then marks: the pre-tokenizer cuts exactly there.
-            return self.words[core] + self.plain[word[len(core) :]]
+            return self._known(core) + self.plain[word[len(core) :]]
         head, _, rest = word.partition("\n")
         if rest and head and not head[-1].isspace() and not rest[0].isspace():
             # A single line feed between words is a piece of its own.
-            return self.words[head] + self.pieces[FEED] + self.words[rest]
+            return self._known(head) + self.pieces[FEED] + self._known(rest)
         return b"".join([self.pieces[piece] for piece, _ in self.splitter.pre_tokenize_str(word)])
 
     def unit(self, unit: str) -> bytes:
@@ -132,6 +136,7 @@ class WordEncoder:
             return struct.pack(f"<{len(ids)}I", *ids)
         if not self.keeps_space:
             return b"".join(map(self.words.__getitem__, text.split()))
-        if text[-1] == " " or "\x00" in text or "  " in text or any([code in text and mark in text for code, mark in (JOINABLE[:5] if text.isascii() else JOINABLE)]):
+        if text[-1] == " " or "  " in text or any([code in text and mark in text for code, mark in (JOINABLE[:5] if text.isascii() else JOINABLE)]):
             return self._word(text)
-        return b"".join(map(self.words.__getitem__, text.replace(" ", "\x00 ").split("\x00")))
+        head, *rest = text.split(" ")
+        return b"".join([self.words[head] if head else b"", *map(self.spaced.__getitem__, rest)])

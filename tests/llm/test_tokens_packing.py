@@ -155,3 +155,18 @@ def test_long_words_count_as_several_in_the_memo():
     for k in range(4):
         assert memo[str(k) * (3 * KEY_CHARS)] == 3 * KEY_CHARS
     assert len(memo) == 1 and len(memo.old) == 3 and memo["0" * (3 * KEY_CHARS)] == 3 * KEY_CHARS
+
+
+def test_ranges_of_elias_fano_are_those_of_single_values():
+    import random
+
+    from ledgerlens.llm.token_files import EliasFano
+
+    rng = random.Random(2)
+    for top, count in ((3, 200), (10**6, 500), (10**12, 65), (50, 1), (0, 300)):
+        values = sorted(rng.randint(0, top) for _ in range(count))
+        coded = EliasFano.encode(values)
+        for _ in range(40):
+            first = rng.randrange(count)
+            end = rng.randint(first + 1, count)
+            assert coded.between(first, end).tolist() == values[first:end] == [coded[k] for k in range(first, end)]
