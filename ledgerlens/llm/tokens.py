@@ -55,7 +55,9 @@ class _Memo(dict):
         self.make, self.limit, self.old, self.size = make, limit, {}, 0
 
     def __missing__(self, key):
-        value = self.old.get(key) or self.make(key)
+        value = self.old.get(key)
+        if value is None:  # any other value counts as made: arrays have no truth, empty values are false
+            value = self.make(key)
         if self.size >= self.limit:
             self.old = dict(self)
             self.clear()

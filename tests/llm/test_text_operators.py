@@ -321,6 +321,16 @@ def test_toxicity_features_and_scores_against_brute_force(spark):
     assert sum(out[k]["predicted"] == y for k, _, y in rows) >= 195 and out[992]["predicted"] == 1
 
 
+def test_toxicity_features_whatever_the_memo_holds(spark, monkeypatch):
+    """Chunks that the memo has pushed into its old generation count like others."""
+    rng = random.Random(11)
+    rows = [(" ".join(rng.choice(["ab", "cde", "...", "fghij", "k"]) for _ in range(8)), k % 2) for k in range(40)]
+    frame = spark.createDataFrame(rows, "text string, toxic int").coalesce(1)
+    whole = {tuple(r) for r in toxicity.feature_counts(frame).collect()}
+    monkeypatch.setattr(toxicity, "MEMO", 2)
+    assert {tuple(r) for r in toxicity.feature_counts(frame).collect()} == whole
+
+
 def test_toxicity_loss_falls_to_its_minimum():
     """At the fitted weights the loss, counted plainly with its penalty on swapped terms, does not fall along any weight."""
     rng = random.Random(3)

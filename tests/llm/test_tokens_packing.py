@@ -157,6 +157,17 @@ def test_long_words_count_as_several_in_the_memo():
     assert len(memo) == 1 and len(memo.old) == 3 and memo["0" * (3 * KEY_CHARS)] == 3 * KEY_CHARS
 
 
+def test_memo_takes_back_arrays_and_empty_values():
+    import numpy as np
+
+    from ledgerlens.llm.tokens import _Memo
+
+    made = []
+    memo = _Memo(lambda key: made.append(key) or np.arange(len(key)), 2)
+    assert [len(memo[key]) for key in ("aa", "", "bbb", "aa", "")] == [2, 0, 3, 2, 0]
+    assert made == ["aa", "", "bbb"]
+
+
 def test_ranges_of_elias_fano_are_those_of_single_values():
     import random
 
