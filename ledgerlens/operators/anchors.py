@@ -20,8 +20,8 @@ LENGTHS = (1, 2, 4, 8, 16, 32)
 #: than the largest is made for make it less selective, never wrong.
 BITS_PER_TERM = 64
 LEAST_BITS, MOST_BITS = 16, 23
-#: Bytes of a batch looked at together, which bounds what a task holds beside the batch.
-WINDOW = 1 << 19
+#: Bytes of a batch looked at together, which bounds what a task holds beside the batch; the numbers of a window fit a core's cache.
+WINDOW = 1 << 17
 
 MIX, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 

@@ -9,7 +9,7 @@ from ledgerlens import constants as K
 from ledgerlens.functions.text import let
 from ledgerlens.operators.lookup import lookup_keys
 from ledgerlens.operators.matching import by_anchors, contained, listed, term_hits, words_in
-from ledgerlens.operators.skew import skew_safe_left_join
+from ledgerlens.operators.skew import key_counts, skew_safe_left_join
 from ledgerlens.operators.taxonomy import Taxonomy, inline_value
 
 ENTRY_ID = ["source_id", "row_number"]
@@ -213,6 +213,8 @@ def _company_hits(group_hits: DataFrame, taxonomy: Taxonomy) -> DataFrame:
 
 def _long_scored(entries: DataFrame, company_info: DataFrame, taxonomy: Taxonomy, **skew) -> DataFrame:
     row_id = [F.col(c) for c in ENTRY_ID]
+    # Read for the filings, the companies, the stages and the result.
+    entries = taxonomy.keep(entries)
     group_hits = company_group_hits(company_info, taxonomy)
     filed = taxonomy.filed.selectExpr(
         "level2 AS category", "level3 AS subcategory", "level1 AS filed_level1", "group_ord AS filed_ord"
@@ -244,7 +246,9 @@ def _long_scored(entries: DataFrame, company_info: DataFrame, taxonomy: Taxonomy
     companies = [
         company.withColumnRenamed("query_name", "lookup_key") for company in (company_info, _best_of(group_hits, taxonomy))
     ]
-    scored = skew_safe_left_join(joined, companies, "lookup_key", row_id, _company_counts(entries), **skew)
+    # Counted on the kept entries: another count of the companies would read the table behind them.
+    counts = key_counts(entries, "lookup_key")
+    scored = skew_safe_left_join(joined, companies, "lookup_key", row_id, counts, **skew)
     return scored.fillna(0, ["filed_scope_count", "filed_stage_count"])
 
 

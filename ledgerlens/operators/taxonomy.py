@@ -98,6 +98,7 @@ class Taxonomy:
         self._literal_terms = literal_terms
         self._search_terms = search_terms
         self._broadcast_chars = broadcast_chars
+        self._kept: list[DataFrame] = []
 
     # Term tables, each described at the function of the same purpose above. They are no larger than the rules, serve
     # several joins each and are therefore kept like them.
@@ -110,7 +111,12 @@ class Taxonomy:
     def keyword_places(self) -> DataFrame:
         if not self.rules.groupBy("rule_ord").count().filter("count > 1").isEmpty():
             raise ValueError(REPEATED_ORDER)
-        return group_keywords(self.rules).select("group_ord", "keyword", "rule_ord", "keyword_pos").persist()
+        places = group_keywords(self.rules).select("group_ord", "keyword", "rule_ord", "keyword_pos")
+        if self.size.terms > SEARCH_TERMS or self.size.chars > SEARCH_CHARS:
+            return places.persist()
+        # A few are values of the plan: adaptive execution shares no step that reads a kept table, and would search texts once
+        # per reader of the hits.
+        return self.rules.sparkSession.createDataFrame(places.toArrow(), places.schema)
 
     @property
     def keywords(self) -> DataFrame:
@@ -125,9 +131,17 @@ class Taxonomy:
     def filed(self) -> DataFrame:
         return filed_groups(self.rules).persist()
 
+    def keep(self, frame: DataFrame) -> DataFrame:
+        """Keep a narrow table that the plan without search reads several times, until release()."""
+        self._kept.append(frame.persist())
+        return frame
+
     def release(self) -> None:
         """Drop what is kept in executor storage."""
         self.rules.unpersist()
+        for frame in self._kept:
+            frame.unpersist()
+        self._kept.clear()
         for name in ("groups", "keyword_places", "modules", "filed"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()

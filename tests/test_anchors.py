@@ -4,13 +4,15 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.operators import anchors, matching
 from ledgerlens.operators.matching import keyword_hits
 from ledgerlens.operators.scoring import best_groups
 from ledgerlens.operators.taxonomy import Taxonomy
+from ledgerlens.plans.review import review_detail
 from ledgerlens.queries.catalog import QUERIES
-from tests.conftest import rules_frame
+from tests.conftest import INFO_SCHEMA, entries_frame, found, rules_frame
 
 
 def searches(frame) -> int:
@@ -23,6 +25,35 @@ def test_joined_plans_make_no_pieces_of_texts(spark, name):
     assert searches(QUERIES[name](spark, "/root/testdata/sf0.001")) == 0
 
 
+def test_joined_review_searches_company_texts_once(spark):
+    detail = QUERIES["review_detail_joined"](spark, "/root/testdata/sf0.001")
+    detail.collect()
+    final = detail._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan ==")[0]
+    assert final.count("MapInArrow run(query_name") == 1
+
+
+def test_joined_review_reads_entries_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(value):
+        read.add(1)
+        return value
+
+    rows = [("d", f"n{k}", "A", "b", f"Firm {k % 3}", "apple" if k % 2 else "") for k in range(12)]
+    entries = entries_frame(spark, rows).withColumn("stage", counted("stage"))
+    info = spark.createDataFrame([found(f"Firm{k}", "apple pear") for k in range(2)], INFO_SCHEMA)
+    taxonomy = Taxonomy(rules_frame(spark, [("A", "A", "b", "", ["apple", "pear"])]), search_terms=0)
+    assert review_detail(entries, taxonomy, info).count() == 12
+    read.value = 0
+    held = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    plan = review_detail(entries.withColumn("row_number", F.col("row_number") + 100), taxonomy, info)
+    assert sorted(r["row_number"] for r in plan.collect()) == list(range(102, 114))
+    assert read.value == 12
+    taxonomy.release()
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() < held
+
+
 def test_numbers_of_places_are_those_of_terms(monkeypatch):
     monkeypatch.setattr(anchors, "WINDOW", 50)
     rng = random.Random(3)
