@@ -119,6 +119,13 @@ def test_pipeline_stages_against_brute_force(spark):
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == len(after)
 
 
+def test_toxic_stage_whatever_the_memo_holds(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = {r["doc_id"] for r in corpus_pipeline.toxic_stage(spark, docs, SF).collect()}
+    monkeypatch.setattr(toxicity, "MEMO", 50)
+    assert {r["doc_id"] for r in corpus_pipeline.toxic_stage(spark, docs, SF).collect()} == whole
+
+
 def test_pipeline_stages_keep_columns_of_clashing_names(spark):
     clash = {name: f"my {name}" for name in ("score", "predicted", "held_out", "n_lines", "n_removed", "__text", "__doc", "h1", "others")}
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).selectExpr("*", *(f"'{value}' AS `{name}`" for name, value in clash.items())).cache()
