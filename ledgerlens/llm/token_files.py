@@ -219,8 +219,9 @@ def write_token_files(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end
 
     SHARD = pa.schema([("uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_id", pa.int64())])
     sorted_docs = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = materialize(sorted_docs.mapInArrow(shard, "uri string, n_docs long, n_ids long, first_id long"), "token-manifest")
-    # One narrow row per shard.
+    # One narrow row per shard, all in one file: on a local file system every file that a task writes starts processes beside the executor.
+    shards = sorted_docs.mapInArrow(shard, "uri string, n_docs long, n_ids long, first_id long").repartition(1)
+    manifest = materialize(shards, "token-manifest")
     before = Window.orderBy(F.asc_nulls_first("first_id")).rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 

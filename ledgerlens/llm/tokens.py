@@ -7,6 +7,7 @@ white space or a special token's name makes words depend on each other are given
 
 from __future__ import annotations
 
+import codecs
 import functools
 import os
 import re
@@ -28,6 +29,7 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARACTERS = {byte: 256 + k for k, byte in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 SPACE, FEED = chr(BYTE_CHARACTERS[0x20]), chr(BYTE_CHARACTERS[0x0A])
+ALPHABET = "".join(chr(BYTE_CHARACTERS.get(byte, byte)) for byte in range(256))
 PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
@@ -47,16 +49,19 @@ KEY_CHARS = 32
 class _Memo(dict):
     """Made values of two generations: when the young one is full it becomes the old one, from which used values come back.
 
-    A long key counts as several, so the limit bounds the memory whatever a language's words are.
+    A long key counts as several, so the limit bounds the memory whatever a language's words are. worth(key, memo) is false
+    for a new key whose value is not to be kept.
     """
 
-    def __init__(self, make, limit: int):
+    def __init__(self, make, limit: int, worth=None):
         super().__init__()
-        self.make, self.limit, self.old, self.size = make, limit, {}, 0
+        self.make, self.limit, self.old, self.size, self.worth = make, limit, {}, 0, worth
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:  # any other value counts as made: arrays have no truth, empty values are false
+            if self.worth is not None and not self.worth(key, self):
+                return self.make(key)
             value = self.make(key)
         if self.size >= self.limit:
             self.old = dict(self)
@@ -67,6 +72,17 @@ class _Memo(dict):
         return value
 
 
+def _comes_again(word: str, memo: _Memo) -> bool:
+    """Words with a line feed or with marks behind them are made of remembered words: the first hardly come again, the others
+    are remembered when their letters are known by then."""
+    if word.isalpha():
+        return True
+    if "\n" in word:
+        return "\n\n" in word
+    core = word.rstrip(MARKS)
+    return not core.isalpha() or core in memo or core in memo.old
+
+
 @functools.cache
 def word_encoder(name: str) -> WordEncoder:
     """One per Python worker: later tasks find the words of earlier ones."""
@@ -76,7 +92,7 @@ def word_encoder(name: str) -> WordEncoder:
 class WordEncoder:
     """encode(text): ids as packed little-endian unsigned 32-bit integers. Names of special tokens are ordinary text."""
 
-    def __init__(self, name: str, memo_limit: int = 600_000):
+    def __init__(self, name: str, memo_limit: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -87,7 +103,8 @@ class WordEncoder:
         self.letters = self.keeps_space and self.normalizer is None
         self.pieces, self.plain = _Memo(self._piece, memo_limit), _Memo(self._plain, memo_limit)
         #: Words as they are, and words that follow a space, without it.
-        self.words, self.spaced = _Memo(self._word, memo_limit), _Memo(lambda word: self._word(" " + word), memo_limit)
+        self.words = _Memo(self._word, memo_limit, _comes_again)
+        self.spaced = _Memo(self._spaced, memo_limit, _comes_again)
         self.vocabulary = self.whole.get_vocab_size()
 
     def _piece(self, piece: str) -> bytes:
@@ -100,14 +117,24 @@ class WordEncoder:
             return self._piece(piece)
         if piece.isascii():
             return self._piece(piece.replace(" ", SPACE))
-        return self._piece(piece.encode().decode("latin-1").translate(BYTE_CHARACTERS))
+        return self._piece(codecs.charmap_decode(piece.encode(), "strict", ALPHABET)[0])
 
     def _known(self, word: str) -> bytes:
         return self.spaced[word[1:]] if self.keeps_space and word[:1] == " " else self.words[word]
 
+    def _spaced(self, word: str) -> bytes:
+        """A word without the space before it."""
+        if self.letters:
+            if word.isalpha():
+                # Most new words.
+                return self._piece(SPACE + (word if word.isascii() else codecs.charmap_decode(word.encode(), "strict", ALPHABET)[0]))
+            core = word.rstrip(MARKS)
+            if core.isalpha():
+                return self.spaced[core] + self.plain[word[len(core) :]]
+        return self._word(" " + word)
+
     def _word(self, word: str) -> bytes:
         if self.letters and word[:1] == " " and word.isascii() and word[1:].isalpha():
-            # Most new words.
             return self._piece(SPACE + word[1:])
         if self.normalizer is not None:
             word = word.lower() if word.isascii() else self.normalizer.normalize_str(word)

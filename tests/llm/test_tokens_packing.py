@@ -181,3 +181,37 @@ def test_ranges_of_elias_fano_are_those_of_single_values():
             first = rng.randrange(count)
             end = rng.randint(first + 1, count)
             assert coded.between(first, end).tolist() == values[first:end] == [coded[k] for k in range(first, end)]
+
+
+def test_words_with_marks_are_remembered_once_their_letters_are():
+    for name in NAMES:
+        own = WordEncoder(name)
+        memo = own.spaced if own.keeps_space else own.words
+        own.encode("so rareword, anotherword.\nThirdword")
+        assert "rareword" in memo and not {"rareword,", "anotherword.\nThirdword"} & (own.spaced.keys() | own.words.keys())
+        own.encode("so rareword, anotherword.\nThirdword -- --")
+        assert "rareword," in memo and "--" in memo and len(own.spaced) + len(own.words) <= 8
+
+
+def test_memory_of_the_encoder_is_bounded():
+    import itertools
+    import string
+    import sys
+
+    own = WordEncoder("byte_bpe_50k.json")
+    words = map("".join, itertools.product(string.ascii_lowercase, repeat=5))
+    for _ in range(119):
+        own.encode(" ".join(itertools.islice(words, 10_000)))
+    kept = [memo for one in (own.words, own.spaced, own.pieces, own.plain) for memo in (one, one.old)]
+    assert sum(sys.getsizeof(memo) + sum(sys.getsizeof(key) + sys.getsizeof(value) for key, value in memo.items()) for memo in kept) < 110e6
+
+
+def test_manifest_of_token_files_is_one_file(spark):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        manifest = token_files.write_token_files(docs_frame(spark, [(k, f"text {k}") for k in range(500)]))
+    finally:
+        spark.conf.unset(key)
+    assert manifest.count() > 1
+    assert len(manifest.inputFiles()) == 1
