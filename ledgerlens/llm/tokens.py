@@ -25,6 +25,9 @@ JOINABLE = tuple((chr(code), f" {chr(code)}") for code in SPACES[1:])
 
 #: ASCII marks but the apostrophe, with which contractions begin.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters before this one are never changed by their neighbours; there are no combining marks among them.
+LATIN_END = "\u0250"
+LATIN = [chr(code) for code in range(ord(LATIN_END)) if chr(code).isalpha()]
 #: The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARACTERS = {byte: 256 + k for k, byte in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -72,17 +75,6 @@ class _Memo(dict):
         return value
 
 
-def _comes_again(word: str, memo: _Memo) -> bool:
-    """Words with a line feed or with marks behind them are made of remembered words: the first hardly come again, the others
-    are remembered when their letters are known by then."""
-    if word.isalpha():
-        return True
-    if "\n" in word:
-        return "\n\n" in word
-    core = word.rstrip(MARKS)
-    return not core.isalpha() or core in memo or core in memo.old
-
-
 @functools.cache
 def word_encoder(name: str) -> WordEncoder:
     """One per Python worker: later tasks find the words of earlier ones."""
@@ -101,12 +93,27 @@ class WordEncoder:
         self.model, self.normalizer, self.splitter = self.whole.model, self.whole.normalizer, self.whole.pre_tokenizer
         self.keeps_space = len(self.whole.encode(" ", add_special_tokens=False).ids) > 0
         self.letters = self.keeps_space and self.normalizer is None
+        self.lowers = self.normalizer is not None and all(self.normalizer.normalize_str(letter) == letter.lower() for letter in LATIN)
         self.pieces, self.plain = _Memo(self._piece, memo_limit), _Memo(self._plain, memo_limit)
         #: Words as they are, and words that follow a space, without it.
-        self.words = _Memo(self._word, memo_limit, _comes_again)
-        self.spaced = _Memo(self._spaced, memo_limit, _comes_again)
+        self.words = _Memo(self._word, memo_limit, self._comes_again)
+        self.spaced = _Memo(self._spaced, memo_limit, self._comes_again)
         self.vocabulary = self.whole.get_vocab_size()
 
+    def _comes_again(self, word: str, memo: _Memo) -> bool:
+        """Words with a line feed or with marks behind them are made of remembered words: the first hardly come again, the others
+        are remembered when their letters are known by then."""
+        if word.isalpha():
+            return True
+        if "\n" in word:
+            return "\n\n" in word
+        core = word.rstrip(MARKS)
+        if not core.isalpha():
+            return True
+        if self.normalizer is not None:
+            core = core.lower()
+        return core in memo or core in memo.old
+
     def _piece(self, piece: str) -> bytes:
         ids = [token.id for token in self.model.tokenize(piece)]
         return PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
@@ -137,7 +144,8 @@ class WordEncoder:
         if self.letters and word[:1] == " " and word.isascii() and word[1:].isalpha():
             return self._piece(SPACE + word[1:])
         if self.normalizer is not None:
-            word = word.lower() if word.isascii() else self.normalizer.normalize_str(word)
+            plain = word.isascii() or self.lowers and word.isalpha() and max(word) < LATIN_END
+            word = word.lower() if plain else self.normalizer.normalize_str(word)
         if (word[1:] if self.keeps_space and word[:1] == " " else word).isalpha():
             return self._plain(word)
         core = word.rstrip(MARKS)

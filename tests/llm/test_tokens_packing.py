@@ -215,3 +215,13 @@ def test_manifest_of_token_files_is_one_file(spark):
         spark.conf.unset(key)
     assert manifest.count() > 1
     assert len(manifest.inputFiles()) == 1
+
+
+def test_latin_words_give_the_ids_of_the_whole_text(whole):
+    rng = random.Random(4)
+    letters = [chr(code) for code in range(0x41, 0x260) if chr(code).isalpha()]
+    for name in NAMES:
+        assert ENCODERS[name].encode("Été, été. İ, Σ ΑΣ, ÀÇ") == whole(name, "Été, été. İ, Σ ΑΣ, ÀÇ")
+        for _ in range(2000):
+            text = " ".join("".join(rng.choices(letters, k=rng.randint(1, 6))) + rng.choice(("", ",", ".\nİ")) for _ in range(4))
+            assert ENCODERS[name].encode(text) == whole(name, text)
